@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, mixing, quality_rules, secrets, simhash
+from . import html_text, language, mixing, quality_rules, secrets, simhash
 from .common import read
 
 
@@ -22,6 +23,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs)).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(docs))
@@ -32,7 +38,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_simhash, op5_mix_sources, op7_secret_scan, op9_html_text)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op9_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
