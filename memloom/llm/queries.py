@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, mixing, quality_rules, secrets, simhash
+from . import decontaminate, html_text, language, mixing, quality_rules, secrets, simhash
 from .common import read
 
 
@@ -37,8 +37,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op9_html_text)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op9_html_text, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
