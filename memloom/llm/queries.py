@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, lines, mixing, quality_rules, secrets, simhash
+from . import cotraining, decontaminate, html_text, language, lines, mixing, quality_rules, secrets, simhash
 from .common import read
 
 
@@ -37,6 +37,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
@@ -46,7 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op9_html_text, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op8_cotraining, op9_html_text, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
