@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, html_text, language, lines, mixing, quality_rules, secrets, simhash
+from . import cotraining, decontaminate, html_text, language, lines, mixing, quality_rules, secrets, simhash, suffixes
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op8_cotraining, op9_html_text, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_line_dedup, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op8_cotraining, op9_html_text, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
