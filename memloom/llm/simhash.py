@@ -162,7 +162,7 @@ def probe_rows(fps: DataFrame, parts: list[tuple[int, np.ndarray]]) -> DataFrame
             for k, (mask, masks) in enumerate(parts):
                 for at in range(0, len(values), 4096):
                     some = values[at : at + 4096]
-                    keys = mixed(((some[:, None] & np.uint64(mask)) ^ masks[None, :]) + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+                    keys = mixed(((some[:, None] & np.uint64(mask)) ^ masks[None, :]) + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
                     probe = np.broadcast_to(np.arange(len(masks)) > 0, keys.shape)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(some, len(masks)).view(np.int64)), pa.array(probe.ravel())], schema=schema)
 
