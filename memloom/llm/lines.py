@@ -18,6 +18,8 @@ SPACES = " \t\r\v\f"
 #: Lines of fewer characters are compared for equality only.
 MIN_NEAR = 16
 EDITS = 2
+#: Letters whose counts make a line's signature, eight bits for each.
+LETTERS = "eaontirh"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -26,11 +28,24 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "pos", F.btrim("line", F.lit(SPACES)).alias("line")).filter("line <> ''")
 
 
+def signature(line: Column, length: Column) -> Column:
+    """Counts of LETTERS modulo 256, packed into a long."""
+    counts = [(length - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)) for c in LETTERS]
+    return sum((F.shiftleft(c, 8 * i) for i, c in enumerate(counts[1:], 1)), counts[0])
+
+
+def count_distance(a: Column, b: Column) -> Column:
+    """A lower bound of how much the letter counts of two lines differ; an edit changes it by two at most."""
+    count = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))
+    each = [(count(a, i) - count(b, i)).bitwiseAND(F.lit(255)) for i in range(len(LETTERS))]
+    return sum((F.least(d, F.lit(256) - d) for d in each[1:]), F.least(each[0], F.lit(256) - each[0]))
+
+
 def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment ``number`` (from 0) of a line: short segments first, the rest one longer."""
     parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")
+    longer = length % parts
+    short = ((length - longer) / parts).cast("int")
     before = F.greatest(F.lit(number) - (parts - longer), F.lit(0))
     return F.lit(number) * short + before + 1, short + (F.lit(number) >= parts - longer).cast("int")
 
@@ -104,23 +119,41 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         zero = F.struct(F.lit(start).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(edits).cast("int").alias("score"))
         return F.aggregate(F.sequence(F.lit(1), F.size(y)), zero, step)["score"]
 
-    x, y = F.split(a, ""), F.split(b, "")
-    pair = F.struct(x.alias("x"), y.alias("y"), F.length(a).alias("m"))
-    return F.when(F.length(b) - F.length(a) > edits, F.lit(edits + 1)).otherwise(let(pair, distance))
+    def middle(s: Column) -> Column:
+        """The pair without its common beginning and end, which do not change the distance."""
+        most = F.length(s["a"])
+        # the longest common beginning, one power of two at a time
+        halves = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda r: F.pow(F.lit(2.0), r).cast("int"))
+        ahead = lambda n, h: F.when((h <= most - n) & (F.substring(s["a"], n + 1, h) == F.substring(s["b"], n + 1, h)), n + h).otherwise(n)
+        return let(F.aggregate(halves, F.lit(0), ahead), lambda n: let(F.struct(F.substring(s["a"], n + 1, F.length(s["a"])).alias("a"), F.substring(s["b"], n + 1, F.length(s["b"])).alias("b")), tail))
+
+    def tail(s: Column) -> Column:
+        most = F.length(s["a"])
+        halves = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda r: F.pow(F.lit(2.0), r).cast("int"))
+        back = lambda n, h: F.when((h <= most - n) & (F.substring(s["a"], most - n - h + 1, h) == F.substring(s["b"], F.length(s["b"]) - n - h + 1, h)), n + h).otherwise(n)
+        return let(F.aggregate(halves, F.lit(0), back), lambda n: let(F.struct(F.substring(s["a"], 1, most - n).alias("a"), F.substring(s["b"], 1, F.length(s["b"]) - n).alias("b")), rest))
+
+    def rest(s: Column) -> Column:
+        pair = F.struct(F.split(s["a"], "").alias("x"), F.split(s["b"], "").alias("y"), F.length(s["a"]).alias("m"))
+        # with nothing left of the shorter line, all of the other is inserted
+        return F.when(F.length(s["a"]) <= edits, F.levenshtein(s["a"], s["b"])).otherwise(let(pair, distance))
+
+    return F.when(F.length(b) - F.length(a) > edits, F.lit(edits + 1)).otherwise(let(F.struct(a.alias("a"), b.alias("b")), middle))
 
 
 def near_pairs(first: DataFrame, docs: DataFrame, edits: int, min_near: int) -> DataFrame:
     """(doc_id, pos) of first occurrences that are within ``edits`` edits of a line whose first occurrence is earlier.
 
-    ``first(doc_id, pos, length, keys, probes)`` has a row for each distinct line.
+    ``first(doc_id, pos, length, sig, keys, probes)`` has a row for each distinct line.
     """
     long = first.filter(F.col("length") >= min_near)
     at = F.struct("doc_id", "pos")
-    index = long.select(at.alias("i_at"), F.explode("keys").alias("key"))
-    probe = long.select(at.alias("p_at"), "length", F.posexplode("probes").alias("_n", "key"))
+    index = long.select(at.alias("i_at"), F.col("sig").alias("i_sig"), F.explode("keys").alias("key"))
+    probe = long.select(at.alias("p_at"), F.col("sig").alias("p_sig"), F.posexplode("probes").alias("_n", "key"))
     # lines of equal length find each other both ways; one is enough
     equal = F.col("_n") < len_equal_probes(edits)
-    pairs = probe.join(index, "key").filter((F.col("p_at") != F.col("i_at")) & (~equal | (F.col("i_at") < F.col("p_at"))))
+    apart = (F.col("p_at") != F.col("i_at")) & (~equal | (F.col("i_at") < F.col("p_at")))
+    pairs = probe.join(index, "key").filter(apart & (count_distance(F.col("i_sig"), F.col("p_sig")) <= 2 * edits))
     pairs = materialize(pairs.select("i_at", "p_at").distinct(), "candidates")
     wanted = pairs.select("i_at").union(pairs.select("p_at")).distinct().select("i_at.doc_id", "i_at.pos")
     by_doc = wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))
@@ -128,7 +161,10 @@ def near_pairs(first: DataFrame, docs: DataFrame, edits: int, min_near: int) ->
     text = rows.groupBy("doc_id", "pos").agg(F.min(F.btrim("line", F.lit(SPACES))).alias("line")).select(at.alias("at"), "line")
     a = text.withColumnsRenamed({"at": "i_at", "line": "a"})
     b = text.withColumnsRenamed({"at": "p_at", "line": "b"})
-    close = pairs.join(a, "i_at").join(b, "p_at").filter(banded_distance(F.col("a"), F.col("b"), edits) <= edits)
+    near = pairs.join(a, "i_at").join(b, "p_at")
+    # the alignments take time rather than space: deal them out evenly, in a table, as filters move before a repartition
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    close = materialize(near.repartition(tasks), "aligned").filter(banded_distance(F.col("a"), F.col("b"), edits) <= edits)
     return close.select(F.greatest("i_at", "p_at").alias("at")).distinct().select("at.doc_id", "at.pos")
 
 
@@ -139,18 +175,17 @@ def len_equal_probes(edits: int) -> int:
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:
     """(doc_id, removed): sorted positions of the lines to remove, for documents that lose any."""
-    lines = split_lines(docs.filter("doc_id is not null"))
-    length = F.length("line")
-    index, probes = segment_keys(F.col("line"), length, edits)
-    near = length >= min_near
-    none = F.array().cast("array<bigint>")
-    hashed = lines.select("doc_id", "pos", F.unhex(F.md5("line")).alias("hash"), length.alias("length"), F.when(near, F.array(*index)).otherwise(none).alias("keys"), F.when(near, F.array(*probes)).otherwise(none).alias("probes"))
-    first = hashed.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("length").alias("length"), F.first("keys").alias("keys"), F.first("probes").alias("probes"))
-    first = materialize(first.select("hash", "at.doc_id", "at.pos", "length", "keys", "probes"), "first-lines")
+    lines = split_lines(docs.filter("doc_id is not null")).withColumn("hash", F.unhex(F.md5("line")))
+    long = lines.withColumn("length", F.length("line"))
+    index, probes = segment_keys(F.col("line"), F.col("length"), edits)
+    hashed = long.select("doc_id", "pos", "hash", "length", signature(F.col("line"), F.col("length")).alias("sig"), F.array(*index).alias("keys"), F.array(*probes).alias("probes"))
+    # equal lines have equal lengths, signatures and keys: any of their rows will do
+    same = F.struct("length", "sig", "keys", "probes")
+    first = hashed.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first(same).alias("same"))
+    first = materialize(first.select("hash", "at.doc_id", "at.pos", "same.*"), "first-lines")
     near_rows = materialize(near_pairs(first, docs, edits, min_near), "near-lines")
     stays = first.select("hash", F.struct("doc_id", "pos").alias("at"))
-    all_lines = hashed.select("doc_id", "pos", "hash")
-    later = all_lines.join(stays, "hash").filter(F.struct("doc_id", "pos") != F.col("at")).select("doc_id", "pos")
+    later = lines.select("doc_id", "pos", "hash").join(stays, "hash").filter(F.struct("doc_id", "pos") != F.col("at")).select("doc_id", "pos")
     return later.unionByName(near_rows).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
