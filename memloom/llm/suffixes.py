@@ -28,9 +28,9 @@ CONTEXT = REACH + LENGTH
 #: Difference cover modulo PERIOD: every residue is a difference of two elements.
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 #: Text of one group of documents, and text whose anchors make one part, about.
-GROUP_BYTES, PART_BYTES = 8 << 20, 16 << 20
+GROUP_BYTES, PART_BYTES = 3 << 20, 5 << 20
 #: Anchors that a task gathers before it hands them on.
-FLUSH = 1_000_000
+FLUSH = 400_000
 LAST = np.iinfo(np.int64).max  # stands for a null id: no id is larger
 
 FACTOR = 0x9E3779B97F4A7C15
