@@ -18,6 +18,8 @@ SPACES = " \t\r\v\f"
 #: Lines of fewer characters are compared for equality only.
 MIN_NEAR = 16
 EDITS = 2
+#: Documents with candidate lines up to which their ids are broadcast; beyond, the texts are shuffled.
+BROADCAST_DOCS = 500_000
 #: Letters whose counts make a line's signature, eight bits for each.
 LETTERS = "eaontirh"
 
@@ -156,7 +158,9 @@ def near_pairs(first: DataFrame, docs: DataFrame, edits: int, min_near: int) ->
     pairs = probe.join(index, "key").filter(apart & (count_distance(F.col("i_sig"), F.col("p_sig")) <= 2 * edits))
     pairs = materialize(pairs.select("i_at", "p_at").distinct(), "candidates")
     wanted = pairs.select("i_at").union(pairs.select("p_at")).distinct().select("i_at.doc_id", "i_at.pos")
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))
+    by_doc = materialize(wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("wanted")), "wanted")
+    if by_doc.count() <= BROADCAST_DOCS:
+        by_doc = F.broadcast(by_doc)
     rows = docs.join(by_doc, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "wanted").filter(F.array_contains("wanted", F.col("pos")))
     text = rows.groupBy("doc_id", "pos").agg(F.min(F.btrim("line", F.lit(SPACES))).alias("line")).select(at.alias("at"), "line")
     a = text.withColumnsRenamed({"at": "i_at", "line": "a"})
