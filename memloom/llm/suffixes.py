@@ -28,7 +28,7 @@ CONTEXT = REACH + LENGTH
 #: Difference cover modulo PERIOD: every residue is a difference of two elements.
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 #: Text of one group of documents, and text whose anchors make one part, about.
-GROUP_BYTES, PART_BYTES = 3 << 20, 5 << 20
+GROUP_BYTES, PART_BYTES = 3 << 20, 2 << 20
 #: Anchors that a task gathers before it hands them on.
 FLUSH = 400_000
 LAST = np.iinfo(np.int64).max  # stands for a null id: no id is larger
@@ -76,7 +76,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes * np.uint64(parts)) >> np.uint64(48)).astype(np.int64)
+    return (((hashes >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def packed(hashes: np.ndarray) -> tuple[bytes, bytes]:
@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(1 << 15, max(2 * tasks, total // PART_BYTES + 1))
+    parts = min(1 << 31, max(2 * tasks, total // PART_BYTES + 1))
     groups = max(4 * tasks, total // GROUP_BYTES + 1)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
     rows = docs.select(doc.alias("doc_id"), F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int").alias("group"), F.coalesce("text", F.lit("")).alias("text"))
