@@ -317,12 +317,12 @@ def parse_query(text: str, stem=Porter.stem, columns: tuple[str, ...] = ("text",
     return tree
 
 
-def phrases_of(tree) -> list[Phrase]:
-    """All phrases of a query that score, those under the right of NOT included as they never match."""
+def phrases_of(tree) -> list[tuple[Phrase, Near | None]]:
+    """All phrases of a query that score, with the NEAR group that restricts them; what NOT excludes does not score."""
     if isinstance(tree, Phrase):
-        return [tree] if tree.words else []
+        return [(tree, None)] if tree.words else []
     if isinstance(tree, Near):
-        return [p for p in tree.phrases if p.words]
+        return [(p, tree) for p in tree.phrases if p.words]
     return phrases_of(tree.left) + (phrases_of(tree.right) if tree.kind != "NOT" else [])
 
 
@@ -343,32 +343,30 @@ def phrase_starts(doc: Column, p: Phrase) -> Column:
     return F.when(F.size(doc) >= n, F.filter(at, here)).otherwise(F.array().cast("array<int>"))
 
 
+def scored_starts(doc: Column, p: Phrase, near: Near | None) -> Column:
+    """Positions of a phrase that count: within a NEAR group those close to each of the other phrases."""
+    starts = phrase_starts(doc, p)
+    for q in [q for q in near.phrases if q.words and q is not p] if near else []:
+        starts = _close(starts, phrase_starts(doc, q), p, q, near.distance)
+    return starts
+
+
+def _close(starts: Column, others: Column, p: Phrase, q: Phrase, distance: int) -> Column:
+    """Places of phrase p with at most ``distance`` tokens between them and some place of phrase q."""
+    return F.filter(starts, lambda i: F.exists(others, lambda j: F.when(j > i, j - i - len(p.words)).otherwise(i - j - len(q.words)) <= distance))
+
+
 def matches(doc: Column, tree) -> Column:
     """Whether an array of tokens satisfies a query; a phrase without tokens does not restrict."""
     if isinstance(tree, Phrase):
         return F.size(phrase_starts(doc, tree)) > 0 if tree.words else F.lit(True)
     if isinstance(tree, Near):
         parts = [p for p in tree.phrases if p.words]
-        if not parts:
-            return F.lit(True)
-        first = phrase_starts(doc, parts[0])
-
-        def close(i: Column) -> Column:
-            out = F.lit(True)
-            for q in parts[1:]:
-                gap = lambda j, q=q: F.when(j > i, j - i - len(parts[0].words)).otherwise(i - j - len(q.words)) <= tree.distance
-                out = out & _exists(phrase_starts(doc, q), gap)
-            return out
-
-        return F.exists(first, close)
+        return F.size(scored_starts(doc, parts[0], tree)) > 0 if parts else F.lit(True)
     left, right = matches(doc, tree.left), matches(doc, tree.right)
     return {"AND": left & right, "OR": left | right, "NOT": left & ~right}[tree.kind]
 
 
-def _exists(array: Column, test) -> Column:
-    return F.exists(array, lambda x: test(x))
-
-
 # JSON rescue ---------------------------------------------------------------------------------------------------
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 EXCLUDED = ("sealed",)
 
 
-def not_excluded(owner: Column = F.col("owner"), keep_null: bool = False, excluded: tuple[str, ...] = EXCLUDED) -> Column:
-    """Owner filter; a null owner is dropped unless ``keep_null``."""
+def not_excluded(keep_null: bool = False, excluded: tuple[str, ...] = EXCLUDED) -> Column:
+    """Filter on column owner; a null owner is dropped unless ``keep_null``."""
+    owner = F.col("owner")
     return ~(F.coalesce(owner, F.lit("")) if keep_null else owner).isin(*excluded)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memloom.functions.text import QueryError, matches, parse_query, phrase_starts, phrases_of
+from memloom.functions.text import QueryError, matches, parse_query, phrases_of, scored_starts
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -55,7 +55,7 @@ def keyword_search(docs: DataFrame, query: str, keys: list[str], toks: Column, l
         tree = parse_query(words)
     phrases = phrases_of(tree)
     rows = docs.select(*docs.columns, toks.alias("_t"))
-    rows = rows.select(*docs.columns, F.size("_t").alias("_len"), matches(F.col("_t"), tree).alias("_hit"), *[F.size(phrase_starts(F.col("_t"), p)).alias(f"_f{i}") for i, p in enumerate(phrases)])
+    rows = rows.select(*docs.columns, F.size("_t").alias("_len"), matches(F.col("_t"), tree).alias("_hit"), *[F.size(scored_starts(F.col("_t"), *p)).alias(f"_f{i}") for i, p in enumerate(phrases)])
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))])
     hits = rows.filter(F.col("_hit") if keep is None else F.col("_hit") & keep).crossJoin(F.broadcast(stats))
     parts = [idf(F.col("_n"), F.col(f"_d{i}")) * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_len") / F.col("_avg"))) for i in range(len(phrases))]

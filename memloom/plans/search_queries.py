@@ -9,7 +9,7 @@ from memloom.operators import resolve, search
 from memloom.sources import views as v
 
 TERMS = ("the", "and", "of")
-KEEP = F.col("source") == "src0"
+KEEP = "source = 'src0'"
 
 
 def docs(spark, sf):

@@ -214,7 +214,7 @@ def session_records(lines: DataFrame) -> DataFrame:
     role = F.coalesce("e.message.role", "e.type")
     shaped = once.withColumn("m", F.struct("ord", F.col("uuid").alias("native_id"), F.col("e.parentUuid").alias("parent_native_id"), role.alias("role"), F.col("e.timestamp").alias("created_at"), F.col("blocks").alias("content"), content_hash(role, flat_text(F.col("blocks"), summaries=False)).alias("content_hash"), F.col("e.message.model").alias("model")))
     modal = lambda c: _modal(once.select(*key, "ord", F.col(c).alias("x")), key)
-    out = shaped.groupBy(*key).agg(F.array_sort(F.collect_list("m")).alias("messages"), F.max_by("e.gitBranch", F.when(F.col("e.gitBranch").isNotNull(), F.col("ord"))).alias("git_branch"))
+    out = shaped.groupBy(*key).agg(F.array_sort(F.collect_list("m"), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("messages"), F.max_by("e.gitBranch", F.when(F.col("e.gitBranch").isNotNull(), F.col("ord"))).alias("git_branch"))
     out = out.join(title, key, "left").join(modal("e.message.model").withColumnRenamed("x", "model"), key, "left").join(modal("e.cwd").withColumnRenamed("x", "cwd"), key, "left")
     shown = F.concat(project_name(F.col("project")), F.lit(" / "), F.coalesce(F.nullif(redact(F.col("title")), F.lit("")), F.lit("untitled session")))
     return out.select(
