@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, pool_d
 
     got = map_rows(rows, "doc_id long, f binary, v binary, m array<long>, quality int, toxic int", make).limit(2 * (max_docs + pool_docs)).collect()
     got.sort(key=lambda r: (r.doc_id, r.f))
-    sizes = [len(r.f) // 2 for r in got]
+    sizes = np.array([len(r.f) // 2 for r in got], np.int64)
     entries = (np.repeat(np.arange(len(got)), sizes), np.concatenate([np.frombuffer(r.f, np.uint16) for r in got] + [np.zeros(0, np.uint16)]).astype(np.int64), np.concatenate([np.frombuffer(r.v, np.float32) for r in got] + [np.zeros(0, np.float32)]).astype(float))
     meta = np.array([r.m for r in got], np.int64).reshape(len(got), 4)
     held = np.arange(len(got)) % 3 == 0

@@ -247,6 +247,8 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Crf:
 
 def predict(texts: list[str | None], model: Crf, table: np.ndarray) -> tuple[list[str], list[float]]:
     """Language and score of each whole text: the language's share of the words' probabilities."""
+    if not model.langs:
+        return ["und"] * len(texts), [0.0] * len(texts)
     sums = np.zeros((len(texts), len(model.langs)))
     group: list[int] = []
     size = 0
@@ -293,7 +295,7 @@ def predict(texts: list[str | None], model: Crf, table: np.ndarray) -> tuple[lis
     if group:
         flush()
     words = sums.sum(1)
-    best = sums.argmax(1) if len(model.langs) else np.zeros(len(texts), int)
+    best = sums.argmax(1)
     langs = [model.langs[b] if n > 0 else "und" for b, n in zip(best, words, strict=True)]
     return langs, [float(min(1.0, sums[i, b] / n)) if n > 0 else 0.0 for i, (b, n) in enumerate(zip(best, words, strict=True))]
 

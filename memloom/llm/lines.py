@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize
 
@@ -143,32 +144,41 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.length(b) - F.length(a) > edits, F.lit(edits + 1)).otherwise(let(F.struct(a.alias("a"), b.alias("b")), middle))
 
 
-def near_pairs(first: DataFrame, docs: DataFrame, edits: int, min_near: int) -> DataFrame:
+def near_rows(first: DataFrame, docs: DataFrame, edits: int, min_near: int) -> DataFrame:
     """(doc_id, pos) of first occurrences that are within ``edits`` edits of a line whose first occurrence is earlier.
 
-    ``first(doc_id, pos, length, sig, keys, probes)`` has a row for each distinct line.
+    ``first(id, hash, doc_id, pos, length, keys, probes)`` has a row for each distinct line. Keys that only one line has go
+    first, so that texts and letter counts are needed of lines with a partner only.
     """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_index = edits + 1
     long = first.filter(F.col("length") >= min_near)
-    at = F.struct("doc_id", "pos")
-    index = long.select(at.alias("i_at"), F.col("sig").alias("i_sig"), F.explode("keys").alias("key"))
-    probe = long.select(at.alias("p_at"), F.col("sig").alias("p_sig"), F.posexplode("probes").alias("_n", "key"))
-    # lines of equal length find each other both ways; one is enough
-    equal = F.col("_n") < len_equal_probes(edits)
-    apart = (F.col("p_at") != F.col("i_at")) & (~equal | (F.col("i_at") < F.col("p_at")))
-    pairs = probe.join(index, "key").filter(apart & (count_distance(F.col("i_sig"), F.col("p_sig")) <= 2 * edits))
-    pairs = materialize(pairs.select("i_at", "p_at").distinct(), "candidates")
-    wanted = pairs.select("i_at").union(pairs.select("p_at")).distinct().select("i_at.doc_id", "i_at.pos")
-    by_doc = materialize(wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("wanted")), "wanted")
+    rows = long.select("id", F.posexplode(F.concat("keys", "probes")).alias("n", "key")).repartition(tasks, "key")
+    same = Window.partitionBy("key")
+    shared = (F.min("id").over(same) != F.max("id").over(same)) & (F.min("n").over(same) < n_index)
+    live = materialize(rows.withColumn("shared", shared).filter("shared").select("id", "n", "key"), "live-keys")
+    wanted = first.select("id", "doc_id", "hash").join(live.select("id").distinct(), "id", "left_semi")
+    by_doc = materialize(wanted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("hash", "id"))).alias("wanted")), "wanted")
     if by_doc.count() <= BROADCAST_DOCS:
         by_doc = F.broadcast(by_doc)
-    rows = docs.join(by_doc, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "wanted").filter(F.array_contains("wanted", F.col("pos")))
-    text = rows.groupBy("doc_id", "pos").agg(F.min(F.btrim("line", F.lit(SPACES))).alias("line")).select(at.alias("at"), "line")
-    a = text.withColumnsRenamed({"at": "i_at", "line": "a"})
-    b = text.withColumnsRenamed({"at": "p_at", "line": "b"})
-    near = pairs.join(a, "i_at").join(b, "p_at")
+    each = docs.join(by_doc, "doc_id").select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    each = each.withColumn("line", F.btrim("line", F.lit(SPACES)))
+    found = each.withColumn("id", F.try_element_at("wanted", F.unhex(F.md5("line")))).filter("id is not null")
+    text = found.groupBy("id").agg(F.min(F.struct("doc_id", "pos", "line")).alias("l")).select("id", F.struct("l.doc_id", "l.pos").alias("at"), "l.line")
+    text = materialize(text.withColumn("length", F.length("line")).withColumn("sig", signature(F.col("line"), F.col("length"))), "live-lines")
+    signed = live.join(text.select("id", "sig"), "id")
+    index = signed.filter(F.col("n") < n_index).select("key", F.col("id").alias("i_id"), F.col("sig").alias("i_sig"))
+    probe = signed.filter(F.col("n") >= n_index).select("key", F.col("id").alias("p_id"), F.col("sig").alias("p_sig"), "n")
+    # lines of equal length find each other both ways; one is enough
+    equal = F.col("n") < n_index + len_equal_probes(edits)
+    apart = (F.col("p_id") != F.col("i_id")) & (~equal | (F.col("i_id") < F.col("p_id")))
+    pairs = probe.join(index, "key").filter(apart & (count_distance(F.col("i_sig"), F.col("p_sig")) <= 2 * edits))
+    pairs = pairs.select("i_id", "p_id").distinct()
+    a = text.select(F.col("id").alias("i_id"), F.col("at").alias("i_at"), F.col("line").alias("a"))
+    b = text.select(F.col("id").alias("p_id"), F.col("at").alias("p_at"), F.col("line").alias("b"))
     # the alignments take time rather than space: deal them out evenly, in a table, as filters move before a repartition
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    close = materialize(near.repartition(tasks), "aligned").filter(banded_distance(F.col("a"), F.col("b"), edits) <= edits)
+    pairs = materialize(pairs.join(a, "i_id").join(b, "p_id").repartition(tasks), "aligned")
+    close = pairs.filter(banded_distance(F.col("a"), F.col("b"), edits) <= edits)
     return close.select(F.greatest("i_at", "p_at").alias("at")).distinct().select("at.doc_id", "at.pos")
 
 
@@ -182,15 +192,15 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR)
     lines = split_lines(docs.filter("doc_id is not null")).withColumn("hash", F.unhex(F.md5("line")))
     long = lines.withColumn("length", F.length("line"))
     index, probes = segment_keys(F.col("line"), F.col("length"), edits)
-    hashed = long.select("doc_id", "pos", "hash", "length", signature(F.col("line"), F.col("length")).alias("sig"), F.array(*index).alias("keys"), F.array(*probes).alias("probes"))
-    # equal lines have equal lengths, signatures and keys: any of their rows will do
-    same = F.struct("length", "sig", "keys", "probes")
+    hashed = long.select("doc_id", "pos", "hash", "length", F.array(*index).alias("keys"), F.array(*probes).alias("probes"))
+    # equal lines have equal lengths and keys: any of their rows will do
+    same = F.struct("length", "keys", "probes")
     first = hashed.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first(same).alias("same"))
-    first = materialize(first.select("hash", "at.doc_id", "at.pos", "same.*"), "first-lines")
-    near_rows = materialize(near_pairs(first, docs, edits, min_near), "near-lines")
+    first = materialize(first.select(F.monotonically_increasing_id().alias("id"), "hash", "at.doc_id", "at.pos", "same.*"), "first-lines")
+    near = materialize(near_rows(first, docs, edits, min_near), "near-lines")
     stays = first.select("hash", F.struct("doc_id", "pos").alias("at"))
     later = lines.select("doc_id", "pos", "hash").join(stays, "hash").filter(F.struct("doc_id", "pos") != F.col("at")).select("doc_id", "pos")
-    return later.unionByName(near_rows).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    return later.unionByName(near).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:

@@ -88,5 +88,12 @@ def test_odd_rows(spark):
     assert [r.n_removed for r in lines.report(rows).collect()] == [0, 0]
 
 
+def test_different_texts_of_one_id(spark):
+    rows = [(3, "one line that is long enough\nother"), (3, "two line that is long enough\nother"), (4, "one line that is long enough!"), (4, "two line that is long enouh")]
+    got = lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4
+    assert all(r.removed == "0" for r in got if r.doc_id == 4)
+
+
 def test_no_rows(spark):
     assert lines.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
