@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, pool_d
     some = known.filter(key < F.lit(int((1 << 30) * min(1.0, max_docs / max(1, n_known)))))
     pool_key = key < F.lit(int((1 << 30) * min(1.0, pool_docs / max(1, n_docs))))
     labelled = with_metadata(docs).join(F.broadcast(some), "doc_id").withColumn("_pool", F.lit(False))
-    pool = with_metadata(docs.filter(pool_key)).join(known.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1)).withColumn("toxic", F.lit(-1)).withColumn("_pool", F.lit(True))
+    pool = with_metadata(docs.filter(pool_key & F.col("doc_id").isNotNull())).join(known.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1)).withColumn("toxic", F.lit(-1)).withColumn("_pool", F.lit(True))
     rows = labelled.unionByName(pool).select("doc_id", "text", "meta_source", "meta_lang", "meta_size", "meta_both", "quality", "toxic")
 
     def make():
