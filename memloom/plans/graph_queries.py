@@ -79,6 +79,12 @@ def louvain(spark, sf):
     return communities.louvain(light(spark, sf).filter("weight >= 2"))
 
 
+def suppliers(spark, sf):
+    """Suppliers that share an order, as edges: the large graph."""
+    rows = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("conv_key"), F.lit(0).alias("chunk_idx"), F.col("l_suppkey").alias("entity_id"), F.lit("").alias("day"))
+    return edges.chunk_pairs(edges.chunk_entities(rows)).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
 QUERIES = {
     "edges_cooccurrence": lambda s, d: light(s, d),
     "edge_evidence": lambda s, d: graph(s, d).select("src", "dst", F.array_join("evidence", ",").alias("evidence")),
@@ -105,6 +111,12 @@ QUERIES = {
     "list_themes": lambda s, d: themes(s, d)[0].select("label", "size"),
     "theme_members": lambda s, d: communities.theme_members(themes(s, d)[1], v.entities(s, d)).select("rank", "canonical"),
     "theme_of": lambda s, d: themes(s, d)[1].filter("entity_id = 7").join(themes(s, d)[0], "community_id").select("entity_id", "label", "size"),
+    "edges_for_typing": lambda s, d: edges.for_typing(typed(s, d), v.entities(s, d), 2, 100, 10),
+    "typing_breakdown": lambda s, d: edges.typing_breakdown(typed(s, d)),
+    "find_entity": lambda s, d: edges.find_entity(v.entities(s, d), "K1"),
+    "node_sizes": lambda s, d: edges.node_sizes(v.entities(s, d)).select("entity_id", "size"),
+    "mapped_chunks": lambda s, d: v.mentions(s, d).filter("entity_id = 7").select("conv_key", "chunk_idx").distinct(),
+    "supplier_cooccurrence": suppliers,
     "louvain_communities": louvain,
 }
 
@@ -126,6 +138,12 @@ _L = """links AS (SELECT CASE WHEN direction = 'backward' THEN dst ELSE src END
 nodes AS (SELECT source_id AS entity_id FROM links UNION SELECT target_id FROM links)"""
 _S = "sz AS (SELECT type, count(*) AS size FROM v_entities GROUP BY 1 HAVING count(*) >= 3), rk AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY mentions DESC, entity_id) AS r FROM v_entities), lb AS (SELECT type, string_agg(canonical, ' / ' ORDER BY r) AS label FROM rk WHERE r <= 4 GROUP BY 1)"
 ORACLES = {
+    "edges_for_typing": f"{_e}, {_G}, {_T}, p AS (SELECT * FROM v_typed WHERE weight >= 2 AND NOT verified ORDER BY weight DESC, src, dst LIMIT 100 OFFSET 10) SELECT src, dst, a.canonical AS src_name, a.type AS src_type, b.canonical AS dst_name, b.type AS dst_type, weight, relation FROM p JOIN v_entities a ON a.entity_id = src JOIN v_entities b ON b.entity_id = dst",
+    "typing_breakdown": f"{_e}, {_G}, {_T} SELECT 'relation' AS what, verified_relation AS name, count(*) AS n FROM v_typed WHERE verified GROUP BY 2 UNION ALL SELECT 'temporality', temporality, count(*) FROM v_typed WHERE verified GROUP BY 2",
+    "find_entity": f"{_e} SELECT * FROM v_entities WHERE contains(lower(canonical), 'k1') ORDER BY mentions DESC, entity_id LIMIT 1",
+    "node_sizes": f"{_e} SELECT entity_id, round(1 + 7 * sqrt(mentions::DOUBLE / max(mentions) OVER ()), 6) AS size FROM v_entities",
+    "mapped_chunks": f"{_e} SELECT DISTINCT conv_key, chunk_idx FROM v_mentions WHERE entity_id = 7",
+    "supplier_cooccurrence": "WITH s AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS e FROM lineitem) SELECT a.e AS src, b.e AS dst, count(*) AS weight FROM s a JOIN s b ON a.o = b.o AND a.e < b.e GROUP BY 1, 2",
     "edges_cooccurrence": f"{_e}, {_G} SELECT * FROM v_edges",
     "edge_evidence": f"""{_e}, {_G}, ra AS (SELECT conv_key, chunk_idx, id, row_number() OVER (PARTITION BY conv_key, chunk_idx ORDER BY id) AS r FROM v_assertions),
 ev AS (SELECT src, dst, ra.conv_key AS ck, ra.chunk_idx AS ci, id, row_number() OVER (PARTITION BY src, dst ORDER BY ra.conv_key, ra.chunk_idx, id) AS k FROM pr JOIN ra USING (conv_key, chunk_idx) WHERE r <= 3)

@@ -61,6 +61,7 @@ QUERIES = {
     "knn_filtered": lambda s, d: knn(s, d, keep=F.col("owner") != "sealed"),
     "knn_postfilter": lambda s, d: knn(s, d, k=5, keep=F.col("source") == "claude.ai", overfetch=4),
     "split_assignment": splits,
+    "split_distribution": lambda s, d: splits(s, d).groupBy("canonical").agg(F.count("*").alias("n")),
     "hybrid_rrf": hybrid,
 }
 
@@ -72,6 +73,11 @@ df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY 1),
 sc AS (SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score
   FROM tf JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY doc_id HAVING count(*) = {len(TERMS)})"""
 _SIM = "sim AS (SELECT v.*, round(list_dot_product(v.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 6) AS sim FROM v_vectors v)"
+_SPLITS = """WITH x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings), c AS (SELECT label, i, round(avg(x), 9) AS x FROM x GROUP BY 1, 2),
+m AS (SELECT label, list(x ORDER BY i) AS e FROM c GROUP BY 1),
+p AS (SELECT e.vec_id AS id, m.label::VARCHAR AS canonical,
+ round(list_dot_product(e.embedding::DOUBLE[], m.e) / ((sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-9) * (sqrt(list_dot_product(m.e, m.e)) + 1e-9)), 9) AS s FROM embeddings e, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, canonical) AS r FROM p) """
 _vec = v.with_views("vectors")
 ORACLES = {
     "bm25_topk": f"WITH {_BM25} SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 25",
@@ -80,11 +86,8 @@ ORACLES = {
     "knn_topk": f"{_vec}, {_SIM} SELECT vec_id, sim FROM sim ORDER BY sim DESC, vec_id LIMIT 25",
     "knn_filtered": f"{_vec}, {_SIM} SELECT vec_id, sim FROM sim WHERE owner <> 'sealed' ORDER BY sim DESC, vec_id LIMIT 25",
     "knn_postfilter": f"{_vec}, {_SIM} SELECT vec_id, sim FROM (SELECT * FROM sim ORDER BY sim DESC, vec_id LIMIT 20) WHERE source = 'claude.ai' ORDER BY sim DESC, vec_id LIMIT 5",
-    "split_assignment": """WITH x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings), c AS (SELECT label, i, round(avg(x), 9) AS x FROM x GROUP BY 1, 2),
-m AS (SELECT label, list(x ORDER BY i) AS e FROM c GROUP BY 1),
-s AS (SELECT vec_id, label::VARCHAR AS canonical, 1 AS k FROM embeddings), p AS (SELECT e.vec_id AS id, m.label::VARCHAR AS canonical,
- round(list_dot_product(e.embedding::DOUBLE[], m.e) / ((sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-9) * (sqrt(list_dot_product(m.e, m.e)) + 1e-9)), 9) AS s FROM embeddings e, m)
-SELECT id, canonical, round(s, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, canonical) AS r FROM p) WHERE r = 1""",
+    "split_assignment": _SPLITS + "SELECT id, canonical, round(s, 5) AS similarity FROM r WHERE r = 1",
+    "split_distribution": _SPLITS + "SELECT canonical, count(*) AS n FROM r WHERE r = 1 GROUP BY 1",
     "hybrid_rrf": f"""{_vec}, {_SIM}, {_BM25}, w AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank, 0 AS list FROM (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 25)),
 n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY sim DESC, vec_id) - 1 AS rank, 1 AS list FROM (SELECT * FROM sim ORDER BY sim DESC, vec_id LIMIT 25)),
 f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(list * 1000 + rank) AS first, count(DISTINCT list) AS k, min(list) AS l FROM (SELECT * FROM w UNION ALL SELECT * FROM n) GROUP BY id)

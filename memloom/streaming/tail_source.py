@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
 
 from memloom.operators.store import newest_wins
+from memloom.sources.records import session_records
 
 SCHEMA = "path string, project string, session string, at long, value string"
 
@@ -128,6 +129,24 @@ def append_stream(stream: DataFrame, transform, path: str, checkpoint: str):
     return transform(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def session_stream(stream: DataFrame, lines_path: str, deliver, checkpoint: str):
+    """Re-emit the whole record of every session that got new message lines: ``deliver(records, batch_id)``.
+
+    Lines are kept in a table by session; a batch rewrites only its own sub-folder, so running it again changes
+    nothing, and a failed delivery fails the batch, which the checkpoint then repeats.
+    """
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("project", "session", F.lit(0).cast("long").alias("block"), "at", "value")
+        rows.write.mode("overwrite").parquet(f"{lines_path}/batch={batch_id}")
+        touched = changed_sessions(batch).select("project", "session")
+        known = spark.read.parquet(lines_path).filter(F.col("batch") <= batch_id).drop("batch").join(touched, ["project", "session"], "left_semi")
+        deliver(session_records(known), batch_id)
+
+    return stream.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def changed_sessions(lines: DataFrame) -> DataFrame:
     """Per session the number of message lines so far; sessions whose number did not change need no re-emit."""
     kind = F.get_json_object("value", "$.type")

@@ -58,6 +58,23 @@ def test_stream_is_batch(spark, tmp_path):
     assert got == want
 
 
+def test_sessions_are_emitted_whole(spark, tmp_path):
+    log = tmp_path / "logs" / "p" / "s.jsonl"
+    log.parent.mkdir(parents=True)
+    say = lambda i: json.dumps({"type": "user", "uuid": str(i), "timestamp": f"t{i}", "message": {"role": "user", "content": f"x{i}"}}) + "\n"
+    log.write_text(say(1) + say(2))
+    seen = []
+    go = lambda: ts.session_stream(ts.tail(spark, str(tmp_path / "logs")), str(tmp_path / "lines"), lambda r, _: seen.append([[m.native_id for m in x.messages] for x in r.collect()]), str(tmp_path / "cp")).awaitTermination(120)
+    go()
+    with log.open("a") as f:
+        f.write(json.dumps({"type": "progress"}) + "\n")
+    go()
+    with log.open("a") as f:
+        f.write(say(3))
+    go()
+    assert [x for x in seen if x] == [[["1", "2"]], [["1", "2", "3"]]]
+
+
 def test_changed_sessions(spark):
     rows = spark.createDataFrame([("p", "s", '{"type": "user"}'), ("p", "s", '{"type": "progress"}'), ("p", "t", '{"type": "assistant"}')], "project string, session string, value string")
     assert {r.session: r.n_messages for r in ts.changed_sessions(rows).collect()} == {"s": 1, "t": 1}
