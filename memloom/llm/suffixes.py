@@ -191,7 +191,7 @@ def group_texts(left: pa.Table) -> Iterator[tuple[int, int, bytes]]:
 
 def contexts(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
     """Bytes around the shared anchors of a group of documents, by part; exact copies of another document are left out."""
-    copies = set(joined(right, "copy", np.int64).tolist())
+    copies = set(joined(right, "copy", ">i8").tolist())
     counts = joined(right, "counts", np.int32)
     h = np.concatenate([unpacked(a or b"", b or b"") for a, b in zip(right.column("low").to_pylist(), right.column("high").to_pylist(), strict=True)] + [np.zeros(0, np.uint64)])
     owner = np.repeat(joined(right, "docs", np.int64), counts)
@@ -334,7 +334,7 @@ def removed_spans(table: pa.Table) -> pa.Table:
 
 def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
     """The result rows of a group of documents."""
-    copies = set(joined(right, "copy", np.int64).tolist())
+    copies = set(joined(right, "copy", ">i8").tolist())
     doc, turn = joined(right, "docs", np.int64), joined(right, "turns", np.uint16)
     start, end = joined(right, "starts", np.int32), joined(right, "ends", np.int32)
     order = np.lexsort((start, turn, doc))
@@ -377,7 +377,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"))
     nothing = F.lit(None).cast("binary")
     copies = digest.join(least, "digest").filter("doc_id > least").select("group", "doc_id").distinct()
-    copies = copies.select("group", nothing.alias("docs"), F.reverse(F.unhex(F.lpad(F.hex("doc_id"), 16, "0"))).alias("copy"))
+    copies = copies.select("group", nothing.alias("docs"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("copy"))
     shared = hash_rows(rows, parts).groupBy("part").applyInArrow(shared_hashes, SHARED)
     hints = shared.withColumn("copy", nothing).unionByName(copies, allowMissingColumns=True)
     found = rows.groupBy("group").cogroup(hints.groupBy("group")).applyInArrow(lambda left, right: contexts(left, right, parts) if left.num_rows else _table([], CONTEXTS), CONTEXTS)

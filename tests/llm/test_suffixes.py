@@ -40,6 +40,8 @@ def test_repetitive_and_odd_rows(spark):
     pool = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 120))) for _ in range(12)]
     for d in range(20, 70):
         rows.append((d, "".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))))
+    for d in (127, 128, 200, 255, 256, 33_000, 51_281, 1 << 40, (1 << 62) + 0x8182, -5, -200):
+        rows += [(d, rows[-1][1]), (d + 7, "c" * (60 + d % 50))]
     rng.shuffle(rows)
     check(spark, rows)
 
