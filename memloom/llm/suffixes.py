@@ -29,8 +29,6 @@ CONTEXT = REACH + LENGTH
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 #: Text of one group of documents, and text whose anchors make one part, about.
 GROUP_BYTES, PART_BYTES = 3 << 20, 2 << 20
-#: Anchors that a task gathers before it hands them on.
-FLUSH = 400_000
 LAST = np.iinfo(np.int64).max  # stands for a null id: no id is larger
 
 FACTOR = 0x9E3779B97F4A7C15
@@ -100,7 +98,7 @@ def cuts(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(keys[a]), slice(int(a), int(b))
 
 
-HASHES = "part int, docs binary, groups binary, counts binary, low binary, high binary"
+HASHES = "part int, group int, docs binary, counts binary, low binary, high binary"
 SHARED = "group int, docs binary, counts binary, low binary, high binary"
 CONTEXTS = "part int, group int, docs binary, turns binary, low binary, high binary, windows binary, nears binary, fars binary, bytes binary"
 SPANS = "group int, docs binary, turns binary, starts binary, ends binary"
@@ -116,49 +114,41 @@ def _table(rows: list[dict], schema: str) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_arrow(schema))
 
 
-def hash_rows(docs: DataFrame, parts: int) -> DataFrame:
-    """Distinct anchor hashes of each document, by part of the hash range."""
-
-    def flush(docs_: list, groups: list, counts: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate(hashes)
-        owner = np.repeat(np.arange(len(docs_)), counts)
-        order = np.argsort(part_of(h, parts), kind="stable")
-        h, owner = h[order], owner[order]
-        ids, own_groups = np.array(docs_, np.int64), np.array(groups, np.int32)
-        for part, cut in cuts(part_of(h, parts)):
-            o = owner[cut]
-            first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-            low, high = packed(h[cut])
-            row = {"part": [part], "docs": [ids[o[first]].tobytes()], "groups": [own_groups[o[first]].tobytes()], "counts": [np.diff(np.append(first, len(o))).astype(np.int32).tobytes()], "low": [low], "high": [high]}
-            yield pa.RecordBatch.from_pydict(row, schema=_arrow(HASHES))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, groups, counts, hashes, held = [], [], [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, group, text in zip(some.column("doc_id").to_pylist(), some.column("group").to_pylist(), some.column("text").to_pylist(), strict=True):
-                    h = np.unique(anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))[0])
-                    if len(h):
-                        ids.append(doc)
-                        groups.append(group)
-                        counts.append(len(h))
-                        hashes.append(h)
-                        held += len(h)
-                    if held >= FLUSH:
-                        yield from flush(ids, groups, counts, hashes)
-                        ids, groups, counts, hashes, held = [], [], [], [], 0
-        if held:
-            yield from flush(ids, groups, counts, hashes)
-
-    return docs.mapInArrow(run, HASHES)
+def anchor_hashes(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
+    """Distinct anchor hashes of each document of a group, by part of the hash range; exact copies of another document have none."""
+    copies = set(joined(right, "copy", ">i8").tolist())
+    ids, hashes, seen = [], [], set()
+    for doc, turn, text in group_texts(left):
+        if doc in copies or (doc, turn) in seen:
+            continue
+        seen.add((doc, turn))
+        h = np.unique(anchors(np.frombuffer(text, np.uint8))[0])
+        if len(h):
+            ids.append(doc)
+            hashes.append(h)
+    if not ids:
+        return _table([], HASHES)
+    h = np.concatenate(hashes)
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in hashes])
+    part = part_of(h, parts)
+    order = np.argsort(part, kind="stable")
+    h, owner, part, doc = h[order], owner[order], part[order], np.array(ids, np.int64)
+    group = left.column("group")[0].as_py()
+    rows = []
+    for p, cut in cuts(part):
+        o = owner[cut]
+        first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+        low, high = packed(h[cut])
+        rows.append({"part": p, "group": group, "docs": doc[o[first]].tobytes(), "counts": np.diff(np.append(first, len(o))).astype(np.int32).tobytes(), "low": low, "high": high})
+    return _table(rows, HASHES)
 
 
 def shared_hashes(table: pa.Table) -> pa.Table:
     """Of one part, the hashes that two or more documents have, by group of documents."""
     counts = joined(table, "counts", np.int32)
     doc = np.repeat(joined(table, "docs", np.int64), counts)
-    group = np.repeat(joined(table, "groups", np.int32), counts)
+    sizes = [len(x) // 6 for x in (a + b for a, b in zip(table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True))]
+    group = np.repeat(np.array(table.column("group").to_pylist(), np.int32), sizes)
     h = np.concatenate([unpacked(a, b) for a, b in zip(table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True)])
     order = np.argsort(h, kind="stable")
     h, doc, group = h[order], doc[order], group[order]
@@ -376,9 +366,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     digest = rows.select("doc_id", "group", F.unhex(F.md5("text")).alias("digest"))
     least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"))
     nothing = F.lit(None).cast("binary")
-    copies = digest.join(least, "digest").filter("doc_id > least").select("group", "doc_id").distinct()
+    copies = digest.join(least, "digest").filter("doc_id > least").select(F.col("group").alias("own"), "doc_id").distinct().withColumnRenamed("own", "group")
     copies = copies.select("group", nothing.alias("docs"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("copy"))
-    shared = hash_rows(rows, parts).groupBy("part").applyInArrow(shared_hashes, SHARED)
+    copied = copies.groupBy("group")
+    hashed = rows.groupBy("group").cogroup(copied).applyInArrow(lambda left, right: anchor_hashes(left, right, parts) if left.num_rows else _table([], HASHES), HASHES)
+    shared = hashed.groupBy("part").applyInArrow(shared_hashes, SHARED)
     hints = shared.withColumn("copy", nothing).unionByName(copies, allowMissingColumns=True)
     found = rows.groupBy("group").cogroup(hints.groupBy("group")).applyInArrow(lambda left, right: contexts(left, right, parts) if left.num_rows else _table([], CONTEXTS), CONTEXTS)
     spans = found.groupBy("part").applyInArrow(removed_spans, SPANS)
