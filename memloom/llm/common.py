@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
@@ -66,19 +68,34 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 256) -> DataFrame:
-    """Arrow map whose ``make()`` runs once a task and returns a function from a short batch to columns."""
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 256, keep: Sequence[str] = ()) -> DataFrame:
+    """Arrow map whose ``make()`` runs once a task and returns a function from a short batch to columns.
+
+    The result has the ``keep`` columns of ``df``, with their types, and then those of ``schema``.
+    """
+    kind = StructType([*[df.schema[k] for k in keep], *_parse_datatype_string(schema).fields])
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for part in slices(batches, rows):
-            yield pa.RecordBatch.from_pydict(step(part), schema=arrow)
+            made = {k: part.column(k) for k in keep} | step(part)
+            # columns that pass through keep their Arrow type
+            arrays = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(arrays, arrow.names)
+
+    return df.mapInArrow(run, kind)
+
+
+def packed(docs: DataFrame, *need: str) -> DataFrame:
+    """``need`` columns of ``docs`` and all others in one struct ``_row``, so that no name can clash with an operator's own."""
+    rest = [docs[f"`{c}`"] for c in docs.columns if c not in need]
+    return docs.select(*[docs[f"`{c}`"] for c in need], (F.struct(*rest) if rest else F.struct(F.lit(0).alias("_"))).alias("_row"))
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return df.mapInArrow(run, schema)
+def unpacked(rows: DataFrame, columns: list[str], *need: str) -> list[Column]:
+    """The columns of a table that ``packed`` closed, in their order."""
+    return [F.col(c) if c in need else F.col("_row").getField(c).alias(c) for c in columns]
 
 
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:

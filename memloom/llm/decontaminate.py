@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import map_rows, materialize, packed, unpacked
 
 Q = 8
 #: Edits that an occurrence may have, as a share of the item's normalised length.
@@ -199,16 +199,15 @@ def blocks(benchmark: DataFrame, rate: float = ERROR_RATE):
 
 def flagged(docs: DataFrame, index: Index, keep: list[str], name: str = "_spans") -> DataFrame:
     """``keep`` columns of ``docs`` and what ``search`` finds: strings item:start:end:edits, comma-joined."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def make():
         def step(part: pa.RecordBatch) -> dict:
             rows = [search(t, index) for t in part.column("text").to_pylist()]
-            return {k: part.column(k) for k in keep} | {name: [",".join(f"{index.ids[i]}:{s}:{t}:{e}" for i, s, t, e in r) for r in rows]}
+            return {name: [",".join(f"{index.ids[i]}:{s}:{t}:{e}" for i, s, t, e in r) for r in rows]}
 
         return step
 
-    return map_rows(docs.select(*dict.fromkeys([*keep, "text"])), f"{kinds}, `{name}` string", make)
+    return map_rows(docs.select(*dict.fromkeys([*keep, "text"])), f"`{name}` string", make, keep=keep)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
@@ -234,10 +233,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> Dat
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item is found."""
-    keep = docs.columns
+    rows = packed(docs, "text")
     many = list(blocks(benchmark, rate))
     for n, index in enumerate(many):
-        docs = flagged(docs, index, keep, "_spans").filter("_spans = ''").drop("_spans")
+        rows = flagged(rows, index, ["text", "_row"], "_spans").filter("_spans = ''").drop("_spans")
         if n + 1 < len(many):
-            docs = materialize(docs, "clean")
-    return docs
+            rows = materialize(rows, "clean")
+    return rows.select(*unpacked(rows, docs.columns, "text"))

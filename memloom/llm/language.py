@@ -306,7 +306,6 @@ def identify(docs: DataFrame, model: Crf, keep: tuple[str, ...] = ("doc_id",)) -
     Null text or text without letters: ``und`` with score 0; so is everything if nothing could be learned.
     Texts of any length are one chain each. Repeated rows are labelled each. Other columns are ignored.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     inputs = list(dict.fromkeys([*keep, "text"]))
 
     def make():
@@ -314,8 +313,8 @@ def identify(docs: DataFrame, model: Crf, keep: tuple[str, ...] = ("doc_id",)) -
 
         def step(part: pa.RecordBatch) -> dict:
             langs, scores = predict(part.column("text").to_pylist(), model, table)
-            return {k: part.column(k) for k in keep} | {"lang_pred": langs, "score": scores}
+            return {"lang_pred": langs, "score": scores}
 
         return step
 
-    return map_rows(docs.select(*inputs), f"{kinds}, lang_pred string, score double", make)
+    return map_rows(docs.select(*inputs), "lang_pred string, score double", make, keep=keep)

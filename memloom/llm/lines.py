@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, packed
 
 SPACES = " \t\r\v\f"
 #: Lines of fewer characters are compared for equality only.
@@ -204,22 +204,21 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR)
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:
-    """All columns of ``docs(doc_id, text, ...)`` with the text that is left, and _n_lines, _removed (positions).
+    """doc_id, text (what is left of it), _row (all other columns) and _removed (positions, null for none) of every document.
 
     Null or empty text: kept as it is. Lines without a word always stay. A document keeps its row if all its lines go.
     Null doc_ids take no part. Repeated rows of a doc_id share positions, so equal ones keep the same lines. No rows: no rows.
     """
-    gone = removed_lines(docs, edits, min_near).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    parts = F.split("text", "\n")
-    left = F.filter(parts, lambda x, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return rows.withColumn("_n_lines", F.size(parts)).withColumn("text", text).withColumnRenamed("removed", "_removed")
+    gone = removed_lines(docs.select("doc_id", "text"), edits, min_near).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    rows = packed(docs, "doc_id", "text").join(gone, F.col("doc_id") == F.col("_id"), "left")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return rows.select("doc_id", text.alias("text"), "_row", "_removed")
 
 
 def report(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:
     """doc_id, n_removed and removed (comma-joined positions of removed lines, from 0) for every document."""
-    gone = removed_lines(docs, edits, min_near).withColumnRenamed("doc_id", "_id")
+    gone = removed_lines(docs.select("doc_id", "text"), edits, min_near).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id").join(gone, F.col("doc_id") == F.col("_id"), "left")
     n = F.coalesce(F.size("removed"), F.lit(0))
     return rows.select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

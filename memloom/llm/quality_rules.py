@@ -90,17 +90,15 @@ def measures(text: str | None) -> tuple[int, ...]:
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and the measures of column text."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def make():
         def step(part: pa.RecordBatch) -> dict:
             rows = [measures(t) for t in part.column("text").to_pylist()]
-            out = {k: part.column(k) for k in keep}
-            return out | {name: [r[i] for r in rows] for i, name in enumerate(names)}
+            return {name: [r[i] for r in rows] for i, name in enumerate(names)}
 
         return step
 
-    return map_rows(docs.select(*keep, "text"), f"{kinds}, {MEASURES}", make)
+    return map_rows(docs.select(*keep, "text"), MEASURES, make, keep=keep)
 
 
 def binomial_upper(k: int, n: int, level: float) -> float:

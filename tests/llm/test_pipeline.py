@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from memloom.llm import decontaminate, lines
 
@@ -21,8 +23,15 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 def test_run_on_odd_documents(spark, tmp_path):
     rows = [(1, None, "en", "a", 0), (2, "", None, None, None), (3, "the cat and the dog", "en", "a", 19), (4, "the cat and the dog", "en", "b", 19), (None, "le chien et le chat", "fr", "b", 19)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_id", "_row", "_spans", "_removed", "lang_pred", "score", "fp", "size", "a.b", "at"):
+        docs = docs.withColumn(name, F.lit("2024-01-01").cast("timestamp") if name == "at" else F.lit(7))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "something else that is never found")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    table, names = spark.read.parquet(str(tmp_path / "documents.parquet")), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = corpus_pipeline.materialize(stage(spark, table, str(tmp_path)), name)
+        assert table.columns == names
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} <= {3, None}
     assert 3 in {r.doc_id for r in got}
