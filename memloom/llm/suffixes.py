@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 LENGTH = 50
 K = 20
 #: Most bytes between a window's start and its anchor.
@@ -364,7 +366,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
     rows = docs.select(doc.alias("doc_id"), F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int").alias("group"), F.coalesce("text", F.lit("")).alias("text"))
     digest = rows.select("doc_id", "group", F.unhex(F.md5("text")).alias("digest"))
-    least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    # a table of the digests of several documents: beside it, adaptive execution can split a digest that very many share
+    least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    least = materialize(least, "copied")
     nothing = F.lit(None).cast("binary")
     copies = digest.join(least, "digest").filter("doc_id > least").select(F.col("group").alias("own"), "doc_id").distinct().withColumnRenamed("own", "group")
     copies = copies.select("group", nothing.alias("docs"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("copy"))
