@@ -164,7 +164,7 @@ def main_node(root: Node) -> list[Node]:
         commas[id(node)] = sum(w.count(",") + w.count("،") + w.count("，") for w in own) + sum(commas[id(k)] for k in kids)
     scored: list[Node] = []
     for node in order:
-        leaf = node.tag in ("p", "pre", "blockquote", "td", "dd") or node.tag in ("div", "section", "article", "main", "body", "li") and not any(isinstance(k, Node) and k.tag in BLOCK and not k.bad for k in node.kids)
+        leaf = node.tag in ("p", "pre") or node.tag in ("blockquote", "td", "th", "dd", "div", "section", "article", "main", "body", "li") and not any(isinstance(k, Node) and k.tag in BLOCK and not k.bad for k in node.kids)
         if not leaf or node.size < 25:
             continue
         points = (1 + commas[id(node)] + min(node.size / 100, 3)) * (1 - node.links / node.size)
@@ -186,7 +186,7 @@ def main_node(root: Node) -> list[Node]:
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         best = up if up is not None and not up.bad else best
-    least, out = max(10.0, 0.2 * value(best)), []
+    least, out = max(3.0, 0.2 * value(best)), []
     for kid in best.parent.kids if best.parent is not None else [best]:
         if kid is best:
             out.append(kid)
