@@ -26,8 +26,30 @@ BLOCK = frozenset("html body address article aside blockquote center dd details
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 DROPPED = frozenset("script style noscript template iframe object embed applet svg canvas math nav aside footer form button select textarea input label fieldset dialog menu head title search audio video map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NEGATIVE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|comments?|replies|disqus|respond|sidebar|side|aside|rail|widget|related|recommend\w*|menu|nav\w*|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|copyright|legal|tags?|meta|byline|hidden)(?:$|[\s_-])", re.I)
-POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])", re.I)
+#: Parts of class and id names that mark what is no text, and what is.
+NEGATIVE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|comments?|replies|disqus|respond|sidebar|side|aside|rail|widget|related|recommend\w*|menu|nav\w*|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|copyright|legal|tags?|meta|byline|hidden", re.I)
+POSITIVE = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
+ABOUT_COMMENTS = re.compile(r"comments?|cookies?|ads?|advert\w*|sidebar", re.I)
+NO_NAME = frozenset("has with without no is".split())
+
+
+def named(value: str) -> tuple[bool, bool]:
+    """Whether a class or id value names something that is no text, and whether it names main text.
+
+    In a name with both kinds of parts the last part decides, and a comment's body is a comment; has-sidebar is neither.
+    """
+    bad = good = False
+    for name in value.split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if not parts or parts[0].lower() in NO_NAME:
+            continue
+        negative, positive = any(map(NEGATIVE.fullmatch, parts)), any(map(POSITIVE.fullmatch, parts))
+        no_text = negative and (not positive or bool(NEGATIVE.fullmatch(parts[-1]) or ABOUT_COMMENTS.fullmatch(parts[0])))
+        bad |= no_text
+        good |= positive and not no_text
+    return bad, good
+
+
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -105,9 +127,9 @@ def _hints(tag: str, attributes: str) -> tuple[bool, bool]:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                named = bool(POSITIVE.search(value))
-                good |= named
-                bad |= bool(NEGATIVE.search(value)) and not named and tag not in ("article", "main", *HEADINGS)
+                no_text, main = named(value)
+                good |= main
+                bad |= no_text and not main and tag not in ("article", "main", *HEADINGS)
             elif name == "role":
                 good |= value in ("main", "article")
                 bad |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form")

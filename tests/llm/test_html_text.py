@@ -21,6 +21,20 @@ def test_leaves_out_what_is_no_text():
     assert main_text(page) == "\n".join(["Head & title", " ".join([text] * 3), "one", "two", "Short <end> of it"])
 
 
+def test_names():
+    from memloom.llm.html_text import named
+
+    assert [named(x) for x in ("post-comments", "comment-body", "has-sidebar", "post-content", "content sidebar", "page-header", "lead", "cookie_text", "main")] == [(True, False), (True, False), (False, False), (False, True), (True, True), (True, False), (False, False), (True, False), (False, True)]
+
+
+def test_containers_without_article():
+    p = lambda n: f"<p>{n} {FILL}</p>"
+    text = " ".join(FILL.split())
+    assert main_text(f"<div><div>{p(1)}{p(2)}</div><div>{p(3)}</div></div><div class=post-comments>{p(7)}{p(8)}{p(9)}</div>") == f"1 {text}\n2 {text}\n3 {text}"
+    assert main_text(f"<table><tr><td><a href=x>menu</a> <a href=y>more of the menu</a></td><td>{p(1)}{p(2)}</td></tr></table>") == f"1 {text}\n2 {text}"
+    assert main_text(f"<article>{p(1)}</article><div class='related posts'>{p(7)}</div><article>{p(2)}</article>") == f"1 {text}\n2 {text}"
+
+
 def test_broken_markup():
     assert main_text("<p>open <b>bold") == "open bold"
     assert main_text("plain text") == "plain text"
