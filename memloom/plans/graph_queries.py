@@ -8,13 +8,13 @@ from memloom.operators import communities, edges, resolve
 from memloom.sources import views as v
 
 
-def graph(spark, sf):
-    return edges.edges(v.mentions(spark, sf).select("conv_key", "chunk_idx", "entity_id", "day"), v.assertions(spark, sf))
+def graph(spark, sf, evidence_cap=20):
+    return edges.edges(v.mentions(spark, sf).select("conv_key", "chunk_idx", "entity_id", "day"), v.assertions(spark, sf), evidence_cap=evidence_cap)
 
 
 def light(spark, sf):
     """Edges without their evidence."""
-    return graph(spark, sf).drop("evidence")
+    return graph(spark, sf, 0)
 
 
 def typings(spark, sf):
