@@ -78,6 +78,16 @@ def redact(text: Column, known: list[str] = ()) -> Column:
     return text
 
 
+def has_secret(text: Column, known: list[str] = ()) -> Column:
+    """Whether ``redact`` would change a text: the first pattern that matches sees the text as it is."""
+    found = F.lit(False)
+    for secret in known:
+        found = found | F.contains(text, F.lit(secret))
+    for _, pattern in SECRETS:
+        found = found | text.rlike(pattern)
+    return found
+
+
 def redaction_counts(text: Column, known: list[str] = ()) -> Column:
     """Map from name to the number of masks in the redacted text that were not there before."""
     out = redact(text, known)
