@@ -90,10 +90,15 @@ def has_secret(text: Column, known: list[str] = ()) -> Column:
 
 def redaction_counts(text: Column, known: list[str] = ()) -> Column:
     """Map from name to the number of masks in the redacted text that were not there before."""
-    out = redact(text, known)
     names = [n for n, _ in SECRETS] + (["known-credential"] if known else [])
-    pairs = [x for n in names for x in (F.lit(n), F.regexp_count(out, F.lit(rf"\[REDACTED:{n}\]")) - F.regexp_count(text, F.lit(rf"\[REDACTED:{n}\]")))]
-    return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
+
+    def counts(masked: Column) -> Column:
+        marks = [(F.lit(n), F.lit(rf"\[REDACTED:{n}\]")) for n in names]
+        pairs = [x for n, mark in marks for x in (n, F.regexp_count(masked, mark) - F.regexp_count(text, mark))]
+        return F.map_filter(F.create_map(*pairs), lambda _, k: k > 0)
+
+    # the variable of a lambda holds the masked text, so that it is made once
+    return F.element_at(F.transform(F.array(redact(text, known)), counts), 1)
 
 
 # Tokens --------------------------------------------------------------------------------------------------------

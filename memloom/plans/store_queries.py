@@ -69,7 +69,7 @@ def redacted(spark, sf):
 
 def redaction_totals(spark, sf):
     d = v.table(spark, sf, "documents").select(F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("text"))
-    counts = d.select(F.explode(t.redaction_counts(F.col("text"))).alias("name", "n"))
+    counts = d.filter(t.has_secret(F.col("text"))).select(F.explode(t.redaction_counts(F.col("text"))).alias("name", "n"))
     return counts.groupBy("name").agg(F.sum("n").cast("long").alias("n"))
 
 
