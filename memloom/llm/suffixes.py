@@ -116,12 +116,23 @@ def _table(rows: list[dict], schema: str) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_arrow(schema))
 
 
+def copied_texts(right: pa.Table) -> set[bytes]:
+    """Ids and digests of the texts that are exact copies of another document's."""
+    listed = b"".join(x for x in right.column("copy").to_pylist() if x)
+    return {listed[at : at + 24] for at in range(0, len(listed), 24)}
+
+
+def text_key(doc: int, text: bytes) -> bytes:
+    """Id and digest of one text: a document may have other texts that are no copies."""
+    return doc.to_bytes(8, "big", signed=True) + hashlib.md5(text).digest()
+
+
 def anchor_hashes(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
     """Distinct anchor hashes of each document of a group, by part of the hash range; exact copies of another document have none."""
-    copies = set(joined(right, "copy", ">i8").tolist())
+    copies = copied_texts(right)
     ids, hashes, seen = [], [], set()
     for doc, turn, text in group_texts(left):
-        if doc in copies or (doc, turn) in seen:
+        if (doc, turn) in seen or text_key(doc, text) in copies:
             continue
         seen.add((doc, turn))
         h = np.unique(anchors(np.frombuffer(text, np.uint8))[0])
@@ -183,7 +194,7 @@ def group_texts(left: pa.Table) -> Iterator[tuple[int, int, bytes]]:
 
 def contexts(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
     """Bytes around the shared anchors of a group of documents, by part; exact copies of another document are left out."""
-    copies = set(joined(right, "copy", ">i8").tolist())
+    copies = copied_texts(right)
     counts = joined(right, "counts", np.int32)
     h = np.concatenate([unpacked(a or b"", b or b"") for a, b in zip(right.column("low").to_pylist(), right.column("high").to_pylist(), strict=True)] + [np.zeros(0, np.uint64)])
     owner = np.repeat(joined(right, "docs", np.int64), counts)
@@ -194,7 +205,7 @@ def contexts(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
     seen = set()
     offsets = np.arange(CONTEXT)
     for doc, turn, text in group_texts(left):
-        if doc not in mine or doc in copies or (doc, turn) in seen:
+        if doc not in mine or (doc, turn) in seen or text_key(doc, text) in copies:
             continue
         seen.add((doc, turn))
         data = np.frombuffer(text, np.uint8)
@@ -326,7 +337,7 @@ def removed_spans(table: pa.Table) -> pa.Table:
 
 def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
     """The result rows of a group of documents."""
-    copies = set(joined(right, "copy", ">i8").tolist())
+    copies = copied_texts(right)
     doc, turn = joined(right, "docs", np.int64), joined(right, "turns", np.uint16)
     start, end = joined(right, "starts", np.int32), joined(right, "ends", np.int32)
     order = np.lexsort((start, turn, doc))
@@ -335,7 +346,7 @@ def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
     rows = []
     for d, t, text in group_texts(left):
         n, spans = len(text), []
-        if d in copies and n >= LENGTH:
+        if n >= LENGTH and text_key(d, text) in copies:
             spans = [(0, n)]
         elif d in mine:
             cut = mine[d]
@@ -370,8 +381,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     least = materialize(least, "copied")
     nothing = F.lit(None).cast("binary")
-    copies = digest.join(least, "digest").filter("doc_id > least").select(F.col("group").alias("own"), "doc_id").distinct().withColumnRenamed("own", "group")
-    copies = copies.select("group", nothing.alias("docs"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("copy"))
+    copies = digest.join(least, "digest").filter("doc_id > least").select(F.col("group").alias("own"), "doc_id", "digest").distinct().withColumnRenamed("own", "group")
+    copies = copies.select("group", nothing.alias("docs"), F.concat(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), "digest").alias("copy"))
     copied = copies.groupBy("group")
     hashed = rows.groupBy("group").cogroup(copied).applyInArrow(lambda left, right: anchor_hashes(left, right, parts) if left.num_rows else _table([], HASHES), HASHES)
     shared = hashed.groupBy("part").applyInArrow(shared_hashes, SHARED)
