@@ -76,7 +76,7 @@ def worksheet(spark, sf):
 
 
 def louvain(spark, sf):
-    return communities.louvain(light(spark, sf).filter("weight >= 2"))
+    return communities.louvain(light(spark, sf))
 
 
 def suppliers(spark, sf):
