@@ -1,10 +1,16 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-The first occurrence of a line, by (doc_id, position), stays; later occurrences go, and so does a first occurrence
-that is within ``edits`` edits of a line which occurs earlier. Distinct lines are cut into edits + 1 segments of even
-length; a line within the edits of another holds one of its segments whole, at a place that the position filter
-bounds. Segments are indexed under (length, number, content), substrings of lines look them up for each length in
-reach, and the candidates are verified by a banded bit-parallel edit distance on long columns.
+The first occurrence of a line, by (doc_id, text, position), stays; later occurrences go, and so does a first occurrence
+that is within a few edits of a line which occurs earlier. How many depends on the length: ``BUDGETS``. Distinct
+lines are cut into edits + 1 segments of even length; a line within the edits of another holds one of its segments
+whole, at a place that the position filter bounds. Segments are indexed under (length, number, content), substrings of
+lines look them up for each length in reach, and the candidates are verified by a banded bit-parallel edit distance on
+long columns.
+
+A bucket with many lines on both sides is not paired. Its lines are cut finer (``finer``): two edits fall into one
+or two of four cells, and the rest of the line goes into the key; buckets that stay full are cut again inside those
+cells, down to single characters, where all lines of a bucket are near and the earliest place settles the others.
+So the pairs follow the lines, however many near copies there are.
 """
 
 from __future__ import annotations
@@ -16,19 +22,34 @@ from pyspark.sql.window import Window
 from .common import materialize, packed
 
 SPACES = " \t\r\v\f"
-#: Lines of fewer characters are compared for equality only.
-MIN_NEAR = 16
-EDITS = 2
-#: Documents with candidate lines up to which their ids are broadcast; beyond, the texts are shuffled.
-BROADCAST_DOCS = 500_000
+#: (least length, edits): edits that two lines may be apart, by the length of the shorter one; below the first, none.
+BUDGETS = ((8, 1), (16, 2))
+#: Lines that a bucket has on both sides before it is cut finer.
+FULL = 32
+#: Cells of a gap that is cut.
+CELLS = 4
+#: One line in so many is looked at to find keys that very many lines have, and lines of those that make a key common.
+SAMPLE, COMMON = 64, 16
+#: Candidate lines up to which the list of them is broadcast (40 bytes a line); beyond, the texts are shuffled.
+BROADCAST_LINES = 200_000
 #: Letters whose counts make a line's signature, eight bits for each.
 LETTERS = "eaontirh"
 
 
+def text_tag(text: Column) -> Column:
+    """Tells different texts of one doc_id apart; rows that are equal in both share their lines."""
+    return F.xxhash64(text)
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line for every line with a word, outer white space trimmed."""
-    each = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
-    return each.select("doc_id", "pos", F.btrim("line", F.lit(SPACES)).alias("line")).filter("line <> ''")
+    """doc_id, tag, pos, line for every line with a word, outer white space trimmed."""
+    each = docs.select("doc_id", text_tag(F.col("text")).alias("tag"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
+    return each.select("doc_id", "tag", "pos", F.btrim("line", F.lit(SPACES)).alias("line")).filter("line <> ''")
+
+
+def place() -> Column:
+    """Order of lines: null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "tag", "pos")
 
 
 def signature(line: Column, length: Column) -> Column:
@@ -53,9 +74,9 @@ def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     return F.lit(number) * short + before + 1, short + (F.lit(number) >= parts - longer).cast("int")
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Keys under which a line is indexed, and keys that it looks up among lines at most ``edits`` shorter."""
-    key = lambda number, size, text: F.xxhash64(F.lit(number), size, text)
+def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[tuple[int, Column]]]:
+    """Keys under which a line is indexed, and (how much shorter, key) that it looks up among lines at most ``edits`` shorter."""
+    key = lambda number, size, text: F.xxhash64(F.lit(edits), F.lit(number), size, text)
     index, probes = [], []
     for i in range(edits + 1):
         start, size = segment(length, i, edits)
@@ -66,10 +87,26 @@ def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column]
             start, size = segment(other, i, edits)
             # edits before the segment shift it by at most i, edits after it by at most edits - i, from the end
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                probes.append(key(i, other, F.substring(line, start + shift, size)))
+                probes.append((shorter, key(i, other, F.substring(line, start + shift, size))))
     return index, probes
 
 
+def line_keys(line: Column, length: Column, budgets: tuple[tuple[int, int], ...]) -> tuple[list[Column], list[list[int]]]:
+    """For each budget an array of a line's keys (null where they do not apply), and what each place of it is.
+
+    A place is -1 for an index key, else how much shorter the lines are that the key looks up.
+    """
+    arrays, places = [], []
+    for (low, edits), high in zip(budgets, [*(b[0] for b in budgets[1:]), None], strict=False):
+        inside = lambda size: (size >= low) & (size < high) if high is not None else size >= low  # noqa: B023, E731
+        index, probes = segment_keys(line, length, edits)
+        keys = [F.when(inside(length), k) for k in index] + [F.when(inside(length - shorter), k) for shorter, k in probes]
+        reach = length >= low if high is None else (length >= low) & (length < high + edits)
+        arrays.append(F.when(reach, F.array(*keys)))
+        places.append([-1] * len(index) + [shorter for shorter, _ in probes])
+    return arrays, places
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two lines if it is at most ``edits``, else a larger number; a is not longer than b.
 
@@ -144,81 +181,216 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.length(b) - F.length(a) > edits, F.lit(edits + 1)).otherwise(let(F.struct(a.alias("a"), b.alias("b")), middle))
 
 
-def near_rows(first: DataFrame, docs: DataFrame, edits: int, min_near: int) -> DataFrame:
-    """(doc_id, pos) of first occurrences that are within ``edits`` edits of a line whose first occurrence is earlier.
+def cells(size: Column, points: Column) -> Column:
+    """Cells of a gap of ``size`` characters (tag, at, size): four parts, or in a short gap each character, or with ``points``
+    each place between characters. ``points`` null: both, for index rows, which many probes meet."""
+    cell = lambda tag, at, n: F.struct(F.lit(tag).alias("tag"), at.cast("int").alias("at"), n.cast("int").alias("size"))
+    edge = lambda j: F.floor(j * size / CELLS)
+    wide = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda j: cell(0, edge(j), edge(j + 1) - edge(j)))
+    single = F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda j: cell(1, j, F.least(F.lit(1), size)))
+    between = F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(0))), lambda j: cell(2, j, F.lit(0)))
+    return F.when(size >= CELLS, wide).when(points.isNull(), F.concat(single, between)).when(points, between).otherwise(single)
+
+
+def finer(state: DataFrame) -> DataFrame:
+    """The rows of full buckets under finer keys.
 
-    ``first(id, hash, doc_id, pos, length, keys, probes)`` has a row for each distinct line. Keys that only one line has go
-    first, so that texts and letter counts are needed of lines with a partner only.
+    ``state(key, id, budget, probe, delta, one, s1, l1, d1, s2, l2, d2, line)``: outside its gaps a line agrees with the others of
+    its bucket. With ``one`` the first gap holds at most two edits, else each of both gaps at most one. A gap starts at s (from 0)
+    and is l long, d longer than that of the index rows. For each choice of cells that the edits may fall into, what lies
+    outside them joins the key.
+    """
+    text = lambda a, b: F.substring(F.col("line"), a + 1, b - a)
+    gap = lambda s, n, d: (s.cast("int"), n.cast("int"), d.cast("int"))
+    zero = F.lit(0)
+
+    def row(key: Column, one: bool, first: tuple, second: tuple) -> Column:
+        names = ("s1", "l1", "d1", "s2", "l2", "d2")
+        return F.struct(key.alias("key"), F.lit(one).alias("one"), *[x.alias(n) for n, x in zip(names, gap(*first) + gap(*second), strict=True)])
+
+    s1, s2 = F.col("s1"), F.col("s2")
+    e1, e2 = s1 + F.col("l1"), s2 + F.col("l2")
+    d1, d2 = F.col("d1"), F.col("d2")
+    # two edits of which both are insertions, or one insertion, fall between characters
+    spots = lambda d, most: F.when(F.col("probe"), d == most)
+
+    def split_one(x: Column, y: Column) -> Column:
+        """Both edits in cell x (= y), or one in each."""
+        key = lambda *rest: F.xxhash64("key", F.lit(1), x["tag"], x["at"], y["at"], text(s1, s1 + x["at"]), *rest)
+        together = row(key(F.lit(""), text(s1 + x["at"] + x["size"] + d1, e1)), True, (s1 + x["at"], x["size"] + d1, d1), (zero, zero, zero))
+
+        def apart(d: Column) -> Column:
+            middle = text(s1 + x["at"] + x["size"] + d, s1 + y["at"] + d)
+            return row(key(middle, text(s1 + y["at"] + y["size"] + d1, e1)), False, (s1 + x["at"], x["size"] + d, d), (s1 + y["at"] + d, y["size"] + d1 - d, d1 - d))
+
+        shifts = F.when(~F.col("probe"), F.array(zero)).when(d1 == 0, F.array(F.lit(-1), zero, F.lit(1))).when(d1 == 1, F.array(zero, F.lit(1))).otherwise(F.array(F.lit(1)))
+        return F.when(x["at"] == y["at"], F.array(together)).otherwise(F.transform(shifts, apart))
+
+    def split_two(x: Column, y: Column) -> Column:
+        key = F.xxhash64("key", F.lit(2), x["tag"], x["at"], y["tag"], y["at"], text(s1, s1 + x["at"]), text(s1 + x["at"] + x["size"] + d1, e1), text(s2, s2 + y["at"]), text(s2 + y["at"] + y["size"] + d2, e2))
+        return row(key, False, (s1 + x["at"], x["size"] + d1, d1), (s2 + y["at"], y["size"] + d2, d2))
+
+    own = cells(F.col("l1") - d1, spots(d1, 2))
+    ones = F.flatten(F.flatten(F.transform(own, lambda x: F.transform(F.filter(own, lambda y: (y["tag"] == x["tag"]) & (y["at"] >= x["at"])), lambda y: split_one(x, y)))))
+    other = cells(F.col("l2") - d2, spots(d2, 1))
+    twos = F.flatten(F.transform(cells(F.col("l1") - d1, spots(d1, 1)), lambda x: F.transform(other, lambda y: split_two(x, y))))
+    keep = ("id", "budget", "probe", "delta")
+    out = [state.filter(test).select(*keep, F.explode(cut).alias("r")) for test, cut in (("one", ones), ("not one", twos))]
+    return out[0].unionByName(out[1]).select(*keep, "r.*")
+
+
+def all_near() -> Column:
+    """Whether every index row of a probe's bucket is near it: its gaps are too small for more edits than they may hold."""
+    size1, size2, d1, d2 = F.col("l1") - F.col("d1"), F.col("l2") - F.col("d2"), F.col("d1"), F.col("d2")
+    single = lambda size, d: F.when(d == 1, size == 0).otherwise(size <= 1)
+    return F.when(F.col("one"), size1 + d1 <= 2).otherwise(single(size1, d1) & single(size2, d2))
+
+
+def bucket_sizes(rows: DataFrame) -> DataFrame:
+    """key and full for the keys under which lines may find others."""
+    n_index, n_probe = F.count_if(~F.col("probe")), F.count_if("probe")
+    sizes = rows.groupBy("key").agg(n_index.alias("i"), n_probe.alias("p"), F.min("id").alias("a"), F.max("id").alias("b"))
+    return sizes.filter("i > 0 and p > 0 and a <> b").select("key", (F.least("i", "p") > FULL).alias("full"))
+
+
+def split_full(live: DataFrame, text: DataFrame, budgets: tuple[tuple[int, int], ...]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From lines of full buckets, ``live(id, budget, probe, delta)``: candidate rows (key, id, budget, probe, delta) of buckets
+    that are no longer full, and places (at) that are settled without a pair."""
+    lines = text.select("id", "line", "length")
+    index_size = F.col("length") - F.greatest("delta", F.lit(0))
+    two = F.element_at(F.array(*[F.lit(e == 2) for _, e in budgets]), F.col("budget") + 1)
+    start = live.distinct().join(lines, "id").select("*", F.xxhash64("budget", index_size).alias("key"), two.alias("one"))
+    grown = F.greatest("delta", F.lit(0))
+    number = lambda c, name: c.cast("int").alias(name)
+    state = start.select("key", "id", "budget", "probe", "delta", "one", "line", number(F.lit(0), "s1"), number(F.col("length"), "l1"), number(grown, "d1"), *[number(F.lit(0), n) for n in ("s2", "l2", "d2")])
+    cold, settled = [], []
+    while True:
+        rows = materialize(finer(state), "finer")
+        live = materialize(rows.join(bucket_sizes(rows), "key"), "finer-live")
+        cold.append(live.filter("not full").select("key", "id", "budget", "probe", "delta"))
+        full = live.filter("full")
+        ends = full.filter(F.col("probe") & all_near()).select("key", "id").join(text.select("id", "at"), "id")
+        index = full.filter("not probe").select("key", "id").join(text.select("id", "at"), "id")
+        for late, early in ((ends, index), (index, ends)):
+            least = early.groupBy("key").agg(F.min("at").alias("least"))
+            settled.append(materialize(late.join(least, "key").filter("at > least").select("at").distinct(), "settled"))
+        on = full.filter(~F.col("probe") | ~all_near())
+        if on.filter("probe").isEmpty():
+            return cold, settled
+        state = on.drop("full").join(lines.drop("length"), "id")
+
+
+def near_rows(first: DataFrame, docs: DataFrame, places: list[list[int]], budgets: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Places (at) of first occurrences that are within the edits of a line whose first occurrence is earlier.
+
+    ``first(id, hash, at, length, k0, k1, ...)`` has a row for each distinct line. Keys that only one line has go first, so
+    that texts and letter counts are needed of lines with a partner only.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_index = edits + 1
-    long = first.filter(F.col("length") >= min_near)
-    rows = long.select("id", F.posexplode(F.concat("keys", "probes")).alias("n", "key")).repartition(tasks, "key")
+    parts = []
+    for b, place_of in enumerate(places):
+        each = first.filter(F.col(f"k{b}").isNotNull()).select("id", F.posexplode(f"k{b}").alias("n", "key")).filter("key is not null")
+        delta = F.element_at(F.array(*[F.lit(p) for p in place_of]), F.col("n") + 1)
+        parts.append(each.select("id", "key", F.lit(b).alias("budget"), delta.alias("delta")).withColumn("probe", F.col("delta") >= 0))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    # keys of very many lines, found in a sample: they are full, and no task is to hold all lines of one
+    seen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count_if("probe").alias("p"), F.count_if(~F.col("probe")).alias("i"))
+    common = materialize(seen.filter(F.least("p", "i") >= COMMON).select("key"), "common-keys")
+    columns = ("id", "key", "budget", "probe", "delta")
     same = Window.partitionBy("key")
-    shared = (F.min("id").over(same) != F.max("id").over(same)) & (F.min("n").over(same) < n_index)
-    live = materialize(rows.withColumn("shared", shared).filter("shared").select("id", "n", "key"), "live-keys")
-    wanted = first.select("id", "doc_id", "hash").join(live.select("id").distinct(), "id", "left_semi")
-    by_doc = materialize(wanted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("hash", "id"))).alias("wanted")), "wanted")
-    if by_doc.count() <= BROADCAST_DOCS:
-        by_doc = F.broadcast(by_doc)
-    each = docs.join(by_doc, "doc_id").select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    n_index, n_probe = F.count_if(~F.col("probe")).over(same), F.count_if("probe").over(same)
+    other = (F.min("id").over(same) != F.max("id").over(same)) & (n_index > 0) & (n_probe > 0)
+    rest = rows if common.isEmpty() else rows.join(common, "key", "left_anti")
+    live = rest.repartition(tasks, "key").select(*columns, other.alias("other"), (F.least(n_index, n_probe) > FULL).alias("full")).filter("other").drop("other")
+    if rest is not rows:
+        live = live.unionByName(rows.join(common, "key", "left_semi").select(*columns, F.lit(True).alias("full")))
+    live = materialize(live, "live-keys")
+    wanted = first.select("id", "at", "hash").join(live.select("id").distinct(), "id", "left_semi").select("at.doc_id", "at.tag", "hash", "id")
+    by_doc = materialize(wanted.groupBy("doc_id", "tag").agg(F.map_from_entries(F.collect_list(F.struct("hash", "id"))).alias("wanted")), "wanted")
+    few = (by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
+    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "wanted")
+    texts = docs.select("doc_id", "text", text_tag(F.col("text")).alias("tag"))
+    texts = texts.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
+    each = texts.select("doc_id", "tag", "wanted", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     each = each.withColumn("line", F.btrim("line", F.lit(SPACES)))
     found = each.withColumn("id", F.try_element_at("wanted", F.unhex(F.md5("line")))).filter("id is not null")
-    text = found.groupBy("id").agg(F.min(F.struct("doc_id", "pos", "line")).alias("l")).select("id", F.struct("l.doc_id", "l.pos").alias("at"), "l.line")
+    text = found.groupBy("id").agg(F.min(F.struct(place().alias("at"), "line")).alias("l")).select("id", "l.at", "l.line")
     text = materialize(text.withColumn("length", F.length("line")).withColumn("sig", signature(F.col("line"), F.col("length"))), "live-lines")
-    signed = live.join(text.select("id", "sig"), "id")
-    index = signed.filter(F.col("n") < n_index).select("key", F.col("id").alias("i_id"), F.col("sig").alias("i_sig"))
-    probe = signed.filter(F.col("n") >= n_index).select("key", F.col("id").alias("p_id"), F.col("sig").alias("p_sig"), "n")
+    cold, settled = [live.filter("not full").select(*columns)], []
+    full = live.filter("full").select("id", "budget", "probe", "delta")
+    if not full.isEmpty():
+        more, settled = split_full(full, text, budgets)
+        cold += more
+    candidates = cold[0]
+    for c in cold[1:]:
+        candidates = candidates.unionByName(c)
+    signed = candidates.join(text.select("id", "sig"), "id")
+    index = signed.filter("not probe").select("key", F.col("id").alias("i_id"), F.col("sig").alias("i_sig"))
+    probe = signed.filter("probe").select("key", "budget", "delta", F.col("id").alias("p_id"), F.col("sig").alias("p_sig"))
     # lines of equal length find each other both ways; one is enough
-    equal = F.col("n") < n_index + len_equal_probes(edits)
-    apart = (F.col("p_id") != F.col("i_id")) & (~equal | (F.col("i_id") < F.col("p_id")))
+    apart = (F.col("p_id") != F.col("i_id")) & ((F.col("delta") > 0) | (F.col("i_id") < F.col("p_id")))
+    edits = F.element_at(F.array(*[F.lit(e) for _, e in budgets]), F.col("budget") + 1)
     pairs = probe.join(index, "key").filter(apart & (count_distance(F.col("i_sig"), F.col("p_sig")) <= 2 * edits))
-    pairs = pairs.select("i_id", "p_id").distinct()
+    pairs = pairs.select("i_id", "p_id", "budget").distinct()
     a = text.select(F.col("id").alias("i_id"), F.col("at").alias("i_at"), F.col("line").alias("a"))
     b = text.select(F.col("id").alias("p_id"), F.col("at").alias("p_at"), F.col("line").alias("b"))
     # the alignments take time rather than space: deal them out evenly, in a table, as filters move before a repartition
     pairs = materialize(pairs.join(a, "i_id").join(b, "p_id").repartition(tasks), "aligned")
-    close = pairs.filter(banded_distance(F.col("a"), F.col("b"), edits) <= edits)
-    return close.select(F.greatest("i_at", "p_at").alias("at")).distinct().select("at.doc_id", "at.pos")
-
-
-def len_equal_probes(edits: int) -> int:
-    """Number of look-ups among lines of the same length; they come first."""
-    return sum(min(i, edits - i) - max(-i, i - edits) + 1 for i in range(edits + 1))
-
-
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:
-    """(doc_id, removed): sorted positions of the lines to remove, for documents that lose any."""
-    lines = split_lines(docs.filter("doc_id is not null")).withColumn("hash", F.unhex(F.md5("line")))
+    near = [pairs.filter((F.col("budget") == k) & (banded_distance(F.col("a"), F.col("b"), e) <= e)).select(F.greatest("i_at", "p_at").alias("at")) for k, (_, e) in enumerate(budgets)]
+    for s in settled:
+        near.append(s)
+    out = near[0]
+    for n in near[1:]:
+        out = out.unionByName(n)
+    return out.distinct()
+
+
+def removed_lines(docs: DataFrame, budgets: tuple[tuple[int, int], ...] = BUDGETS) -> DataFrame:
+    """(doc_id, tag, removed): sorted positions of the lines to remove, for texts that lose any."""
+    if any(not 0 <= e <= 2 for _, e in budgets) or list(budgets) != sorted(budgets):
+        raise ValueError("budgets are (least length, edits) by rising length, with two edits at most")
+    budgets = tuple((low, e) for low, e in budgets if e)
+    docs = docs.select("doc_id", "text")
+    lines = split_lines(docs).withColumn("hash", F.unhex(F.md5("line")))
+    arrays, places = line_keys(F.col("line"), F.col("length"), budgets)
     long = lines.withColumn("length", F.length("line"))
-    index, probes = segment_keys(F.col("line"), F.col("length"), edits)
-    hashed = long.select("doc_id", "pos", "hash", "length", F.array(*index).alias("keys"), F.array(*probes).alias("probes"))
     # equal lines have equal lengths and keys: any of their rows will do
-    same = F.struct("length", "keys", "probes")
-    first = hashed.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first(same).alias("same"))
-    first = materialize(first.select(F.monotonically_increasing_id().alias("id"), "hash", "at.doc_id", "at.pos", "same.*"), "first-lines")
-    near = materialize(near_rows(first, docs, edits, min_near), "near-lines")
-    stays = first.select("hash", F.struct("doc_id", "pos").alias("at"))
-    later = lines.select("doc_id", "pos", "hash").join(stays, "hash").filter(F.struct("doc_id", "pos") != F.col("at")).select("doc_id", "pos")
-    return later.unionByName(near).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    hashed = long.select(place().alias("at"), "hash", F.struct("length", *[a.alias(f"k{b}") for b, a in enumerate(arrays)]).alias("same"))
+    first = hashed.groupBy("hash").agg(F.min("at").alias("at"), F.first("same").alias("same"))
+    first = materialize(first.select(F.monotonically_increasing_id().alias("id"), "hash", "at", "same.*"), "first-lines")
+    stays = first.select("hash", F.col("at").alias("first"))
+    later = lines.select("hash", place().alias("at")).join(stays, "hash").filter("at <> first").select("at")
+    if budgets:
+        later = later.unionByName(materialize(near_rows(first, docs, places, budgets), "near-lines"))
+    return later.groupBy("at.doc_id", "at.tag").agg(F.array_sort(F.collect_set("at.pos")).alias("removed"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:
+def _with_removed(rows: DataFrame, docs: DataFrame, budgets: tuple[tuple[int, int], ...]) -> DataFrame:
+    """``rows(doc_id, _tag, ...)`` with _removed, null where nothing goes."""
+    gone = removed_lines(docs, budgets).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_its"), F.col("removed").alias("_removed"))
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_its")), "left")
+
+
+def dedup(docs: DataFrame, budgets: tuple[tuple[int, int], ...] = BUDGETS) -> DataFrame:
     """doc_id, text (what is left of it), _row (all other columns) and _removed (positions, null for none) of every document.
 
     Null or empty text: kept as it is. Lines without a word always stay. A document keeps its row if all its lines go.
-    Null doc_ids take no part. Repeated rows of a doc_id share positions, so equal ones keep the same lines. No rows: no rows.
+    Null doc_ids: each text by itself, after all others. Different texts of one doc_id are told apart and come in the order of a
+    hash; equal rows keep the same lines. Very long texts and lines are read whole. No rows: no rows.
     """
-    gone = removed_lines(docs.select("doc_id", "text"), edits, min_near).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    rows = packed(docs, "doc_id", "text").join(gone, F.col("doc_id") == F.col("_id"), "left")
+    rows = _with_removed(packed(docs, "doc_id", "text").withColumn("_tag", text_tag(F.col("text"))), docs, budgets)
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return rows.select("doc_id", text.alias("text"), "_row", "_removed")
 
 
-def report(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:
-    """doc_id, n_removed and removed (comma-joined positions of removed lines, from 0) for every document."""
-    gone = removed_lines(docs.select("doc_id", "text"), edits, min_near).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id").join(gone, F.col("doc_id") == F.col("_id"), "left")
-    n = F.coalesce(F.size("removed"), F.lit(0))
-    return rows.select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+def report(docs: DataFrame, budgets: tuple[tuple[int, int], ...] = BUDGETS) -> DataFrame:
+    """doc_id, n_removed and removed (comma-joined positions of removed lines, from 0) for every document.
+
+    Null or empty text: nothing removed. Null, repeated and equal rows as in ``dedup``. No rows: no rows.
+    """
+    rows = _with_removed(docs.select("doc_id", text_tag(F.col("text")).alias("_tag")), docs, budgets)
+    n = F.greatest(F.coalesce(F.size("_removed"), F.lit(0)), F.lit(0))
+    return rows.select("doc_id", n.cast("long").alias("n_removed"), F.coalesce(F.array_join("_removed", ","), F.lit("")).alias("removed"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from memloom.llm import lines
@@ -30,17 +32,25 @@ def changed(text, rng, most):
     return "".join(text)
 
 
-def brute(rows, edits, min_near):
-    first, out = {}, {d: set() for d, _ in rows if d is not None}
-    listed = sorted((d, p, x.strip(SPACES)) for d, t in rows if d is not None and t for p, x in enumerate(t.split("\n")))
-    for d, p, x in listed:
-        if x and first.setdefault(x, (d, p)) != (d, p):
-            out[d].add(p)
-    kept = sorted((at, x) for x, at in first.items() if len(x) >= min_near)
-    for k, ((d, p), x) in enumerate(kept):
-        if any(abs(len(x) - len(y)) <= edits and levenshtein(x, y) <= edits for _, y in kept[:k]):
-            out[d].add(p)
-    return {d: ",".join(map(str, sorted(v))) for d, v in out.items()}
+def tag_of(text):
+    return xxhash.xxh64_intdigest(text.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(text.encode(), 42) >> 63)
+
+
+def brute(rows, budgets):
+    """Removed positions of each row, judged by rows: a line counts as earlier by (null id last, id, text, position)."""
+    listed = sorted({(d is None, d or 0, tag_of(t), p, x.strip(SPACES)) for d, t in rows if t for p, x in enumerate(t.split("\n")) if x.strip(SPACES)})
+    first, gone = {}, set()
+    for *at, x in listed:
+        if first.setdefault(x, at) != at:
+            gone.add(tuple(at))
+    kept = sorted((at, x) for x, at in first.items())
+    for k, (at, x) in enumerate(kept):
+        for _, y in kept[:k]:
+            edits = max([e for low, e in budgets if min(len(x), len(y)) >= low], default=0)
+            if edits and abs(len(x) - len(y)) <= edits and levenshtein(x, y) <= edits:
+                gone.add(tuple(at))
+                break
+    return [sorted(p for *at, p in gone if at == [d is None, d or 0, tag_of(t)]) if t else [] for d, t in rows]
 
 
 def test_banded_distance(spark):
@@ -58,41 +68,58 @@ def test_banded_distance(spark):
                 assert (got == want) if want <= edits else got > edits, (a, b, got, want)
 
 
-def check(spark, rows, edits=2, min_near=6):
+def check(spark, rows, budgets=lines.BUDGETS):
     docs = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, pos int")
-    got = lines.report(docs, edits, min_near).collect()
-    want = brute(rows, edits, min_near)
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.removed == want.get(r.doc_id, ""), r
-    for r in lines.dedup(docs, edits, min_near).collect():
-        gone = {int(x) for x in want.get(r.doc_id, "").split(",") if x}
-        if r.doc_id is not None and r.text is not None:
-            assert r.text in {"\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) for d, t in rows if d == r.doc_id}
+    want = brute(rows, budgets)
+    got = sorted(repr((r.doc_id, r.n_removed, r.removed)) for r in lines.report(docs, budgets).collect())
+    assert got == sorted(repr((d, len(w), ",".join(map(str, w)))) for (d, _), w in zip(rows, want, strict=True))
+    left = sorted(repr((r.doc_id, r.text)) for r in lines.dedup(docs, budgets).collect())
+    assert left == sorted(repr((d, t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in w))) for (d, t), w in zip(rows, want, strict=True))
 
 
 def test_against_brute_force(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abé ") for _ in range(rng.randint(1, 26))) for _ in range(25)]
     rows = [(d, "\n".join(changed(rng.choice(base), rng, 4) for _ in range(rng.randint(1, 12)))) for d in range(40)]
-    for edits in (1, 2):
-        check(spark, rows, edits, min_near=4 * edits)
+    check(spark, rows, ((4, 1),))
+    check(spark, rows)
+    check(spark, rows, ((3, 1), (9, 2)))
+
+
+@pytest.mark.parametrize("budgets", [((3, 1), (9, 2)), ((5, 2),)])
+def test_full_buckets_are_cut_finer(spark, monkeypatch, budgets):
+    monkeypatch.setattr(lines, "FULL", 1)
+    monkeypatch.setattr(lines, "COMMON", 1)
+    monkeypatch.setattr(lines, "SAMPLE", 2)
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abé") for _ in range(n)) for n in (4, 7, 10, 18, 31)]
+    rows = [(d, "\n".join(changed(rng.choice(base), rng, 5) for _ in range(6))) for d in range(40)]
+    check(spark, rows, budgets)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Lines that differ in many places, and lines that differ in a number: neither kind is paired with its whole group."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    rows = []
+    for d in range(160):
+        some = [rng.choice("xyzuvw") * 4 if rng.random() < 0.06 else w for w in words]
+        rows.append((d, " ".join(some) + f"\nThis is page {rng.randrange(10**9)} of the whole long book\nno {rng.randrange(200)} here"))
+    check(spark, rows)
 
 
 def test_odd_rows(spark):
     long = "\n".join(f"line {i * i} of a very long text" for i in range(3000))
-    check(spark, [(2, None), (1, ""), (3, "\n \n"), (4, "same line here\nsame line here\n\n"), (5, " same line here\t"), (6, "same lime here"), (None, "same line here"), (7, "x"), (8, "x\nx"), (9, "same line here, once more")])
+    check(spark, [(2, None), (1, ""), (3, "\n \n"), (4, "same line here\nsame line here\n\n"), (5, " same line here\t"), (6, "same lime here"), (None, "same line here"), (7, "x"), (8, "x\nx"), (9, "same line here, once more"), (None, "only here and nowhere else"), (None, None)])
     docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
-    assert lines.report(docs, 0).collect()[0].n_removed == 0
+    assert lines.report(docs, ()).collect()[0].n_removed == 0
     rows = spark.createDataFrame([(3, "one two\nthree four"), (3, "one two\nthree four")], "doc_id long, text string")
     assert [r.n_removed for r in lines.report(rows).collect()] == [0, 0]
 
 
 def test_different_texts_of_one_id(spark):
-    rows = [(3, "one line that is long enough\nother"), (3, "two line that is long enough\nother"), (4, "one line that is long enough!"), (4, "two line that is long enouh")]
-    got = lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 4
-    assert all(r.removed == "0" for r in got if r.doc_id == 4)
+    check(spark, [(1, "The very same long line of text"), (2, "The very same long line of text"), (2, "Entirely different words stand here alone")])
+    check(spark, [(3, "one line that is long enough\nother"), (3, "two line that is long enough\nother"), (4, "one line that is long enough!"), (4, "two line that is long enouh"), (None, "other"), (None, "others stand alone")])
 
 
 def test_no_rows(spark):
