@@ -91,20 +91,10 @@ def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column]
     return index, probes
 
 
-def line_keys(line: Column, length: Column, budgets: tuple[tuple[int, int], ...]) -> tuple[list[Column], list[list[int]]]:
-    """For each budget an array of a line's keys (null where they do not apply), and what each place of it is.
-
-    A place is -1 for an index key, else how much shorter the lines are that the key looks up.
-    """
-    arrays, places = [], []
-    for (low, edits), high in zip(budgets, [*(b[0] for b in budgets[1:]), None], strict=False):
-        inside = lambda size: (size >= low) & (size < high) if high is not None else size >= low  # noqa: B023, E731
-        index, probes = segment_keys(line, length, edits)
-        keys = [F.when(inside(length), k) for k in index] + [F.when(inside(length - shorter), k) for shorter, k in probes]
-        reach = length >= low if high is None else (length >= low) & (length < high + edits)
-        arrays.append(F.when(reach, F.array(*keys)))
-        places.append([-1] * len(index) + [shorter for shorter, _ in probes])
-    return arrays, places
+def line_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[int]]:
+    """A line's keys under one budget, and what each is: -1 for an index key, else how much shorter the lines are that it looks up."""
+    index, probes = segment_keys(line, length, edits)
+    return index + [k for _, k in probes], [-1] * len(index) + [shorter for shorter, _ in probes]
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -280,33 +270,45 @@ def split_full(live: DataFrame, text: DataFrame, budgets: tuple[tuple[int, int],
         state = on.drop("full").join(lines.drop("length"), "id")
 
 
-def near_rows(first: DataFrame, docs: DataFrame, places: list[list[int]], budgets: tuple[tuple[int, int], ...]) -> DataFrame:
+def near_rows(first: DataFrame, docs: DataFrame, keys_of: list[tuple[Column, list[int]]], budgets: tuple[tuple[int, int], ...]) -> DataFrame:
     """Places (at) of first occurrences that are within the edits of a line whose first occurrence is earlier.
 
-    ``first(id, hash, at, length, k0, k1, ...)`` has a row for each distinct line. Keys that only one line has go first, so
-    that texts and letter counts are needed of lines with a partner only.
+    ``first(id, hash, at, length, ...)`` has a row for each distinct line; ``keys_of`` has for each budget an array of a line's
+    keys and what they are. Keys that only one line has go first, so that texts and letter counts are needed of lines with a
+    partner only.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = []
-    for b, place_of in enumerate(places):
-        each = first.filter(F.col(f"k{b}").isNotNull()).select("id", F.posexplode(f"k{b}").alias("n", "key")).filter("key is not null")
+    for b, ((low, edits), (keys, place_of)) in enumerate(zip(budgets, keys_of, strict=True)):
+        high = budgets[b + 1][0] if b + 1 < len(budgets) else None
+        size = F.col("length")
+        reach = (size >= low) if high is None else (size >= low) & (size < high + edits)
+        each = first.filter(reach).select("id", "length", F.posexplode(keys).alias("n", "key"))
         delta = F.element_at(F.array(*[F.lit(p) for p in place_of]), F.col("n") + 1)
-        parts.append(each.select("id", "key", F.lit(b).alias("budget"), delta.alias("delta")).withColumn("probe", F.col("delta") >= 0))
+        each = each.withColumn("delta", delta)
+        found = size - F.greatest("delta", F.lit(0))  # length of the shorter line, which the budget is by
+        each = each.filter((found >= low) if high is None else (found >= low) & (found < high))
+        # one number for what a key is: below zero an index key of budget -1 - code, else 4 x budget + delta
+        parts.append(each.select("id", "key", F.when(F.col("delta") < 0, -1 - b).otherwise(4 * b + F.col("delta")).alias("code")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     # keys of very many lines, found in a sample: they are full, and no task is to hold all lines of one
-    seen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count_if("probe").alias("p"), F.count_if(~F.col("probe")).alias("i"))
+    is_probe = F.col("code") >= 0
+    seen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count_if(is_probe).alias("p"), F.count_if(~is_probe).alias("i"))
     common = materialize(seen.filter(F.least("p", "i") >= COMMON).select("key"), "common-keys")
-    columns = ("id", "key", "budget", "probe", "delta")
     same = Window.partitionBy("key")
-    n_index, n_probe = F.count_if(~F.col("probe")).over(same), F.count_if("probe").over(same)
+    n_probe = F.count_if(is_probe).over(same)
+    n_index = F.count("*").over(same) - n_probe
     other = (F.min("id").over(same) != F.max("id").over(same)) & (n_index > 0) & (n_probe > 0)
     rest = rows if common.isEmpty() else rows.join(common, "key", "left_anti")
-    live = rest.repartition(tasks, "key").select(*columns, other.alias("other"), (F.least(n_index, n_probe) > FULL).alias("full")).filter("other").drop("other")
+    live = rest.repartition(tasks, "key").select("id", "key", "code", other.alias("other"), (F.least(n_index, n_probe) > FULL).alias("full")).filter("other").drop("other")
     if rest is not rows:
-        live = live.unionByName(rows.join(common, "key", "left_semi").select(*columns, F.lit(True).alias("full")))
+        live = live.unionByName(rows.join(common, "key", "left_semi").select("id", "key", "code", F.lit(True).alias("full")))
+    budget = F.when(is_probe, F.floor(F.col("code") / 4)).otherwise(-1 - F.col("code")).cast("int")
+    live = live.select("id", "key", "full", budget.alias("budget"), is_probe.alias("probe"), F.when(is_probe, F.col("code") % 4).otherwise(-1).alias("delta"))
     live = materialize(live, "live-keys")
+    columns = ("id", "key", "budget", "probe", "delta")
     wanted = first.select("id", "at", "hash").join(live.select("id").distinct(), "id", "left_semi").select("at.doc_id", "at.tag", "hash", "id")
     by_doc = materialize(wanted.groupBy("doc_id", "tag").agg(F.map_from_entries(F.collect_list(F.struct("hash", "id"))).alias("wanted")), "wanted")
     few = (by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
@@ -354,16 +356,26 @@ def removed_lines(docs: DataFrame, budgets: tuple[tuple[int, int], ...] = BUDGET
     budgets = tuple((low, e) for low, e in budgets if e)
     docs = docs.select("doc_id", "text")
     lines = split_lines(docs).withColumn("hash", F.unhex(F.md5("line")))
-    arrays, places = line_keys(F.col("line"), F.col("length"), budgets)
     long = lines.withColumn("length", F.length("line"))
+    # lines under the budgets before the last are short: their texts are kept, and their keys made of distinct lines
+    bounds = F.lit(False)
+    for (low, e), (high, _) in zip(budgets, budgets[1:], strict=False):
+        bounds = bounds | ((F.col("length") >= low) & (F.col("length") < high + e))
+    # conditions around the keys would make the generated code too long to be compiled; what does not apply goes later
+    keys, last = line_keys(F.col("line"), F.col("length"), budgets[-1][1]) if budgets else ([], [])
+    hashed = long.select(place().alias("at"), "hash", "length", F.when(bounds, F.col("line")).alias("short"), F.array(*keys).alias("keys"))
     # equal lines have equal lengths and keys: any of their rows will do
-    hashed = long.select(place().alias("at"), "hash", F.struct("length", *[a.alias(f"k{b}") for b, a in enumerate(arrays)]).alias("same"))
-    first = hashed.groupBy("hash").agg(F.min("at").alias("at"), F.first("same").alias("same"))
-    first = materialize(first.select(F.monotonically_increasing_id().alias("id"), "hash", "at", "same.*"), "first-lines")
+    first = hashed.groupBy("hash").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("length", "short", "keys")])
+    first = materialize(first.withColumn("id", F.monotonically_increasing_id()), "first-lines")
+    keys_of = []
+    for _, e in budgets[:-1]:
+        some, what = line_keys(F.col("short"), F.col("length"), e)
+        keys_of.append((F.array(*some), what))
+    keys_of.append((F.col("keys"), last))
     stays = first.select("hash", F.col("at").alias("first"))
     later = lines.select("hash", place().alias("at")).join(stays, "hash").filter("at <> first").select("at")
     if budgets:
-        later = later.unionByName(materialize(near_rows(first, docs, places, budgets), "near-lines"))
+        later = later.unionByName(materialize(near_rows(first, docs, keys_of, budgets), "near-lines"))
     return later.groupBy("at.doc_id", "at.tag").agg(F.array_sort(F.collect_set("at.pos")).alias("removed"))
 
 
