@@ -30,7 +30,7 @@ FULL = 32
 CELLS = 4
 #: One line in so many is looked at to find keys that very many lines have, and lines of those that make a key common.
 SAMPLE, COMMON = 64, 16
-#: Candidate lines up to which the list of them is broadcast (40 bytes a line); beyond, the texts are shuffled.
+#: Candidate lines up to which the list of them is broadcast (24 bytes a line); beyond, the texts are shuffled.
 BROADCAST_LINES = 200_000
 #: Letters whose counts make a line's signature, eight bits for each.
 LETTERS = "eaontirh"
@@ -47,6 +47,11 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "tag", "pos", F.btrim("line", F.lit(SPACES)).alias("line")).filter("line <> ''")
 
 
+def same_line(line: Column) -> dict[str, Column]:
+    """Two 64-bit hashes by which lines are the same."""
+    return {"h1": F.xxhash64(line), "h2": F.xxhash64(F.lit(1), line)}
+
+
 def place() -> Column:
     """Order of lines: null ids come last."""
     return F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "tag", "pos")
@@ -75,7 +80,10 @@ def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
 
 
 def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[tuple[int, Column]]]:
-    """Keys under which a line is indexed, and (how much shorter, key) that it looks up among lines at most ``edits`` shorter."""
+    """Keys under which a line is indexed, and (how much shorter, key) that it looks up among lines at most ``edits`` shorter.
+
+    The first are looked up too, among lines of equal length.
+    """
     key = lambda number, size, text: F.xxhash64(F.lit(edits), F.lit(number), size, text)
     index, probes = [], []
     for i in range(edits + 1):
@@ -87,12 +95,14 @@ def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column]
             start, size = segment(other, i, edits)
             # edits before the segment shift it by at most i, edits after it by at most edits - i, from the end
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                probes.append((shorter, key(i, other, F.substring(line, start + shift, size))))
+                if shorter or shift:
+                    probes.append((shorter, key(i, other, F.substring(line, start + shift, size))))
     return index, probes
 
 
 def line_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[int]]:
-    """A line's keys under one budget, and what each is: -1 for an index key, else how much shorter the lines are that it looks up."""
+    """A line's keys under one budget, and what each is: -1 for an index key, which is looked up as well, else how much shorter the
+    lines are that it looks up."""
     index, probes = segment_keys(line, length, edits)
     return index + [k for _, k in probes], [-1] * len(index) + [shorter for shorter, _ in probes]
 
@@ -273,7 +283,7 @@ def split_full(live: DataFrame, text: DataFrame, budgets: tuple[tuple[int, int],
 def near_rows(first: DataFrame, docs: DataFrame, keys_of: list[tuple[Column, list[int]]], budgets: tuple[tuple[int, int], ...]) -> DataFrame:
     """Places (at) of first occurrences that are within the edits of a line whose first occurrence is earlier.
 
-    ``first(id, hash, at, length, ...)`` has a row for each distinct line; ``keys_of`` has for each budget an array of a line's
+    ``first(id, h1, h2, at, length, ...)`` has a row for each distinct line; ``keys_of`` has for each budget an array of a line's
     keys and what they are. Keys that only one line has go first, so that texts and letter counts are needed of lines with a
     partner only.
     """
@@ -288,36 +298,32 @@ def near_rows(first: DataFrame, docs: DataFrame, keys_of: list[tuple[Column, lis
         each = each.withColumn("delta", delta)
         found = size - F.greatest("delta", F.lit(0))  # length of the shorter line, which the budget is by
         each = each.filter((found >= low) if high is None else (found >= low) & (found < high))
-        # one number for what a key is: below zero an index key of budget -1 - code, else 4 x budget + delta
+        # one number for what a key is: below zero an index key (and look-up) of budget -1 - code, else 4 x budget + delta
         parts.append(each.select("id", "key", F.when(F.col("delta") < 0, -1 - b).otherwise(4 * b + F.col("delta")).alias("code")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     # keys of very many lines, found in a sample: they are full, and no task is to hold all lines of one
-    is_probe = F.col("code") >= 0
-    seen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count_if(is_probe).alias("p"), F.count_if(~is_probe).alias("i"))
-    common = materialize(seen.filter(F.least("p", "i") >= COMMON).select("key"), "common-keys")
+    in_index = F.col("code") < 0
+    seen = rows.filter(in_index & (F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count("*").alias("i"))
+    common = materialize(seen.filter(F.col("i") >= COMMON).select("key"), "common-keys")
     same = Window.partitionBy("key")
-    n_probe = F.count_if(is_probe).over(same)
-    n_index = F.count("*").over(same) - n_probe
-    other = (F.min("id").over(same) != F.max("id").over(same)) & (n_index > 0) & (n_probe > 0)
+    n_index = F.count_if(in_index).over(same)
+    other = (F.min("id").over(same) != F.max("id").over(same)) & (n_index > 0)
     rest = rows if common.isEmpty() else rows.join(common, "key", "left_anti")
-    live = rest.repartition(tasks, "key").select("id", "key", "code", other.alias("other"), (F.least(n_index, n_probe) > FULL).alias("full")).filter("other").drop("other")
+    live = rest.repartition(tasks, "key").select("id", "key", "code", other.alias("other"), (n_index > FULL).alias("full")).filter("other").drop("other")
     if rest is not rows:
         live = live.unionByName(rows.join(common, "key", "left_semi").select("id", "key", "code", F.lit(True).alias("full")))
-    budget = F.when(is_probe, F.floor(F.col("code") / 4)).otherwise(-1 - F.col("code")).cast("int")
-    live = live.select("id", "key", "full", budget.alias("budget"), is_probe.alias("probe"), F.when(is_probe, F.col("code") % 4).otherwise(-1).alias("delta"))
+    budget = F.when(in_index, -1 - F.col("code")).otherwise(F.floor(F.col("code") / 4)).cast("int")
+    as_index, as_probe = F.struct(F.lit(False).alias("probe"), F.lit(-1).alias("delta")), F.struct(F.lit(True).alias("probe"), F.when(in_index, 0).otherwise(F.col("code") % 4).alias("delta"))
+    live = live.select("id", "key", "full", budget.alias("budget"), F.inline(F.when(in_index, F.array(as_index, as_probe)).otherwise(F.array(as_probe))))
     live = materialize(live, "live-keys")
     columns = ("id", "key", "budget", "probe", "delta")
-    wanted = first.select("id", "at", "hash").join(live.select("id").distinct(), "id", "left_semi").select("at.doc_id", "at.tag", "hash", "id")
-    by_doc = materialize(wanted.groupBy("doc_id", "tag").agg(F.map_from_entries(F.collect_list(F.struct("hash", "id"))).alias("wanted")), "wanted")
-    few = (by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
-    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "wanted")
-    texts = docs.select("doc_id", "text", text_tag(F.col("text")).alias("tag"))
-    texts = texts.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
-    each = texts.select("doc_id", "tag", "wanted", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    each = each.withColumn("line", F.btrim("line", F.lit(SPACES)))
-    found = each.withColumn("id", F.try_element_at("wanted", F.unhex(F.md5("line")))).filter("id is not null")
+    wanted = materialize(first.select("id", "at", "h1", "h2").join(live.select("id").distinct(), "id", "left_semi"), "wanted")
+    small = (lambda df: F.broadcast(df)) if wanted.count() <= BROADCAST_LINES else (lambda df: df)
+    holders = wanted.select(F.col("at.doc_id").alias("_id"), F.col("at.tag").alias("_tag")).distinct()
+    texts = docs.select("doc_id", "text").join(small(holders), F.col("doc_id").eqNullSafe(F.col("_id")) & (text_tag(F.col("text")) == F.col("_tag")), "left_semi")
+    found = split_lines(texts).withColumns(same_line(F.col("line"))).join(small(wanted.select("h1", "h2", "id")), ["h1", "h2"])
     text = found.groupBy("id").agg(F.min(F.struct(place().alias("at"), "line")).alias("l")).select("id", "l.at", "l.line")
     text = materialize(text.withColumn("length", F.length("line")).withColumn("sig", signature(F.col("line"), F.col("length"))), "live-lines")
     cold, settled = [live.filter("not full").select(*columns)], []
@@ -355,7 +361,7 @@ def removed_lines(docs: DataFrame, budgets: tuple[tuple[int, int], ...] = BUDGET
         raise ValueError("budgets are (least length, edits) by rising length, with two edits at most")
     budgets = tuple((low, e) for low, e in budgets if e)
     docs = docs.select("doc_id", "text")
-    lines = split_lines(docs).withColumn("hash", F.unhex(F.md5("line")))
+    lines = split_lines(docs).withColumns(same_line(F.col("line")))
     long = lines.withColumn("length", F.length("line"))
     # lines under the budgets before the last are short: their texts are kept, and their keys made of distinct lines
     bounds = F.lit(False)
@@ -363,17 +369,17 @@ def removed_lines(docs: DataFrame, budgets: tuple[tuple[int, int], ...] = BUDGET
         bounds = bounds | ((F.col("length") >= low) & (F.col("length") < high + e))
     # conditions around the keys would make the generated code too long to be compiled; what does not apply goes later
     keys, last = line_keys(F.col("line"), F.col("length"), budgets[-1][1]) if budgets else ([], [])
-    hashed = long.select(place().alias("at"), "hash", "length", F.when(bounds, F.col("line")).alias("short"), F.array(*keys).alias("keys"))
+    hashed = long.select(place().alias("at"), "h1", "h2", "length", F.when(bounds, F.col("line")).alias("short"), F.array(*keys).alias("keys"))
     # equal lines have equal lengths and keys: any of their rows will do
-    first = hashed.groupBy("hash").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("length", "short", "keys")])
+    first = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("length", "short", "keys")])
     first = materialize(first.withColumn("id", F.monotonically_increasing_id()), "first-lines")
     keys_of = []
     for _, e in budgets[:-1]:
         some, what = line_keys(F.col("short"), F.col("length"), e)
         keys_of.append((F.array(*some), what))
     keys_of.append((F.col("keys"), last))
-    stays = first.select("hash", F.col("at").alias("first"))
-    later = lines.select("hash", place().alias("at")).join(stays, "hash").filter("at <> first").select("at")
+    stays = first.select("h1", "h2", F.col("at").alias("first"))
+    later = lines.select("h1", "h2", place().alias("at")).join(stays, ["h1", "h2"]).filter("at <> first").select("at")
     if budgets:
         later = later.unionByName(materialize(near_rows(first, docs, keys_of, budgets), "near-lines"))
     return later.groupBy("at.doc_id", "at.tag").agg(F.array_sort(F.collect_set("at.pos")).alias("removed"))
