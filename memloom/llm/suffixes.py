@@ -102,7 +102,7 @@ def cuts(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 HASHES = "part int, group int, docs binary, counts binary, low binary, high binary"
 SHARED = "group int, docs binary, counts binary, low binary, high binary"
-CONTEXTS = "part int, group int, docs binary, turns binary, low binary, high binary, windows binary, nears binary, fars binary, bytes binary"
+CONTEXTS = "part int, group int, docs binary, turns binary, low binary, high binary, windows binary, nears binary, fars binary, bytes binary, sdocs binary, sturns binary, starts binary, ends binary"
 SPANS = "group int, docs binary, turns binary, starts binary, ends binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -193,7 +193,11 @@ def group_texts(left: pa.Table) -> Iterator[tuple[int, int, bytes]]:
 
 
 def contexts(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
-    """Bytes around the shared anchors of a group of documents, by part; exact copies of another document are left out."""
+    """Bytes around the shared anchors of a group of documents, by part; exact copies of another document are left out.
+
+    Of equal contexts in the group only those of the least document go on: it shows the others' windows to be repeated, whose
+    spans are passed along. So a passage that very many documents share is in the parts once for each group.
+    """
     copies = copied_texts(right)
     counts = joined(right, "counts", np.int32)
     h = np.concatenate([unpacked(a or b"", b or b"") for a, b in zip(right.column("low").to_pylist(), right.column("high").to_pylist(), strict=True)] + [np.zeros(0, np.uint64)])
@@ -222,10 +226,27 @@ def contexts(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
     if not got[0]:
         return _table([], CONTEXTS)
     hashes, doc, turn, first, near, far, some = (np.concatenate(x) for x in got)
-    part = part_of(hashes, parts)
-    order = np.argsort(part, kind="stable")
     group = left.column("group")[0].as_py()
+    keys = (hashes, near, far, *[words_of(some, o, o + 8) for o in range(0, CONTEXT, 8)])
+    order = np.lexsort((doc, *keys[::-1]))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    head = np.flatnonzero(new)
+    least = np.repeat(doc[order][head], np.diff(np.append(head, len(order))))
+    gone = order[doc[order] > least]
     rows = []
+    if len(gone):
+        gone = gone[np.lexsort((first[gone], doc[gone]))]
+        ends = first[gone] + far[gone].astype(np.int32) - near[gone] + LENGTH
+        rows.append({"part": group % parts, "group": group, "docs": b"", "turns": b"", "low": b"", "high": b"", "windows": b"", "nears": b"", "fars": b"", "bytes": b"", "sdocs": doc[gone].tobytes(), "sturns": turn[gone].tobytes(), "starts": first[gone].tobytes(), "ends": ends.astype(np.int32).tobytes()})
+        left_over = np.ones(len(doc), bool)
+        left_over[gone] = False
+        hashes, doc, turn, first, near, far, some = (x[left_over] for x in (hashes, doc, turn, first, near, far, some))
+    part = part_of(hashes, parts)
+    order = np.argsort(part, kind="stable")
     for p, cut in cuts(part[order]):
         o = order[cut]
         low, high = packed(hashes[o])
@@ -291,7 +312,10 @@ def removed_spans(table: pa.Table) -> pa.Table:
     bucket = np.concatenate([unpacked(a, b) for a, b in zip(table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True)])
     first, near, far = joined(table, "windows", np.int32).astype(np.int64), joined(table, "nears", np.uint8).astype(np.int64), joined(table, "fars", np.uint8).astype(np.int64)
     block = joined(table, "bytes", np.uint8).reshape(-1, CONTEXT)
+    known = [{"group": g, "docs": d, "turns": t, "starts": a, "ends": b} for g, d, t, a, b in zip(*(table.column(c).to_pylist() for c in ("group", "sdocs", "sturns", "starts", "ends")), strict=True) if d]
     del table
+    if not len(doc):
+        return _table(known, SPANS)
     # equal contexts are one row from here on, under the least id
     words = [words_of(block, o, o + 8) for o in range(0, CONTEXT, 8)]
     mixed = bucket * np.uint64(FACTOR)
@@ -332,7 +356,7 @@ def removed_spans(table: pa.Table) -> pa.Table:
     rows, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
     order = np.lexsort((a, doc[rows], group[rows]))
     rows, a, b = rows[order], a[order], b[order]
-    return _table([{"group": g, "docs": doc[rows[cut]].tobytes(), "turns": turn[rows[cut]].tobytes(), "starts": a[cut].astype(np.int32).tobytes(), "ends": b[cut].astype(np.int32).tobytes()} for g, cut in cuts(group[rows])], SPANS)
+    return _table(known + [{"group": g, "docs": doc[rows[cut]].tobytes(), "turns": turn[rows[cut]].tobytes(), "starts": a[cut].astype(np.int32).tobytes(), "ends": b[cut].astype(np.int32).tobytes()} for g, cut in cuts(group[rows])], SPANS)
 
 
 def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -366,8 +390,9 @@ def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document of ``docs(doc_id, text)``.
 
-    Null text: no bytes. Null doc_id: larger than any other id. Rows with one doc_id do not count against each other.
-    Texts of fewer than LENGTH bytes stay. Exact copies of a text go whole, without expansion. No rows: no rows.
+    Null text: no bytes. Null doc_id: larger than any other id. Rows with one doc_id do not count against each other, and each of
+    its texts is judged by itself. Texts of fewer than LENGTH bytes stay. Exact copies of a text go whole, without
+    expansion. A very long text is handled whole, in one task. No rows: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -375,7 +400,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = min(1 << 31, max(2 * tasks, total // PART_BYTES + 1))
     groups = max(4 * tasks, total // GROUP_BYTES + 1)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
-    rows = docs.select(doc.alias("doc_id"), F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int").alias("group"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(doc.alias("doc_id"), F.pmod(F.xxhash64(doc, F.coalesce("text", F.lit(""))), F.lit(groups)).cast("int").alias("group"), F.coalesce("text", F.lit("")).alias("text"))
     digest = rows.select("doc_id", "group", F.unhex(F.md5("text")).alias("digest"))
     # a table of the digests of several documents: beside it, adaptive execution can split a digest that very many share
     least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
