@@ -51,10 +51,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     Returns doc_id, source, size, source_size, weight, target, epochs, taken. The document at which a source's
     budget ends is taken in part, so a source's ``taken`` sums to the floor of its target.
 
-    Null or empty text: size 0, nothing taken. Null source: a source of its own, last in order. Equal doc_ids tie
-    by size; rows that are equal in both are alike, so reruns agree. No rows: no rows. Other columns are ignored.
+    Null or empty text: size 0, nothing taken. Null source: a source of its own, last in order. The key is a hash of id and
+    text, so rows of one id, or without one, spread like others; rows that are equal in both are alike, so reruns agree. Very
+    long texts count whole. No rows: no rows. Other columns are ignored.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
     rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     most = sources.agg(F.max("n"), F.count("*")).first()
@@ -82,7 +83,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM {docs}),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '#' || md5(coalesce(text, ''))) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM s),
 p AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, sum(weight) OVER ()::BIGINT AS all_w,
@@ -94,7 +95,7 @@ f AS (SELECT *, coalesce(sum(CASE WHEN above THEN 3 * source_size END) OVER (),
 t AS (SELECT source, source_size, weight, CASE WHEN above THEN (3 * source_size)::DOUBLE
         ELSE weight::DOUBLE * (total - c_held)::DOUBLE / greatest(open_w, 1)::DOUBLE END AS target FROM f),
 x AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.weight, t.target, floor(t.target)::BIGINT AS budget,
-        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
