@@ -3,29 +3,35 @@
 Every word (a run of letters) gets scores for each language from hashed features: character bigrams and trigrams
 with word ends, prefix, suffix, the word itself, and its presence in learned lexicons. Learned transitions tie
 neighbouring words, so code-switched passages come out as runs. Forward-backward gives each word's language
-probabilities; a text's language has the greatest sum of them.
+probabilities; a word's label is the most probable language, and a text's language has the greatest sum of them.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_rows
 
 #: Labelled documents of each language that the model is fitted on, at most; they are chosen by a hash of doc_id.
 TRAIN_DOCS = 150
+#: Characters of text that the model is fitted on, at most, shared evenly by the languages; whole texts that fit are taken.
+TRAIN_CHARS = 20_000_000
 #: Words of each language's lexicon.
 LEXICON = 400
 BUCKETS = 1 << 15
-#: Characters that are scored at a time.
+#: Characters that are scored at a time, and words of one chain in a step of forward-backward (a multiple of BLOCK).
 PIECE = 1_000_000
+CHAIN = 1 << 17
 BLOCK = 64
 SEGMENT = 120
+NO_LETTER = re.compile(r"[\W\d_]")
 
 
 @dataclass
@@ -102,11 +108,47 @@ def emissions(words: Words, model: Crf) -> np.ndarray:
     return out
 
 
-def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, pairs: bool = False):
+def long_marginals(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray):
+    """(first word, marginals) of each CHAIN words, the last first: one exact chain, of which a part is in memory at a time.
+
+    A pass forward keeps what enters each part, a pass backward fills the parts in.
+    """
+    cuts = list(range(0, len(scores), CHAIN))
+    enter: list[np.ndarray | None] = [None]
+    for at in cuts[:-1]:
+        enter.append(_forward(scores[at : at + CHAIN], starts[at : at + CHAIN], moves, enter[-1]))
+    leave = None
+    for at, v in zip(reversed(cuts), reversed(enter), strict=True):
+        gamma, _, leave = forward_backward(scores[at : at + CHAIN], starts[at : at + CHAIN], moves, False, v, leave, True)
+        yield at, gamma
+
+
+def _forward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, v: np.ndarray | None) -> np.ndarray:
+    """Forward probabilities after a part, whose length is a multiple of BLOCK, from those before it."""
+    k = scores.shape[1]
+    e = np.exp(scores - scores.max(1, keepdims=True)).reshape(-1, BLOCK, k)
+    fresh = starts.copy()
+    fresh[0] |= v is None
+    fresh = fresh.reshape(-1, BLOCK)
+    move = np.exp(moves - moves.max())
+    whole = np.broadcast_to(np.eye(k), (len(e), k, k)).copy()
+    for s in range(BLOCK):
+        whole = np.matmul(whole, np.where(fresh[:, s, None, None], 1.0, move[None])) * e[:, s, None, :]
+        whole /= whole.sum((1, 2), keepdims=True)
+    v = np.ones(k) if v is None else v
+    for m in whole:
+        v = v @ m
+        v /= v.sum()
+    return v
+
+
+def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None, edge: bool = False):
     """Marginals of each word, and with ``pairs`` the expected number of moves from language to language.
 
     ``starts`` marks words that begin a text; no transition leads into them. The chain is cut into blocks: their
-    transfer matrices are multiplied for all blocks at once, then the blocks are linked, then filled in.
+    transfer matrices are multiplied for all blocks at once, then the blocks are linked, then filled in. A part of a
+    longer chain gets the forward probabilities ``before`` it and the backward ones ``after`` it (its length is then a multiple
+    of BLOCK), and with ``edge`` returns the backward ones at its beginning as well.
     """
     n, k = scores.shape
     if not n:
@@ -116,7 +158,7 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray,
     e[:n] = np.exp(scores - scores.max(1, keepdims=True))
     fresh = np.ones(size, bool)
     fresh[:n] = starts
-    fresh[0] = True
+    fresh[0] |= before is None
     e, fresh = e.reshape(-1, BLOCK, k), fresh.reshape(-1, BLOCK)
     move = np.exp(moves - moves.max())
     blocks = len(e)
@@ -126,12 +168,12 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray,
         whole = np.matmul(whole, step(s)) * e[:, s, None, :]
         whole /= whole.sum((1, 2), keepdims=True)
     into, out = np.empty((blocks, k)), np.empty((blocks, k))
-    v = np.ones(k)
+    v = np.ones(k) if before is None else before
     for b in range(blocks):
         into[b] = v
         v = v @ whole[b]
         v /= v.sum()
-    v = np.ones(k)
+    v = np.ones(k) if after is None else after
     for b in range(blocks - 1, -1, -1):
         out[b] = v
         v = whole[b] @ v
@@ -152,7 +194,7 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray,
     gamma = alpha * beta
     gamma /= gamma.sum(1, keepdims=True)
     if not pairs:
-        return gamma, None
+        return (gamma, None, v[0]) if edge else (gamma, None)
     inner = np.flatnonzero(~starts[1:]) + 1
     joint = alpha[inner - 1][:, :, None] * move[None] * (e.reshape(-1, k)[:n][inner] * beta[inner])[:, None, :]
     joint /= joint.sum((1, 2), keepdims=True)
@@ -234,22 +276,36 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Crf:
-    """Fit on whole texts of at most about ``max_docs`` documents of each language, none of them held out."""
+    """Fit on whole texts of at most about ``max_docs`` documents of each language, none of them held out, within TRAIN_CHARS."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # a share of each language by hash leaves max_docs on average; 1.2 times that many can come, not more
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n")).alias("share"))
     rows = known.join(F.broadcast(share), "lang").filter(key < F.col("share") * (1 << 30)).select("lang", "text", "doc_id", key.alias("key"))
-    rows = rows.orderBy("key", "doc_id", "text").limit(int(1.2 * max_docs) * max(1, sizes.count())).collect()
+    budget = TRAIN_CHARS // max(1, sizes.count())
+    order = Window.partitionBy("lang").orderBy("key", "doc_id", "text")
+    rows = rows.filter(F.length("text") <= budget // 4).withColumn("at", F.row_number().over(order)).withColumn("chars", F.sum(F.length("text")).over(order))
+    rows = rows.filter((F.col("at") <= int(1.2 * max_docs)) & (F.col("chars") <= budget)).orderBy("key", "doc_id", "text").collect()
     return fit([(r.text, r.lang) for r in rows])
 
 
-def predict(texts: list[str | None], model: Crf, table: np.ndarray) -> tuple[list[str], list[float]]:
-    """Language and score of each whole text: the language's share of the words' probabilities."""
+def label_runs(labels: np.ndarray, own: np.ndarray, langs: list[str], n: int) -> list[str]:
+    """For each of ``n`` texts its runs of words of one label: lang:words, comma-joined; ``own`` is the text of each word."""
+    out: list[list[str]] = [[] for _ in range(n)]
+    if len(labels):
+        first = np.flatnonzero(np.append(True, (labels[1:] != labels[:-1]) | (own[1:] != own[:-1])))
+        for i, y, size in zip(own[first].tolist(), labels[first].tolist(), np.diff(np.append(first, len(labels))).tolist(), strict=True):
+            out[i].append(f"{langs[y]}:{size}")
+    return [",".join(x) for x in out]
+
+
+def predict(texts: list[str | None], model: Crf, table: np.ndarray) -> tuple[list[str], list[float], list[str]]:
+    """Language and score (the language's share of the words' probabilities) of each whole text, and its runs of labels."""
     if not model.langs:
-        return ["und"] * len(texts), [0.0] * len(texts)
+        return ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
     sums = np.zeros((len(texts), len(model.langs)))
+    runs = [""] * len(texts)
     group: list[int] = []
     size = 0
 
@@ -259,8 +315,10 @@ def predict(texts: list[str | None], model: Crf, table: np.ndarray) -> tuple[lis
             text = texts[i].lower()
             at = 0
             while at < len(text):
-                end = text.find(" ", at + PIECE) if len(text) - at > PIECE else -1
-                end = len(text) if end < 0 else end
+                end = at + PIECE  # any place between words; in a word of that many letters, inside it
+                if end < len(text):
+                    m = NO_LETTER.search(text, end, end + PIECE)
+                    end = m.start() if m else end
                 pieces.append(text[at:end])
                 owner.append(i)
                 at = end
@@ -280,9 +338,14 @@ def predict(texts: list[str | None], model: Crf, table: np.ndarray) -> tuple[lis
         if not len(own):
             return
         firsts = np.append(True, own[1:] != own[:-1])
-        gamma, _ = forward_backward(np.concatenate(scores), firsts, model.moves)
-        for y in range(len(model.langs)):
-            sums[:, y] += np.bincount(own, gamma[:, y], len(texts))
+        labels = np.empty(len(own), np.int64)
+        for at, gamma in long_marginals(np.concatenate(scores), firsts, model.moves):
+            part = slice(at, at + len(gamma))
+            labels[part] = gamma.argmax(1)
+            for y in range(len(model.langs)):
+                sums[:, y] += np.bincount(own[part], gamma[:, y], len(texts))
+        for i, r in enumerate(label_runs(labels, own, model.langs, len(texts))):
+            runs[i] = r or runs[i]
 
     for i, text in enumerate(texts):
         if not text:
@@ -297,14 +360,15 @@ def predict(texts: list[str | None], model: Crf, table: np.ndarray) -> tuple[lis
     words = sums.sum(1)
     best = sums.argmax(1)
     langs = [model.langs[b] if n > 0 else "und" for b, n in zip(best, words, strict=True)]
-    return langs, [float(min(1.0, sums[i, b] / n)) if n > 0 else 0.0 for i, (b, n) in enumerate(zip(best, words, strict=True))]
+    return langs, [float(min(1.0, sums[i, b] / n)) if n > 0 else 0.0 for i, (b, n) in enumerate(zip(best, words, strict=True))], runs
 
 
 def identify(docs: DataFrame, model: Crf, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score for every whole text.
+    """``keep`` columns of ``docs`` with lang_pred, score and runs for every whole text.
 
-    Null text or text without letters: ``und`` with score 0; so is everything if nothing could be learned.
-    Texts of any length are one chain each. Repeated rows are labelled each. Other columns are ignored.
+    runs are the word labels: lang:words for each run of words of one language, comma-joined, in order. Null text or text
+    without letters: ``und`` with score 0 and no runs; so is everything if nothing could be learned. Texts of any length
+    are one chain each, worked through in parts. Repeated rows are labelled each. No rows: no rows. Other columns are ignored.
     """
     inputs = list(dict.fromkeys([*keep, "text"]))
 
@@ -312,9 +376,9 @@ def identify(docs: DataFrame, model: Crf, keep: tuple[str, ...] = ("doc_id",)) -
         table = letter_table()
 
         def step(part: pa.RecordBatch) -> dict:
-            langs, scores = predict(part.column("text").to_pylist(), model, table)
-            return {"lang_pred": langs, "score": scores}
+            langs, scores, runs = predict(part.column("text").to_pylist(), model, table)
+            return {"lang_pred": langs, "score": scores, "runs": runs}
 
         return step
 
-    return map_rows(docs.select(*inputs), "lang_pred string, score double", make, keep=keep)
+    return map_rows(docs.select(*inputs), "lang_pred string, score double, runs string", make, keep=keep)

@@ -33,7 +33,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return language.identify(docs, language.train(docs)).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, language.train(docs)).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "runs")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

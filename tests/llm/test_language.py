@@ -57,3 +57,36 @@ def test_code_switched_words():
     gamma, _ = language.forward_backward(language.emissions(words, model), first, model.moves)
     assert (gamma.argmax(1) == np.repeat([1, 0], [11, 11])).mean() > 0.9
     assert language.predict(["123 !", None, "der Hund"], model, table)[0] == ["und", "und", "de"]
+
+
+def test_chains_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    for n in (1, 64, 700, 1024, 1500):
+        scores, moves = rng.normal(size=(n, 3)), rng.normal(size=(3, 3))
+        starts = rng.random(n) < 0.004
+        starts[0] = True
+        whole, _ = language.forward_backward(scores, starts, moves)
+        monkeypatch.setattr(language, "CHAIN", 256)
+        got = np.zeros_like(whole)
+        for at, gamma in language.long_marginals(scores, starts, moves):
+            got[at : at + len(gamma)] = gamma
+        assert np.allclose(got, whole)
+
+
+def test_runs_of_a_code_switched_text(spark):
+    en, de = "the cat and the house of that man with this thing", "der Hund und das Haus mit einem Mann auf der Straße"
+    model = language.fit([(en, "en"), (de, "de")] * 20)
+    rows = [(1, f"{en}\n{de}"), (2, en), (3, None), (4, "1 2"), (5, f"{de} {en} {de}" * 3000)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[d].runs for d in (1, 2, 3, 4)] == ["en:11,de:11", "en:11", "", ""]
+    assert got[5].lang_pred == "de" and sum(int(x.split(":")[1]) for x in got[5].runs.split(",")) == 33 * 3000 - 2999
+
+
+def test_a_long_text_without_spaces(monkeypatch):
+    model = language.fit([("the cat and the house", "en"), ("der Hund und das Haus", "de")] * 20)
+    table = language.letter_table()
+    text = "\n".join(["der Hund und das Haus"] * 400)
+    want = language.predict([text], model, table)
+    monkeypatch.setattr(language, "PIECE", 1000)
+    assert language.predict([text], model, table) == want
+    assert language.predict(["x" * 5000], model, table)[0][0] in ("de", "en")
