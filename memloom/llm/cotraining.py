@@ -2,13 +2,15 @@
 
 The content view reads hashed words and shape statistics of the whole text; the metadata view reads source, language
 and length. Both are logistic models fitted on labelled documents. In each round every view labels the documents of
-an unlabelled pool it is most sure of, and these pseudo-labels train the other view. Both views are calibrated on
-held-out labels and combined by a logistic model of their calibrated outputs, which scores all documents.
+an unlabelled pool it is most sure of, and these pseudo-labels train the other view. Each view is calibrated, and both
+are combined by a logistic model of their calibrated outputs, which scores all documents. Labelled documents are dealt, equal
+texts together, into four parts: to train, to calibrate, to combine, and to set the threshold.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,8 @@ BUCKETS = 1 << 15
 STATS, BINS = 8, 16
 META = 256
 ROUNDS = 3
+#: Labelled documents, of twenty, that train, calibrate, combine and set the threshold.
+DEAL = (10, 3, 3, 4)
 #: Share of clean held-out documents that a threshold may reject.
 MAX_REJECTED = 0.01
 
@@ -122,8 +126,8 @@ class Scorer:
         return _sigmoid(np.column_stack([own, other, np.ones(n)]) @ self.mix)
 
 
-def cotrain(entries, meta: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, per_round: float = 0.1) -> Scorer:
-    """Fit both views on ``y`` (1, 0, or -1: unlabelled); ``held`` rows calibrate, combine and set the threshold.
+def cotrain(entries, meta: np.ndarray, y: np.ndarray, part: np.ndarray, rounds: int = ROUNDS, per_round: float = 0.1) -> Scorer:
+    """Fit both views on ``y`` (1, 0, or -1: unlabelled) of rows in part 0; part 1 calibrates them, part 2 combines them.
 
     In each round a view hands over at most ``per_round`` of the pool on each side of its boundary, in the ratio of
     the labels, and only where it is at least 90% sure.
@@ -131,7 +135,8 @@ def cotrain(entries, meta: np.ndarray, y: np.ndarray, held: np.ndarray, rounds:
     n = len(y)
     m_entries = (np.repeat(np.arange(n), meta.shape[1]), meta.ravel(), np.full(meta.size, 0.5))
     sides = [(View(np.zeros(BUCKETS + STATS * BINS)), entries), (View(np.zeros(META)), m_entries)]
-    train, hold, pool = (y >= 0) & ~held, (y >= 0) & held, y < 0
+    train, pool = (y >= 0) & (part == 0), y < 0
+    use = lambda k: (chosen := (y >= 0) & (part == k)).any() and len(set(y[chosen].tolist())) > 1
     share = float(np.clip(y[train].mean() if train.any() else 0.5, 0.02, 0.98))
     targets = [np.where(train, y, 0.5).astype(float) for _ in sides]
     weights = [train.astype(float) for _ in sides]
@@ -141,20 +146,22 @@ def cotrain(entries, meta: np.ndarray, y: np.ndarray, held: np.ndarray, rounds:
             if turn == 0 or weights[k][pool].any():
                 view.fit(*rows, n, targets[k], weights[k], steps=60 if turn == 0 else 30)
             z = view.logits(*rows, n)
-            if hold.any() and len(set(y[hold].tolist())) > 1:
+            if use(1):
+                hold = (y >= 0) & (part == 1)
                 view.scale, view.shift = logistic(z[hold, None], y[hold])
             sure.append(_sigmoid(view.calibrated(z)))
         if turn == rounds or not pool.any():
             break
         for k, p in enumerate(sure):
             other = 1 - k
-            for label, part, ranked in ((1, share, p), (0, 1 - share, 1 - p)):
+            for label, of, ranked in ((1, share, p), (0, 1 - share, 1 - p)):
                 free = np.flatnonzero(pool & (weights[other] == 0) & (ranked >= 0.9))
-                best = free[np.argsort(-ranked[free], kind="stable")][: int(per_round * part * pool.sum())]
+                best = free[np.argsort(-ranked[free], kind="stable")][: int(per_round * of * pool.sum())]
                 targets[other][best] = label
                 weights[other][best] = 0.3
     z = np.column_stack([view.calibrated(view.logits(*rows, n)) for view, rows in sides])
-    mix = logistic(z[hold], y[hold]) if hold.any() and len(set(y[hold].tolist())) > 1 else np.array([1.0, 0.0, 0.0])
+    hold = (y >= 0) & (part == 2)
+    mix = logistic(z[hold], y[hold]) if use(2) else np.array([1.0, 0.0, 0.0])
     return Scorer(sides[0][0], sides[1][0], mix)
 
 
@@ -181,18 +188,19 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, pool_d
 
         return step
 
-    got = map_rows(rows, "doc_id long, f binary, v binary, m array<long>, quality int, toxic int", make).limit(2 * (max_docs + pool_docs)).collect()
+    got = map_rows(rows, "doc_id long, f binary, v binary, m array<long>, quality int, toxic int", make).collect()
     got.sort(key=lambda r: (r.doc_id, r.f))
     sizes = np.array([len(r.f) // 2 for r in got], np.int64)
     entries = (np.repeat(np.arange(len(got)), sizes), np.concatenate([np.frombuffer(r.f, np.uint16) for r in got] + [np.zeros(0, np.uint16)]).astype(np.int64), np.concatenate([np.frombuffer(r.v, np.float32) for r in got] + [np.zeros(0, np.float32)]).astype(float))
     meta = np.array([r.m for r in got], np.int64).reshape(len(got), 4)
-    held = np.arange(len(got)) % 3 == 0
+    # equal texts have equal features and fall into the same part
+    part = np.searchsorted(np.cumsum(DEAL), [zlib.crc32(r.f + r.v) % sum(DEAL) for r in got], side="right")
     out = {}
     for name in ("quality", "toxic"):
         y = np.array([-1 if getattr(r, name) is None else getattr(r, name) for r in got], np.int64)
-        scorer = cotrain(entries, meta, y, held)
+        scorer = cotrain(entries, meta, y, part)
         scores = scorer.scores(entries, meta)
-        clean = held & (y == (name == "quality"))
+        clean = (part == 3) & (y == (name == "quality"))
         if clean.any():
             least, most = np.quantile(scores[clean], [MAX_REJECTED, 1 - MAX_REJECTED])
             scorer.threshold = float(min(0.5, least) if name == "quality" else max(0.5, most))
@@ -204,8 +212,8 @@ def score(docs: DataFrame, scorers: dict[str, Scorer]) -> DataFrame:
     """doc_id, quality_score, toxic_score (0 to 1) and kept for every whole text.
 
     kept: quality at or above its threshold, and toxicity at or below its own. Null or empty text: scored by its
-    metadata and shape. Null metadata: a value of its own. Repeated rows are scored each. No labels: every score is that of
-    an untrained model, and everything is kept.
+    metadata and shape. Very long texts are read whole. Null metadata: a value of its own. Repeated rows are scored each. No
+    labels: every score is that of an untrained model, and everything is kept. No rows: no rows. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
