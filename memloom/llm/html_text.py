@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 #: Fixed values of HTML: elements without content, with raw content, of block kind.
@@ -24,40 +24,56 @@ RAW = frozenset("script style textarea title noscript xmp iframe noembed noframe
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that a start tag of the same family ends, and the elements beyond which it does not reach.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DROPPED = frozenset("script style noscript template iframe object embed applet svg canvas math nav aside footer form button select textarea input label fieldset dialog menu head title search audio video map".split())
+DROPPED = frozenset("script style noscript template iframe object embed applet svg canvas nav aside footer form button select textarea input label fieldset dialog menu head title search audio video map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Parts of class and id names that mark what is no text, and what is.
-NEGATIVE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|comments?|replies|disqus|respond|sidebar|side|aside|rail|widget|related|recommend\w*|menu|nav\w*|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|copyright|legal|tags?|meta|byline|hidden", re.I)
-POSITIVE = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
-ABOUT_COMMENTS = re.compile(r"comments?|cookies?|ads?|advert\w*|sidebar", re.I)
+#: Words of class and id names: what is no text, what is a header of whatever it stands in, what is main text, and what says neither.
+NEGATIVE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|shar(?:e|ing)|social|comments?|repl(?:y|ies)|disqus|respond|sidebar|aside|widgets?|related|recommend\w*|menu|nav\w*|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|copyright|hidden", re.I)
+HEAD = re.compile(r"header|masthead", re.I)
+POSITIVE = re.compile(r"article|body|content|entry|hentry|main|post|text|blog|story", re.I)
+NEUTRAL = re.compile(r"box|bar|list|items?|links?|buttons?|btn|containers?|wrap(?:per)?|inner|outer|block|section|area|panel|site|page|global|top|bottom|left|right|fixed|sticky|holder|group|row|col(?:umn)?|slot|unit|zone|region|form|title|heading|count|toggle|icons?|primary|secondary|posts|articles|stories|more|media|message|card|\w*\d\w*|\w", re.I)
+#: What readers wrote stays out however long it is.
+COMMENTS = re.compile(r"comments?|repl(?:y|ies)|disqus|respond", re.I)
 NO_NAME = frozenset("has with without no is".split())
+WORDS = re.compile(r"[_\-.:\s]+|(?<=[a-z])(?=[A-Z])")
+#: What a name says: nothing, that it may be no text, that it is a header, that it is no text, that it is a reader's text.
+PLAIN, HINT, HEADER, NO_TEXT, READER = range(5)
 
 
-def named(value: str) -> tuple[bool, bool]:
-    """Whether a class or id value names something that is no text, and whether it names main text.
+def named(value: str) -> tuple[int, bool]:
+    """What a class or id value says of an element, and whether it names main text.
 
-    In a name with both kinds of parts the last part decides, and a comment's body is a comment; has-sidebar is neither.
+    Only a name that has no other word than those of its kind says that something is no text: share-buttons does, share-price
+    is a hint. In a name with words of both kinds the last one decides, but a comment's body is a comment; has-sidebar says
+    nothing.
     """
-    bad = good = False
+    says, good = PLAIN, False
     for name in value.split():
-        parts = [p for p in re.split(r"[_-]+", name) if p]
+        parts = [p for p in WORDS.split(name) if p]
         if not parts or parts[0].lower() in NO_NAME:
             continue
-        negative, positive = any(map(NEGATIVE.fullmatch, parts)), any(map(POSITIVE.fullmatch, parts))
-        no_text = negative and (not positive or bool(NEGATIVE.fullmatch(parts[-1]) or ABOUT_COMMENTS.fullmatch(parts[0])))
-        bad |= no_text
-        good |= positive and not no_text
-    return bad, good
+        kinds = [(bool(NEGATIVE.fullmatch(p)), bool(HEAD.fullmatch(p)), bool(POSITIVE.fullmatch(p))) for p in parts]
+        negative, head, positive = (any(k[i] for k in kinds) for i in range(3))
+        known = all(any(k) or NEUTRAL.fullmatch(p) for k, p in zip(kinds, parts, strict=True))
+        now = PLAIN
+        if any(COMMENTS.fullmatch(p) for p in parts) and known:
+            now = READER
+        elif negative and (not positive or kinds[-1][0] or kinds[0][0]):
+            now = NO_TEXT if known else HINT
+        elif head and known and not positive:
+            now = HEADER
+        says = max(says, now)
+        good |= positive and now == PLAIN
+    return says, good
 
 
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("bad", "good", "kids", "links", "parent", "score", "size", "tag")
+    __slots__ = ("bad", "good", "kids", "links", "parent", "says", "score", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False, good: bool = False) -> None:
-        self.tag, self.parent, self.bad, self.good = tag, parent, bad, good
+    def __init__(self, tag: str, parent: Node | None, bad: bool = False, says: int = PLAIN, good: bool = False) -> None:
+        self.tag, self.parent, self.bad, self.says, self.good = tag, parent, bad, says, good
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.size = self.links = 0
@@ -70,10 +86,10 @@ def parse(page: str) -> Node:
     while at < end:
         m = MARKUP.search(page, at)
         if not m:
-            here.kids.append(page[at:])
+            here.kids.append(entities.unescape(page[at:]))
             break
-        if m.start() > at:
-            here.kids.append(page[at : m.start()])
+        if m.start() > at:  # a reference ends with its text: no markup can complete it
+            here.kids.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -120,22 +136,23 @@ def _closed(here: Node, tag: str) -> Node:
     return target or here
 
 
-def _hints(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is no part of the text, and whether it is named like main text."""
-    bad, good = tag in DROPPED, tag in ("article", "main")
+def _hints(tag: str, attributes: str) -> tuple[bool, int, bool]:
+    """Whether an element is no part of the text, what its names say, and whether it is named like main text."""
+    bad, says, good = tag in DROPPED, HEADER if tag == "header" else PLAIN, tag in ("article", "main")
     if attributes and attributes != "/" and tag not in ("html", "body"):
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                no_text, main = named(value)
+                own, main = named(value)
                 good |= main
-                bad |= no_text and not main and tag not in ("article", "main", *HEADINGS)
+                if not main and tag not in ("article", "main", *HEADINGS):
+                    says = max(says, own)
             elif name == "role":
                 good |= value in ("main", "article")
                 bad |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
                 bad = True
-    return bad, good
+    return bad, says, good
 
 
 def blocks(node: Node) -> list[str]:
@@ -144,7 +161,7 @@ def blocks(node: Node) -> list[str]:
     pieces: list[str] = []
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(pieces)).split())
+        text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
             out.append(text)
@@ -166,14 +183,46 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def judge(root: Node) -> None:
+    """Mark the elements whose names say that they are no text, unless what they hold speaks against it.
+
+    A header goes where it stands in no article. An element that only hints goes if it is mostly links, or short and without a
+    paragraph. One that holds most of a longer page's text, in several paragraphs and few links, stays, whatever its name, unless
+    readers wrote it.
+    """
+    order: list[tuple[Node, bool]] = []
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if not node.bad:
+            order.append((node, inside))
+            within = inside or node.tag in ("article", "main")
+            stack.extend((k, within) for k in node.kids if isinstance(k, Node))
+    paragraphs: dict[int, int] = {}
+    for node, _ in reversed(order):
+        kids = [k for k in node.kids if isinstance(k, Node) and not k.bad]
+        node.size = sum(len(k.strip()) for k in node.kids if isinstance(k, str)) + sum(k.size for k in kids)
+        node.links = node.size if node.tag == "a" else sum(k.links for k in kids)
+        paragraphs[id(node)] = (node.tag == "p") + sum(paragraphs[id(k)] for k in kids)
+    for node, inside in order:
+        linked = 3 * node.links > node.size
+        most = 2 * node.size > root.size and node.size >= 400 and paragraphs[id(node)] > 1 and not linked
+        if node.says == READER or node.says == NO_TEXT and not most or node.says == HEADER and not inside and not most:
+            node.bad = True
+        elif node.says == HINT:
+            node.bad = linked or node.tag not in ("p", "td", "li", "span", "em", "strong", "b", "i") and not paragraphs[id(node)] and node.size < 100
+    for node, _ in order:
+        node.size = node.links = 0
+
+
 def main_node(root: Node) -> list[Node]:
     """The nodes whose text is the page's main text: the best container, and siblings that belong to it."""
+    judge(root)
     order: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
-        if node.bad or node.tag == "header" and not _within(node, ("article", "main")):
-            node.bad = True
+        if node.bad:
             continue
         order.append(node)
         stack.extend(k for k in node.kids if isinstance(k, Node))
@@ -212,22 +261,13 @@ def main_node(root: Node) -> list[Node]:
     for kid in best.parent.kids if best.parent is not None else [best]:
         if kid is best:
             out.append(kid)
-        elif isinstance(kid, Node) and not kid.bad and kid.tag != "header" and kid.size:
+        elif isinstance(kid, Node) and not kid.bad and kid.says != HEADER and kid.size:
             density = kid.links / kid.size
             if value(kid) >= least or kid.tag == "p" and (kid.size > 80 and density < 0.25 or density == 0 and kid.size >= 25):
                 out.append(kid)
     return out
 
 
-def _within(node: Node, tags: tuple[str, ...]) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in tags:
-            return True
-        up = up.parent
-    return False
-
-
 def main_text(page: str | None) -> str:
     """Main text of a page: its blocks joined by newlines; empty for null, empty or textless pages."""
     if not page:
@@ -239,8 +279,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages(page_id, url, html)``.
 
-    Null or empty html: empty text. Broken markup is read as far as it goes. Repeated rows are extracted each.
-    Other columns are ignored.
+    Null or empty html: empty text. Broken markup is read as far as it goes. Very long pages are read whole, in time that follows
+    their length. Repeated rows are extracted each. No rows: no rows. Other columns are ignored.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 

@@ -22,9 +22,34 @@ def test_leaves_out_what_is_no_text():
 
 
 def test_names():
-    from memloom.llm.html_text import named
+    from memloom.llm.html_text import HEADER, HINT, NO_TEXT, PLAIN, READER, named
 
-    assert [named(x) for x in ("post-comments", "comment-body", "has-sidebar", "post-content", "content sidebar", "page-header", "lead", "cookie_text", "main")] == [(True, False), (True, False), (False, False), (False, True), (True, True), (True, False), (False, False), (True, False), (False, True)]
+    want = {"post-comments": (READER, False), "comment-body": (READER, False), "has-sidebar": (PLAIN, False), "post-content": (PLAIN, True), "content sidebar": (NO_TEXT, True), "page-header": (HEADER, False), "lead": (PLAIN, False), "cookie_text": (NO_TEXT, False), "main": (PLAIN, True), "share-price": (HINT, False), "shareButtons": (NO_TEXT, False), "legal-analysis": (PLAIN, False), "side-effects": (PLAIN, False), "article-header": (PLAIN, True), "byline": (PLAIN, False), "ad-slot-300x250": (NO_TEXT, False)}
+    assert {x: named(x) for x in want} == want
+
+
+def test_names_are_evidence():
+    text = " ".join(FILL.split())
+    body = f"<p>{FILL * 2}</p><p>{FILL}</p>"
+    two = f"{text} {text}\n{text}"
+    inside = {f'<p class="share-price">{FILL}</p>': text, f'<section class="legal-analysis"><p>{FILL}</p></section>': text, f'<div class="side-effects"><p>{FILL}</p></div>': text, f'<p class="byline">{FILL}</p>': text, "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>": "so x=2 holds", f'<ul class="tags"><li>{FILL}</li></ul>': text, '<div class="share-buttons"><a href=x>Share</a></div>': "", f'<div class="cookie-notice">{FILL}</div>': "", f'<div class="related-posts"><p>{FILL}</p></div>': "", '<div class="ad-xyz">Buy now</div>': ""}
+    for extra, want in inside.items():
+        assert main_text(f"<body><article>{body}{extra}{body}</article></body>") == "\n".join(x for x in (two, want, two) if x), extra
+    assert main_text(f'<body><div class="article-header"><h1>Title</h1></div><div class="article-body">{body}</div></body>').startswith(("Title", text))
+    assert main_text(f'<body><article><div class="article-header"><h1>Title</h1></div>{body}</article></body>') == f"Title\n{two}"
+    assert main_text(f'<body><div class="modal">{body * 3}</div><p>x</p></body>').startswith(two)
+    assert main_text(f'<body><article>{body}</article><div id="comments">{body * 9}</div></body>') == two
+
+
+def test_references_end_with_their_text():
+    assert main_text("<article><p>a &am<b></b>p; b &amp; c &lt;i&gt; &#233; &nbsp; d</p></article>") == "a &amp; b & c <i> é d"
+
+
+def test_a_very_long_page():
+    n = 20_000
+    page = "<body><nav><a href=x>m</a></nav><div id=content>" + "".join(f"<p class='x{i}>odd' title=\"y\">{i} {FILL}</p>" for i in range(n)) + "</div></body>"
+    got = main_text(page).split("\n")
+    assert len(got) == n and got[-1] == f"{n - 1} " + " ".join(FILL.split())
 
 
 def test_containers_without_article():
