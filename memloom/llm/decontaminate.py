@@ -3,12 +3,14 @@
 Texts and benchmark items are normalised (lower case, runs of other than letters and digits made one space) and cut
 into q-grams. An item within ``k`` edits of a part of a text shares at least ``len - q + 1 - k q`` q-grams with it, on
 diagonals that differ by at most ``k``. Shared q-grams are counted in overlapping bands of diagonals; regions that
-meet the bound are verified by an alignment within the band.
+meet the bound are verified by an alignment within the band. Items too short for the bound at q = 8 have q = 4; those
+too short for an edit are looked for as whole words.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -19,12 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, packed, unpacked
 
-Q = 8
+#: Lengths of q-grams: the first at which an item's edits leave a bound of one shared q-gram at least.
+QS = (8, 4)
 #: Edits that an occurrence may have, as a share of the item's normalised length.
 ERROR_RATE = 0.1
 #: Characters of benchmark text that are searched for in one pass; a larger benchmark takes several passes.
 BLOCK_CHARS = 2_000_000
 FILTER_BITS = 22
+#: Shared q-grams that are looked at in one step; text and item can both repeat themselves, so there can be any number.
+STEP = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 OTHER = re.compile(r"[\u0100-\U0010FFFF]+")
 #: Letters and digits of Latin-1 stay, all other bytes become spaces.
@@ -42,12 +47,12 @@ def normalise(text: str) -> bytes:
     return b" ".join(data.translate(LETTERS).split())
 
 
-def grams(data: bytes) -> np.ndarray:
-    """The q-gram at each position, as an unsigned number."""
-    n = len(data) - Q + 1
+def grams(data: bytes, q: int) -> np.ndarray:
+    """The q-gram at each position, as an unsigned number; q is 8 or 4."""
+    n = len(data) - q + 1
     out = np.empty(max(0, n), np.uint64)
-    for o in range(min(Q, max(0, n))):
-        out[o::Q] = np.frombuffer(data, np.uint64, (n - o + Q - 1) // Q, o)
+    for o in range(min(q, max(0, n))):
+        out[o::q] = np.frombuffer(data, f"u{q}", (n - o + q - 1) // q, o)
     return out
 
 
@@ -57,8 +62,9 @@ def slots(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items of one block with a sorted list of their q-grams and a bit filter over it."""
+    """Items of one block and one q with a sorted list of their q-grams and a bit filter over it."""
 
+    q: int
     ids: list
     items: list[bytes]
     edits: np.ndarray  # allowed edits of each item
@@ -70,20 +76,39 @@ class Index:
     filter: np.ndarray
 
 
-def build(rows: list[tuple], rate: float = ERROR_RATE) -> Index:
-    """Index of (item_id, text) rows. Items of fewer than Q normalised bytes have no q-gram and are never found."""
-    kept = [(i, data) for i, data in ((i, normalise(t or "")) for i, t in rows) if len(data) >= Q]
+@dataclass
+class Words:
+    """Items without an edit to spare, found as whole words only."""
+
+    ids: list
+    items: list[bytes]
+
+
+def build(rows: list[tuple], rate: float = ERROR_RATE) -> list[Index | Words]:
+    """Indexes of (item_id, text) rows. Items without letters or digits are never found."""
+    kept = [(i, data) for i, data in ((i, normalise(t or "")) for i, t in rows) if data]
+    by: dict[int, list[tuple]] = {}
+    for i, data in kept:
+        k = int(rate * len(data))
+        by.setdefault(next((q for q in QS if k and len(data) - q + 1 - k * q >= 1), 0), []).append((i, data))
+    out: list[Index | Words] = [_index(by[q], q, rate) for q in QS if q in by]
+    if 0 in by:
+        out.append(Words([i for i, _ in by[0]], [d for _, d in by[0]]))
+    return out
+
+
+def _index(kept: list[tuple], q: int, rate: float) -> Index:
     sizes = np.array([len(d) for _, d in kept], np.int64)
-    edits = np.maximum(0, np.minimum((rate * sizes).astype(np.int64), (sizes - Q) // Q))
-    all_grams = [grams(d) for _, d in kept]
-    gram = np.concatenate([*all_grams, np.zeros(0, np.uint64)])
+    edits = (rate * sizes).astype(np.int64)
+    all_grams = [grams(d, q) for _, d in kept]
+    gram = np.concatenate(all_grams)
     item = np.repeat(np.arange(len(kept)), [len(g) for g in all_grams])
-    offset = np.concatenate([*(np.arange(len(g)) for g in all_grams), np.zeros(0, np.int64)]).astype(np.int64)
+    offset = np.concatenate([np.arange(len(g)) for g in all_grams]).astype(np.int64)
     order = np.argsort(gram, kind="stable")
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[slots(gram)] = True
     known, first = np.unique(gram[order], return_index=True)
-    return Index([i for i, _ in kept], [d for _, d in kept], edits, sizes - Q + 1 - edits * Q, known, np.append(first, len(gram)), item[order], offset[order], bits)
+    return Index(q, [i for i, _ in kept], [d for _, d in kept], edits, sizes - q + 1 - edits * q, known, np.append(first, len(gram)), item[order], offset[order], bits)
 
 
 def banded_distance(item: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int, int, int]:
@@ -119,61 +144,113 @@ def banded_distance(item: bytes, text: bytes, low: int, high: int, k: int) -> tu
     return (int(cost[j]), int(start[j]), int(ends[j])) if cost[j] <= k else (k + 1, 0, 0)
 
 
-def search(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item number, start, end, edits) of occurrences in a text, in its code points, by start."""
-    if not text or not len(index.known):
-        return []
-    data = normalise(text)
-    found = grams(data)
+def steps(n: np.ndarray) -> list[slice]:
+    """Slices of places that share about STEP entries each, one place at least; n is the number of entries of each."""
+    ends = np.cumsum(n)
+    out, at = [], 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+        out.append(slice(at, stop))
+        at = stop
+    return out
+
+
+def candidate_bands(data: bytes, index: Index) -> dict[tuple[int, int], int]:
+    """(item, band) of diagonals that may hold an occurrence, with an upper bound of the q-grams they share.
+
+    A q-gram of an item counts once in a band, or once in each step where the entries take several, which only lets more
+    bands through to the alignment.
+    """
+    found = grams(data, index.q)
     at = np.flatnonzero(index.filter[slots(found)])
     k = np.minimum(np.searchsorted(index.known, found[at]), len(index.known) - 1)
     same = index.known[k] == found[at]
     at, k = at[same], k[same]
     first, n = index.first[k], index.first[k + 1] - index.first[k]
-    if not len(n):
-        return []
-    entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-    item, offset = index.item[entry], index.offset[entry]
-    band = (np.repeat(at, n) - offset) // (index.edits[item] + 1)  # a band spans two strides: its own and the one after
+    parts = steps(n)
+
+    def entries(part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, its offset and its band (a band spans two strides: its own and the one after) of each shared q-gram."""
+        f, m = first[part], n[part]
+        entry = np.repeat(f - np.cumsum(m) + m, m) + np.arange(m.sum())
+        item, offset = index.item[entry], index.offset[entry]
+        return item, offset, (np.repeat(at[part], m) - offset) // (index.edits[item] + 1)
+
     # upper bounds of the counts, in a table of hashed bands: most bands end here
-    size = 1 << (4 * len(band)).bit_length()
-    cell = (item * 1_000_003 + band) & (size - 1)
-    counts = np.bincount(cell, minlength=size)
-    near = counts[cell] + np.maximum(counts[(cell + 1) & (size - 1)], counts[(cell - 1) & (size - 1)]) >= index.bound[item]
-    if not near.any():
-        return []
-    item, offset, band = item[near], offset[near], band[near]
-    hits = np.concatenate([np.stack([item, band, offset]), np.stack([item, band - 1, offset])], axis=1)
-    shift = band.min() - 1
-    key = (hits[0] << 40) | (hits[1] - shift)  # fewer than 2**40 bands in a text
-    order = np.lexsort((hits[2], key))
-    key, off = key[order], hits[2][order]
-    new = np.append(True, (key[1:] != key[:-1]) | (off[1:] != off[:-1]))  # an item's q-gram counts once in a band
-    keys, counts = np.unique(key[new], return_counts=True)
-    results: dict[tuple[int, int, int], int] = {}
-    for x, c in zip(keys.tolist(), counts.tolist(), strict=True):
-        i = x >> 40
-        if c < index.bound[i]:
+    size = 1 << min(24, 4 * int(n.sum()) + 1).bit_length() if n.sum() < 1 << 20 else 1 << 22
+    counts = np.zeros(size, np.int64)
+    cell = lambda item, band: (item * 1_000_003 + band) & (size - 1)
+    held = [entries(p) for p in parts] if len(parts) == 1 else None
+    for p in range(len(parts)):
+        item, _, band = held[p] if held else entries(parts[p])
+        counts += np.bincount(cell(item, band), minlength=size)
+    total: dict[tuple[int, int], int] = {}
+    for p in range(len(parts)):
+        item, offset, band = held[p] if held else entries(parts[p])
+        c = cell(item, band)
+        near = counts[c] + np.maximum(counts[(c + 1) & (size - 1)], counts[(c - 1) & (size - 1)]) >= index.bound[item]
+        if not near.any():
             continue
-        low = ((x & ((1 << 40) - 1)) + shift) * int(index.edits[i] + 1)
+        item, offset, band = item[near], offset[near], band[near]
+        hits = np.concatenate([np.stack([item, band, offset]), np.stack([item, band - 1, offset])], axis=1)
+        shift = band.min() - 1
+        key = (hits[0] << 40) | (hits[1] - shift)  # fewer than 2**40 bands in a text
+        order = np.lexsort((hits[2], key))
+        key, off = key[order], hits[2][order]
+        new = np.append(True, (key[1:] != key[:-1]) | (off[1:] != off[:-1]))
+        keys, number = np.unique(key[new], return_counts=True)
+        for x, m in zip(keys.tolist(), number.tolist(), strict=True):
+            b = (x >> 40, (x & ((1 << 40) - 1)) + shift)
+            total[b] = total.get(b, 0) + m
+    return {b: m for b, m in total.items() if m >= index.bound[b[0]]}
+
+
+def search_index(data: bytes, index: Index | Words) -> dict[tuple[int, int, int], int]:
+    """{(item number, start, end): edits} of occurrences in normalised bytes."""
+    results: dict[tuple[int, int, int], int] = {}
+    if isinstance(index, Words):
+        framed = b" " + data + b" "
+        for i, item in enumerate(index.items):
+            at = framed.find(b" " + item + b" ")
+            while at >= 0:
+                results[i, at, at + len(item)] = 0
+                at = framed.find(b" " + item + b" ", at + 1)
+        return results
+    for i, band in sorted(candidate_bands(data, index)):
         k = int(index.edits[i])
+        low = int(band) * (k + 1)
         exact = data.find(index.items[i], max(0, low), low + 2 * k + 2 + len(index.items[i]))
         e, s, t = (0, exact, exact + len(index.items[i])) if exact >= 0 else banded_distance(index.items[i], data, low - k, low + 3 * k + 2, k)
         if e <= k:
             results[i, s, t] = min(e, results.get((i, s, t), e))
-    return _in_code_points(text, best_apart(results)) if results else []
+    return results
+
+
+def search(text: str | None, indexes: list[Index | Words]) -> list[tuple[object, int, int, int]]:
+    """(item id, start, end, edits) of occurrences in a text, in its code points, by start."""
+    if not text or not indexes:
+        return []
+    data, out = normalise(text), []
+    for index in indexes:
+        if results := search_index(data, index):
+            out += [(index.ids[i], s, t, e) for i, s, t, e in best_apart(results)]
+    return _in_code_points(text, sorted(out, key=lambda x: (x[1], x[2], str(x[0])))) if out else []
 
 
 def best_apart(results: dict[tuple[int, int, int], int]) -> list[tuple[int, int, int, int]]:
     """Of overlapping occurrences of one item the one with the fewest edits, the first of equals."""
     out: list[tuple[int, int, int, int]] = []
+    taken: dict[int, list[tuple[int, int]]] = {}
     for (i, s, t), e in sorted(results.items(), key=lambda x: (x[0][0], x[1], x[0][1:])):
-        if not any(i == j and s < v and u < t for j, u, v, _ in out):
+        mine = taken.setdefault(i, [])  # disjoint spans by start: only the neighbours can overlap
+        at = bisect.bisect_left(mine, (s, t))
+        if (at == 0 or mine[at - 1][1] <= s) and (at == len(mine) or mine[at][0] >= t):
+            mine.insert(at, (s, t))
             out.append((i, s, t, e))
-    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+    return out
 
 
-def _in_code_points(text: str, spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+def _in_code_points(text: str, spans: list[tuple]) -> list[tuple]:
     """Spans of normalised bytes as spans of the text; where lower case changes lengths, the nearest positions."""
     at, starts, places = 0, [], []
     for m in WORD.finditer(text.lower()):
@@ -197,13 +274,13 @@ def blocks(benchmark: DataFrame, rate: float = ERROR_RATE):
         yield build([(r.item_id, r.text) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()], rate)
 
 
-def flagged(docs: DataFrame, index: Index, keep: list[str], name: str = "_spans") -> DataFrame:
+def flagged(docs: DataFrame, indexes: list[Index | Words], keep: list[str], name: str = "_spans") -> DataFrame:
     """``keep`` columns of ``docs`` and what ``search`` finds: strings item:start:end:edits, comma-joined."""
 
     def make():
         def step(part: pa.RecordBatch) -> dict:
-            rows = [search(t, index) for t in part.column("text").to_pylist()]
-            return {name: [",".join(f"{index.ids[i]}:{s}:{t}:{e}" for i, s, t, e in r) for r in rows]}
+            rows = [search(t, indexes) for t in part.column("text").to_pylist()]
+            return {name: [",".join(f"{i}:{s}:{t}:{e}" for i, s, t, e in r) for r in rows]}
 
         return step
 
@@ -213,30 +290,34 @@ def flagged(docs: DataFrame, index: Index, keep: list[str], name: str = "_spans"
 def scan(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """doc_id, contaminated, n_items, n_spans, spans of every document; spans are item:start:end:edits in code points.
 
-    Null or empty text: clean. Null or very short items are never found. Equal items are found each. Repeated rows of
-    one doc_id are searched each; if the benchmark takes several passes, such rows share their findings. No benchmark: all clean.
+    Null or empty text: clean. Null items and items without letters or digits are never found. Equal items are found each.
+    Repeated rows are searched each, whatever the number of passes. Very long texts are searched whole, in steps of bounded
+    memory. No benchmark: all clean. No rows: no rows. Other columns are ignored.
     """
-    found = [flagged(docs, index, ["doc_id"]) for index in blocks(benchmark, rate)]
-    if len(found) == 1:
-        rows = found[0]
-    else:
-        parts = [materialize(f.filter("_spans <> ''"), "hits") for f in found]
+    rows = docs.select("doc_id", "text").withColumn("_tag", F.xxhash64("text"))
+    each_pass = blocks(benchmark, rate)
+    first = next(each_pass)
+    if (second := next(each_pass, None)) is None:
+        rows = flagged(rows, first, ["doc_id"])
+    else:  # one index at a time; what is found in a text follows from the text
+        parts = [materialize(flagged(rows, index, ["_tag"]).filter("_spans <> ''").distinct(), "hits") for index in itertools.chain((first, second), each_pass)]
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.unionByName(p)
-        hits = hits.distinct().groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("_spans")), ",").alias("_spans")).withColumnRenamed("doc_id", "_id")
-        rows = docs.select("doc_id").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.coalesce("_spans", F.lit("")).alias("_spans"))
+        by_start = lambda a, b: F.split_part(a, F.lit(":"), F.lit(2)).cast("int") - F.split_part(b, F.lit(":"), F.lit(2)).cast("int")
+        spans = F.array_sort(F.array_sort(F.flatten(F.collect_list(F.split("_spans", ",")))), by_start)
+        hits = hits.groupBy(F.col("_tag").alias("_its")).agg(F.array_join(spans, ",").alias("_spans"))
+        rows = rows.select("doc_id", "_tag").join(hits, F.col("_tag") == F.col("_its"), "left").select("doc_id", F.coalesce("_spans", F.lit("")).alias("_spans"))
     each = F.filter(F.split("_spans", ","), lambda x: x != "")
     items = F.array_distinct(F.transform(each, lambda x: F.substring_index(x, ":", 1)))
     return rows.select("doc_id", (F.col("_spans") != "").alias("contaminated"), F.size(items).cast("long").alias("n_items"), F.size(each).cast("long").alias("n_spans"), F.col("_spans").alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no item is found."""
+    """The rows of ``docs``, with all their columns, in which no item is found; nulls, repeated and no rows as in ``scan``."""
     rows = packed(docs, "text")
-    many = list(blocks(benchmark, rate))
-    for n, index in enumerate(many):
-        rows = flagged(rows, index, ["text", "_row"], "_spans").filter("_spans = ''").drop("_spans")
-        if n + 1 < len(many):
+    for n, index in enumerate(blocks(benchmark, rate)):
+        if n:
             rows = materialize(rows, "clean")
+        rows = flagged(rows, index, ["text", "_row"], "_spans").filter("_spans = ''").drop("_spans")
     return rows.select(*unpacked(rows, docs.columns, "text"))

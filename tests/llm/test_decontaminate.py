@@ -13,22 +13,58 @@ def edits(item, text):
     return min(row)
 
 
+def want_of(items, text):
+    """Items within a tenth of their length of a part of the text; without an edit to spare, as whole words."""
+    data, out = d.normalise(text), set()
+    for i, t in items:
+        item = d.normalise(t)
+        k = len(item) // 10
+        if item and (edits(item, data) <= k if k else b" " + item + b" " in b" " + data + b" "):
+            out.add(i)
+    return out
+
+
 def test_against_alignment_of_all():
     rng = random.Random(8)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(60)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 30)))) for i in range(12)]
-    index = d.build(items)
-    for n in range(120):
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 3, 5, 8, 30))))) for i in range(24)] + [(90, "?!"), (91, None), (92, "a")]
+    index = d.build([(i, t) for i, t in items])
+    items = [(i, t or "") for i, t in items]
+    for n in range(160):
         text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
         if n % 4:
             chars = list(rng.choice(items)[1])
-            for _ in range(rng.randint(0, max(1, len(chars) // 8))):
+            for _ in range(rng.randint(0, max(1, len(chars) // 8)) if chars else 0):
                 at = rng.randrange(len(chars))
                 chars[at] = rng.choice(["", "x", chars[at] + "y"])
             text = f"{text} {''.join(chars)} {text}"
-        data = d.normalise(text)
-        want = {i for i, item in enumerate(index.items) if edits(item, data) <= index.edits[i]}
-        assert {i for i, *_ in d.search(text, index)} == want
+        assert {i for i, *_ in d.search(text, index)} == want_of(items, text)
+
+
+def test_repetitive_texts_in_steps(monkeypatch):
+    items = [(1, "ab " * 120), (2, "xyxyxyxy " * 30 + "end"), (3, "one more thing that is not there at all in this")]
+    texts = ["ab " * 700, "xyxyxyxy " * 300, "ab " * 300 + "xyxyxyxy " * 200 + "end"]
+    whole = [d.search(t, d.build(items)) for t in texts]
+    monkeypatch.setattr(d, "STEP", 500)
+    assert [{i for i, *_ in d.search(t, d.build(items))} for t in texts] == [{i for i, *_ in w} for w in whole] == [{1}, {2} & want_of(items, texts[1]), {1, 2}]
+
+
+def test_very_long_text():
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(60_000))
+    item = "the passage that stands near the end of a very long text"
+    found = d.search(long + " " + item + " and more", d.build([(5, item)]))
+    assert [(i, e) for i, _, _, e in found] == [(5, 0)]
+
+
+def test_repeated_rows_in_several_passes(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "this is the first passage that is looked for"), (2, "and here is the second passage that is looked for")], "item_id long, text string")
+    rows = [(7, "xx this is the first passage that is looked for"), (7, "nothing"), (7, "yy and here is the second passage that is looked for zz"), (None, "this is the first passage that is looked for, and here is the second passage that is looked for"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(repr, d.scan(docs, bench).collect()))
+    monkeypatch.setattr(d, "BLOCK_CHARS", 40)
+    assert sorted(map(repr, d.scan(docs, bench).collect())) == one
+    assert sorted(repr(r.text) for r in d.clean(docs, bench).collect()) == ["'nothing'", "None"]
 
 
 def test_spans_and_normalisation(spark):
