@@ -1,7 +1,12 @@
+import hashlib
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from memloom.llm import decontaminate, lines
+from memloom.llm import decontaminate, language, lines, mixing
+from tests.llm import test_decontaminate, test_jaccard, test_lines
 
 
 def test_stages_keep_columns_and_take_effect(spark):
@@ -35,3 +40,58 @@ def test_run_on_odd_documents(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} <= {3, None}
     assert 3 in {r.doc_id for r in got}
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage's whole result on a table with copies, near lines, benchmark passages, null ids and odd texts."""
+    rng = random.Random(12)
+    words = {"en": "the and of house with man that cat dog thing red big".split(), "de": "der und das haus mit einem mann auf strasse hund rot gross".split()}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) + rng.choice(("", "", "s")) for _ in range(n))
+    item = "this passage of the benchmark is found wherever it stands in a text"
+    rows = []
+    for d in range(60):
+        lang = rng.choice(("en", "de"))
+        rows.append((d, "\n".join(say(lang, rng.randint(3, 30)) for _ in range(rng.randint(1, 5))), lang, rng.choice("abc")))
+    for d in range(60, 90):
+        _, text, lang, source = rows[rng.randrange(60)]
+        kind = d % 4
+        text = text if kind == 0 else text + " x" if kind == 1 else f"{text}\n{item}" if kind == 2 else text[:-1]
+        rows.append((d if d % 7 else None, text, lang, source))
+    rows += [(None, None, None, None), (91, "", "en", "a"), (92, "12 !", "en", "a"), (5, "another text under the id of five with the cat", "en", "b"), rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = corpus_pipeline.materialize(docs, "docs")
+    show = lambda rows: sorted(repr(tuple(r)[:2]) for r in rows)
+
+    model = language.train(docs)
+    texts = [r.text for r in docs.collect()]
+    langs, scores, _ = language.predict(texts, model, language.letter_table())
+    want = [r for r, lang, score in zip(docs.collect(), langs, scores, strict=True) if lang != "und" and score > 0.5]
+    docs = corpus_pipeline.materialize(corpus_pipeline.identify_language(spark, docs, str(tmp_path)), "language")
+    assert show(docs.collect()) == show(want)
+
+    before = [(r.doc_id, r.text) for r in docs.collect()]
+    gone = test_lines.brute(before, lines.BUDGETS)
+    left = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g), g) for (d, t), g in zip(before, gone, strict=True)]
+    docs = corpus_pipeline.materialize(corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)), "lines")
+    assert show(docs.collect()) == show([(d, t) for d, t, g in left if not g or t.split()])
+    assert all(r.n_chars == len(r.text) for r in docs.collect())
+
+    before = sorted({(r.doc_id, r.text) for r in docs.collect()}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest()))
+    sets = [test_jaccard.naive_set(t) for _, t in before]
+    group = list(range(len(before)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    docs = corpus_pipeline.materialize(corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)), "near")
+    assert show(docs.collect()) == show([next(r for r, g in zip(before, group, strict=True) if g == k) for k in set(group)])
+
+    before = docs.collect()
+    docs = corpus_pipeline.materialize(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)), "clean")
+    assert show(docs.collect()) == show([r for r in before if not test_decontaminate.want_of([(1, item)], r.text or "")])
+
+    got = corpus_pipeline.mix(spark, docs, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    docs.toPandas().to_parquet(tmp_path / "last.parquet")
+    want = duckdb.sql(mixing.ORACLE.format(docs=f"'{tmp_path}/last.parquet'")).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(r) for r in want if r[-1])
