@@ -1,10 +1,10 @@
-"""One method for each tool and route of the service, each a lazy DataFrame."""
+"""The tools and main routes of the service as methods, each a DataFrame."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.text import stemmed_tokens
@@ -54,16 +54,14 @@ class MemoryEngine:
         return self["conversations"].filter((F.col("conv_key") == key) & ledger.not_excluded(keep_null=True))
 
     def entity_neighborhood(self, entity: str, limit: int = 15) -> DataFrame:
-        found = self._resolve(entity)
-        rows = self["edges"].join(F.broadcast(found), (F.col("src") == F.col("entity_id")) | (F.col("dst") == F.col("entity_id")), "left_semi")
-        return rows.orderBy(F.col("weight").desc(), "src", "dst").limit(ledger.clamp(limit, 40))
+        return edges.neighbourhood_of(self["edges"], self["entities"], self._resolve(entity), limit)
 
     def entity_timeline(self, entity: str, limit: int = 25, speaker: str = "") -> DataFrame:
-        return resolve.timeline(entity, self["entities"], self["aliases"], self["mentions"], self["assertions"], speaker, limit)
+        return resolve.timeline(entity, self["entities"], self["aliases"], self["mentions"], self["assertions"], self["conversations"], speaker, limit)
 
     def what_connects(self, a: str, b: str) -> DataFrame:
-        ids = [r.entity_id for name in (a, b) for r in self._resolve(name).collect()]
-        return edges.what_connects(self["edges"], *ids) if len(ids) == 2 else self["edges"].limit(0)
+        ends = self._resolve(a).withColumn("side", F.lit("a")).unionByName(self._resolve(b).withColumn("side", F.lit("b")))
+        return edges.what_connects(self["edges"], self["entities"], ends)
 
     def list_themes(self) -> DataFrame:
         return self["communities"].orderBy(F.col("size").desc(), "community_id")
@@ -76,6 +74,29 @@ class MemoryEngine:
     def memory_status(self) -> DataFrame:
         return ledger.freshness(self["conversations"])
 
+    def edges_for_typing(self, min_weight: int = 2, limit: int = 200, offset: int = 0, only_untyped: bool = True) -> DataFrame:
+        return edges.typing_page(self["edges"], self["entities"], self["mentions"], self["assertions"], self["aliases"], min_weight, limit, offset, only_untyped)
+
+    def set_edge_types(self, typings: DataFrame) -> DataFrame:
+        """The edges under new typings; write them back as the table of edges."""
+        return edges.apply_typings(self["edges"].drop("verified_relation", "direction", "temporality", "as_of", "verified", "verified_at"), typings)
+
+    def full_graph(self, min_weight: int = 3) -> tuple[DataFrame, DataFrame]:
+        links, nodes = edges.feed(self["edges"], self["entities"], min_weight)
+        return links, edges.feed_nodes(nodes, self["communities"], self["members"])
+
+    def build_entities(self, listed: DataFrame, split_map: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return resolve.build_entities(listed, self["mentions"], split_map)
+
+    def claim_job(self, now: Column, worker: str = "anon") -> DataFrame:
+        return ledger.claim(self["jobs"], self["conversations"], now, worker)
+
+    def complete_jobs(self, outcomes: DataFrame) -> DataFrame:
+        return ledger.complete(self["jobs"], outcomes)
+
+    def ledger_status(self) -> tuple[DataFrame, DataFrame]:
+        return ledger.queue_status(self["jobs"]), ledger.ledger_totals(self["mentions"], self["assertions"], self["extractions"])
+
     def stats(self) -> DataFrame:
         return ledger.source_stats(self["conversations"])
 

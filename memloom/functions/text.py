@@ -69,6 +69,18 @@ def known_secrets(raw: str) -> list[str]:
     return [x for x in found if len(x) > 8]
 
 
+#: Texts of which one stands in every match of a pattern; a search for them is much cheaper than the pattern.
+ANCHORS = {"api-key": ("sk-", "pk-", "rk-"), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "aws": ("AKIA",), "slack": ("xox",), "pem": ("-----BEGIN ",), "url-cred": ("://",)}
+
+
+def may_hold(text: Column, name: str) -> Column:
+    """False only for texts without a match of the named pattern."""
+    out = F.lit(name not in ANCHORS)
+    for anchor in ANCHORS.get(name, ()):
+        out = out | F.contains(text, F.lit(anchor))
+    return out
+
+
 def redact(text: Column, known: list[str] = ()) -> Column:
     """Mask known secrets, then each pattern in turn; an earlier mask can change what a later one sees."""
     for secret in known:
@@ -78,13 +90,24 @@ def redact(text: Column, known: list[str] = ()) -> Column:
     return text
 
 
+#: Pieces of a JSON text: a key, a string, and what is between them.
+JSON_PIECES = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
+
+
+def redact_json(text: Column, known: list[str] = ()) -> Column:
+    """Mask the secrets in each string of a JSON text by itself, at any depth; keys, numbers and the form stay."""
+    mask = lambda x: F.when(F.startswith(x, F.lit('"')) & ~F.endswith(x, F.lit(":")), redact(x, known)).otherwise(x)
+    pieces = F.regexp_extract_all(text, F.lit(JSON_PIECES), F.lit(0))
+    return F.when(has_secret(text, known), F.array_join(F.transform(pieces, mask), "")).otherwise(text)
+
+
 def has_secret(text: Column, known: list[str] = ()) -> Column:
     """Whether ``redact`` would change a text: the first pattern that matches sees the text as it is."""
     found = F.lit(False)
     for secret in known:
         found = found | F.contains(text, F.lit(secret))
-    for _, pattern in SECRETS:
-        found = found | text.rlike(pattern)
+    for name, pattern in SECRETS:
+        found = found | (may_hold(text, name) & text.rlike(pattern))
     return found
 
 
@@ -341,44 +364,70 @@ def phrases_of(tree) -> list[tuple[Phrase, Near | None]]:
     return phrases_of(tree.left) + (phrases_of(tree.right) if tree.kind != "NOT" else [])
 
 
-def phrase_starts(doc: Column, p: Phrase) -> Column:
-    """Positions (from 1) at which a phrase begins in an array of tokens."""
-    n = len(p.words)
-    at = F.sequence(F.lit(1), F.size(doc) - (n - 1))
+def query_words(tree) -> tuple[list[str], list[str]]:
+    """Whole words and word beginnings that a query looks at, those that NOT excludes included."""
+    if isinstance(tree, Op):
+        (a, b), (c, d) = query_words(tree.left), query_words(tree.right)
+        return list(dict.fromkeys(a + c)), list(dict.fromkeys(b + d))
+    phrases = [p for p in (tree.phrases if isinstance(tree, Near) else (tree,)) if p.words]
+    whole = [w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)]
+    return list(dict.fromkeys(whole)), list(dict.fromkeys(p.words[-1] for p in phrases if p.prefix))
+
 
-    def here(i: Column) -> Column:
-        tests = [F.get(doc, i - 1 + k) == w for k, w in enumerate(p.words[:-1])]
-        last = F.get(doc, i - 1 + n - 1)
-        tests.append(F.startswith(last, F.lit(p.words[-1])) if p.prefix else last == p.words[-1])
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
+def query_tokens(doc: Column, tree) -> Column:
+    """Of an array of tokens those that a query looks at, with their places (from 1): w, at."""
+    whole, begins = query_words(tree)
+
+    def wanted(x: Column) -> Column:
+        out = x["w"].isin(*whole) if whole else F.lit(False)
+        for b in begins:
+            out = out | F.startswith(x["w"], F.lit(b))
         return out
 
-    return F.when(F.size(doc) >= n, F.filter(at, here)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(doc, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("at"))), wanted)
+
+
+def phrase_starts(found: Column, p: Phrase) -> Column:
+    """Places at which a phrase begins, from the tokens that ``query_tokens`` kept; by set operations, so in linear time."""
+
+    def places(k: int) -> Column:
+        word = p.words[k]
+        test = (lambda x: F.startswith(x["w"], F.lit(word))) if p.prefix and k == len(p.words) - 1 else (lambda x: x["w"] == word)
+        return F.transform(F.filter(found, test), lambda x: x["at"] - k)
+
+    starts = places(0)
+    for k in range(1, len(p.words)):
+        starts = F.array_intersect(starts, places(k))
+    return starts
 
 
-def scored_starts(doc: Column, p: Phrase, near: Near | None) -> Column:
-    """Positions of a phrase that count: within a NEAR group those close to each of the other phrases."""
-    starts = phrase_starts(doc, p)
+def scored_starts(found: Column, p: Phrase, near: Near | None) -> Column:
+    """Places of a phrase that count: within a NEAR group those close to each of the other phrases."""
+    starts = phrase_starts(found, p)
     for q in [q for q in near.phrases if q.words and q is not p] if near else []:
-        starts = _close(starts, phrase_starts(doc, q), p, q, near.distance)
+        starts = _close(starts, phrase_starts(found, q), p, q, near.distance)
     return starts
 
 
+#: Distance of a NEAR group up to which all places in reach are listed; beyond, places are compared in pairs.
+LISTED_DISTANCE = 64
+
+
 def _close(starts: Column, others: Column, p: Phrase, q: Phrase, distance: int) -> Column:
     """Places of phrase p with at most ``distance`` tokens between them and some place of phrase q."""
-    return F.filter(starts, lambda i: F.exists(others, lambda j: F.when(j > i, j - i - len(p.words)).otherwise(i - j - len(q.words)) <= distance))
+    if distance <= LISTED_DISTANCE:
+        return F.array_intersect(starts, F.flatten(F.transform(others, lambda j: F.sequence(j - distance - len(p.words), j + distance + len(q.words)))))
+    return F.element_at(F.transform(F.array(others), lambda o: F.filter(starts, lambda i: F.exists(o, lambda j: (j >= i - distance - len(q.words)) & (j <= i + distance + len(p.words))))), 1)
 
 
-def matches(doc: Column, tree) -> Column:
-    """Whether an array of tokens satisfies a query; a phrase without tokens does not restrict."""
+def matches(found: Column, tree) -> Column:
+    """Whether a document, by the tokens that ``query_tokens`` kept of it, satisfies a query; a phrase without tokens does not restrict."""
     if isinstance(tree, Phrase):
-        return F.size(phrase_starts(doc, tree)) > 0 if tree.words else F.lit(True)
+        return F.size(phrase_starts(found, tree)) > 0 if tree.words else F.lit(True)
     if isinstance(tree, Near):
         parts = [p for p in tree.phrases if p.words]
-        return F.size(scored_starts(doc, parts[0], tree)) > 0 if parts else F.lit(True)
-    left, right = matches(doc, tree.left), matches(doc, tree.right)
+        return F.size(scored_starts(found, parts[0], tree)) > 0 if parts else F.lit(True)
+    left, right = matches(found, tree.left), matches(found, tree.right)
     return {"AND": left & right, "OR": left | right, "NOT": left & ~right}[tree.kind]
 
 
@@ -415,4 +464,10 @@ def rescue_json(text: str | None, opening: str = "{") -> str | None:
 
 
 def rescued(text: Column, opening: str = "{") -> Column:
-    return F.udf(lambda t: rescue_json(t, opening), "string")(text)
+    """The JSON value that each answer holds, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def rescue(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: rescue_json(t, opening))
+
+    return rescue(text)

@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _table(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage with a table in the folder that the session names for checkpoints."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="memloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/memloom-{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from memloom.operators.tables import Scratch
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -58,49 +43,63 @@ def _moves(links: DataFrame, parts: DataFrame, total: float, resolution: float,
     return best.select(F.col("a").alias("node"), F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 12, max_levels: int = 6, min_gain: float = 1e-6) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, min_gain: float = 1e-6) -> DataFrame:
     """(node, community) by synchronous half-moves and contraction; the same edges give the same communities.
 
-    Every round is written to the shared folder. A round that loses modularity is not taken. ``edges(src, dst, weight)``.
+    Every round is written to the shared folder, and the tables go when the next level stands. A round that loses modularity
+    is not taken; rounds end when two in turn gain less than ``min_gain``, levels when a level gains less. Modularity is at
+    most one, so both end by themselves. ``edges(src, dst, weight)``; no edges: no rows.
     """
-    links = _table(_undirected(edges), "links")
+    scratch = Scratch(edges.sparkSession)
+    links = scratch.stored(_undirected(edges), "links")
     total = links.agg(F.sum("w")).first()[0]
-    nodes = links.select(F.col("a").alias("node")).distinct()
-    result = _table(nodes.select("node", F.col("node").alias("c")), "parts")
-    if not total:
-        return result.select("node", F.col("c").alias("community"))
-    for _ in range(max_levels):
-        parts = _table(links.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("c")), "parts")
+    own = lambda df: df.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("c"))
+    result = scratch.stored(own(links), "parts")
+    while total:
+        parts = scratch.stored(own(links), "parts")
         best = begin = modularity(links, parts, resolution)
-        idle = 0
-        for turn in range(max_rounds):
-            moved = _table(_moves(links, parts, total, resolution, turn), "moved")
+        idle = turn = 0
+        while idle < 2:
+            moved = scratch.stored(_moves(links, parts, total, resolution, turn), "moved")
             now = modularity(links, moved, resolution)
+            turn += 1
             if now > best + min_gain:
                 parts, best, idle = moved, now, 0
             else:
                 idle += 1
-                if idle == 2:
-                    break
         if best <= begin + min_gain:
             break
-        result = _table(result.join(parts.select(F.col("node").alias("c"), F.col("c").alias("up")), "c").select("node", F.col("up").alias("c")), "result")
-        up = lambda side: parts.select(F.col("node").alias(side), F.col("c").alias(f"c_{side}"))
-        links = _table(links.join(up("a"), "a").join(up("b"), "b").groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.sum("w").alias("w")), "links")
+        result = scratch.stored(result.join(parts.select(F.col("node").alias("c"), F.col("c").alias("up")), "c").select("node", F.col("up").alias("c")), "result")
+        up = lambda side: parts.select(F.col("node").alias(side), F.col("c").alias(f"c_{side}"))  # noqa: B023, E731
+        links = scratch.stored(links.join(up("a"), "a").join(up("b"), "b").groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.sum("w").alias("w")), "links")
+    scratch.drop(result)
     return result.select("node", F.col("c").alias("community"))
 
 
+def store_communities(communities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(communities, members) from ``communities(seq, community_id, label, entity_ids)``: a size counts the listed ids, an entity
+    that several list belongs to the last."""
+    rows = communities.select("community_id", F.coalesce("label", F.lit("")).alias("label"), F.coalesce(F.size("entity_ids"), F.lit(0)).alias("size"))
+    listed = communities.select("seq", "community_id", F.explode("entity_ids").alias("entity_id"))
+    return rows, listed.groupBy("entity_id").agg(F.max_by("community_id", "seq").alias("community_id"))
+
+
+def rename(communities: DataFrame, names: DataFrame) -> DataFrame:
+    """Communities under the last of their new labels: ``names(community_id, seq, label)``."""
+    last = names.groupBy("community_id").agg(F.max_by(F.coalesce("label", F.lit("")), "seq").alias("_label"))
+    return communities.join(last, "community_id", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
+
+
 def themes(parts: DataFrame, entities: DataFrame, min_size: int = 3, top: int = 4) -> tuple[DataFrame, DataFrame]:
     """(communities, members): communities of ``min_size`` and more by falling size, labelled by their most mentioned members.
 
-    Community ids are ranks by size; ``members(entity_id, community_id)``.
+    A community's id is that of its detection, so ids stay while others come and go; ``members(entity_id, community_id)``.
     """
     rows = parts.select(F.col("node").alias("entity_id"), "community").join(entities, "entity_id")
     sizes = rows.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.col("mentions").desc(), "entity_id")))
     label = ranked.filter(F.col("r") <= top).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "canonical"))), lambda x: x["canonical"]), " / ").alias("label"))
-    # one row for each community: few beside the entities
-    named = sizes.join(label, "community").withColumn("community_id", F.row_number().over(Window.orderBy(F.col("size").desc(), "community")))
+    named = sizes.join(label, "community").withColumn("community_id", F.col("community"))
     members = rows.join(named.select("community", "community_id"), "community").select("entity_id", "community_id")
     return named.select("community_id", "label", "size"), members
 

@@ -18,12 +18,14 @@ PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def changed_since(listing: DataFrame, cursor: str, limit: int = 25) -> DataFrame:
-    """Conversations of a provider's listing that changed after the cursor, the newest first.
+    """Conversations of a provider's listing that changed after the cursor, the oldest first, and all that share the last one's time.
 
-    ``limit`` is the connector's page; what it leaves out comes later only if the cursor is taken from
-    ``next_cursor`` of the page's rows in rising order.
+    A page of ``limit`` rows in rising order, so that its greatest time is a cursor behind which nothing is lost, however
+    many conversations changed; ``next_cursor`` gives it.
     """
-    return listing.filter(F.col("updated_at") > cursor).orderBy(F.col("updated_at").desc(), "key").limit(limit)
+    changed = listing.filter(F.col("updated_at") > cursor)
+    last = changed.orderBy("updated_at").limit(limit).agg(F.max("updated_at").alias("_last"))
+    return changed.join(F.broadcast(last), F.col("updated_at") <= F.col("_last")).drop("_last").orderBy("updated_at", "key")
 
 
 def next_cursor(page: DataFrame, cursor: str) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from memloom.operators.ledger import not_excluded
+
 #: Names that are never resolved.
 STOP_NAMES = ("user", "assistant", "the user", "the assistant", "ai", "the model", "the system", "it", "this", "that")
 
@@ -79,29 +85,39 @@ def near_duplicate_names(entities: DataFrame, most: int = 8) -> DataFrame:
     return pairs.select(F.least("long_id", "short_id").alias("a"), F.greatest("long_id", "short_id").alias("b")).distinct()
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def assign_splits(vectors: DataFrame, centroids: DataFrame, rows_bound: int = 10_000) -> DataFrame:
     """The most similar centroid of each vector: id, canonical, similarity (cosine with a small guard).
 
-    Every vector meets every centroid: the centroids are a stated set. Up to ``rows_bound`` of them are
-    broadcast; more are worked through in blocks of that size, and the best of each block is kept.
+    Every vector meets every centroid: the centroids are a stated set, worked through in blocks of ``rows_bound``. A block is
+    a matrix of unit rows, and a batch of vectors meets it in one product; the best of each block is kept.
     """
-    norm = lambda c: F.sqrt(dot(c, c)) + F.lit(1e-9)
-    n = centroids.count()
-    blocks = n // rows_bound + 1
+    blocks = centroids.count() // rows_bound + 1
     best = None
     for b in range(blocks):
-        part = centroids.filter(F.pmod(F.hash("canonical"), F.lit(blocks)) == b)
-        rows = vectors.crossJoin(F.broadcast(part.select("canonical", F.col("embedding").alias("_c"))))
-        sim = dot(F.col("embedding"), F.col("_c")) / (norm(F.col("embedding")) * norm(F.col("_c")))
-        now = rows.select("id", F.round(sim, 9).alias("s"), "canonical")
-        best = now if best is None else best.unionByName(now)
+        rows = centroids.filter(F.pmod(F.hash("canonical"), F.lit(blocks)) == b).select("canonical", "embedding").orderBy("canonical").collect()
+        if rows:
+            now = _nearest(vectors, [r.canonical for r in rows], np.array([r.embedding for r in rows], float))
+            best = now if best is None else best.unionByName(now)
+    if best is None:
+        return vectors.select("id", F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("double").alias("similarity")).limit(0)
     return best.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("s"), "canonical")).alias("m")).select("id", "m.canonical", (-F.col("m.s")).alias("similarity"))
 
 
+def _nearest(vectors: DataFrame, names: list[str], centres: np.ndarray) -> DataFrame:
+    unit = centres / (np.sqrt((centres * centres).sum(1)) + 1e-9)[:, None]
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            sims = np.round((x @ unit.T) / (np.sqrt((x * x).sum(1)) + 1e-9)[:, None], 9)
+            at = sims.argmax(1)  # names are in order, so the first of equals is the least
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sims[np.arange(len(at)), at]), pa.array([names[i] for i in at], pa.string())], names=["id", "s", "canonical"])
+
+    return vectors.select("id", "embedding").mapInArrow(run, f"id {kind}, s double, canonical string")
+
+
 def candidate_contexts(mentions: DataFrame, tier1: int = 180, tier2: int = 350, batch: int = 20, contexts: int = 12, prefix: int = 50, cut: int = 180) -> DataFrame:
     """Names to resolve with their contexts: name, n, rank, tier, batch, contexts.
 
@@ -120,16 +136,53 @@ def candidate_contexts(mentions: DataFrame, tier1: int = 180, tier2: int = 350,
     return ranked.join(texts, "key").select(F.col("key").alias("name"), "n", "rank", "tier", "batch", "contexts")
 
 
-def timeline(name: str, entities: DataFrame, aliases: DataFrame, mapped: DataFrame, assertions: DataFrame, speaker: str = "", limit: int = 25) -> DataFrame:
-    """Assertions in the entity's chunks that name it as a whole word, oldest first: created_at, id, statement, speaker."""
-    spark = entities.sparkSession
-    found = resolve_names(spark.createDataFrame([(name,)], "name string"), entities, aliases)
+def quoted(c: Column) -> Column:
+    """A text as a pattern that matches itself."""
+    return F.regexp_replace(c, r"([\\\[\]{}()*+?.^$|])", r"\\$1")
+
+
+def aboutness(found: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row (entity_id, pattern): any of an entity's names as a whole word: canonical, without its brackets, each alias."""
+    name = entities.join(F.broadcast(found.select("entity_id")), "entity_id", "left_semi").select("entity_id", F.explode(F.array(F.lower("canonical"), F.lower(F.trim(F.split_part(F.col("canonical"), F.lit(" ("), F.lit(1)))))).alias("t"))
+    other = aliases.join(F.broadcast(found.select("entity_id")), "entity_id", "left_semi").select("entity_id", F.lower("alias").alias("t"))
+    terms = name.unionByName(other).filter("t <> ''").groupBy("entity_id").agg(F.array_sort(F.collect_set(quoted(F.col("t")))).alias("terms"))
+    return terms.select("entity_id", F.concat(F.lit(r"(?i)\b(?:"), F.array_join("terms", "|"), F.lit(r")\b")).alias("pattern"))
+
+
+def timeline(name: str, entities: DataFrame, aliases: DataFrame, mapped: DataFrame, assertions: DataFrame, conversations: DataFrame, speaker: str = "", limit: int = 25) -> DataFrame:
+    """What was said about an entity, oldest first: day, type, speaker, statement (cut), ref (conversation#message).
+
+    Assertions of the entity's chunks that name it, by any of its names, as a whole word. Conversations of excluded owners
+    are left out; equal statements of one conversation are one entry.
+    """
+    found = resolve_names(entities.sparkSession.createDataFrame([(name,)], "name string"), entities, aliases)
     of = mapped.join(F.broadcast(found), "entity_id", "left_semi").select("conv_key", "chunk_idx").distinct()
-    core = entities.join(F.broadcast(found), "entity_id", "left_semi").select(F.split_part(F.col("canonical"), F.lit(" ("), F.lit(1)).alias("core"))
-    rows = assertions.join(of, ["conv_key", "chunk_idx"], "left_semi").crossJoin(F.broadcast(core))
-    quoted = F.regexp_replace("core", r"([\\\[\]{}()*+?.^$|])", r"\\$1")
-    rows = rows.filter(F.regexp_like("statement", F.concat(F.lit(r"(?i)\b"), quoted, F.lit(r"\b"))))
+    shown = conversations.filter(not_excluded()).select("conv_key", "created_at")
+    rows = assertions.drop("created_at").join(of, ["conv_key", "chunk_idx"], "left_semi").join(shown, "conv_key")
+    speaker = speaker.lower().strip()
     speaker = {"agent": "assistant"}.get(speaker, speaker)
     if speaker in ("user", "assistant", "both"):
         rows = rows.filter(F.col("speaker") == speaker)
-    return rows.orderBy("created_at", "id").limit(max(1, min(limit, 60))).select("created_at", "id", "statement", "speaker")
+    rows = rows.crossJoin(F.broadcast(aboutness(found, entities, aliases).select("pattern"))).filter(F.regexp_like(F.coalesce("statement", F.lit("")), F.col("pattern")))
+    ref = F.when(F.size("evidence") > 0, F.concat("conv_key", F.lit("#"), F.element_at("evidence", 1)))
+    rows = rows.select("created_at", "type", "speaker", "statement", "conv_key", "evidence", ref.alias("ref")).distinct()
+    top = rows.orderBy(F.col("created_at").asc_nulls_first(), "conv_key", "ref", "type", "statement").limit(max(1, min(limit, 60)))
+    return top.select(F.coalesce(F.substring("created_at", 1, 10), F.lit("?")).alias("day"), "type", "speaker", F.substring("statement", 1, 180).alias("statement"), "ref")
+
+
+def build_entities(listed: DataFrame, mentions: DataFrame, split_map: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, aliases, map) from ``listed(seq, canonical, type, mentions, aliases)``, all anew.
+
+    An entity's id is its place in the list; of equal canonical names the last takes splits. Mentions map by aliases of one
+    entity only; ``split_map(id, canonical)`` overrides where it names an entity.
+    """
+    entities = listed.select(F.col("seq").cast("long").alias("entity_id"), "canonical", "type", F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions"))
+    aliases = listed.select(F.explode("aliases").alias("alias"), F.col("seq").cast("long").alias("entity_id")).distinct()
+    last = entities.groupBy("canonical").agg(F.max("entity_id").alias("entity_id"))
+    return entities, aliases, alias_map(mentions, aliases, split_map.join(last, "canonical").select("id", "entity_id"))
+
+
+def chunk_mentions(mentions: DataFrame, entity_map: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Mapped mentions of known conversations: id, conv_key, chunk_idx, entity_id, day of the conversation."""
+    rows = mentions.select("id", "conv_key", "chunk_idx").join(entity_map.select("id", "entity_id"), "id")
+    return rows.join(conversations.select("conv_key", F.substring("created_at", 1, 10).alias("day")), "conv_key").select("id", "conv_key", "chunk_idx", "entity_id", "day")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,18 +13,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memloom.functions.text import QueryError, matches, parse_query, phrases_of, scored_starts
+from memloom.functions.text import Porter, QueryError, matches, parse_query, phrases_of, query_tokens, scored_starts, tokens
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
-def index(docs: DataFrame, keys: list[str], toks: Column) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, keys, tf, len) of ``docs`` and one row of corpus statistics (n_docs, avg_len)."""
-    rows = docs.select(*keys, toks.alias("t")).withColumn("len", F.size("t"))
+def index(docs: DataFrame, keys: list[str], toks: Column, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, keys, tf, len) of ``docs`` and one row of corpus statistics (n_docs, avg_len).
+
+    With ``terms`` the postings of these only: other tokens go inside a document's row, before it is exploded. All terms
+    of all documents make a table to store, sorted by term; ``bm25`` then reads the terms of a query from it.
+    """
+    wanted = lambda t: t if terms is None else F.filter(t, lambda x: x.isin(*terms))
+    rows = docs.select(*keys, F.inline(F.transform(F.array(toks), lambda t: F.struct(F.size(t).alias("len"), wanted(t).alias("t")))))
     postings = rows.select(*keys, "len", F.explode("t").alias("term")).groupBy("term", *keys, "len").agg(F.count("*").alias("tf"))
     return postings, rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
+def term_counts(docs: DataFrame, keys: list[str], toks: Column, terms: list[str]) -> DataFrame:
+    """keys, len and tf (an array in the order of ``terms``) of every document, in one pass and without a shuffle."""
+    count = lambda kept, word: F.size(F.filter(kept, lambda x: x == word))
+    kept = F.transform(F.array(toks), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(*terms)).alias("t")))
+    return docs.select(*keys, F.inline(F.transform(kept, lambda x: F.struct(x["len"].alias("len"), F.array(*[count(x["t"], w) for w in terms]).alias("tf")))))
+
+
+def bm25_scan(counts: DataFrame, keys: list[str], n_terms: int) -> DataFrame:
+    """Documents with all terms and their score, from ``term_counts``: a document's counts stay in its row, so that only the
+    corpus statistics are aggregated, map-side, into one row."""
+    tf = lambda i: F.element_at("tf", i + 1)
+    stats = counts.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(tf(i) > 0).alias(f"df{i}") for i in range(n_terms)])
+    hits = counts.filter(F.forall("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))
+    norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
+    return hits.select(*keys, reduce(lambda a, b: a + b, [idf(F.col("n_docs"), F.col(f"df{i}")) * tf(i) * (K1 + 1) / (tf(i) + norm) for i in range(n_terms)]).alias("score"))
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
@@ -39,23 +61,26 @@ def bm25(postings: DataFrame, stats: DataFrame, terms: list[str], keys: list[str
     return rows.groupBy(*keys).agg(F.sum(part).alias("score"), F.count("*").alias("_n")).filter(F.col("_n") == len(terms)).drop("_n")
 
 
-def keyword_search(docs: DataFrame, query: str, keys: list[str], toks: Column, limit: int = 25, keep: Column | None = None, on_error: str = "empty") -> DataFrame:
+def keyword_search(docs: DataFrame, query: str, keys: list[str], toks: Column, limit: int = 25, keep: Column | None = None, on_error: str = "empty", stem: Callable[[str], str] = Porter.stem) -> DataFrame:
     """BM25 over the full query grammar: keys, score. A query that the grammar rejects finds nothing, or with
-    ``on_error="lenient"`` is read as plain words. ``keep`` filters hits, not the statistics."""
+    ``on_error="lenient"`` is read as plain words. ``keep`` filters hits, not the statistics; ``stem`` is what ``toks`` did to words."""
     try:
-        tree = parse_query(query)
+        tree = parse_query(query, stem)
     except QueryError:
         if on_error != "lenient":
             return docs.select(*keys, F.lit(0.0).alias("score")).limit(0)
-        from memloom.functions.text import tokens
-
         words = " ".join(f'"{w}"' for w in tokens(query))
         if not words:
             return docs.select(*keys, F.lit(0.0).alias("score")).limit(0)
-        tree = parse_query(words)
+        tree = parse_query(words, stem)
     phrases = phrases_of(tree)
-    rows = docs.select(*docs.columns, toks.alias("_t"))
-    rows = rows.select(*docs.columns, F.size("_t").alias("_len"), matches(F.col("_t"), tree).alias("_hit"), *[F.size(scored_starts(F.col("_t"), *p)).alias(f"_f{i}") for i, p in enumerate(phrases)])
+
+    def found(kept: Column, size: Column) -> Column:
+        return F.struct(size.alias("_len"), matches(kept, tree).alias("_hit"), *[F.size(scored_starts(kept, *p)).alias(f"_f{i}") for i, p in enumerate(phrases)])
+
+    measured = F.transform(F.array(toks), lambda t: F.struct(F.size(t).alias("n"), query_tokens(t, tree).alias("kept")))
+    # an inlined array is computed once: filters do not move below it
+    rows = docs.select(*docs.columns, F.inline(F.transform(measured, lambda x: found(x["kept"], x["n"]))))
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))])
     hits = rows.filter(F.col("_hit") if keep is None else F.col("_hit") & keep).crossJoin(F.broadcast(stats))
     parts = [idf(F.col("_n"), F.col(f"_d{i}")) * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_len") / F.col("_avg"))) for i in range(len(phrases))]

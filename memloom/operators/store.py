@@ -36,23 +36,40 @@ def last_children(messages: DataFrame, keys: tuple[str, str] = ("conv_key", "nat
 
 
 def path_ids(ids: Column, parents: Column, leaf: Column) -> Column:
-    """Ids from a leaf to its root: a walk of as many steps as there are messages, so cycles end."""
-    up = F.map_from_arrays(ids, parents)
+    """Ids from a leaf to its root, empty for an unknown leaf.
+
+    Of equal ids the last one's parent counts; null ids are on no path; a cycle ends where it would close. A log mostly lists
+    parents before their children, so one pass from its end finds the path; where parents come later, passes repeat
+    from the place that is left.
+    """
     none = F.array().cast("array<string>")
+    backward = F.reverse(ids)
+    nodes = F.reverse(F.arrays_zip(ids.alias("id"), parents.alias("up")))
+    # the first of equal ids from the end; without repeated ids nothing is looked for
+    last = F.filter(nodes, lambda n, i: F.array_position(backward, n["id"]) == i + 1)
+    nodes = F.when(F.size(F.array_distinct(ids)) < F.size(ids), last).otherwise(nodes)
+
+    def step(state: Column, node: Column) -> Column:
+        here = F.coalesce(node["id"] == state["at"], F.lit(False))
+        path = F.when(here, F.concat(state["path"], F.array(node["id"]))).otherwise(state["path"])
+        return F.struct(F.when(here, node["up"]).otherwise(state["at"]).alias("at"), path.alias("path"))
 
-    def step(state: Column, _: Column) -> Column:
-        known = F.coalesce(F.array_contains(ids, state["at"]), F.lit(False))
-        return F.struct(F.when(known, F.try_element_at(up, state["at"])).alias("at"), F.when(known, F.concat(state["path"], F.array(state["at"]))).otherwise(state["path"]).alias("path"))
+    def walk(state: Column, _: Column) -> Column:
+        again = state["at"].isNotNull() & F.coalesce(F.array_contains(ids, state["at"]), F.lit(False)) & ~F.coalesce(F.array_contains(state["path"], state["at"]), F.lit(False))
+        return F.when(again, F.aggregate(nodes, state, step)).otherwise(state)
 
-    start = F.struct(leaf.alias("at"), none.alias("path"))
-    return F.when(F.size(ids) > 0, F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, step, lambda s: s["path"]))).otherwise(none)
+    start = F.struct(leaf.cast("string").alias("at"), none.alias("path"))
+    # each pass finds one message at least, and most find them all
+    passes = F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1)))
+    return F.when(F.size(ids) > 0, F.array_distinct(F.aggregate(passes, start, walk, lambda s: s["path"]))).otherwise(none)
 
 
 def mark_active(messages: DataFrame, leaves: DataFrame, all_without_leaf: bool = True) -> DataFrame:
     """Messages with on_active_path. ``leaves(conv_key, leaf)``; without a known leaf all messages are active, or none."""
-    links = messages.groupBy("conv_key").agg(F.collect_list(F.struct("native_id", "parent_native_id")).alias("m"))
+    order = ["pos"] if "pos" in messages.columns else []
+    links = messages.groupBy("conv_key").agg(F.array_sort(F.collect_list(F.struct(*order, "native_id", "parent_native_id"))).alias("m"))
     found = links.join(leaves, "conv_key", "left").select("conv_key", path_ids(F.col("m.native_id"), F.col("m.parent_native_id"), F.col("leaf")).alias("path"))
-    active = F.when(F.size("path") > 0, F.array_contains("path", F.col("native_id"))).otherwise(F.lit(all_without_leaf))
+    active = F.when(F.size("path") > 0, F.coalesce(F.array_contains("path", F.col("native_id")), F.lit(False))).otherwise(F.lit(all_without_leaf))
     return messages.join(found, "conv_key").withColumn("on_active_path", active).drop("path")
 
 

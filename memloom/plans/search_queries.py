@@ -17,8 +17,15 @@ def docs(spark, sf):
 
 
 def bm25(spark, sf):
-    postings, stats = search.index(docs(spark, sf), ["doc_id"], t.plain_tokens(F.col("text")))
-    return search.bm25(postings, stats, list(TERMS), ["doc_id"]).withColumn("score", F.round("score", 6))
+    counts = search.term_counts(docs(spark, sf), ["doc_id"], t.plain_tokens(F.col("text")), list(TERMS))
+    return search.bm25_scan(counts, ["doc_id"], len(TERMS)).withColumn("score", F.round("score", 6))
+
+
+def bm25_postings(spark, sf):
+    """The same ranking from postings, as a stored index gives it."""
+    postings, stats = search.index(docs(spark, sf), ["doc_id"], t.plain_tokens(F.col("text")), list(TERMS))
+    scored = search.bm25(postings, stats, list(TERMS), ["doc_id"]).withColumn("score", F.round("score", 6))
+    return scored.orderBy(F.col("score").desc(), "doc_id").limit(25)
 
 
 def query_vector(spark, sf, vec_id: int = 1) -> list[float]:
@@ -54,8 +61,9 @@ def splits(spark, sf):
 QUERIES = {
     "bm25_topk": lambda s, d: bm25_top(s, d),
     "bm25_filtered": lambda s, d: bm25_top(s, d, KEEP),
+    "bm25_postings": bm25_postings,
     "bm25_porter": lambda s, d: search.keyword_search(docs(s, d), '(the OR "and the") NOT zzz*', ["doc_id"], t.stemmed_tokens(F.col("text"))).withColumn("score", F.round("score", 6)),
-    "fts_grammar": lambda s, d: search.keyword_search(docs(s, d), '"of the" OR NEAR(and was, 4)', ["doc_id"], t.plain_tokens(F.col("text")), 100).select("doc_id"),
+    "fts_grammar": lambda s, d: search.keyword_search(docs(s, d), '"of the" OR NEAR(and was, 4)', ["doc_id"], t.plain_tokens(F.col("text")), 100, stem=str).withColumn("score", F.round("score", 6)),
     "fts_syntax_error": lambda s, d: search.keyword_search(docs(s, d), "what's", ["doc_id"], t.plain_tokens(F.col("text"))),
     "knn_topk": lambda s, d: knn(s, d),
     "knn_filtered": lambda s, d: knn(s, d, keep=F.col("owner") != "sealed"),
@@ -82,6 +90,15 @@ _vec = v.with_views("vectors")
 ORACLES = {
     "bm25_topk": f"WITH {_BM25} SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 25",
     "bm25_filtered": f"WITH {_BM25} SELECT * FROM sc WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src0') ORDER BY score DESC, doc_id LIMIT 25",
+    "bm25_postings": f"WITH {_BM25} SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 25",
+    "fts_grammar": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM t),
+p AS (SELECT * FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t) WHERE w IN ('of', 'the', 'and', 'was')),
+f AS (SELECT 0 AS k, a.doc_id, count(*)::DOUBLE AS f FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.w = 'of' AND b.w = 'the' GROUP BY ALL
+  UNION ALL SELECT 1, doc_id, count(*) FROM (SELECT DISTINCT a.doc_id, a.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 5 WHERE a.w = 'and' AND b.w = 'was') GROUP BY ALL
+  UNION ALL SELECT 2, doc_id, count(*) FROM (SELECT DISTINCT a.doc_id, a.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 5 WHERE a.w = 'was' AND b.w = 'and') GROUP BY ALL),
+d AS (SELECT k, count(*)::DOUBLE AS df FROM f GROUP BY 1),
+r AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / a))) AS s FROM f JOIN d USING (k) JOIN t USING (doc_id), st GROUP BY doc_id)
+SELECT doc_id, round(s, 6) AS score FROM r ORDER BY s DESC, doc_id LIMIT 100""",
     "fts_syntax_error": "SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false",
     "knn_topk": f"{_vec}, {_SIM} SELECT vec_id, sim FROM sim ORDER BY sim DESC, vec_id LIMIT 25",
     "knn_filtered": f"{_vec}, {_SIM} SELECT vec_id, sim FROM sim WHERE owner <> 'sealed' ORDER BY sim DESC, vec_id LIMIT 25",

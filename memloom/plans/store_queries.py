@@ -63,12 +63,19 @@ def chunked(spark, sf):
 
 
 def redacted(spark, sf):
-    d = v.table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("text"))
+    d = v.table(spark, sf, "documents").select("doc_id", "text")
     return d.filter(t.has_secret(F.col("text"))).select("doc_id", F.md5(t.redact(F.col("text"))).alias("digest"))
 
 
+def known(spark, sf):
+    """A list of known secrets as a file holds it, masked before the patterns."""
+    listed = t.known_secrets("# comment that is long\nof the house\nshort\nand the dog")
+    d = v.table(spark, sf, "documents").select("doc_id", "text").filter(t.has_secret(F.col("text"), listed))
+    return d.select("doc_id", F.md5(t.redact(F.col("text"), listed)).alias("digest"))
+
+
 def redaction_totals(spark, sf):
-    d = v.table(spark, sf, "documents").select(F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("text"))
+    d = v.table(spark, sf, "documents").select("text")
     counts = d.filter(t.has_secret(F.col("text"))).select(F.explode(t.redaction_counts(F.col("text"))).alias("name", "n"))
     return counts.groupBy("name").agg(F.sum("n").cast("long").alias("n"))
 
@@ -82,6 +89,7 @@ QUERIES = {
     "hash_dedup": lambda s, d: v.table(s, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")),
     "redact_secrets": redacted,
     "redaction_counts": redaction_totals,
+    "redact_known": known,
     "conversation_window": window,
     "budget_window": budget,
     "message_parts": parts,
@@ -89,7 +97,6 @@ QUERIES = {
 }
 
 _msg = v.with_views("messages")
-_SAFE = "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')"
 
 
 def _masked(text: str) -> str:
@@ -107,8 +114,9 @@ SELECT key, seq, updated_at, created AS created_at, title FROM x WHERE rn = 1"""
     "branch_stats": f"{_msg}, {ACTIVE}, k AS (SELECT conv_key, parent_native_id, count(*) AS n FROM v_messages WHERE parent_native_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) SELECT conv_key, count(*) AS message_count, count(*) FILTER (NOT on_active_path) AS abandoned, coalesce((SELECT count(*) FROM k WHERE k.conv_key = v_marked.conv_key), 0) AS branch_points FROM v_marked GROUP BY conv_key",
     "content_hashes": f"{_msg} SELECT conv_key, native_id, substr(sha256(role || chr(0) || text), 1, 16) AS content_hash FROM v_messages",
     "hash_dedup": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1",
-    "redact_secrets": f"WITH d AS (SELECT doc_id, {_SAFE} AS text FROM documents) SELECT doc_id, md5({_masked('text')}) AS digest FROM d WHERE {_masked('text')} <> text",
-    "redaction_counts": f"WITH d AS (SELECT {_masked(_SAFE)} AS text FROM documents), n AS (SELECT unnest(regexp_extract_all(text, '\\[REDACTED:([a-z-]+)\\]', 1)) AS name FROM d) SELECT name, count(*) AS n FROM n GROUP BY name",
+    "redact_secrets": f"SELECT doc_id, md5({_masked('text')}) AS digest FROM documents WHERE {_masked('text')} <> text",
+    "redact_known": f"WITH d AS (SELECT doc_id, text, replace(replace(text, 'of the house', '[REDACTED:known-credential]'), 'and the dog', '[REDACTED:known-credential]') AS k FROM documents) SELECT doc_id, md5({_masked('k')}) AS digest FROM d WHERE {_masked('k')} <> text",
+    "redaction_counts": f"WITH d AS (SELECT {_masked('text')} AS masked FROM documents), n AS (SELECT unnest(regexp_extract_all(masked, '\\[REDACTED:([a-z-]+)\\]', 1)) AS name FROM d) SELECT name, count(*) AS n FROM n GROUP BY name",
     "conversation_window": f"""{_msg}, {ACTIVE}, p AS (SELECT conv_key, native_id, row_number() OVER (PARTITION BY conv_key ORDER BY pos) AS rn FROM v_marked WHERE on_active_path),
 h AS (SELECT m.conv_key, m.native_id AS hit, p.rn AS hr FROM v_messages m LEFT JOIN p USING (conv_key, native_id) WHERE pos = 1)
 SELECT conv_key, p.native_id, hit, rn FROM p JOIN h USING (conv_key) WHERE hr IS NULL OR abs(rn - hr) <= 1""",

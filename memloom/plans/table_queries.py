@@ -52,8 +52,10 @@ def payloads(spark, sf):
 
 
 def payload_validation(spark, sf):
-    none = F.array().cast("array<struct<speaker:string>>")
-    rows = payloads(spark, sf).withColumn("problems", ledger.payload_problems(F.col("top"), none, F.col("assertions")))
+    who = F.when(F.col("id") % 19 == 0, "both").otherwise(F.when(F.col("id") % 2 == 0, "user").otherwise("assistant"))
+    said = v.mentions(spark, sf).groupBy("conv_key", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("id", who.alias("speaker")))).alias("mentions"))
+    rows = payloads(spark, sf).join(said, ["conv_key", "chunk_idx"])
+    rows = rows.withColumn("problems", ledger.payload_problems(F.col("top"), F.col("mentions"), F.col("assertions")))
     return rows.select("conv_key", "chunk_idx", F.array_join("problems", "; ").alias("problems"), (F.size("problems") == 0).alias("valid"))
 
 
@@ -63,6 +65,38 @@ def evidence_remap(spark, sf):
     return rows.select("conv_key", F.array_join(ledger.remap_evidence(ids, F.col("known")), ",").alias("evidence"))
 
 
+def worked(spark, sf):
+    return jobs(spark, sf).withColumn("worker", F.when(F.col("status") == "claimed", "w0"))
+
+
+def claimed(spark, sf):
+    at = F.to_timestamp(F.lit("2024-02-01T12:00:00+00:00"))
+    return ledger.claim(worked(spark, sf), v.conversations(spark, sf), at, "w1").select("conv_key", "status", "worker")
+
+
+def completed(spark, sf):
+    """Reports on claimed jobs: some twice, of which the last says that they failed."""
+    open_jobs = jobs(spark, sf).filter("status = 'claimed'")
+    n = F.substring_index("conv_key", ":", -1).cast("long")
+    first = open_jobs.select("conv_key", F.lit(1).alias("seq"), F.lit(False).alias("failed"), F.lit("t1").alias("completed_at"))
+    again = open_jobs.filter(n % 4 == 0).select("conv_key", F.lit(2).alias("seq"), F.lit(True).alias("failed"), F.lit("t2").alias("completed_at"))
+    return ledger.complete(jobs(spark, sf), first.unionByName(again)).select("conv_key", "status", "completed_at")
+
+
+def accepted(spark, sf):
+    """Vectors offered for messages, some of a wrong size, some twice: the first of each counts, where there is none."""
+    m = v.messages(spark, sf)
+    size = F.when(F.col("pos") % 4 == 1, 2).otherwise(3)
+    one = m.select(F.lit(1).alias("seq"), "conv_key", "native_id", F.array_repeat(F.col("pos").cast("double"), size).alias("embedding"))
+    two = m.select(F.lit(2).alias("seq"), "conv_key", "native_id", F.array_repeat(F.lit(-1.0), 3).alias("embedding"))
+    rows = ledger.accept_embeddings(one.unionByName(two), embedded(spark, sf).filter("native_id <> 'm2'"), 3)
+    return rows.select("conv_key", "native_id", F.element_at("embedding", 1).alias("x"))
+
+
+def worksheet(spark, sf):
+    return ledger.mention_worksheet(v.mentions(spark, sf), v.threads(spark, sf))
+
+
 def overrides(spark, sf):
     n = F.col("conv_id")
     rows = v.table(spark, sf, "conversations").filter((n % 4 == 0) & (F.col("turn") <= 1))
@@ -77,13 +111,17 @@ QUERIES = {
     "embedding_coverage": lambda s, d: ledger.embedding_coverage(v.messages(s, d), embedded(s, d)),
     "embed_pending": lambda s, d: ledger.embed_pending(v.messages(s, d), embedded(s, d)),
     "queue_status": lambda s, d: ledger.queue_status(jobs(s, d)),
+    "ledger_totals": lambda s, d: ledger.ledger_totals(v.mentions(s, d), v.assertions(s, d), extractions(s, d)),
+    "job_claim": claimed,
+    "job_complete": completed,
+    "embed_accept": accepted,
     "queue_claimable": lambda s, d: ledger.claimable(jobs(s, d), v.conversations(s, d), F.to_timestamp(F.lit("2024-02-01T12:00:00+00:00"))).select("conv_key", "status", "created_at"),
     "seed_jobs": lambda s, d: ledger.seed_jobs(v.conversations(s, d), jobs(s, d)),
     "chunk_submit": lambda s, d: ledger.submit_chunks(extractions(s, d), submitted(s, d)),
     "chunk_progress": lambda s, d: ledger.progress(extractions(s, d)),
     "browse_conversations": lambda s, d: ledger.browse(v.conversations(s, d), AFTER, BEFORE, "claude.ai", 100),
     "paged_listing": lambda s, d: ledger.browse(v.conversations(s, d), limit=50, offset=20, most=200),
-    "mention_worksheet": lambda s, d: ledger.mention_worksheet(v.mentions(s, d)),
+    "mention_worksheet": worksheet,
     "mentions_by_name": lambda s, d: ledger.by_name(v.mentions(s, d), "K7").select("id", "conv_key", "name", "kind"),
     "conversations_for_name": lambda s, d: ledger.conversations_for_name(v.mentions(s, d), v.assertions(s, d), "k7"),
     "ledger_search": lambda s, d: ledger.search(v.mentions(s, d), v.assertions(s, d), "K42 "),
@@ -96,6 +134,7 @@ QUERIES = {
 
 _c = v.with_views("messages", "conversations")
 _m = v.with_views("mentions")
+_mt = v.with_views("mentions", "threads")
 _ma = v.with_views("mentions", "assertions")
 ORACLES = {
     "source_stats": f"{_c} SELECT source, count(*) AS n, sum(message_count)::BIGINT AS messages, min(created_at) AS first, max(updated_at) AS last FROM v_conversations GROUP BY source",
@@ -110,7 +149,13 @@ ORACLES = {
     "chunk_progress": f"{_m}, {EXTRACTIONS} SELECT conv_key, max(chunk_idx) + 1 AS chunks_done, count(*) FILTER (valid = 0) AS invalid FROM v_ext GROUP BY 1",
     "browse_conversations": f"{_c} SELECT * FROM v_conversations WHERE owner NOT IN ('sealed') AND source = 'claude.ai' AND updated_at >= '{AFTER}T00:00:00' AND created_at <= '{BEFORE}T23:59:59.999999' ORDER BY updated_at DESC NULLS LAST, conv_key LIMIT 100",
     "paged_listing": f"{_c} SELECT * FROM v_conversations WHERE owner NOT IN ('sealed') ORDER BY updated_at DESC NULLS LAST, conv_key LIMIT 50 OFFSET 20",
-    "mention_worksheet": f"{_m} SELECT name, count(*) AS n, count(DISTINCT conv_key) AS n_conversations, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM v_mentions GROUP BY name ORDER BY n DESC, name LIMIT 200",
+    "ledger_totals": f"{_ma}, {EXTRACTIONS} SELECT (SELECT count(*) FROM v_mentions) AS mentions, (SELECT count(*) FROM v_assertions) AS assertions, count(*) AS chunks, count(*) FILTER (valid = 0) AS invalid_chunks FROM v_ext",
+    "job_claim": f"""{_c}, {JOBS}, o AS (SELECT *, status = 'claimed' AND claimed_at < '2024-02-01T10:00:00' AS stale FROM v_jobs),
+h AS (SELECT conv_key AS head FROM o JOIN v_conversations c USING (conv_key) WHERE status = 'pending' OR stale ORDER BY c.created_at NULLS FIRST, conv_key LIMIT 1)
+SELECT conv_key, CASE WHEN conv_key = head THEN 'claimed' WHEN stale THEN 'pending' ELSE status END AS status, CASE WHEN conv_key = head THEN 'w1' WHEN status = 'claimed' AND NOT stale THEN 'w0' END AS worker FROM o, h""",
+    "job_complete": f"{_c}, {JOBS} SELECT conv_key, CASE WHEN status <> 'claimed' THEN status WHEN split_part(conv_key, ':', 2)::BIGINT % 4 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN status = 'claimed' THEN CASE WHEN split_part(conv_key, ':', 2)::BIGINT % 4 = 0 THEN 't2' ELSE 't1' END END AS completed_at FROM v_jobs",
+    "embed_accept": f"{_c} SELECT conv_key, native_id, CASE WHEN pos % 4 = 1 THEN -1.0::DOUBLE ELSE pos::DOUBLE END AS x FROM v_messages WHERE pos % 2 <> 0 OR native_id = 'm2'",
+    "mention_worksheet": f"{_mt} SELECT name, count(*) AS n, count(DISTINCT conv_key) AS n_conversations, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM v_mentions JOIN (SELECT conv_key FROM v_threads WHERE owner NOT IN ('sealed')) USING (conv_key) GROUP BY name ORDER BY n DESC, name LIMIT 200",
     "mentions_by_name": f"{_m} SELECT id, conv_key, name, kind FROM v_mentions WHERE lower(name) = 'k7'",
     "conversations_for_name": f"{_ma} SELECT conv_key, sum(h)::BIGINT AS hits FROM (SELECT conv_key, count(*) AS h FROM v_mentions WHERE name = 'k7' GROUP BY 1 UNION ALL SELECT conv_key, count(*) FROM v_assertions WHERE statement ILIKE '%k7%' GROUP BY 1) GROUP BY 1",
     "ledger_search": f"{_ma} (SELECT 'mention' AS part, id, name AS text FROM v_mentions WHERE name ILIKE '%k42 %' OR context ILIKE '%k42 %' ORDER BY day, id LIMIT 100) UNION ALL (SELECT 'assertion', id, statement FROM v_assertions WHERE statement ILIKE '%k42 %' ORDER BY created_at, id LIMIT 100)",
@@ -120,8 +165,9 @@ ORACLES = {
     "payload_validation": f"""{_ma}, p AS (SELECT conv_key, chunk_idx, min(id) AS first, list(struct_pack(id := id,
   t := CASE id % 10 WHEN 0 THEN 'decision' WHEN 1 THEN 'advice' WHEN 2 THEN 'problem' WHEN 3 THEN 'solution' WHEN 4 THEN 'fact' WHEN 5 THEN 'preference' WHEN 6 THEN 'lesson' WHEN 7 THEN 'open_thread' WHEN 8 THEN 'question' ELSE 'rumour' END,
   s := CASE WHEN id % 17 = 0 THEN 'nobody' ELSE speaker END) ORDER BY id) AS a FROM v_assertions GROUP BY 1, 2),
-q AS (SELECT conv_key, chunk_idx, list_concat(CASE WHEN first % 13 = 0 THEN ['missing state'] ELSE [] END,
-  list_concat([('assertion type ' || x.t) FOR x IN a IF x.t = 'rumour'], [('assertion speaker ' || x.s) FOR x IN a IF x.s = 'nobody'])) AS problems FROM p)
+m AS (SELECT conv_key, chunk_idx, count(*) FILTER (id % 19 = 0) AS wrong FROM v_mentions GROUP BY 1, 2),
+q AS (SELECT conv_key, chunk_idx, list_concat(list_concat(CASE WHEN first % 13 = 0 THEN ['missing state'] ELSE [] END,
+  list_concat([('assertion type ' || x.t) FOR x IN a IF x.t = 'rumour'], [('assertion speaker ' || x.s) FOR x IN a IF x.s = 'nobody'])), [('mention speaker both') FOR i IN range(wrong)]) AS problems FROM p JOIN m USING (conv_key, chunk_idx))
 SELECT conv_key, chunk_idx, coalesce(array_to_string(problems, '; '), '') AS problems, len(problems) = 0 AS valid FROM q""",
     "evidence_remap": f"{_c} SELECT conv_key, coalesce(string_agg(native_id, ',' ORDER BY CASE pos WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) FILTER (pos IN (0, 1, 3)), '') AS evidence FROM v_messages GROUP BY 1",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions.text import content_hash, iso_from_epoch, normal_role, project_name, redact
+from memloom.functions.text import content_hash, iso_from_epoch, normal_role, project_name, redact, redact_json
 from memloom.operators.store import path_ids
 
 BLOCK = "struct<type:string,text:string,summaries:array<string>,tool_name:string,input:string,content:string,is_error:boolean,redacted:boolean,modality:string,citations:string,start_timestamp:string,stop_timestamp:string,raw:map<string,string>>"
@@ -84,6 +84,8 @@ def node_blocks(text: Column) -> Column:
 def session_blocks(content: Column) -> Column:
     """Blocks of a coding session's message, secrets masked; plain strings are one text block."""
     items = F.from_json(content, "array<string>")
+    # a string stands as itself, an object or array as its JSON text
+    masked = lambda v: F.when(v.rlike(r"^\s*[\[{]"), redact_json(v)).otherwise(redact(v))
 
     def one(text: Column) -> Column:
         b = F.from_json(text, "struct<type:string,text:string,thinking:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>")
@@ -92,9 +94,9 @@ def session_blocks(content: Column) -> Column:
         return (
             F.when(kind == "text", block(type=kind, text=redact(F.coalesce(b["text"], none))))
             .when(kind == "thinking", block(type=kind, text=redact(F.coalesce(b["thinking"], none))))
-            .when(kind == "tool_use", block(type=kind, tool_name=F.coalesce(b["name"], none), input=redact(F.coalesce(b["input"], F.lit("{}")))))
-            .when(kind == "tool_result", block(type=kind, tool_name=F.coalesce(b["tool_use_id"], none), content=redact(F.coalesce(b["content"], F.lit("[]"))), is_error=F.coalesce(b["is_error"], F.lit(False))))
-            .otherwise(block(type=kind, raw=F.transform_values(raw_fields(text, "type"), lambda _, v: redact(v))))
+            .when(kind == "tool_use", block(type=kind, tool_name=F.coalesce(b["name"], none), input=redact_json(F.coalesce(b["input"], F.lit("{}")))))
+            .when(kind == "tool_result", block(type=kind, tool_name=F.coalesce(b["tool_use_id"], none), content=masked(F.coalesce(b["content"], F.lit("[]"))), is_error=F.coalesce(b["is_error"], F.lit(False))))
+            .otherwise(block(type=kind, raw=F.transform_values(raw_fields(text, "type"), lambda _, v: masked(v))))
         )
 
     is_list = F.startswith(F.ltrim(content), F.lit("[")) & items.isNotNull()
@@ -203,14 +205,17 @@ def session_lines(spark: SparkSession, root: str) -> DataFrame:
 def session_records(lines: DataFrame) -> DataFrame:
     """One record for each session of ``lines(project, session, block, at, value)``.
 
-    Side chains, bookkeeping and broken lines are left out, a repeated uuid counts once, the last title wins, model
-    and directory are the most frequent (the first of equals), and messages keep the order of the log.
+    Side chains, bookkeeping and broken lines are left out, a repeated uuid counts once, turns without one count each, the last
+    title wins, model and directory are the most frequent (the first of equals), and messages keep the order of the log.
     """
     rows = lines.withColumn("e", F.from_json("value", SESSION)).filter("e is not null").withColumn("ord", F.struct("block", "at"))
     key = ["project", "session"]
     title = rows.filter((F.col("e.type") == "ai-title") & (F.coalesce("e.aiTitle", F.lit("")) != "")).groupBy(*key).agg(F.max_by("e.aiTitle", "ord").alias("title"))
     turns = rows.filter(F.col("e.type").isin("user", "assistant") & ~F.coalesce("e.isSidechain", F.lit(False))).withColumn("blocks", session_blocks(F.col("e.message.content"))).filter(F.size("blocks") > 0)
-    once = turns.filter("e.uuid is not null").groupBy(*key, F.col("e.uuid").alias("uuid")).agg(F.min_by(F.struct("ord", "e", "blocks"), "ord").alias("v")).select(*key, "uuid", "v.*")
+    named = F.nullif("e.uuid", F.lit(""))
+    # a turn without a uuid is known by its place
+    own = F.when(named.isNull(), F.col("ord"))
+    once = turns.groupBy(*key, named.alias("uuid"), own.alias("own")).agg(F.min_by(F.struct("ord", "e", "blocks"), "ord").alias("v")).select(*key, "uuid", "v.*")
     role = F.coalesce("e.message.role", "e.type")
     shaped = once.withColumn("m", F.struct("ord", F.col("uuid").alias("native_id"), F.col("e.parentUuid").alias("parent_native_id"), role.alias("role"), F.col("e.timestamp").alias("created_at"), F.col("blocks").alias("content"), content_hash(role, flat_text(F.col("blocks"), summaries=False)).alias("content_hash"), F.col("e.message.model").alias("model")))
     modal = lambda c: _modal(once.select(*key, "ord", F.col(c).alias("x")), key)
@@ -230,6 +235,33 @@ def _modal(rows: DataFrame, key: list[str]) -> DataFrame:
     return counts.groupBy(*key).agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "x"))["x"].alias("x"))
 
 
+def attribute(records: DataFrame, owners: DataFrame) -> DataFrame:
+    """Records with an attribution: the owner of the conversation's project, or unknown. ``owners(project_native_id, owner)``.
+
+    Attribution is never guessed: without a rule for its project a conversation's owner stays unknown.
+    """
+    rule = owners.filter(F.coalesce("owner", F.lit("")) != "").groupBy("project_native_id").agg(F.min("owner").alias("_owner")).withColumnRenamed("project_native_id", "_project")
+    rows = records.join(rule, F.nullif("conversation.project_native_id", F.lit("")) == F.col("_project"), "left")
+    ruled = F.col("_owner").isNotNull()
+    found = F.struct(F.coalesce("_owner", F.lit("unknown")).alias("owner"), F.when(ruled, "project-rule").alias("method"), F.when(ruled, 1.0).otherwise(0.0).alias("confidence"))
+    return rows.withColumn("attribution", found).drop("_owner", "_project")
+
+
+def bronze(records: DataFrame) -> DataFrame:
+    """Accepted records as versions for ``store.newest_wins``: key, updated_at, created_at, title, model, message_count, record."""
+    c = "conversation"
+    return records.select(
+        F.concat(f"{c}.source", F.lit(":"), f"{c}.native_id").alias("key"), F.col(f"{c}.updated_at").alias("updated_at"), F.col(f"{c}.created_at").alias("created_at"),
+        F.col(f"{c}.title").alias("title"), F.col(f"{c}.model").alias("model"), F.size("messages").alias("message_count"), F.struct("*").alias("record"),
+    )
+
+
+def message_rows(records: DataFrame) -> DataFrame:
+    """Messages of records: conv_key, pos, the message's fields, and the text that search sees."""
+    rows = records.select(F.concat("conversation.source", F.lit(":"), "conversation.native_id").alias("conv_key"), F.posexplode("messages").alias("pos", "m"))
+    return rows.select("conv_key", "pos", "m.*", search_text(F.col("m.content"), F.col("m.attachments")).alias("text"))
+
+
 def gate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantined): records of schema version 1 with a source and a native id, and all others."""
     good = F.coalesce((F.col("schema_version") == 1) & F.col("conversation.source").isNotNull() & F.col("conversation.native_id").isNotNull(), F.lit(False))

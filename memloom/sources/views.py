@@ -79,7 +79,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, conv_key, chunk_idx, type, statement, speaker, created_at of every assertion."""
+    """id, conv_key, chunk_idx, type, statement, rationale, speaker, evidence, created_at of every assertion."""
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1)
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
@@ -87,11 +87,20 @@ def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.dayofmonth("ts").alias("chunk_idx"),
         F.col("event_type").alias("type"),
         F.concat_ws(" ", F.concat(F.lit("k"), k), "event_type", (F.col("event_id") % 7).cast("string")).alias("statement"),
+        F.when(F.col("event_id") % 11 == 0, "her Sister said so").when(F.col("event_id") % 5 == 0, F.concat(F.lit("after Alias "), (F.col("event_id") % 100).cast("string"))).alias("rationale"),
         _pick(("user", "assistant", "both"), F.col("event_id")).alias("speaker"),
+        F.when(F.col("event_id") % 13 != 0, F.array(F.concat(F.lit("e"), "event_id"))).otherwise(F.array().cast("array<string>")).alias("evidence"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
     )
 
 
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each conversation of mentions and assertions: conv_key, owner, created_at."""
+    owner = F.when(F.col("user_id") % 10 == 0, "sealed").when(F.col("user_id") % 10 != 1, "unknown")
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
+    return rows.select(F.concat(F.lit("u"), "user_id").alias("conv_key"), owner.alias("owner"), "created_at")
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, canonical, type, mentions of every entity."""
     found = mentions(spark, sf_dir).groupBy("entity_id").agg(F.count("*").alias("mentions"))
@@ -128,8 +137,12 @@ v_messages AS (SELECT source || ':' || conv_id AS conv_key, source, 'm' || turn
   strftime(ts, '%Y-%m-%d') AS day, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS entity_id FROM events)""",
     "assertions": """v_assertions AS (SELECT event_id AS id, 'u' || user_id AS conv_key, day(ts)::INTEGER AS chunk_idx, event_type AS type,
   'k' || regexp_extract(props, '"k": *([0-9]+)', 1) || ' ' || event_type || ' ' || (event_id % 7) AS statement,
+  CASE WHEN event_id % 11 = 0 THEN 'her Sister said so' WHEN event_id % 5 = 0 THEN 'after Alias ' || (event_id % 100) END AS rationale,
   CASE event_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'both' END AS speaker,
+  CASE WHEN event_id % 13 <> 0 THEN ['e' || event_id] ELSE [] END AS evidence,
   strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at FROM events)""",
+    "threads": """v_threads AS (SELECT 'u' || user_id AS conv_key, CASE WHEN user_id % 10 = 0 THEN 'sealed' WHEN user_id % 10 <> 1 THEN 'unknown' END AS owner,
+  strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS created_at FROM events GROUP BY user_id)""",
     "entities": """v_entities AS (SELECT entity_id, 'k' || entity_id AS canonical,
   CASE entity_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'org' WHEN 2 THEN 'project' ELSE 'topic' END AS type, count(*) AS mentions
   FROM v_mentions GROUP BY entity_id)""",

@@ -9,65 +9,94 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from memloom.operators.store import newest_wins
 from memloom.sources.records import session_records
 
 SCHEMA = "path string, project string, session string, at long, value string"
+#: Bytes that are looked at in one step.
+STEP = 1 << 16
 
 
-def complete_lines(path: str, start: int, size: int) -> tuple[list[tuple[int, str]], int]:
-    """Lines that end in bytes start..size of a file, with their offsets, and the offset after the last of them."""
+def last_line_end(path: str, begin: int, size: int) -> int:
+    """Offset after the last newline of bytes begin..size, begin without one; the file is read from its end, step by step."""
     with open(path, "rb") as f:
-        f.seek(start)
-        data = f.read(size - start)
-    end = data.rfind(b"\n") + 1
-    out, at = [], start
-    for line in data[:end].split(b"\n")[:-1]:
-        out.append((at, line.decode("utf-8", "replace")))
-        at += len(line) + 1
-    return out, start + end
+        while size > begin:
+            at = max(begin, size - STEP)
+            f.seek(at)
+            found = f.read(size - at).rfind(b"\n")
+            if found >= 0:
+                return at + found + 1
+            size = at
+    return begin
+
+
+def lines_between(path: str, begin: int, end: int, stop: int) -> Iterator[tuple[int, str]]:
+    """(offset, line) of the lines that start in bytes begin..end; the last may reach up to ``stop``, where a line ends."""
+    with open(path, "rb") as f:
+        f.seek(begin)
+        at = begin
+        while at < end:
+            line = f.readline(stop - at)
+            if not line.endswith(b"\n"):
+                return
+            yield at, line[:-1].decode("utf-8", "replace")
+            at += len(line)
+
+
+class Piece(InputPartition):
+    """A part of one file: the lines that start in bytes begin..end, and where the batch ends in that file."""
+
+    def __init__(self, path: str, inode: int, begin: int, end: int, first: int, stop: int) -> None:
+        self.path, self.inode, self.begin, self.end, self.first, self.stop = path, inode, begin, end, first, stop
 
 
-class TailReader(SimpleDataSourceStreamReader):
+class TailReader(DataSourceStreamReader):
     """Offsets are {path: [inode, offset]}; a shorter or another file under a known path starts over.
 
-    Only lines that end in a newline are read, so a line that is still being written waits. Option ``root`` holds
-    <project>/<session>.jsonl; ``max_bytes`` bounds what a file gives in one batch.
+    Only lines that end in a newline are read, so a line that is still being written waits, however long it gets. The
+    driver looks for the last newline of each file that grew; executors read the lines, ``max_bytes`` of a file in a task.
+    Option ``root`` holds <project>/<session>.jsonl and must be a folder that all of them see.
     """
 
     def __init__(self, options: dict) -> None:
         self.root, self.max_bytes = options["root"], int(options.get("max_bytes", 64 << 20))
+        self.known: dict[str, list[int]] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
-    def _files(self) -> Iterator[tuple[str, os.stat_result]]:
+    def latestOffset(self) -> dict:
+        now = {}
         for path in sorted(Path(self.root).glob("*/*.jsonl")):
-            yield str(path), path.stat()
-
-    def _rows(self, before: dict, after: dict) -> Iterator[tuple]:
-        for path, (inode, end) in sorted(after.items()):
-            old = before.get(path)
-            begin = old[1] if old and old[0] == inode and old[1] <= end else 0
-            if not os.path.exists(path) or os.stat(path).st_ino != inode:
-                continue
-            p = Path(path)
-            for at, line in complete_lines(path, begin, end)[0]:
-                yield path, p.parent.name, p.stem, at, line
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        before = json.loads(start["files"])
-        after = {}
-        for path, stat in self._files():
-            old = before.get(path)
+            stat = path.stat()
+            old = self.known.get(str(path))
             begin = old[1] if old and old[0] == stat.st_ino and old[1] <= stat.st_size else 0
-            after[path] = [stat.st_ino, complete_lines(path, begin, min(stat.st_size, begin + self.max_bytes))[1]]
-        return iter(list(self._rows(before, after))), {"files": json.dumps(after, sort_keys=True)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(json.loads(start["files"]), json.loads(end["files"]))
+            now[str(path)] = [stat.st_ino, last_line_end(str(path), begin, stat.st_size)]
+        self.known = now
+        return {"files": json.dumps(now, sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[Piece]:
+        before, after = json.loads(start["files"]), json.loads(end["files"])
+        out = []
+        for path, (inode, stop) in sorted(after.items()):
+            old = before.get(path)
+            begin = old[1] if old and old[0] == inode and old[1] <= stop else 0
+            out += [Piece(path, inode, at, min(stop, at + self.max_bytes), begin, stop) for at in range(begin, stop, self.max_bytes)]
+        return out
+
+    def read(self, piece: Piece) -> Iterator[tuple]:
+        if not os.path.exists(piece.path) or os.stat(piece.path).st_ino != piece.inode:
+            return
+        p = Path(piece.path)
+        begin = piece.begin
+        if begin > piece.first:  # a line that began before belongs to the piece before
+            with open(piece.path, "rb") as f:
+                f.seek(begin - 1)
+                begin += len(f.readline(piece.stop - begin + 1)) - 1
+        for at, line in lines_between(piece.path, begin, piece.end, piece.stop):
+            yield piece.path, p.parent.name, p.stem, at, line
 
 
 class TailSource(DataSource):
@@ -80,13 +109,10 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> TailReader:
+    def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
 
 
-__all__ = ["InputPartition", "TailSource", "register", "tail"]
-
-
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TailSource)
 
@@ -96,32 +122,69 @@ def tail(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.format("jsonl_tail").option("root", root).load()
 
 
-def upsert_stream(stream: DataFrame, silver: str, checkpoint: str, available_now: bool = True, interval: str = "5 seconds"):
+#: Buckets of a silver table; a batch rewrites only those that its keys fall into.
+BUCKETS = 64
+
+
+def upsert_stream(stream: DataFrame, silver: str, checkpoint: str, available_now: bool = True, interval: str = "5 seconds", force: str | None = None):
     """Keep a silver table of the newest version of each key: ``stream(key, seq, updated_at, created_at, ...)``.
 
-    Each batch merges with the table and writes a new version of it next to the old one; a small pointer file names
-    the current version, so a batch that is run again gives the same table.
+    Batch n writes the buckets of its keys under ``silver``/v{n}, from what the batches below n left there; nothing that
+    another batch wrote is changed, so running a batch again, or losing an executor in it, gives the same table. Bucket k of
+    the table is the newest one written. ``vacuum`` deletes superseded buckets.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = current(spark, silver)
-        rows = batch if now is None else now.unionByName(batch)
-        newest_wins(rows).write.mode("overwrite").parquet(f"{silver}/v{batch_id}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        now = current(spark, silver, batch_id, touched)
+        # what is stored came first, and its created_at is that of the first version
+        newest_wins(rows if now is None else now.unionByName(rows), force=force).write.mode("overwrite").partitionBy("bucket").parquet(f"{silver}/v{batch_id}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
-def current(spark: SparkSession, silver: str) -> DataFrame | None:
-    """The last whole version of a silver table."""
+def _versions(spark: SparkSession, silver: str) -> dict[int, list[tuple[int, str]]]:
+    """Written versions (number, path) of each bucket, the newest first."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = fs_path(silver)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[tuple[int, str]]] = {}
     if not fs.exists(root):
+        return out
+    for status in fs.listStatus(root):
+        at = status.getPath()
+        if at.getName().startswith("v") and fs.exists(fs_path(f"{at}/_SUCCESS")):
+            for part in fs.listStatus(at):
+                if part.getPath().getName().startswith("bucket="):
+                    out.setdefault(int(part.getPath().getName()[7:]), []).append((int(at.getName()[1:]), str(part.getPath())))
+    return {k: sorted(v, reverse=True) for k, v in out.items()}
+
+
+def current(spark: SparkSession, silver: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """A silver table as the batches before ``below`` (all) left it, or some buckets of it; with its column bucket."""
+    found = []
+    for bucket, versions in _versions(spark, silver).items():
+        live = [path for n, path in versions if below is None or n < below]
+        if live and (buckets is None or bucket in buckets):
+            found.append(live[0])
+    if not found:
         return None
-    found = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v") and fs.exists(fs_path(f"{s.getPath()}/_SUCCESS"))]
-    return spark.read.parquet(f"{silver}/v{max(found)}") if found else None
+    return spark.read.parquet(*found).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+
+
+def vacuum(spark: SparkSession, silver: str, keep: int = 2) -> int:
+    """Delete all but the newest ``keep`` versions of each bucket; two are what a batch that runs again needs."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(silver).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [path for versions in _versions(spark, silver).values() for _, path in versions[keep:]]
+    for path in old:
+        fs.delete(fs_path(path), True)
+    return len(old)
 
 
 def append_stream(stream: DataFrame, transform, path: str, checkpoint: str):
@@ -132,17 +195,21 @@ def append_stream(stream: DataFrame, transform, path: str, checkpoint: str):
 def session_stream(stream: DataFrame, lines_path: str, deliver, checkpoint: str):
     """Re-emit the whole record of every session that got new message lines: ``deliver(records, batch_id)``.
 
-    Lines are kept in a table by session; a batch rewrites only its own sub-folder, so running it again changes
-    nothing, and a failed delivery fails the batch, which the checkpoint then repeats.
+    Lines are kept in a table by batch and bucket of sessions; a batch reads the buckets that its sessions fall into and
+    rewrites only its own folder, so running it again changes nothing, and a failed delivery fails the batch, which the
+    checkpoint then repeats.
     """
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("project", "session", F.lit(0).cast("long").alias("block"), "at", "value")
-        rows.write.mode("overwrite").parquet(f"{lines_path}/batch={batch_id}")
-        touched = changed_sessions(batch).select("project", "session")
-        known = spark.read.parquet(lines_path).filter(F.col("batch") <= batch_id).drop("batch").join(touched, ["project", "session"], "left_semi")
-        deliver(session_records(known), batch_id)
+        rows = batch.select("project", "session", F.lit(0).cast("long").alias("block"), "at", "value", F.pmod(F.xxhash64("project", "session"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{lines_path}/batch={batch_id}")
+        touched = changed_sessions(rows).select("project", "session")
+        buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        if not buckets:
+            return
+        known = spark.read.parquet(lines_path).filter(F.col("bucket").isin(buckets) & (F.col("batch") <= batch_id)).drop("batch", "bucket")
+        deliver(session_records(known.join(touched, ["project", "session"], "left_semi")), batch_id)
 
     return stream.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

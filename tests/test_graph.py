@@ -43,11 +43,23 @@ def test_pairs_are_ordered_and_bounded(spark):
 
 
 def test_typing_guard(spark):
-    rows = [("family-of", "forward", "person", "person", "his sister"), ("family-of", "forward", "person", "person", "they met"), ("works-for", "backward", "org", "person", ""), ("works-for", "forward", "org", "person", ""), ("works-on", "forward", "person", "tool", ""), ("nonsense", "forward", "person", "person", ""), ("uses", "sideways", "person", "person", "")]
-    got = edges.guard_typing(spark.createDataFrame(rows, "relation string, direction string, src_type string, dst_type string, evidence_text string")).collect()
+    rows = [("family-of", "forward", "person", "person", ["x", "his sister"]), ("family-of", "forward", "person", "person", ["they met"]), ("works-for", "backward", "org", "person", None), ("works-for", "forward", "org", "person", None), ("works-on", "forward", "person", "tool", None), ("nonsense", "forward", "person", "person", None), ("uses", "sideways", "person", "person", None)]
+    got = edges.guard_typing(spark.createDataFrame(rows, "relation string, direction string, src_type string, dst_type string, evidence array<string>")).collect()
     assert [(r.relation, r.direction, r.downgraded) for r in got] == [("family-of", "forward", False), ("discussed-with", "undirected", True), ("works-for", "backward", False), ("related-to", "undirected", True), ("works-on", "forward", False)]
 
 
+def test_timeline_by_aliases(spark):
+    e = spark.createDataFrame([(1, "Ann Lee (boss)", "person", 5), (2, "Bo", "person", 2)], "entity_id long, canonical string, type string, mentions long")
+    a = spark.createDataFrame([("A. Lee", 1), ("annie", 1)], "alias string, entity_id long")
+    m = spark.createDataFrame([("c", 0, 1), ("d", 0, 1), ("s", 0, 1), ("c", 1, 2)], "conv_key string, chunk_idx int, entity_id long")
+    said = [(1, "c", 0, "fact", "Annie came", "user", ["m1"]), (2, "c", 0, "fact", "Joannie came", "user", []), (3, "d", 0, "fact", "met A. Lee", "both", None), (4, "s", 0, "fact", "Annie hid", "user", []), (5, "c", 1, "fact", "Annie left", "user", []), (6, "c", 0, "fact", "ann lee ran", "assistant", []), (7, "c", 0, "fact", "Annie came", "user", ["m1"])]
+    s = spark.createDataFrame(said, "id long, conv_key string, chunk_idx int, type string, statement string, speaker string, evidence array<string>")
+    c = spark.createDataFrame([("c", "me", "2024-02-01T00"), ("d", "me", "2024-01-01T00"), ("s", "sealed", "2023-01-01T00")], "conv_key string, owner string, created_at string")
+    got = resolve.timeline("annie", e, a, m, s, c).collect()
+    assert [(r.day, r.statement, r.ref) for r in got] == [("2024-01-01", "met A. Lee", None), ("2024-02-01", "ann lee ran", None), ("2024-02-01", "Annie came", "c#m1")]
+    assert [r.statement for r in resolve.timeline("annie", e, a, m, s, c, " Agent").collect()] == ["ann lee ran"]
+
+
 def test_resolution_tiers(spark):
     e = spark.createDataFrame([(1, "Ann Lee", 5), (2, "Ann Poe", 9), (3, "ann", 1), (4, "Bob Ray (x)", 2)], "entity_id long, canonical string, mentions long")
     a = spark.createDataFrame([("AL", 1), ("al", 2), ("Robert", 4)], "alias string, entity_id long")

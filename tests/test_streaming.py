@@ -27,21 +27,25 @@ def test_tailing_growing_and_replaced_files(spark, tmp_path):
     assert len(run(spark, str(root), out, checkpoint)) == 5
 
 
-def test_bounded_reads(tmp_path):
+def test_pieces_of_bounded_size(tmp_path):
     log = tmp_path / "p" / "s.jsonl"
     log.parent.mkdir()
-    log.write_text("".join(json.dumps({"n": i}) + "\n" for i in range(100)))
+    rows = [{"n": i, "x": "y" * (i % 13)} for i in range(100)] + [{"n": 100, "x": "long" * 5000}, {"n": 101}]
+    log.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    for size in (1, 7, 64, 300, 10**6):
+        reader = ts.TailReader({"root": str(tmp_path), "max_bytes": str(size)})
+        pieces = reader.partitions(reader.initialOffset(), reader.latestOffset())
+        got = [x for p in pieces[: 10**5] for x in reader.read(p)]
+        assert [json.loads(v)["n"] for *_, v in got] == list(range(102)), size
+        assert len({x[3] for x in got}) == 102
     reader = ts.TailReader({"root": str(tmp_path), "max_bytes": "300"})
-    offset, seen = reader.initialOffset(), []
-    for _ in range(20):
-        rows, after = reader.read(offset)
-        rows = list(rows)
-        assert rows == list(reader.readBetweenOffsets(offset, after))
-        seen += [r[4] for r in rows]
-        offset = after
-    assert [json.loads(x)["n"] for x in seen] == list(range(100))
-    os.truncate(log, 9)
-    assert [r[4] for r in reader.read(offset)[0]] == ['{"n": 0}']
+    offset = reader.latestOffset()
+    with log.open("a") as f:
+        f.write('{"n": 102')
+    assert reader.latestOffset() == offset
+    os.truncate(log, len(json.dumps(rows[0])) + 1)
+    pieces = reader.partitions(offset, reader.latestOffset())
+    assert [json.loads(x[4])["n"] for p in pieces for x in reader.read(p)] == [0]
 
 
 def test_stream_is_batch(spark, tmp_path):
@@ -53,9 +57,14 @@ def test_stream_is_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = ts.upsert_stream(stream, str(tmp_path / "silver"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    got = sorted(map(tuple, ts.current(spark, str(tmp_path / "silver")).select("key", "updated_at", "title").collect()))
+    silver = str(tmp_path / "silver")
+    table = lambda: sorted(map(tuple, ts.current(spark, silver).select("key", "updated_at", "title").collect()))
     want = sorted(map(tuple, ts.newest_wins(frame).select("key", "updated_at", "title").collect()))
-    assert got == want
+    assert table() == want
+    versions = ts._versions(spark, silver)
+    assert len(versions) == 2 and max(map(len, versions.values())) == 2
+    ts.vacuum(spark, silver, 1)
+    assert table() == want and {len(v) for v in ts._versions(spark, silver).values()} == {1}
 
 
 def test_sessions_are_emitted_whole(spark, tmp_path):
