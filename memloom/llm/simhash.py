@@ -24,8 +24,9 @@ from .components import components
 
 BITS = 64
 SEED = 42
-#: Rows of a bucket beyond which it is dealt out again, by a second pigeonhole over the other bits.
-HOT_BUCKET = 20_000
+#: Rows of a bucket beyond which it is dealt out again, by a pigeonhole over other bits, and how often at most; such buckets are
+#: looked for in one of SAMPLE fingerprints.
+HOT_BUCKET, MOST_DEALS, SAMPLE = 20_000, 3, 16
 #: Rows that one task of the verification takes, about.
 TASK_ROWS = 1_000_000
 #: Cost of a probe row in units of a verified candidate.
@@ -169,15 +170,32 @@ def probe_rows(fps: DataFrame, parts: list[tuple[int, np.ndarray]]) -> DataFrame
     return fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
 
 
-def dealt_again(rows: DataFrame, distance: int) -> DataFrame:
-    """Rows of hot buckets under finer keys: a pair within the distance agrees in one of distance + 1 parts of its bits.
+def deal_masks(distance: int, level: int) -> list[int]:
+    """Masks by which rows are dealt for the ``level``-th time: distance + 1 for each way through the levels before.
 
-    The parts interleave the bits, so that a part never lies within the partition that filled the bucket.
+    Each way has agreed on its parts; the bits that are left are dealt out in turn, so that no part lies within the
+    partition that filled the bucket.
     """
-    parts = [sum(1 << b for b in range(k, BITS, distance + 1)) for k in range(distance + 1)]
+    ways: list[list[int]] = [list(range(BITS))]
+    masks: list[int] = []
+    for _ in range(level):
+        masks, left = [], []
+        for bits in ways:
+            for k in range(distance + 1):
+                masks.append(sum(1 << b for b in bits[k :: distance + 1]))
+                left.append([b for i, b in enumerate(bits) if i % (distance + 1) != k])
+        ways = left
+    return masks
+
+
+def dealt_again(rows: DataFrame, distance: int, level: int) -> DataFrame:
+    """``rows(key, fp, probe, way)`` of hot buckets under finer keys: a pair within the distance agrees in one of distance + 1 parts
+    of the bits that its way has not used."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(parts)])
-    return rows.select(F.explode(keys).alias("key"), "fp", "probe")
+    masks = F.array(*[F.lit(signed(m)).cast("long") for m in deal_masks(distance, level)])
+    ways = F.sequence(F.col("way") * (distance + 1), F.col("way") * (distance + 1) + distance)
+    each = rows.select("key", "fp", "probe", F.explode(ways).alias("way"))
+    return each.select(F.xxhash64("key", F.lit(level), "way", F.col("fp").bitwiseAND(F.element_at(masks, F.col("way") + 1))).alias("key"), "fp", "probe", "way")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,10 +258,20 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     rows = probe_rows(fps, parts)
     n_rows = n * sum(len(m) for _, m in parts)
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // TASK_ROWS + 1)
-    hot = materialize(probe_rows(fps, [(mask, m[:1]) for mask, m in parts]).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET).select("key"), "hot")
+    # keys that very many rows have, index entries and probes alike, as a sample of the fingerprints shows them
+    sample = probe_rows(fps.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0), parts)
+    hot = materialize(sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET / SAMPLE).select("key"), "hot")
     if not hot.isEmpty():
-        again = dealt_again(rows.join(hot, "key", "left_semi"), distance)
-        rows = rows.join(hot, "key", "left_anti").unionByName(again)
+        done, rest = rows.join(hot, "key", "left_anti"), rows.join(hot, "key", "left_semi").withColumn("way", F.lit(0))
+        for level in range(1, MOST_DEALS + 1):
+            rest = materialize(dealt_again(rest, distance, level), "dealt")
+            hot = materialize(rest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET).select("key"), "hot")
+            if level == MOST_DEALS or hot.isEmpty():
+                done = done.unionByName(rest.drop("way"))
+                break
+            done = done.unionByName(rest.join(hot, "key", "left_anti").drop("way"))
+            rest = rest.join(hot, "key", "left_semi")
+        rows = done
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
@@ -257,7 +285,8 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fp, fingerprint (hex) and component_id: the least doc_id reachable over links of at most ``distance`` bits.
 
-    Null or empty text: fingerprint zero, linked like any other. Equal texts share a fingerprint and hence a component.
+    Null or empty text: fingerprint zero, linked like any other. Very long texts are read whole. Equal texts share a fingerprint
+    and hence a component.
     Null doc_ids never name a component. Repeated rows return each. No rows: no rows. Other columns are ignored.
     """
     rows = materialize(fingerprints(docs, width), "fingerprints")
