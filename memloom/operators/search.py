@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memloom.functions.text import Porter, QueryError, matches, parse_query, phrases_of, query_tokens, scored_starts, tokens
+from memloom.operators.tables import stored
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -39,7 +40,7 @@ def term_counts(docs: DataFrame, keys: list[str], toks: Column, terms: list[str]
 
 def bm25_scan(counts: DataFrame, keys: list[str], n_terms: int) -> DataFrame:
     """Documents with all terms and their score, from ``term_counts``: a document's counts stay in its row, so that only the
-    corpus statistics are aggregated, map-side, into one row."""
+    corpus statistics are aggregated, map-side, into one row. Both read ``counts``: store it, so that texts are read once."""
     tf = lambda i: F.element_at("tf", i + 1)
     stats = counts.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(tf(i) > 0).alias(f"df{i}") for i in range(n_terms)])
     hits = counts.filter(F.forall("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))
@@ -80,9 +81,11 @@ def keyword_search(docs: DataFrame, query: str, keys: list[str], toks: Column, l
 
     measured = F.transform(F.array(toks), lambda t: F.struct(F.size(t).alias("n"), query_tokens(t, tree).alias("kept")))
     # an inlined array is computed once: filters do not move below it
-    rows = docs.select(*docs.columns, F.inline(F.transform(measured, lambda x: found(x["kept"], x["n"]))))
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    rows = docs.select(*keys, kept.alias("_keep"), F.inline(F.transform(measured, lambda x: found(x["kept"], x["n"]))))
+    rows = stored(rows, "found")  # statistics and hits read the counts, and the texts are read once
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))])
-    hits = rows.filter(F.col("_hit") if keep is None else F.col("_hit") & keep).crossJoin(F.broadcast(stats))
+    hits = rows.filter("_hit and _keep").crossJoin(F.broadcast(stats))
     parts = [idf(F.col("_n"), F.col(f"_d{i}")) * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_len") / F.col("_avg"))) for i in range(len(phrases))]
     score = reduce(lambda a, b: a + b, parts, F.lit(0.0))
     return hits.select(*keys, score.alias("score")).orderBy(F.col("score").desc(), *keys).limit(limit)

@@ -44,10 +44,6 @@ def typed(spark, sf):
     return edges.apply_typings(g, typings(g.filter("(src + dst) % 3 = 0")))
 
 
-def typed_table(spark, sf):
-    return stored(typed(spark, sf), "typed")
-
-
 def guard(spark, sf):
     """Typings of all edges, judged by the evidence that a typer would see."""
     e, g = v.entities(spark, sf), stored(light(spark, sf), "edges")
@@ -65,7 +61,7 @@ def pack(spark, sf):
 
 def page(spark, sf):
     """A page with its evidence, a row for each piece of it."""
-    rows = edges.typing_page(typed_table(spark, sf), v.entities(spark, sf), v.mentions(spark, sf), v.assertions(spark, sf), v.aliases(spark, sf), 2, 100, 10)
+    rows = edges.typing_page(typed(spark, sf), v.entities(spark, sf), v.mentions(spark, sf), v.assertions(spark, sf), v.aliases(spark, sf), 2, 100, 10)
     return rows.select("src", "dst", "src_name", "dst_name", "weight", "matching_total", F.inline("evidence"))
 
 
@@ -75,12 +71,12 @@ def ends(spark, sf, a, b):
 
 
 def connects(spark, sf):
-    return edges.what_connects(typed_table(spark, sf), v.entities(spark, sf), ends(spark, sf, "K7", "alias 8"))
+    return edges.what_connects(typed(spark, sf), v.entities(spark, sf), ends(spark, sf, "K7", "alias 8"))
 
 
 def neighbours(spark, sf):
     found = resolve.resolve_names(spark.createDataFrame([("K7",)], "name string"), v.entities(spark, sf), v.aliases(spark, sf))
-    return edges.neighbourhood_of(typed_table(spark, sf), v.entities(spark, sf), found)
+    return edges.neighbourhood_of(typed(spark, sf), v.entities(spark, sf), found)
 
 
 def timeline(spark, sf):
@@ -118,7 +114,7 @@ def renamed(spark, sf):
 
 def feed_nodes(spark, sf):
     c, m = listed_communities(spark, sf)
-    return edges.feed_nodes(edges.feed(typed_table(spark, sf), v.entities(spark, sf), 3)[1], c, m)
+    return edges.feed_nodes(edges.feed(typed(spark, sf), v.entities(spark, sf), 3)[1], c, m)
 
 
 def feed(spark, sf, depth):

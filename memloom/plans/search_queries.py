@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as t
 from memloom.operators import resolve, search
+from memloom.operators.tables import stored
 from memloom.sources import views as v
 
 TERMS = ("the", "and", "of")
@@ -17,7 +18,7 @@ def docs(spark, sf):
 
 
 def bm25(spark, sf):
-    counts = search.term_counts(docs(spark, sf), ["doc_id"], t.plain_tokens(F.col("text")), list(TERMS))
+    counts = stored(search.term_counts(docs(spark, sf), ["doc_id"], t.plain_tokens(F.col("text")), list(TERMS)), "counts")
     return search.bm25_scan(counts, ["doc_id"], len(TERMS)).withColumn("score", F.round("score", 6))
 
 
