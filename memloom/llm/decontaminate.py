@@ -177,7 +177,7 @@ def candidate_bands(data: bytes, index: Index) -> dict[tuple[int, int], int]:
         return item, offset, (np.repeat(at[part], m) - offset) // (index.edits[item] + 1)
 
     # upper bounds of the counts, in a table of hashed bands: most bands end here
-    size = 1 << min(24, 4 * int(n.sum()) + 1).bit_length() if n.sum() < 1 << 20 else 1 << 22
+    size = 1 << min(22, (4 * int(n.sum())).bit_length())
     counts = np.zeros(size, np.int64)
     cell = lambda item, band: (item * 1_000_003 + band) & (size - 1)
     held = [entries(p) for p in parts] if len(parts) == 1 else None
