@@ -6,10 +6,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from memloom.functions.text import rescue_json, tokens
+from memloom.operators import edges
 from memloom.operators.ledger import ASSERTION_TYPES, MENTION_SPEAKERS, SPEAKERS
+from memloom.operators.tables import stored
 
 #: An engine maps (prompt rows, carried state, problems of the last attempt) to an answer in text.
 Engine = Callable[[list[dict], str, list[str]], str]
@@ -83,3 +86,85 @@ def extract(chunks: DataFrame, engine: Engine = rule_engine, attempts: int = 2)
 def batched(rows: DataFrame, worker: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "batch") -> DataFrame:
     """Resolver and typer interface: ``worker`` sees one batch at a time; write the result to resume from what is there."""
     return rows.groupBy(key).applyInPandas(worker, schema)
+
+
+#: A resolver maps (names with their contexts, canonical names that are known, what was wrong before) to resolutions of the names.
+Resolver = Callable[[list[dict], list[str], str], list[dict]]
+RESOLUTION = "name string, canonical string, type string, skip boolean, tier int, batch int"
+#: Known names that a resolver is told.
+MEMORY = 120
+
+
+def same_name(rows: list[dict], known: list[str], problem: str) -> list[dict]:
+    """The offline default: a name is the known one that it equals but for case, else itself."""
+    by = {k.lower(): k for k in known}
+    return [{"name": r["name"], "canonical": by.get(r["name"].lower(), r["name"]), "type": "topic", "skip": False} for r in rows]
+
+
+def resolve_run(worksheet: DataFrame, resolver: Resolver = same_name, done: DataFrame | None = None, attempts: int = 2) -> DataFrame:
+    """Resolutions of ``worksheet(name, n, tier, batch, contexts)``, batch by batch; the second tier knows the first one's names.
+
+    ``done`` (of an earlier run, with the columns of RESOLUTION) is kept, and its batches are not asked again. A batch whose
+    answer lacks names is asked once more, then kept as it is.
+    """
+
+    def ask(known: list[str]):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            rows = frame.sort_values("rank").to_dict("records") if "rank" in frame else frame.to_dict("records")
+            names, out, problem = {r["name"] for r in rows}, [], ""
+            for _ in range(attempts):
+                out = [r for r in resolver(rows, known, problem) if r.get("name") in names]
+                if len({r["name"] for r in out}) == len(names):
+                    break
+                problem = "one resolution for each name"
+            tier, batch = int(frame["tier"].iloc[0]), int(frame["batch"].iloc[0])
+            made = [{"name": r["name"], "canonical": r.get("canonical"), "type": r.get("type"), "skip": bool(r.get("skip")), "tier": tier, "batch": batch} for r in out]
+            return pd.DataFrame(made, columns=[x.split()[0] for x in RESOLUTION.split(", ")])
+
+        return run
+
+    open_rows = worksheet if done is None else worksheet.join(done.select("tier", "batch").distinct(), ["tier", "batch"], "left_anti")
+    first = open_rows.filter("tier = 1").groupBy("tier", "batch").applyInPandas(ask([]), RESOLUTION)
+    first = stored(first if done is None else first.unionByName(done.filter("tier = 1")), "tier1")
+    listed = first.filter("not skip and coalesce(canonical, '') <> ''").select("canonical").distinct().orderBy("canonical").limit(MEMORY)
+    known = [r.canonical for r in listed.collect()]
+    second = open_rows.filter("tier = 2").groupBy("tier", "batch").applyInPandas(ask(known), RESOLUTION)
+    return first.unionByName(second if done is None else second.unionByName(done.filter("tier = 2")))
+
+
+#: A typer maps edges with their ends and evidence to typings(src, dst, relation, direction, temporality, as_of).
+Typer = Callable[[list[dict]], list[dict]]
+TYPING = "src long, dst long, relation string, direction string, temporality string, as_of string"
+
+
+def typing_run(edge_rows: DataFrame, entity_rows: DataFrame, mapped: DataFrame, assertions: DataFrame, aliases: DataFrame, typer: Typer, now: Column, min_weight: int = 2, page: int = 100, batch: int = 5) -> DataFrame:
+    """The edges after a typer saw all pages of untyped ones: answers are validated and downgraded, and written page by page.
+
+    A page of which nothing can be typed is skipped, and typed edges leave the list, so the run ends; running it on its
+    result goes on with what is untyped. ``edge_rows`` has the columns of ``edges.apply_typings``.
+    """
+    base = [c for c in edge_rows.columns if c not in ("verified_relation", "direction", "temporality", "as_of", "verified", "verified_at")]
+    offset, current = 0, edge_rows
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.to_dict("records")
+        wanted = {(r["src"], r["dst"]) for r in rows}
+        out = [{k: t.get(k) for k in ("src", "dst", "relation", "direction", "temporality", "as_of")} for t in typer(rows) if (t.get("src"), t.get("dst")) in wanted]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in TYPING.split(", ")])
+
+    while True:
+        rows = stored(edges.typing_page(current, entity_rows, mapped, assertions, aliases, min_weight, page, offset), "page")
+        found = rows.count()
+        if not found:
+            return current
+        deal = F.pmod(F.xxhash64("src", "dst"), F.lit(max(1, found // batch)))
+        answers = rows.withColumn("batch", deal).groupBy("batch").applyInPandas(run, TYPING)
+        texts = F.transform("evidence", lambda x: F.concat_ws(" ", x["statement"], x["rationale"]))
+        ends = rows.select("src", "dst", "src_type", "dst_type", texts.alias("evidence"))
+        typed = stored(edges.guard_typing(answers.join(ends, ["src", "dst"])).select("src", "dst", F.lit(1).alias("seq"), "relation", "direction", "temporality", "as_of", now.alias("verified_at")), "typed")
+        if typed.isEmpty():
+            offset += page
+            continue
+        fields = ("relation", "direction", "temporality", "as_of", "verified_at")
+        old = current.filter("verified").select("src", "dst", F.lit(0).alias("seq"), F.col("verified_relation").alias("relation"), *fields[1:])
+        current = stored(edges.apply_typings(current.select(*base), old.unionByName(typed)), "edges")

@@ -50,6 +50,18 @@ def mention_worksheet(mentions: DataFrame, conversations: DataFrame | None = Non
     return rows.join(best, "key").select("name", "n", "n_conversations", "kinds").orderBy(F.col("n").desc(), "name").limit(clamp(limit, 1000))
 
 
+def with_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Messages of known conversations with source, owner and title: what searches filter by."""
+    return messages.drop("source", "owner", "title").join(conversations.select("conv_key", "source", "owner", "title"), "conv_key")
+
+
+def hydrate(hits: DataFrame, messages: DataFrame, conversations: DataFrame, cut: int = 300) -> DataFrame:
+    """Ranked hits (conv_key, native_id, ...), a short list, with their message's role, date and excerpt, and their conversation."""
+    keys = ["conv_key", "native_id"]
+    rows = F.broadcast(hits).join(messages.select(*keys, "role", "created_at", F.substring("text", 1, cut).alias("excerpt")), keys)
+    return rows.join(conversations.select("conv_key", "title", "source"), "conv_key")
+
+
 def by_name(mentions: DataFrame, name: str) -> DataFrame:
     return mentions.filter(F.lower("name") == name.lower())
 

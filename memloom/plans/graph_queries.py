@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memloom.operators import communities, edges, resolve
+from memloom.operators import communities, edges, extraction, resolve
 from memloom.operators.tables import stored
 from memloom.sources import views as v
 
@@ -65,6 +65,22 @@ def page(spark, sf):
     return rows.select("src", "dst", "src_name", "dst_name", "weight", "matching_total", F.inline("evidence"))
 
 
+def typed_by_rule(spark, sf):
+    """All heavy edges typed page by page, by a rule in the place of a model: multiples of eleven never get an answer."""
+
+    def typer(rows):
+        say = lambda r: {"src": r["src"], "dst": r["dst"], "relation": "uses" if r["weight"] % 2 else "works-for", "direction": "forward", "temporality": "enduring", "as_of": "2024"}
+        return [say(r) for r in rows if (r["src"] + r["dst"]) % 11]
+
+    g = edges.apply_typings(stored(light(spark, sf), "edges"), typings(light(spark, sf).limit(0)))
+    out = extraction.typing_run(g, v.entities(spark, sf), v.mentions(spark, sf), v.assertions(spark, sf), v.aliases(spark, sf), typer, now(), 3, 1000)
+    return out.select("src", "dst", "verified_relation", "direction", "as_of", "verified")
+
+
+def resolved_in_tiers(spark, sf):
+    return extraction.resolve_run(resolve.candidate_contexts(v.mentions(spark, sf), 30, 60))
+
+
 def ends(spark, sf, a, b):
     asked = spark.createDataFrame([(a, "a"), (b, "b")], "name string, side string")
     return resolve.resolve_names(asked.select("name"), v.entities(spark, sf), v.aliases(spark, sf)).join(asked, "name").select("entity_id", "side")
@@ -168,6 +184,8 @@ QUERIES = {
     "what_connects": connects,
     "timeline": timeline,
     "typing_page": page,
+    "typing_run": typed_by_rule,
+    "resolve_run": resolved_in_tiers,
     "entity_build": lambda s, d: build(s, d)[2],
     "entity_build_ids": lambda s, d: build(s, d)[0],
     "chunk_mentions": chunk_days,
@@ -242,6 +260,11 @@ SELECT src, dst, string_agg(id::VARCHAR, ',' ORDER BY k) AS evidence FROM ev WHE
     "edge_evidence_pack": f"{_e}, {_G}, wanted AS (SELECT src, dst FROM v_edges WHERE weight >= 2), {_P} SELECT src, dst, rank, id, score, statement, rationale FROM v_pack",
     "typing_page": f"""{_e}, {_G}, {_T}, open AS (SELECT * FROM v_typed WHERE weight >= 2 AND NOT verified), wanted AS (SELECT * FROM open ORDER BY weight DESC, src, dst LIMIT 100 OFFSET 10), {_P}
 SELECT src, dst, 'k' || src AS src_name, 'k' || dst AS dst_name, w.weight, (SELECT count(*) FROM open) AS matching_total, rank, p.type, speaker, statement, rationale FROM wanted w JOIN v_pack p USING (src, dst)""",
+    "typing_run": f"""{_e}, {_G}, o AS (SELECT e.*, weight >= 3 AND (src + dst) % 11 <> 0 AS ok, weight % 2 <> 0 OR (a.type = 'person' AND b.type = 'org') AS holds, a.type = 'person' AND b.type = 'person' AS persons
+  FROM v_edges e JOIN v_entities a ON a.entity_id = src JOIN v_entities b ON b.entity_id = dst)
+SELECT src, dst, CASE WHEN ok THEN CASE WHEN weight % 2 <> 0 THEN 'uses' WHEN holds THEN 'works-for' WHEN persons THEN 'discussed-with' ELSE 'related-to' END END AS verified_relation,
+CASE WHEN ok AND holds THEN 'forward' ELSE 'undirected' END AS direction, NULL::VARCHAR AS as_of, ok AS verified FROM o""",
+    "resolve_run": f"{_e}, t AS (SELECT lower(name) AS name, count(*) AS n FROM v_mentions GROUP BY 1 ORDER BY n DESC, name LIMIT 60), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS rank FROM t) SELECT name, name AS canonical, 'topic' AS type, false AS skip, CASE WHEN rank <= 30 THEN 1 ELSE 2 END AS tier, ((rank - 1) // 20)::INTEGER AS batch FROM k",
     "neighborhood": f"{_e}, {_G}, {_T} SELECT src, dst, {_W} AS sentence, weight, first_seen, last_seen FROM v_typed WHERE src = 7 OR dst = 7 ORDER BY weight DESC, src, dst LIMIT 15",
     "what_connects": f"""{_e}, {_G}, {_T}, s AS (SELECT src AS node, dst AS other, weight FROM v_edges UNION ALL SELECT dst, src, weight FROM v_edges),
 o AS (SELECT a.other, a.weight + b.weight AS total FROM s a JOIN s b ON a.other = b.other WHERE a.node = 7 AND b.node = 8 AND a.other NOT IN (7, 8) ORDER BY total DESC, a.other LIMIT 15)

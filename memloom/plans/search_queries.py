@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.functions import text as t
-from memloom.operators import resolve, search
+from memloom.operators import ledger, resolve, search
 from memloom.operators.tables import stored
 from memloom.sources import views as v
 
@@ -51,6 +51,15 @@ def hybrid(spark, sf):
     return search.rrf([words, near], [[F.col("score").desc(), F.col("id")], [F.col("sim").desc(), F.col("id")]], ["id"])
 
 
+def search_messages(spark, sf):
+    """Search over messages with filters on their conversations, hits with excerpts."""
+    c = v.conversations(spark, sf)
+    m = v.messages(spark, sf).select("conv_key", "native_id", "role", "created_at", "text")
+    keep = ledger.not_excluded() & (F.col("source") != "gemini.google.com") & (F.col("created_at") >= ledger.date_bounds("2024-01-02")[0])
+    hits = search.keyword_search(ledger.with_conversations(m, c), "the AND of", ["conv_key", "native_id"], t.plain_tokens(F.col("text")), 25, keep, stem=str)
+    return ledger.hydrate(hits.withColumn("score", F.round("score", 6)), m, c)
+
+
 def splits(spark, sf):
     e = v.table(spark, sf, "embeddings")
     centre = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 9).alias("x"))
@@ -65,6 +74,7 @@ QUERIES = {
     "bm25_postings": bm25_postings,
     "bm25_porter": lambda s, d: search.keyword_search(docs(s, d), '(the OR "and the") NOT zzz*', ["doc_id"], t.stemmed_tokens(F.col("text"))).withColumn("score", F.round("score", 6)),
     "fts_grammar": lambda s, d: search.keyword_search(docs(s, d), '"of the" OR NEAR(and was, 4)', ["doc_id"], t.plain_tokens(F.col("text")), 100, stem=str).withColumn("score", F.round("score", 6)),
+    "search_messages": search_messages,
     "fts_syntax_error": lambda s, d: search.keyword_search(docs(s, d), "what's", ["doc_id"], t.plain_tokens(F.col("text"))),
     "knn_topk": lambda s, d: knn(s, d),
     "knn_filtered": lambda s, d: knn(s, d, keep=F.col("owner") != "sealed"),
@@ -100,6 +110,12 @@ f AS (SELECT 0 AS k, a.doc_id, count(*)::DOUBLE AS f FROM p a JOIN p b ON a.doc_
 d AS (SELECT k, count(*)::DOUBLE AS df FROM f GROUP BY 1),
 r AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / a))) AS s FROM f JOIN d USING (k) JOIN t USING (doc_id), st GROUP BY doc_id)
 SELECT doc_id, round(s, 6) AS score FROM r ORDER BY s DESC, doc_id LIMIT 100""",
+    "search_messages": f"""{v.with_views('messages', 'conversations')}, j AS (SELECT m.conv_key, native_id, role, m.created_at, text, c.source, c.owner, c.title, regexp_extract_all(lower(text), '[a-z]+') AS w FROM v_messages m JOIN v_conversations c USING (conv_key)),
+k AS (SELECT *, len(list_filter(w, lambda x: x = 'the'))::DOUBLE AS f1, len(list_filter(w, lambda x: x = 'of'))::DOUBLE AS f2 FROM j),
+st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2 FROM k),
+r AS (SELECT k.*, greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len(w) / a)) + greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * len(w) / a)) AS s
+  FROM k, st WHERE f1 > 0 AND f2 > 0 AND owner NOT IN ('sealed') AND source <> 'gemini.google.com' AND created_at >= '2024-01-02T00:00:00')
+SELECT conv_key, native_id, round(s, 6) AS score, role, created_at, substr(text, 1, 300) AS excerpt, title, source FROM r ORDER BY s DESC, conv_key, native_id LIMIT 25""",
     "fts_syntax_error": "SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false",
     "knn_topk": f"{_vec}, {_SIM} SELECT vec_id, sim FROM sim ORDER BY sim DESC, vec_id LIMIT 25",
     "knn_filtered": f"{_vec}, {_SIM} SELECT vec_id, sim FROM sim WHERE owner <> 'sealed' ORDER BY sim DESC, vec_id LIMIT 25",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.functions import text as t
-from memloom.operators import search, store
+from memloom.operators import ledger, search, store
+from memloom.operators.tables import new_path
 from memloom.sources import views as v
 
 
@@ -80,8 +81,19 @@ def redaction_totals(spark, sf):
     return counts.groupBy("name").agg(F.sum("n").cast("long").alias("n"))
 
 
+def archived(spark, sf):
+    """Every version in the archive, by source and month of ingest, whether or not it survives."""
+    rows = versions(spark, sf).withColumn("source", F.col("title")).withColumn("ingest_month", F.substring("created_at", 1, 7))
+    path = new_path(spark, "archive")
+    for k in range(2):
+        store.write_archive(rows.filter(F.col("seq") % 2 == k), path)
+    return spark.read.json(path).groupBy("source", "ingest_month").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "newest_wins_upsert": lambda s, d: store.newest_wins(versions(s, d), force="forced").select("key", "seq", "updated_at", "created_at", "title"),
+    "archive_versions": archived,
+    "record_lookup": lambda s, d: v.conversations(s, d).filter((F.col("conv_key") == "chatgpt.com:1") & ledger.not_excluded(keep_null=True)),
     "child_last_wins": lambda s, d: children(s, d).select("conv_key", "native_id", "pos", F.md5("text").alias("digest")),
     "active_path": lambda s, d: marked(s, d).select("conv_key", "native_id", "on_active_path"),
     "branch_stats": lambda s, d: store.branch_stats(marked(s, d)),
@@ -106,6 +118,8 @@ def _masked(text: str) -> str:
 
 
 ORACLES = {
+    "archive_versions": f"WITH {VERSIONS} SELECT title AS source, substr(created_at, 1, 7) AS ingest_month, count(*) AS n FROM b GROUP BY ALL",
+    "record_lookup": f"{v.with_views('messages', 'conversations')} SELECT * FROM v_conversations WHERE conv_key = 'chatgpt.com:1' AND coalesce(owner, '') NOT IN ('sealed')",
     "newest_wins_upsert": f"""WITH {VERSIONS}, r AS (SELECT key, max(seq) FILTER (updated_at IS NULL OR forced) AS reset, min_by(created_at, seq) AS created FROM b GROUP BY key),
 x AS (SELECT b.*, created, row_number() OVER (PARTITION BY b.key ORDER BY updated_at DESC NULLS LAST, seq) AS rn FROM b JOIN r ON b.key = r.key WHERE reset IS NULL OR seq >= reset)
 SELECT key, seq, updated_at, created AS created_at, title FROM x WHERE rn = 1""",
