@@ -1,11 +1,15 @@
 """Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id. Only suffixes
-that can share LENGTH bytes are sorted: each window of LENGTH bytes is put into the bucket of its least-hashed K-gram
-(its anchor; equal windows have equal anchors at equal places), and buckets that only one document reaches are
-dropped first. Within a bucket the anchors align the suffixes. Ranks of the suffixes at the offsets of a difference
-cover are computed from right to left; the suffixes at each distance from the anchor are then sorted by the few bytes
-up to the next cover offset and, where those tie, by its rank. One part of the buckets is in memory at a time.
+that can share LENGTH bytes are sorted: each window of LENGTH bytes belongs to its least-hashed K-gram (its anchor; equal
+windows have equal anchors at equal places), and anchors that only one document has are dropped first. The others are
+dealt into parts by their hash, so that a part holds all windows that can be equal, as the contexts of their anchors.
+
+The contexts of a part, one after the other, are its text. Ranks of the suffixes at the places of a difference cover
+are computed first, by doubling. Then the suffixes are sorted one bucket of beginnings at a time: by their first PERIOD
+bytes, and where these tie, two suffixes are compared by the ranks at a shift that leads both of them onto the cover; there
+is one below PERIOD for any two places. Neighbours in that order that share LENGTH bytes are equal strings. One part,
+and of it the suffixes of one bucket, is in memory at a time.
 
 Arrays travel as binary columns: a row holds those of one task for one part.
 """
@@ -29,6 +33,8 @@ REACH = LENGTH - K
 CONTEXT = REACH + LENGTH
 #: Difference cover modulo PERIOD: every residue is a difference of two elements.
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
+#: Suffixes of a bucket, about: beginnings of two bytes are put together up to it.
+BUCKET = 1 << 18
 #: Text of one group of documents, and text whose anchors make one part, about.
 GROUP_BYTES, PART_BYTES = 3 << 20, 2 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null id: no id is larger
@@ -273,34 +279,95 @@ def dense_ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def cover_ranks(bucket: np.ndarray, block: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """Offsets of the difference cover, and the ranks of the suffixes that begin there within their buckets."""
-    offsets = [o for o in range(CONTEXT) if o % PERIOD in COVER]
-    ranks: list[np.ndarray] = [bucket] * len(offsets)
-    below, until = bucket, CONTEXT
-    for i in range(len(offsets) - 1, -1, -1):
-        _, below = dense_ranks(bucket, words_of(block, offsets[i], min(until, offsets[i] + 8)), below)
-        ranks[i], until = below, offsets[i]
-    return offsets, ranks
-
-
-def least_ids(bucket: np.ndarray, block: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """For each row and distance from the anchor (0..REACH) the least doc with the same LENGTH bytes in the bucket."""
-    out = np.full((len(bucket), REACH + 1), LAST, np.int64)
-    offsets, ranks = cover_ranks(bucket, block)
-    for distance in range(REACH + 1):
-        rows = np.flatnonzero((near <= distance) & (distance <= far))
-        if not len(rows):
+def places(rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Residues of the places of bytes in a part's text, in which a separator follows each context."""
+    return ((CONTEXT + 1) * rows + offsets) % PERIOD
+
+
+def beginnings(block: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of suffixes as two numbers, whose order is that of the bytes; zeros follow a context."""
+    padded = np.zeros((len(block), CONTEXT + 16), np.uint8)
+    padded[:, :CONTEXT] = block
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 16, axis=1)[rows, offsets]).view(">u8").astype(np.uint64)
+    return words[:, 0], words[:, 1]
+
+
+def cover_ranks(block: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes (to the end of their context) at the places of the difference cover, by row and offset.
+
+    The first rank is by 16 bytes; each round doubles what it covers, as a place PERIOD further is on the cover too. Columns
+    from CONTEXT on hold the rank of nothing; those of other places are not used.
+    """
+    offsets = np.arange(CONTEXT)
+    rows, at = np.nonzero(np.isin(places(np.arange(len(block))[:, None], offsets), COVER))
+    nothing = np.uint64(0)
+    keys = beginnings(block, rows, at)
+    table = np.zeros((len(block), CONTEXT + PERIOD), np.int64)
+    for step in (PERIOD, 2 * PERIOD, 4 * PERIOD, 8 * PERIOD):  # 16, 32, 64, 128 bytes
+        _, ranks = dense_ranks(*(np.append(k, nothing) for k in keys))
+        table[:] = ranks[-1]
+        table[rows, at] = ranks[:-1]
+        nothing = ranks[-1]
+        keys = (ranks[:-1], table[rows, np.minimum(at + step, CONTEXT)])
+    return table
+
+
+#: The least shift that leads places of two residues onto the cover.
+SHIFTS = np.array([[next(s for s in range(PERIOD) if (a + s) % PERIOD in COVER and (b + s) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)])
+
+
+def suffix_order(block: np.ndarray, table: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The suffixes of one bucket in order: by 16 bytes, ties by cover ranks.
+
+    Suffixes that tie are dealt by the residue of their place. Two of one residue compare at one shift, so each residue
+    is sorted by itself; a suffix's position among all is the sum of its positions among those of each residue.
+    """
+    _, group = dense_ranks(*beginnings(block, rows, offsets))
+    tied = np.flatnonzero(np.bincount(group)[group] > 1)
+    position = np.zeros(len(rows), np.int64)
+    residue = places(rows[tied], offsets[tied])
+    most = int(table.max()) + 1
+    of = {r: tied[residue == r] for r in range(PERIOD)}
+
+    def keys(r: int, shift: int) -> np.ndarray:
+        return group[of[r]] * most + table[rows[of[r]], offsets[of[r]] + shift]
+
+    for a in range(PERIOD):
+        if not len(of[a]):
             continue
-        start = REACH - distance
-        i = next(k for k, o in enumerate(offsets) if o >= start)
-        keys = (bucket[rows], words_of(block[rows], start, offsets[i]), ranks[i][rows]) if offsets[i] > start else (bucket[rows], ranks[i][rows])
-        order = rows[np.lexsort(keys[::-1])]
-        same = bucket[order][1:] == bucket[order][:-1]
-        same &= (block[order[1:], start : start + LENGTH] == block[order[:-1], start : start + LENGTH]).all(1)
-        first = np.flatnonzero(np.append(True, ~same))
-        least = np.minimum.reduceat(doc[order], first)
-        out[order, distance] = np.repeat(least, np.diff(np.append(first, len(order))))
+        own = keys(a, SHIFTS[a, a])
+        position[of[a][np.argsort(own, kind="stable")]] = np.arange(len(own))
+        for b in range(PERIOD):
+            if a != b and len(of[b]):
+                shift = SHIFTS[a, b]
+                position[of[a]] += np.searchsorted(np.sort(keys(b, shift)), keys(a, shift), "right" if b < a else "left")
+    return np.lexsort((position, group))
+
+
+def least_ids(block: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """For each row and distance from the anchor (near..far) the least doc with the same LENGTH bytes."""
+    out = np.full((len(block), REACH + 1), LAST, np.int64)
+    if not len(block):
+        return out
+    table = cover_ranks(block)
+    size = far - near + 1
+    rows = np.repeat(np.arange(len(block)), size)
+    distance = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + near[rows]
+    offsets = REACH - distance
+    start = block[rows, offsets].astype(np.int64) << 8 | block[rows, offsets + 1]
+    order = np.argsort(start, kind="stable")
+    windows = np.lib.stride_tricks.sliding_window_view(block, LENGTH, axis=1)
+    ends = np.flatnonzero(np.append(start[order][1:] != start[order][:-1], True)) + 1  # of the suffixes of each beginning
+    at = 0
+    while at < len(order):
+        stop = int(ends[max(np.searchsorted(ends, at + BUCKET, "right") - 1, np.searchsorted(ends, at, "right"))])
+        some = order[at:stop]
+        some = some[suffix_order(block, table, rows[some], offsets[some])]
+        bytes_of = windows[rows[some], offsets[some]]
+        first = np.flatnonzero(np.append(True, (bytes_of[1:] != bytes_of[:-1]).any(1)))
+        least = np.minimum.reduceat(doc[rows[some]], first)
+        out[rows[some], distance[some]] = np.repeat(least, np.diff(np.append(first, len(some))))
+        at = stop
     return out
 
 
@@ -340,7 +407,7 @@ def removed_spans(table: pa.Table) -> pa.Table:
     several = np.flatnonzero(np.repeat(in_bucket > 1, in_bucket))
     table_of = np.full(len(heads), -1, np.int64)
     table_of[several] = np.arange(len(several))
-    ids = least_ids(head_bucket[several], block[head[several]], least[several], near[head[several]], far[head[several]]) if len(several) else np.zeros((0, REACH + 1), np.int64)
+    ids = least_ids(block[head[several]], least[several], near[head[several]], far[head[several]])
     alone = table_of[kind] < 0
     rows = np.flatnonzero(alone & (least[kind] < doc))
     spans = [(rows, first[rows], first[rows] + far[rows] - near[rows] + LENGTH)]

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from memloom.llm import suffixes
 
 
@@ -58,3 +60,36 @@ def test_no_rows(spark):
 
 def test_cover_has_every_difference():
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
+
+
+def test_order_of_suffixes_against_sorting(monkeypatch):
+    """Suffixes of repetitive contexts, at places of all residues, in the order of their bytes."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(97, 99, (6, suffixes.CONTEXT), dtype=np.uint8)
+    block = pool[rng.integers(0, 6, 90)]
+    block[rng.random(block.shape) < 0.01] = 120
+    block[::7, 60:] = 0
+    table = suffixes.cover_ranks(block)
+    rows = np.repeat(np.arange(len(block)), suffixes.REACH + 1)
+    offsets = np.tile(np.arange(suffixes.REACH + 1), len(block))
+    order = suffixes.suffix_order(block, table, rows, offsets)
+    texts = [block[r, o:].tobytes().rstrip(b"\0") for r, o in zip(rows[order], offsets[order], strict=True)]
+    assert texts == sorted(texts) and sorted(order.tolist()) == list(range(len(rows)))
+
+
+def test_buckets_do_not_matter(spark, monkeypatch):
+    rng = random.Random(14)
+    pool = ["".join(rng.choice("ab ") for _ in range(rng.randint(40, 90))) for _ in range(9)]
+    rows = [(d, "".join(rng.choice(pool) for _ in range(rng.randint(1, 5)))) for d in range(50)]
+    docs = [(d, t.encode()) for d, t in rows]
+    blocks = np.stack([np.frombuffer(t[:80].ljust(80, b"x"), np.uint8) for _, t in docs])
+    near, far = np.zeros(50, np.int64), np.full(50, suffixes.REACH)
+    ids = np.arange(50)
+    whole = suffixes.least_ids(blocks, ids, near, far)
+    monkeypatch.setattr(suffixes, "BUCKET", 40)
+    assert (suffixes.least_ids(blocks, ids, near, far) == whole).all()
+    first = {}
+    for d in ids:
+        for o in range(31):
+            first.setdefault(blocks[d, o : o + 50].tobytes(), d)
+    assert all(whole[d, 30 - o] == first[blocks[d, o : o + 50].tobytes()] for d in ids for o in range(31))
