@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[tuple[SparkSession, str]] = []
+#: Folders of local applications that name none.
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the session names for checkpoints; a local session without one (tests) gets its own, a cluster none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="memloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="memloom-")
+        _own[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/memloom-{uuid.uuid4().hex}-{label}"
+    """A folder of this session's own in the shared folder; ``forget`` deletes it, at the latest when the process ends."""
+    path = f"{shared_root(spark)}/memloom-{uuid.uuid4().hex}-{label}"
+    _written.append((spark, path))
+    return path
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the session's tables; results that still read them become invalid."""
+    for owner, path in [x for x in _written if x[0] is spark]:
+        delete(spark, path)
+        _written.remove((owner, path))
+
+
+@atexit.register
+def _forget_all() -> None:
+    for spark in {id(s): s for s, _ in _written}.values():
+        try:
+            forget(spark)
+        except Exception:  # noqa: BLE001  the session is gone and so is its file system handle
+            return
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

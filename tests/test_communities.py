@@ -8,3 +8,32 @@ def test_every_linked_entity_has_a_community(spark):
     got = [r.node for r in graph_queries.QUERIES["louvain_communities"](spark, sf).collect()]
     assert len(got) == len(set(got))
     assert set(got) == {r.src for r in edges} | {r.dst for r in edges}
+
+
+def test_tables_go(spark, tmp_path, monkeypatch):
+    import os
+
+    from memloom.operators import tables
+
+    monkeypatch.setattr(tables, "shared_root", lambda _: str(tmp_path))
+    monkeypatch.setattr(tables, "_written", [])
+    kept = tables.Scratch(spark)
+    _, b = kept.stored(spark.range(3), "a"), kept.stored(spark.range(4), "b")
+    kept.drop(b)
+    assert len(os.listdir(tmp_path)) == 1 and b.count() == 4
+    assert tables.stored(spark.range(5), "c").count() == 5
+    tables.forget(spark)
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_local_session_without_a_folder_has_its_own(spark, monkeypatch):
+    from memloom.operators import tables
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    assert tables.shared_root(Session()) == tables.shared_root(Session())
