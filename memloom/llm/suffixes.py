@@ -36,7 +36,7 @@ PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 #: Suffixes of a bucket, about: beginnings of two bytes are put together up to it.
 BUCKET = 1 << 18
 #: Text of one group of documents, and text whose anchors make one part, about.
-GROUP_BYTES, PART_BYTES = 3 << 20, 2 << 20
+GROUP_BYTES, PART_BYTES = 3 << 20, 1 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null id: no id is larger
 
 FACTOR = 0x9E3779B97F4A7C15
@@ -281,7 +281,7 @@ def dense_ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def places(rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Residues of the places of bytes in a part's text, in which a separator follows each context."""
-    return ((CONTEXT + 1) * rows + offsets) % PERIOD
+    return ((CONTEXT + 1) * rows.astype(np.int64) + offsets) % PERIOD
 
 
 def beginnings(block: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,16 +299,20 @@ def cover_ranks(block: np.ndarray) -> np.ndarray:
     from CONTEXT on hold the rank of nothing; those of other places are not used.
     """
     offsets = np.arange(CONTEXT)
-    rows, at = np.nonzero(np.isin(places(np.arange(len(block))[:, None], offsets), COVER))
+    # the pattern of places on the cover repeats every PERIOD rows
+    on = np.isin(places(np.arange(PERIOD)[:, None], offsets), COVER)
+    rows, at = np.nonzero(np.tile(on, (len(block) // PERIOD + 1, 1))[: len(block)])
     nothing = np.uint64(0)
     keys = beginnings(block, rows, at)
-    table = np.zeros((len(block), CONTEXT + PERIOD), np.int64)
+    rows, at = rows.astype(np.int32), at.astype(np.int8)
+    table = np.zeros((len(block), CONTEXT + PERIOD), np.int32)
     for step in (PERIOD, 2 * PERIOD, 4 * PERIOD, 8 * PERIOD):  # 16, 32, 64, 128 bytes
         _, ranks = dense_ranks(*(np.append(k, nothing) for k in keys))
         table[:] = ranks[-1]
         table[rows, at] = ranks[:-1]
-        nothing = ranks[-1]
-        keys = (ranks[:-1], table[rows, np.minimum(at + step, CONTEXT)])
+        nothing = ranks[-1].astype(np.int32)
+        keys = (ranks[:-1].astype(np.int32), table[rows, np.minimum(at.astype(np.int16) + step, CONTEXT)])
+        del ranks
     return table
 
 
@@ -330,7 +334,7 @@ def suffix_order(block: np.ndarray, table: np.ndarray, rows: np.ndarray, offsets
     of = {r: tied[residue == r] for r in range(PERIOD)}
 
     def keys(r: int, shift: int) -> np.ndarray:
-        return group[of[r]] * most + table[rows[of[r]], offsets[of[r]] + shift]
+        return group[of[r]] * np.int64(most) + table[rows[of[r]], offsets[of[r]] + shift]
 
     for a in range(PERIOD):
         if not len(of[a]):
@@ -351,13 +355,15 @@ def least_ids(block: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndar
         return out
     table = cover_ranks(block)
     size = far - near + 1
-    rows = np.repeat(np.arange(len(block)), size)
-    distance = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + near[rows]
-    offsets = REACH - distance
-    start = block[rows, offsets].astype(np.int64) << 8 | block[rows, offsets + 1]
-    order = np.argsort(start, kind="stable")
+    rows = np.repeat(np.arange(len(block), dtype=np.int32), size)
+    distance = (np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size) + near.astype(np.int32)[rows]).astype(np.int8)
+    offsets = np.int8(REACH) - distance
+    start = block[rows, offsets].astype(np.uint16) << np.uint16(8) | block[rows, offsets + 1]
+    order = np.argsort(start, kind="stable").astype(np.int32)
     windows = np.lib.stride_tricks.sliding_window_view(block, LENGTH, axis=1)
-    ends = np.flatnonzero(np.append(start[order][1:] != start[order][:-1], True)) + 1  # of the suffixes of each beginning
+    start = start[order]
+    ends = np.flatnonzero(np.append(start[1:] != start[:-1], True)) + 1  # of the suffixes of each beginning
+    del start
     at = 0
     while at < len(order):
         stop = int(ends[max(np.searchsorted(ends, at + BUCKET, "right") - 1, np.searchsorted(ends, at, "right"))])
