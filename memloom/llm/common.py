@@ -46,10 +46,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote in this session; results that still read it become invalid."""
+def written(spark: SparkSession) -> set[str]:
+    """Tables that ``materialize`` wrote in this session and that are still there."""
+    return {path for owner, path in _written if owner is spark}
+
+
+def forget(spark: SparkSession, only: set[str] | None = None) -> None:
+    """Delete what ``materialize`` wrote in this session, or some of it; results that still read it become invalid."""
     jvm = spark.sparkContext._jvm
-    for owner, path in [x for x in _written if x[0] is spark]:
+    for owner, path in [x for x in _written if x[0] is spark and (only is None or x[1] in only)]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         _written.remove((owner, path))
