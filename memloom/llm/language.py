@@ -27,8 +27,8 @@ TRAIN_CHARS = 20_000_000
 LEXICON = 400
 BUCKETS = 1 << 15
 #: Characters that are scored at a time, and words of one chain in a step of forward-backward (a multiple of BLOCK).
-PIECE = 1_000_000
-CHAIN = 1 << 17
+PIECE = 500_000
+CHAIN = 1 << 16
 BLOCK = 64
 SEGMENT = 120
 NO_LETTER = re.compile(r"[\W\d_]")
