@@ -40,12 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memloom-{uuid.uuid4().hex}-{label}"
+    path = new_path(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder of this session's own in the shared folder, which ``forget`` deletes."""
+    path = f"{shared_dir(spark)}/memloom-{uuid.uuid4().hex}-{label}"
+    _written.append((spark, path))
+    return path
+
+
 def written(spark: SparkSession) -> set[str]:
     """Tables that ``materialize`` wrote in this session and that are still there."""
     return {path for owner, path in _written if owner is spark}
