@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, digest_index, html_text, language, lines, mixing, quality_rules, resampling, secrets, simhash, suffixes
+from . import cotraining, decontaminate, digest_index, html_text, language, lines, mixing, negatives, quality_rules, resampling, secrets, simhash, suffixes
 from .common import read
 
 
@@ -62,9 +62,18 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.report(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_line_dedup, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op8_cotraining, op9_html_text, op10_decontaminate, op11_resample, op12_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_line_dedup, op4_simhash, op5_mix_sources, op6_language_id, op7_secret_scan, op8_cotraining, op9_html_text, op10_decontaminate, op11_resample, op12_exact_dedup, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.ORACLE.format(docs="documents"), "op11_resample": resampling.ORACLE.format(docs="documents", target="benchmark"), "op12_exact_dedup": digest_index.ORACLE.format(docs="documents")}
+    return {
+        "op5_mix_sources": mixing.ORACLE.format(docs="documents"),
+        "op11_resample": resampling.ORACLE.format(docs="documents", target="benchmark"),
+        "op12_exact_dedup": digest_index.ORACLE.format(docs="documents"),
+        "op13_hard_negatives": negatives.ORACLE.format(vectors="embeddings"),
+    }
