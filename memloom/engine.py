@@ -7,16 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions.text import stemmed_tokens
+from memloom.functions.text import Porter, stemmed_tokens
 from memloom.operators import communities, edges, ledger, resolve, search
+from memloom.operators.text_index import TextIndex
 
 
 @dataclass
 class MemoryEngine:
-    """Queries over one set of tables; ``tables`` maps a name to its DataFrame."""
+    """Queries over one set of tables; ``tables`` maps a name to its DataFrame.
+
+    With an ``index`` of the messages (``message_index``) keywords are looked up there; without one texts are read.
+    """
 
     spark: SparkSession
     tables: dict[str, DataFrame]
+    index: TextIndex | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -28,7 +33,10 @@ class MemoryEngine:
         for on, test in ((source, F.col("source") == source), (after, F.col("created_at") >= after), (before, F.col("created_at") <= before)):
             keep = keep & test if on else keep
         keys = ["conv_key", "native_id"]
-        words = search.keyword_search(self["messages"], query, keys, stemmed_tokens(F.col("text")), 25, keep)
+        if self.index is None:
+            words = search.keyword_search(self["messages"], query, keys, stemmed_tokens(F.col("text")), 25, keep)
+        else:
+            words = self.index.search(query, 25, self["messages"].filter(keep).select(*keys))
         lists, orders = [words], [[F.col("score").desc(), *map(F.col, keys)]]
         if vector is not None:
             lists.append(search.knn(self["vectors"], vector, keys, 25, keep))
@@ -36,6 +44,11 @@ class MemoryEngine:
         fused = search.rrf(lists, orders, keys, limit=limit)
         return F.broadcast(fused).join(self["messages"].select(*keys, "role", "created_at", F.substring("text", 1, excerpt).alias("excerpt")), keys).orderBy(F.col("score").desc(), *keys)
 
+    @staticmethod
+    def message_index(spark: SparkSession, path: str) -> TextIndex:
+        """The index of messages under ``path``: add new and changed messages to it as they are stored, remove deleted ones."""
+        return TextIndex(spark, path, ["conv_key", "native_id"], stemmed_tokens, Porter.stem)
+
     def get_conversation(self, ref: str, window: int = 6) -> DataFrame:
         key, _, native = ref.partition("#")
         path = self["messages"].filter((F.col("conv_key") == key) & F.col("on_active_path") & ledger.not_excluded(keep_null=True))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as t
 from memloom.operators import ledger, resolve, search
-from memloom.operators.tables import stored
+from memloom.operators.tables import new_path, stored
+from memloom.operators.text_index import TextIndex
 from memloom.sources import views as v
 
 TERMS = ("the", "and", "of")
@@ -60,6 +61,29 @@ def search_messages(spark, sf):
     return ledger.hydrate(hits.withColumn("score", F.round("score", 6)), m, c)
 
 
+def indexed(spark, sf):
+    """An index of all documents, of which later a third came again with more words and a tenth went."""
+    index = TextIndex(spark, new_path(spark, "index"), ["doc_id"], t.plain_tokens)
+    rows = docs(spark, sf).select("doc_id", "text")
+    index.add(rows)
+    index.add(rows.filter("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" the of the and thing"))))
+    index.remove(rows.filter("doc_id % 10 = 3").select("doc_id"))
+    return index
+
+
+def index_hits(spark, sf, query, limit=25):
+    return indexed(spark, sf).search(query, limit).withColumn("score", F.round("score", 6))
+
+
+def index_filtered(spark, sf):
+    """Hits among the documents of one source; merged, so that nothing that is gone is left."""
+    index = indexed(spark, sf)
+    index.merge()
+    index.vacuum()
+    hits = index.search("thing OR (the AND of)", 25, docs(spark, sf).filter(KEEP).select("doc_id"))
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def splits(spark, sf):
     e = v.table(spark, sf, "embeddings")
     centre = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 9).alias("x"))
@@ -74,6 +98,11 @@ QUERIES = {
     "bm25_postings": bm25_postings,
     "bm25_porter": lambda s, d: search.keyword_search(docs(s, d), '(the OR "and the") NOT zzz*', ["doc_id"], t.stemmed_tokens(F.col("text"))).withColumn("score", F.round("score", 6)),
     "fts_grammar": lambda s, d: search.keyword_search(docs(s, d), '"of the" OR NEAR(and was, 4)', ["doc_id"], t.plain_tokens(F.col("text")), 100, stem=str).withColumn("score", F.round("score", 6)),
+    "index_topk": lambda s, d: index_hits(s, d, "the OR of OR thing"),
+    "index_all_words": lambda s, d: index_hits(s, d, "the of thing"),
+    "index_phrases": lambda s, d: index_hits(s, d, '"of the" OR NEAR(and was, 4)', 100),
+    "index_prefix": lambda s, d: index_hits(s, d, "(thi* AND the) NOT thou"),
+    "index_filtered": index_filtered,
     "search_messages": search_messages,
     "fts_syntax_error": lambda s, d: search.keyword_search(docs(s, d), "what's", ["doc_id"], t.plain_tokens(F.col("text"))),
     "knn_topk": lambda s, d: knn(s, d),
@@ -97,8 +126,29 @@ m AS (SELECT label, list(x ORDER BY i) AS e FROM c GROUP BY 1),
 p AS (SELECT e.vec_id AS id, m.label::VARCHAR AS canonical,
  round(list_dot_product(e.embedding::DOUBLE[], m.e) / ((sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-9) * (sqrt(list_dot_product(m.e, m.e)) + 1e-9)), 9) AS s FROM embeddings e, m),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, canonical) AS r FROM p) """
+#: The rows that ``indexed`` holds at the end, their words, and the scores of single words.
+_INDEXED = """dd AS (SELECT doc_id, source, text || CASE WHEN doc_id % 3 = 0 THEN ' the of the and thing' ELSE '' END AS text FROM documents WHERE doc_id % 10 <> 3),
+t AS (SELECT doc_id, source, coalesce(regexp_extract_all(lower(text), '[a-z]+'), []) AS w FROM dd), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM t)"""
+_WORDS = f"""{_INDEXED}, x AS (SELECT doc_id, unnest(w) AS term FROM t), tf AS (SELECT doc_id, term, count(*)::DOUBLE AS f FROM x GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY 1),
+part AS (SELECT doc_id, term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / a)) AS s FROM tf JOIN df USING (term) JOIN t USING (doc_id), st)"""
+_BEST = "SELECT doc_id, round(s, 6) AS score FROM r ORDER BY s DESC, doc_id LIMIT"
 _vec = v.with_views("vectors")
 ORACLES = {
+    "index_topk": f"WITH {_WORDS}, r AS (SELECT doc_id, sum(s) AS s FROM part WHERE term IN ('the', 'of', 'thing') GROUP BY 1) {_BEST} 25",
+    "index_all_words": f"WITH {_WORDS}, r AS (SELECT doc_id, sum(s) AS s FROM part WHERE term IN ('the', 'of', 'thing') GROUP BY 1 HAVING count(*) = 3) {_BEST} 25",
+    "index_phrases": f"""WITH {_INDEXED},
+p AS (SELECT * FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t) WHERE w IN ('of', 'the', 'and', 'was')),
+f AS (SELECT 0 AS k, a.doc_id, count(*)::DOUBLE AS f FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.w = 'of' AND b.w = 'the' GROUP BY ALL
+  UNION ALL SELECT 1, doc_id, count(*) FROM (SELECT DISTINCT a.doc_id, a.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 5 WHERE a.w = 'and' AND b.w = 'was') GROUP BY ALL
+  UNION ALL SELECT 2, doc_id, count(*) FROM (SELECT DISTINCT a.doc_id, a.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 5 WHERE a.w = 'was' AND b.w = 'and') GROUP BY ALL),
+d AS (SELECT k, count(*)::DOUBLE AS df FROM f GROUP BY 1),
+r AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / a))) AS s FROM f JOIN d USING (k) JOIN t USING (doc_id), st GROUP BY doc_id) {_BEST} 100""",
+    "index_prefix": f"""WITH {_INDEXED}, m AS (SELECT doc_id, len(w) AS l, len(list_filter(w, lambda x: x = 'the'))::DOUBLE AS f1, len(list_filter(w, lambda x: starts_with(x, 'thi')))::DOUBLE AS f0, len(list_filter(w, lambda x: x = 'thou')) AS f2 FROM t),
+d AS (SELECT count(*) FILTER (f0 > 0)::DOUBLE AS d0, count(*) FILTER (f1 > 0)::DOUBLE AS d1 FROM m),
+r AS (SELECT doc_id, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / a)) AS s FROM m, d, st WHERE f0 > 0 AND f1 > 0 AND f2 = 0) {_BEST} 25""",
+    "index_filtered": f"""WITH {_WORDS}, q AS (SELECT doc_id, sum(s) AS s, count(*) FILTER (term = 'thing') AS h, count(*) FILTER (term <> 'thing') AS o FROM part WHERE term IN ('the', 'of', 'thing') GROUP BY 1),
+r AS (SELECT doc_id, s FROM q JOIN t USING (doc_id) WHERE source = 'src0' AND (h > 0 OR o = 2)) {_BEST} 25""",
     "bm25_topk": f"WITH {_BM25} SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 25",
     "bm25_filtered": f"WITH {_BM25} SELECT * FROM sc WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src0') ORDER BY score DESC, doc_id LIMIT 25",
     "bm25_postings": f"WITH {_BM25} SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 25",
