@@ -122,6 +122,26 @@ def rrf(lists: list[DataFrame], order: list[list[Column]], keys: list[str], k: i
     return fused.withColumn("via", via).orderBy(F.round("score", 12).desc(), "first").limit(max(1, min(limit, 25))).select(*keys, F.round("score", 9).alias("score"), "via")
 
 
+#: What makes a vector of a text: a function from a Column of texts to one of arrays, all of one length. A model's is a pandas UDF
+#: that loads it once in a worker; the two here need no model.
+Embedder = Callable[[Column], Column]
+
+
+def word_embedder(digits: int = 1) -> Embedder:
+    """Words counted by the first ``digits`` hexadecimal digits of their MD5, unit length: expressions only, without Python."""
+
+    def embed(text: Column) -> Column:
+        slot = lambda w: F.conv(F.substring(F.md5(w), 1, digits), 16, 10).cast("int")
+        slots = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), slot)
+        counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(16**digits - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+        length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+        # the variables of lambdas hold what is used more than once
+        each = F.transform(F.transform(F.array(slots), counts), lambda c: F.struct(c.alias("c"), F.greatest(length(c), F.lit(1e-9)).alias("l")))
+        return F.element_at(F.transform(each, lambda p: F.transform(p["c"], lambda x: x / p["l"])), 1)
+
+    return embed
+
+
 def hashing_embedder(dim: int = 384, chars: int = 2000):
     """A deterministic embedder that needs no model: signed hashes of character trigrams, unit length."""
 

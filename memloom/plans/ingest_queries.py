@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memloom.functions import text as t
 from memloom.operators import delivery, extraction, search, store
 from memloom.operators.tables import new_path
+from memloom.operators.upsert_log import UpsertLog
 from memloom.plans.store_queries import ACTIVE, VERSIONS, _masked, versions
 from memloom.sources import gemini, records
 from memloom.sources import views as v
@@ -192,40 +193,41 @@ def deep_redaction(spark, sf):
     return e.select("event_id", t.redact_json(nested).alias("masked"))
 
 
+def in_turns(spark, root, rows, n, start):
+    """Run a stream over ``rows`` that arrive in ``n`` turns, by their column turn: after each it starts again from its checkpoint."""
+    for k in range(n):
+        rows.filter(F.col("turn") == k).drop("turn").write.mode("append").parquet(f"{root}/in")
+        start(spark.readStream.schema(rows.drop("turn").schema).parquet(f"{root}/in")).awaitTermination()
+
+
 def stream_latest(spark, sf):
-    """Versions that arrive in three files, folded by a stream: the same table as ``newest_wins_upsert``."""
-    rows = versions(spark, sf)
-    n = rows.agg(F.max("seq")).first()[0] or 0
+    """Versions that arrive in five turns, not in order, folded by a stream: the same table as ``newest_wins_upsert``."""
+    rows = versions(spark, sf).withColumn("turn", F.pmod(F.col("seq") * 7, F.lit(5)))
     root = new_path(spark, "versions")
-    for k in range(3):
-        rows.filter((F.col("seq") > n * k // 3) & (F.col("seq") <= n * (k + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    tail_source.upsert_stream(stream, f"{root}/silver", f"{root}/checkpoint", force="forced").awaitTermination()
-    return tail_source.current(spark, f"{root}/silver").select("key", "seq", "updated_at", "created_at", "title")
+    in_turns(spark, root, rows, 5, lambda stream: tail_source.upsert_stream(stream, f"{root}/silver", f"{root}/checkpoint", force="forced"))
+    return UpsertLog(spark, f"{root}/silver", "forced").table().select("key", "seq", "updated_at", "created_at", "title")
 
 
 def stream_sessions(spark, sf):
-    """Log lines that arrive in two files: the last record of each session that got message lines."""
-    rows = session_raw(spark, sf).select(F.concat_ws("/", "project", "session").alias("path"), "project", "session", "at", "value")
+    """Log lines that arrive in three turns, the last one side chains and repeated messages: the record of each session as last emitted."""
+    rows = session_raw(spark, sf).select("project", "session", "at", "value").withColumn("turn", F.when(F.col("at") < 150, 0).otherwise(1))
+    idle = rows.filter("at = 50 or at = 70").withColumn("at", F.col("at") + 10_000_000).withColumn("turn", F.lit(2))
     root = new_path(spark, "sessions")
-    for test in ("at < 150", "at >= 150"):
-        rows.filter(test).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     deliver = lambda recs, batch: recs.select("key", "title", "message_count").write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
-    tail_source.session_stream(stream, f"{root}/lines", deliver, f"{root}/checkpoint").awaitTermination()
+    in_turns(spark, root, rows.unionByName(idle), 3, lambda stream: tail_source.session_stream(stream, deliver, f"{root}/checkpoint"))
     last = spark.read.parquet(f"{root}/out").groupBy("key").agg(F.max_by(F.struct("title", "message_count"), "batch").alias("r"), F.count("*").alias("emitted"))
     return last.select("key", "r.title", "r.message_count", "emitted")
 
 
 def stream_embeddings(spark, sf):
-    """Texts embedded as they arrive and appended to a table."""
-    rows = v.messages(spark, sf).select("conv_key", "native_id", "text")
+    """Texts embedded as they arrive, some of which come again later in other words: the first one's vector stays."""
+    rows = v.messages(spark, sf).select("conv_key", "native_id", "text", "pos").withColumn("turn", F.lit(0))
+    again = rows.filter("pos % 3 = 0").withColumn("text", F.concat(F.lit("again "), "text")).withColumn("turn", F.lit(1))
     root = new_path(spark, "embed")
-    rows.write.parquet(f"{root}/in")
-    embed = search.hashing_embedder(16)
-    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    tail_source.append_stream(stream, lambda s: s.select("conv_key", "native_id", embed("text").alias("embedding")), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("conv_key", "native_id", F.size("embedding").alias("dim"))
+    start = lambda stream: tail_source.embed_stream(stream, ["conv_key", "native_id"], search.word_embedder(), f"{root}/out", f"{root}/checkpoint")
+    in_turns(spark, root, rows.unionByName(again).drop("pos"), 2, start)
+    vectors = spark.read.parquet(f"{root}/out")
+    return vectors.select("conv_key", "native_id", F.posexplode("embedding").alias("i", "x")).select("conv_key", "native_id", "i", F.round("x", 6).alias("x"))
 
 
 QUERIES = {
@@ -295,5 +297,7 @@ CASE event_id % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'user' ELSE event_type END A
 x AS (SELECT b.*, created, row_number() OVER (PARTITION BY b.key ORDER BY updated_at DESC NULLS LAST, seq) AS rn FROM b JOIN r ON b.key = r.key WHERE reset IS NULL OR seq >= reset)
 SELECT key, seq, updated_at, created AS created_at, title FROM x WHERE rn = 1""",
     "stream_sessions": f"{_msg}, {_KEPT} SELECT 'coding-session:s' || n AS key, 'repo' || (n % 3) || ' / Title ' || n AS title, count(*)::INTEGER AS message_count, 1 + max((pos >= 2)::INTEGER) AS emitted FROM o GROUP BY n",
-    "stream_embeddings": f"{_msg} SELECT conv_key, native_id, 16 AS dim FROM v_messages",
+    "stream_embeddings": f"""{_msg}, w AS (SELECT conv_key, native_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM v_messages),
+c AS (SELECT conv_key, native_id, ('0x' || substr(md5(w), 1, 1))::INTEGER AS i, count(*)::DOUBLE AS n FROM w GROUP BY ALL), s AS (SELECT conv_key, native_id, sqrt(sum(n * n)) AS l FROM c GROUP BY ALL)
+SELECT m.conv_key, m.native_id, i::INTEGER AS i, round(coalesce(n / l, 0.0), 6) AS x FROM (SELECT conv_key, native_id, unnest(range(16)) AS i FROM v_messages) m LEFT JOIN c USING (conv_key, native_id, i) LEFT JOIN s USING (conv_key, native_id)""",
 }

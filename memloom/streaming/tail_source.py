@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from memloom.operators.store import newest_wins
+from memloom.operators.upsert_log import UpsertLog
 from memloom.sources.records import session_records
 
 SCHEMA = "path string, project string, session string, at long, value string"
@@ -122,99 +125,111 @@ def tail(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.format("jsonl_tail").option("root", root).load()
 
 
-#: Buckets of a silver table; a batch rewrites only those that its keys fall into.
-BUCKETS = 64
-
-
 def upsert_stream(stream: DataFrame, silver: str, checkpoint: str, available_now: bool = True, interval: str = "5 seconds", force: str | None = None):
-    """Keep a silver table of the newest version of each key: ``stream(key, seq, updated_at, created_at, ...)``.
+    """Keep a table of the newest version of each key: ``stream(key, seq, updated_at, created_at, ...)``, as an ``UpsertLog``.
 
-    Batch n writes the buckets of its keys under ``silver``/v{n}, from what the batches below n left there; nothing that
-    another batch wrote is changed, so running a batch again, or losing an executor in it, gives the same table. Bucket k of
-    the table is the newest one written. ``vacuum`` deletes superseded buckets.
+    A batch writes its own versions only, and one that runs again, after its executors or the driver were lost, counts once.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
-        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        now = current(spark, silver, batch_id, touched)
-        # what is stored came first, and its created_at is that of the first version
-        newest_wins(rows if now is None else now.unionByName(rows), force=force).write.mode("overwrite").partitionBy("bucket").parquet(f"{silver}/v{batch_id}")
+        UpsertLog(batch.sparkSession, silver, force).append(batch, checkpoint, batch_id)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
-def _versions(spark: SparkSession, silver: str) -> dict[int, list[tuple[int, str]]]:
-    """Written versions (number, path) of each bucket, the newest first."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = fs_path(silver)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out: dict[int, list[tuple[int, str]]] = {}
-    if not fs.exists(root):
-        return out
-    for status in fs.listStatus(root):
-        at = status.getPath()
-        if at.getName().startswith("v") and fs.exists(fs_path(f"{at}/_SUCCESS")):
-            for part in fs.listStatus(at):
-                if part.getPath().getName().startswith("bucket="):
-                    out.setdefault(int(part.getPath().getName()[7:]), []).append((int(at.getName()[1:]), str(part.getPath())))
-    return {k: sorted(v, reverse=True) for k, v in out.items()}
-
-
-def current(spark: SparkSession, silver: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-    """A silver table as the batches before ``below`` (all) left it, or some buckets of it; with its column bucket."""
-    found = []
-    for bucket, versions in _versions(spark, silver).items():
-        live = [path for n, path in versions if below is None or n < below]
-        if live and (buckets is None or bucket in buckets):
-            found.append(live[0])
-    if not found:
-        return None
-    return spark.read.parquet(*found).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
-
-
-def vacuum(spark: SparkSession, silver: str, keep: int = 2) -> int:
-    """Delete all but the newest ``keep`` versions of each bucket; two are what a batch that runs again needs."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(silver).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = [path for versions in _versions(spark, silver).values() for _, path in versions[keep:]]
-    for path in old:
-        fs.delete(fs_path(path), True)
-    return len(old)
-
-
 def append_stream(stream: DataFrame, transform, path: str, checkpoint: str):
     """Append ``transform(stream)`` to a Parquet table: embeddings, archives. Runs over what is there and ends."""
     return transform(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def session_stream(stream: DataFrame, lines_path: str, deliver, checkpoint: str):
-    """Re-emit the whole record of every session that got new message lines: ``deliver(records, batch_id)``.
+def embed_stream(stream: DataFrame, keys: list[str], embed, path: str, checkpoint: str):
+    """Append the vector of each new text: ``keys`` and embedding; ``embed`` makes a Column of the column text.
 
-    Lines are kept in a table by batch and bucket of sessions; a batch reads the buckets that its sessions fall into and
-    rewrites only its own folder, so running it again changes nothing, and a failed delivery fails the batch, which the
-    checkpoint then repeats.
+    The first text of a key wins, within a batch and across them: the keys are the stream's state.
     """
+    with keyed_state(stream.sparkSession):
+        return append_stream(stream, lambda s: s.dropDuplicates(keys).select(*keys, embed(F.col("text")).alias("embedding")), path, checkpoint)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB, so it may be larger than memory and is saved by its changes."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def message_id(line: str) -> str | None:
+    """What a log line counts as: the uuid of a message, "" for one without, None for what is no message of the main chain."""
+    try:
+        e = json.loads(line)
+    except ValueError:
+        return None
+    if not isinstance(e, dict) or e.get("type") not in ("user", "assistant") or e.get("isSidechain"):
+        return None
+    said = e["message"].get("content") if isinstance(e.get("message"), dict) else None
+    if isinstance(said, str) and said.lstrip().startswith("["):
+        try:
+            said = json.loads(said)
+        except ValueError:
+            pass
+    if said is None or isinstance(said, list) and not any(isinstance(b, dict) for b in said):
+        return None
+    return str(e.get("uuid") or "")
 
-    def emit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("project", "session", F.lit(0).cast("long").alias("block"), "at", "value", F.pmod(F.xxhash64("project", "session"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{lines_path}/batch={batch_id}")
-        touched = changed_sessions(rows).select("project", "session")
-        buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]
-        if not buckets:
-            return
-        known = spark.read.parquet(lines_path).filter(F.col("bucket").isin(buckets) & (F.col("batch") <= batch_id)).drop("batch", "bucket")
-        deliver(session_records(known.join(touched, ["project", "session"], "left_semi")), batch_id)
 
-    return stream.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class Sessions(StatefulProcessor):
+    """State of a session: its lines, the ids of its messages, how many it has, and how many were last emitted.
 
+    Emits all lines of a session whose number of messages changed. Lines from a place that was read before mean that the log began
+    anew: what was known of it goes.
+    """
 
-def changed_sessions(lines: DataFrame) -> DataFrame:
-    """Per session the number of message lines so far; sessions whose number did not change need no re-emit."""
-    kind = F.get_json_object("value", "$.type")
-    return lines.filter(kind.isin("user", "assistant")).groupBy("project", "session").agg(F.count("*").alias("n_messages"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lines = handle.getListState("lines", "at long, value string")
+        self.ids = handle.getMapState("ids", "uuid string", "seen boolean")
+        self.counts = handle.getValueState("counts", "n long, sent long, last long")
+
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802, ANN001, ANN201
+        # the new lines of one session; a batch's bytes are bounded by the source
+        new = sorted((int(at), value) for frame in rows for at, value in zip(frame["at"], frame["value"], strict=True))
+        n, sent, last = self.counts.get() or (0, 0, -1)
+        if new and new[0][0] <= last:
+            self.lines.clear()
+            self.ids.clear()
+            n, sent = 0, -1
+        for _, line in new:
+            uuid = message_id(line)
+            if uuid is None or uuid and self.ids.containsKey((uuid,)):
+                continue
+            if uuid:
+                self.ids.updateValue((uuid,), (True,))
+            n += 1
+        self.lines.appendList(new)
+        changed = n != sent and n > 0
+        self.counts.update((n, n if changed else sent, max([last if sent >= 0 else -1, *[at for at, _ in new]])))
+        if changed:
+            known = list(self.lines.get())
+            yield pd.DataFrame({"project": key[0], "session": key[1], "block": 0, "at": [x[0] for x in known], "value": [x[1] for x in known]})
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(stream: DataFrame, deliver, checkpoint: str):
+    """Re-emit the whole record of every session whose number of messages changed: ``deliver(records, batch_id)``.
+
+    What is known of a session is the stream's state, so a batch reads and writes its own sessions only, and side chains, notes
+    and repeated messages emit nothing. A delivery that fails fails the batch, which the checkpoint then repeats.
+    """
+    kind = "project string, session string, block long, at long, value string"
+    lines = stream.select("project", "session", "at", "value").groupBy("project", "session")
+    with keyed_state(stream.sparkSession):
+        changed = lines.transformWithStateInPandas(statefulProcessor=Sessions(), outputStructType=kind, outputMode="Update", timeMode="None")
+        writer = changed.writeStream.outputMode("update").foreachBatch(lambda batch, n: deliver(session_records(batch), n))
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
