@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memloom.functions.text import rescue_json, tokens
 from memloom.operators import edges
 from memloom.operators.ledger import ASSERTION_TYPES, MENTION_SPEAKERS, SPEAKERS
-from memloom.operators.tables import stored
+from memloom.operators.tables import new_path, ranked, stored
+from memloom.operators.versions import Conflict, Manifest
 
 #: An engine maps (prompt rows, carried state, problems of the last attempt) to an answer in text.
 Engine = Callable[[list[dict], str, list[str]], str]
@@ -137,34 +141,146 @@ Typer = Callable[[list[dict]], list[dict]]
 TYPING = "src long, dst long, relation string, direction string, temporality string, as_of string"
 
 
-def typing_run(edge_rows: DataFrame, entity_rows: DataFrame, mapped: DataFrame, assertions: DataFrame, aliases: DataFrame, typer: Typer, now: Column, min_weight: int = 2, page: int = 100, batch: int = 5) -> DataFrame:
-    """The edges after a typer saw all pages of untyped ones: answers are validated and downgraded, and written page by page.
+class TypingRun:
+    """A run of a typer over all untyped edges, in a folder: pages of work with their evidence, and the answers page by page.
 
-    A page of which nothing can be typed is skipped, and typed edges leave the list, so the run ends; running it on its
-    result goes on with what is untyped. ``edge_rows`` has the columns of ``edges.apply_typings``.
+    The list and the evidence are made once, in one pass (``start``); a page is then leased, answered and committed by itself, by any
+    number of workers, so n pages cost n times one page, and a run that was killed goes on with the pages that are not committed.
+    ``manifest`` has leases, committed pages and the events of the run.
     """
-    base = [c for c in edge_rows.columns if c not in ("verified_relation", "direction", "temporality", "as_of", "verified", "verified_at")]
-    offset, current = 0, edge_rows
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.to_dict("records")
-        wanted = {(r["src"], r["dst"]) for r in rows}
-        out = [{k: t.get(k) for k in ("src", "dst", "relation", "direction", "temporality", "as_of")} for t in typer(rows) if (t.get("src"), t.get("dst")) in wanted]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in TYPING.split(", ")])
-
-    while True:
-        rows = stored(edges.typing_page(current, entity_rows, mapped, assertions, aliases, min_weight, page, offset), "page")
-        found = rows.count()
-        if not found:
-            return current
-        deal = F.pmod(F.xxhash64("src", "dst"), F.lit(max(1, found // batch)))
-        answers = rows.withColumn("batch", deal).groupBy("batch").applyInPandas(run, TYPING)
+    FIELDS = ("rank", "type", "speaker", "statement", "rationale")
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.manifest = Manifest(spark, f"{self.path}/manifest")
+
+    def start(self, edge_rows: DataFrame, entity_rows: DataFrame, mapped: DataFrame, assertions: DataFrame, aliases: DataFrame, min_weight: int = 2, page: int = 100, batch: int = 5) -> TypingRun:
+        """Write the work, the heaviest edges first, unless an earlier start did. Edges without both entities are no work."""
+        version, now = self.manifest.read()
+        if now:
+            return self
+        end = lambda side: entity_rows.select(F.col("entity_id").alias(side), F.col("canonical").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"))
+        rows = edges.typable(edge_rows, min_weight, True).join(end("src"), "src").join(end("dst"), "dst")
+        rows = ranked(rows.select("src", "dst", "src_name", "src_type", "dst_name", "dst_type", "weight", "relation"), "place", F.col("weight").desc(), "src", "dst")
+        rows = stored(rows.withColumn("page", F.floor(F.col("place") / page).cast("int")).withColumn("batch", F.floor(F.col("place") / batch).cast("int")), "work")
+        pack = edges.evidence_pack(rows, mapped, assertions, aliases).groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct(*self.FIELDS))).alias("evidence"))
+        work = rows.join(pack, ["src", "dst"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(pack.schema["evidence"].dataType)))
+        # a page is a folder, and pages are dealt out to the tasks
+        work.repartition("page").write.mode("overwrite").partitionBy("page").parquet(f"{self.path}/work")
+        total, pages = rows.agg(F.count("*"), F.max("page")).first()
+        start = {"total": total, "pages": 0 if pages is None else pages + 1, "leases": {}, "done": {}, "typed": 0, "schema": work.schema.jsonValue(), "events": [{"event": "start", "untyped": total, "min_weight": min_weight}]}
+        self.manifest.write(version + 1, start)
+        return self
+
+    def _update(self, change: Callable[[dict], dict | None]) -> dict | None:
+        """Write what ``change`` makes of the current state, again if another worker was first; None if it makes nothing."""
+        while True:
+            version, now = self.manifest.read()
+            new = change(now)
+            if new is None:
+                return None
+            try:
+                self.manifest.write(version + 1, new)
+                return new
+            except Conflict:
+                continue
+
+    def lease(self, worker: str, pages: int, clock: float, seconds: float = 3600) -> list[int]:
+        """Claim up to ``pages`` open pages, the first ones: those that nobody has, or whose lease ran out."""
+        taken: list[int] = []
+
+        def claim(now: dict) -> dict | None:
+            held = {p for p, (_, until) in now["leases"].items() if until > clock}
+            taken[:] = [p for p in range(now["pages"]) if str(p) not in now["done"] and str(p) not in held][:pages]
+            return now | {"leases": now["leases"] | {str(p): [worker, clock + seconds] for p in taken}} if taken else None
+
+        return taken if self._update(claim) else []
+
+    def work(self, pages: list[int]) -> DataFrame:
+        rows = self.spark.read.schema(StructType.fromJson(self.manifest.read()[1]["schema"])).parquet(f"{self.path}/work")
+        return rows.filter(F.col("page").isin(pages))
+
+    def answers(self, pages: list[int], typer: Typer, now: Column, attempts: int = 2) -> DataFrame:
+        """Valid typings of some pages, downgraded where the evidence does not hold them; edges without one are asked again."""
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            rows, out = frame.sort_values("place").to_dict("records"), []
+            open_ = {(r["src"], r["dst"]): r for r in rows}
+            for _ in range(attempts):
+                for t in typer(list(open_.values())) if open_ else []:
+                    if open_.pop((t.get("src"), t.get("dst")), None):
+                        out.append({k: t.get(k) for k in ("src", "dst", "relation", "direction", "temporality", "as_of")})
+            return pd.DataFrame([t | {"page": rows[0]["page"]} for t in out], columns=[*[x.split()[0] for x in TYPING.split(", ")], "page"])
+
+        rows = self.work(pages)
+        if set(pages) & set(self.manifest.read()[1].get("partial", [])):  # a limit ended a run inside the page
+            rows = rows.join(self.typings().select("src", "dst"), ["src", "dst"], "left_anti")
         texts = F.transform("evidence", lambda x: F.concat_ws(" ", x["statement"], x["rationale"]))
-        ends = rows.select("src", "dst", "src_type", "dst_type", texts.alias("evidence"))
-        typed = stored(edges.guard_typing(answers.join(ends, ["src", "dst"])).select("src", "dst", F.lit(1).alias("seq"), "relation", "direction", "temporality", "as_of", now.alias("verified_at")), "typed")
-        if typed.isEmpty():
-            offset += page
-            continue
-        fields = ("relation", "direction", "temporality", "as_of", "verified_at")
-        old = current.filter("verified").select("src", "dst", F.lit(0).alias("seq"), F.col("verified_relation").alias("relation"), *fields[1:])
-        current = stored(edges.apply_typings(current.select(*base), old.unionByName(typed)), "edges")
+        ends = rows.select("src", "dst", "src_type", "dst_type", texts.alias("evidence"), "batch")
+        found = rows.groupBy("batch").applyInPandas(run, f"{TYPING}, page int")
+        typed = edges.guard_typing(found.join(ends, ["src", "dst"]))
+        return typed.select("src", "dst", F.lit(1).alias("seq"), "relation", "direction", "temporality", "as_of", now.alias("verified_at"), "page", "batch")
+
+    def run(self, typer: Typer, now: Column, worker: str = "worker", pages: int = 64, limit: int = 0, clock: Callable[[], float] = time.time) -> TypingRun:
+        """Answer all open pages, ``pages`` of them at a time, or until ``limit`` edges are typed by this call (whole batches)."""
+        typed, progress = 0, 0
+        while not limit or typed < limit:
+            mine = self.lease(worker, 1 if limit else pages, clock())
+            if not mine:
+                break
+            rows = stored(self.answers(mine, typer, now), "typed")
+            if limit:
+                sizes = {r.batch: r.n for r in rows.groupBy("batch").agg(F.count("*").alias("n")).collect()}
+                enough = next((b for b in sorted(sizes) if typed + sum(n for x, n in sizes.items() if x <= b) >= limit), None)
+                rows = rows if enough is None else rows.filter(F.col("batch") <= enough)
+            part = f"{self.path}/typings/{uuid.uuid4().hex}"
+            rows.drop("page", "batch").write.parquet(part)
+            counts = {r.relation: r.n for r in rows.groupBy("relation").agg(F.count("*").alias("n")).collect()}
+            n = sum(counts.values())
+            typed, progress = typed + n, progress + 1
+            whole = not limit or typed < limit
+
+            def commit(state: dict, n=n, part=part, counts=counts, mine=mine, whole=whole) -> dict | None:
+                # a page that another worker committed after the lease ran out counts once
+                if any(str(p) in state["done"] for p in mine):
+                    return None
+                event = {"event": "page" if n else "page_stall", "pages": mine, "worker": worker, "n": n, "relations": counts, "typed_total": state["typed"] + n, "remaining": max(0, state["total"] - state["typed"] - n)}
+                # a page that a limit cut short is not done: its other edges stay open for the next run
+                done = state["done"] | {str(p): part.rsplit("/", 1)[-1] for p in mine} if whole else state["done"]
+                parts = [*state.get("parts", []), part.rsplit("/", 1)[-1]]
+                partial = state.get("partial", []) if whole else [*state.get("partial", []), *mine]
+                return state | {"partial": partial, "done": done, "typed": state["typed"] + n, "events": [*state["events"], event], "parts": parts, "leases": {p: x for p, x in state["leases"].items() if int(p) not in mine}}
+
+            self._update(commit)
+        self._update(lambda state: state | {"events": [*state["events"], {"event": "limit_reached" if limit and typed >= limit else "done", "typed": typed}]})
+        return self
+
+    def typings(self) -> DataFrame:
+        """All committed typings."""
+        parts = self.manifest.read()[1].get("parts", [])
+        kind = "src long, dst long, seq int, relation string, direction string, temporality string, as_of string, verified_at timestamp_ntz"
+        if not parts:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.parquet(*[f"{self.path}/typings/{p}" for p in parts])
+
+    def events(self) -> list[dict]:
+        """What happened, in order: start, page (with the typed edges so far and those that remain), page_stall, limit_reached, done."""
+        return self.manifest.read()[1].get("events", [])
+
+
+def typing_run(edge_rows: DataFrame, entity_rows: DataFrame, mapped: DataFrame, assertions: DataFrame, aliases: DataFrame, typer: Typer, now: Column, min_weight: int = 2, page: int = 100, batch: int = 5, limit: int = 0, dry: bool = False, path: str | None = None) -> DataFrame:
+    """The edges after a typer saw all untyped ones of at least ``min_weight``: answers are validated and downgraded.
+
+    ``edge_rows`` has the columns of ``edges.apply_typings``; ``path`` keeps the run, and another call with it goes on. ``dry``: the
+    typings of the first page, of which nothing is kept.
+    """
+    spark = edge_rows.sparkSession
+    run = TypingRun(spark, path or new_path(spark, "typing")).start(edge_rows, entity_rows, mapped, assertions, aliases, min_weight, page, batch)
+    if dry:
+        return run.answers([0], typer, now).drop("seq", "page", "batch")
+    typed = run.run(typer, now, limit=limit).typings()
+    fields = ("relation", "direction", "temporality", "as_of", "verified_at")
+    base = [c for c in edge_rows.columns if c not in ("verified_relation", "direction", "temporality", "as_of", "verified", "verified_at")]
+    old = edge_rows.filter("verified").select("src", "dst", F.lit(0).alias("seq"), F.col("verified_relation").alias("relation"), *fields[1:])
+    return edges.apply_typings(edge_rows.select(*base), old.unionByName(typed.select(*old.columns)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from memloom.operators.tables import Scratch, stored
+
 
 def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
@@ -64,13 +66,62 @@ def path_ids(ids: Column, parents: Column, leaf: Column) -> Column:
     return F.when(F.size(ids) > 0, F.array_distinct(F.aggregate(passes, start, walk, lambda s: s["path"]))).otherwise(none)
 
 
-def mark_active(messages: DataFrame, leaves: DataFrame, all_without_leaf: bool = True) -> DataFrame:
-    """Messages with on_active_path. ``leaves(conv_key, leaf)``; without a known leaf all messages are active, or none."""
+#: Messages of a conversation up to which its path is walked inside one row; longer threads double pointers between rows.
+WALKED = 4096
+
+
+def long_path(links: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(conv_key, native_id) of the messages from each leaf to its root, in rounds that follow the logarithm of a thread's length.
+
+    ``links(conv_key, native_id, parent_native_id)`` has an id once. A message knows its ancestor 1, 2, 4 ... steps up; in each round
+    what is on the path adds its ancestors at that distance, so no row holds a thread. A parent that is missing is a root, and a
+    cycle adds nothing after its messages are there. Each round is a table.
+    """
+    scratch = Scratch(links.sparkSession)
+    known = links.select("conv_key", F.col("native_id").alias("up"))
+    # only parents that exist are stepped to
+    jumps = links.filter("parent_native_id is not null").select("conv_key", F.col("native_id").alias("id"), F.col("parent_native_id").alias("up")).join(known, ["conv_key", "up"], "left_semi").select("conv_key", "id", "up")
+    jumps = scratch.stored(jumps, "jumps")
+    on = scratch.stored(leaves.select("conv_key", F.col("leaf").cast("string").alias("id")).join(links.select("conv_key", F.col("native_id").alias("id")), ["conv_key", "id"], "left_semi").distinct(), "path")
+    n = on.count()
+    while True:
+        grown = scratch.stored(on.unionByName(on.join(jumps, ["conv_key", "id"]).select("conv_key", F.col("up").alias("id"))).distinct(), "path")
+        now = grown.count()
+        if now == n:
+            break
+        on, n = grown, now
+        further = jumps.select("conv_key", F.col("id").alias("up"), F.col("up").alias("next"))
+        jumps = scratch.stored(jumps.join(further, ["conv_key", "up"]).select("conv_key", "id", F.col("next").alias("up")), "jumps")
+    scratch.drop(on)
+    return on.select("conv_key", F.col("id").alias("native_id"))
+
+
+def mark_active(messages: DataFrame, leaves: DataFrame, all_without_leaf: bool = True, walked: int = WALKED) -> DataFrame:
+    """Messages with on_active_path. ``leaves(conv_key, leaf)``; without a known leaf all messages are active, or none.
+
+    Conversations of up to ``walked`` messages are walked inside a row each, so they cost one shuffle; longer ones by ``long_path``.
+    """
     order = ["pos"] if "pos" in messages.columns else []
-    links = messages.groupBy("conv_key").agg(F.array_sort(F.collect_list(F.struct(*order, "native_id", "parent_native_id"))).alias("m"))
+    sizes = messages.groupBy("conv_key").agg(F.count("*").alias("_n"))
+    # few conversations are long, but nothing bounds how many
+    long_keys = sizes.filter(F.col("_n") > walked).select("conv_key")
+    some = not long_keys.isEmpty()
+    short = messages.join(long_keys, "conv_key", "left_anti") if some else messages
+    links = short.groupBy("conv_key").agg(F.array_sort(F.collect_list(F.struct(*order, "native_id", "parent_native_id"))).alias("m"))
     found = links.join(leaves, "conv_key", "left").select("conv_key", path_ids(F.col("m.native_id"), F.col("m.parent_native_id"), F.col("leaf")).alias("path"))
     active = F.when(F.size("path") > 0, F.coalesce(F.array_contains("path", F.col("native_id")), F.lit(False))).otherwise(F.lit(all_without_leaf))
-    return messages.join(found, "conv_key").withColumn("on_active_path", active).drop("path")
+    out = short.join(found, "conv_key").withColumn("on_active_path", active).drop("path")
+    if not some:
+        return out
+    rest = messages.join(long_keys, "conv_key", "left_semi")
+    # of equal ids the last one's parent counts
+    place = F.struct(*order, "parent_native_id") if order else F.struct("parent_native_id")
+    once = rest.filter("native_id is not null").groupBy("conv_key", "native_id").agg(F.max_by("parent_native_id", place).alias("parent_native_id"))
+    path = long_path(stored(once, "links"), leaves).withColumn("_on", F.lit(True))
+    led = path.select("conv_key").distinct().withColumn("_led", F.lit(True))
+    rest = rest.join(path, ["conv_key", "native_id"], "left").join(led, "conv_key", "left")
+    marked = F.when(F.col("_led"), F.coalesce("_on", F.lit(False))).otherwise(F.lit(all_without_leaf))
+    return out.unionByName(rest.withColumn("on_active_path", marked).select(*out.columns))
 
 
 def branch_stats(messages: DataFrame) -> DataFrame:

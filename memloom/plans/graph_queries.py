@@ -66,19 +66,19 @@ def page(spark, sf):
 
 
 def typed_by_rule(spark, sf):
-    """All heavy edges typed page by page, by a rule in the place of a model: multiples of eleven never get an answer."""
+    """All edges of weight two and more typed page by page, by a rule in the place of a model: multiples of eleven never get an answer."""
 
     def typer(rows):
         say = lambda r: {"src": r["src"], "dst": r["dst"], "relation": "uses" if r["weight"] % 2 else "works-for", "direction": "forward", "temporality": "enduring", "as_of": "2024"}
         return [say(r) for r in rows if (r["src"] + r["dst"]) % 11]
 
     g = edges.apply_typings(stored(light(spark, sf), "edges"), typings(light(spark, sf).limit(0)))
-    out = extraction.typing_run(g, v.entities(spark, sf), v.mentions(spark, sf), v.assertions(spark, sf), v.aliases(spark, sf), typer, now(), 3, 1000)
+    out = extraction.typing_run(g, v.entities(spark, sf), v.mentions(spark, sf), v.assertions(spark, sf), v.aliases(spark, sf), typer, now())
     return out.select("src", "dst", "verified_relation", "direction", "as_of", "verified")
 
 
 def resolved_in_tiers(spark, sf):
-    return extraction.resolve_run(resolve.candidate_contexts(v.mentions(spark, sf), 30, 60))
+    return extraction.resolve_run(resolve.candidate_contexts(v.mentions(spark, sf)))
 
 
 def ends(spark, sf, a, b):
@@ -159,7 +159,7 @@ def themes(spark, sf):
 
 
 def worksheet(spark, sf):
-    rows = resolve.candidate_contexts(v.mentions(spark, sf), 30, 60)
+    rows = resolve.candidate_contexts(v.mentions(spark, sf))
     return rows.select("name", "n", "rank", "tier", "batch", F.array_join("contexts", "|").alias("contexts"))
 
 
@@ -260,11 +260,11 @@ SELECT src, dst, string_agg(id::VARCHAR, ',' ORDER BY k) AS evidence FROM ev WHE
     "edge_evidence_pack": f"{_e}, {_G}, wanted AS (SELECT src, dst FROM v_edges WHERE weight >= 2), {_P} SELECT src, dst, rank, id, score, statement, rationale FROM v_pack",
     "typing_page": f"""{_e}, {_G}, {_T}, open AS (SELECT * FROM v_typed WHERE weight >= 2 AND NOT verified), wanted AS (SELECT * FROM open ORDER BY weight DESC, src, dst LIMIT 100 OFFSET 10), {_P}
 SELECT src, dst, 'k' || src AS src_name, 'k' || dst AS dst_name, w.weight, (SELECT count(*) FROM open) AS matching_total, rank, p.type, speaker, statement, rationale FROM wanted w JOIN v_pack p USING (src, dst)""",
-    "typing_run": f"""{_e}, {_G}, o AS (SELECT e.*, weight >= 3 AND (src + dst) % 11 <> 0 AS ok, weight % 2 <> 0 OR (a.type = 'person' AND b.type = 'org') AS holds, a.type = 'person' AND b.type = 'person' AS persons
+    "typing_run": f"""{_e}, {_G}, o AS (SELECT e.*, weight >= 2 AND (src + dst) % 11 <> 0 AS ok, weight % 2 <> 0 OR (a.type = 'person' AND b.type = 'org') AS holds, a.type = 'person' AND b.type = 'person' AS persons
   FROM v_edges e JOIN v_entities a ON a.entity_id = src JOIN v_entities b ON b.entity_id = dst)
 SELECT src, dst, CASE WHEN ok THEN CASE WHEN weight % 2 <> 0 THEN 'uses' WHEN holds THEN 'works-for' WHEN persons THEN 'discussed-with' ELSE 'related-to' END END AS verified_relation,
 CASE WHEN ok AND holds THEN 'forward' ELSE 'undirected' END AS direction, NULL::VARCHAR AS as_of, ok AS verified FROM o""",
-    "resolve_run": f"{_e}, t AS (SELECT lower(name) AS name, count(*) AS n FROM v_mentions GROUP BY 1 ORDER BY n DESC, name LIMIT 60), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS rank FROM t) SELECT name, name AS canonical, 'topic' AS type, false AS skip, CASE WHEN rank <= 30 THEN 1 ELSE 2 END AS tier, ((rank - 1) // 20)::INTEGER AS batch FROM k",
+    "resolve_run": f"{_e}, t AS (SELECT lower(name) AS name, count(*) AS n FROM v_mentions GROUP BY 1 ORDER BY n DESC, name LIMIT 350), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS rank FROM t) SELECT name, name AS canonical, 'topic' AS type, false AS skip, CASE WHEN rank <= 180 THEN 1 ELSE 2 END AS tier, ((rank - 1) // 20)::INTEGER AS batch FROM k",
     "neighborhood": f"{_e}, {_G}, {_T} SELECT src, dst, {_W} AS sentence, weight, first_seen, last_seen FROM v_typed WHERE src = 7 OR dst = 7 ORDER BY weight DESC, src, dst LIMIT 15",
     "what_connects": f"""{_e}, {_G}, {_T}, s AS (SELECT src AS node, dst AS other, weight FROM v_edges UNION ALL SELECT dst, src, weight FROM v_edges),
 o AS (SELECT a.other, a.weight + b.weight AS total FROM s a JOIN s b ON a.other = b.other WHERE a.node = 7 AND b.node = 8 AND a.other NOT IN (7, 8) ORDER BY total DESC, a.other LIMIT 15)
@@ -292,9 +292,9 @@ e AS (SELECT seq, name, canonical AS part, mentions // CASE WHEN seq % 7 = 0 THE
   UNION ALL SELECT seq, name, ' ' || lower(canonical) || '  x ', mentions // 2, coalesce(type, 'person') FROM p WHERE seq % 7 = 0)
 SELECT lower(regexp_replace(trim(part), '\\s+', ' ', 'g')) AS key, max_by(part, seq) AS canonical, max_by(type, seq) AS type, sum(share)::BIGINT AS mentions, count(DISTINCT name)::INTEGER AS n_aliases FROM e GROUP BY 1""",
     "near_duplicates": f"{_e} SELECT x.entity_id AS a, y.entity_id AS b FROM v_entities x JOIN v_entities y ON x.entity_id < y.entity_id AND (contains(lower(x.canonical), lower(y.canonical)) OR contains(lower(y.canonical), lower(x.canonical))) AND abs(length(x.canonical) - length(y.canonical)) <= 8",
-    "resolution_worksheet": f"""{_e}, t AS (SELECT lower(name) AS name, count(*) AS n FROM v_mentions GROUP BY 1 ORDER BY n DESC, name LIMIT 60), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, name)::INTEGER AS rank FROM t),
+    "resolution_worksheet": f"""{_e}, t AS (SELECT lower(name) AS name, count(*) AS n FROM v_mentions GROUP BY 1 ORDER BY n DESC, name LIMIT 350), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, name)::INTEGER AS rank FROM t),
 f AS (SELECT lower(name) AS name, lower(substr(context, 1, 50)) AS s, min(id) AS id, min_by(substr(context, 1, 180), id) AS c FROM v_mentions GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM f)
-SELECT k.name, k.n, k.rank, CASE WHEN k.rank <= 30 THEN 1 ELSE 2 END AS tier, ((k.rank - 1) // 20)::INTEGER AS batch, (SELECT string_agg(c, '|' ORDER BY r) FROM o WHERE o.name = k.name AND r <= 12) AS contexts FROM k""",
+SELECT k.name, k.n, k.rank, CASE WHEN k.rank <= 180 THEN 1 ELSE 2 END AS tier, ((k.rank - 1) // 20)::INTEGER AS batch, (SELECT string_agg(c, '|' ORDER BY r) FROM o WHERE o.name = k.name AND r <= 12) AS contexts FROM k""",
     "typing_guard": f"""{_e}, {_G}, wanted AS (SELECT src, dst FROM v_edges), {_P}, fam AS (SELECT src, dst, bool_or(contains(rationale, 'Sister')) AS said FROM v_pack GROUP BY 1, 2),
 tx AS (SELECT t.src, t.dst, CASE WHEN t.src % 2 = 0 THEN 'works-for' WHEN t.dst % 2 = 0 THEN 'family-of' ELSE 'uses' END AS rel, CASE WHEN t.dst % 5 = 0 THEN 'backward' ELSE 'forward' END AS dir, a.type AS st, b.type AS dt, coalesce(said, false) AS said
   FROM v_edges t JOIN v_entities a ON a.entity_id = t.src JOIN v_entities b ON b.entity_id = t.dst LEFT JOIN fam USING (src, dst)),

@@ -76,14 +76,17 @@ def session_raw(spark, sf):
 
 
 def gemini_raw(spark, sf):
-    """Captured responses: the first two texts of a conversation as one turn, among frames that are none."""
-    said = _turns(spark, sf).filter("pos <= 1").groupBy("n").agg(F.max(F.when(F.col("pos") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("pos") == 1, F.col("text"))).alias("b"))
-    ids = F.to_json(F.array(F.concat(F.lit("c_"), F.lower(F.hex("n"))), F.concat(F.lit("r_"), F.lower(F.hex("n"))), F.concat(F.lit("c_"), F.lower(F.hex("n")))))
+    """Captured responses: each two texts of a conversation as a turn of its payload, with more ids than are kept, among frames that are none."""
+    m = _turns(spark, sf).withColumn("k", F.floor(F.col("pos") / 2)).groupBy("n", "k").agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("text"))).alias("b"))
+    hexed = lambda c: F.lower(F.hex(c))
+    ids = F.to_json(F.array(F.concat(F.lit("c_"), hexed("n")), F.concat(F.lit("r_"), hexed("k")), F.concat(F.lit("c_"), hexed("n")), F.concat(F.lit("rc_"), hexed("n")), F.concat(F.lit("r_f"), hexed("k"))))
     one = lambda c: F.to_json(F.array(F.coalesce(c, F.lit(""))))
-    payload = F.concat(F.lit("[[["), ids, F.lit(","), one("a"), F.lit(",["), one("b"), F.lit("]]]]"))
-    quoted = F.to_json(F.struct(payload.alias("p")))
+    turn = F.concat(F.lit("["), ids, F.lit(","), one("a"), F.lit(",["), one("b"), F.lit(',"short"]]'))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("k", turn.alias("t")))), lambda x: x["t"])
+    said = m.groupBy("n").agg(F.concat(F.lit("[["), F.array_join(turns, ","), F.lit("]]")).alias("payload"))
+    quoted = F.to_json(F.struct(F.col("payload").alias("p")))
     quoted = F.substring(quoted, 6, F.length(quoted) - 6)  # {"p":"..."} without its frame
-    frame = F.concat(F.lit(")]}'\n\n7\n[[\"wrb.fr\",\"hN\","), quoted, F.lit("],[\"di\",1]]\n3\nnot json\n9\n[[\"wrb.fr\",\"x\",\"no json\"]]\n"))
+    frame = F.concat(F.lit(")]}'\n\n7\n[[\"wrb.fr\",\"h"), F.col("n").cast("string"), F.lit("\","), quoted, F.lit("],[\"di\",1]]\n3\nnot json\n9\n[[\"wrb.fr\",\"x\",\"no json\"]]\n"))
     return said.select(frame.alias("value"))
 
 
@@ -124,7 +127,10 @@ def prompts(spark, sf):
 def extracted(spark, sf):
     rows = records.message_rows(claude(spark, sf)).filter("on_active_path")
     chunks = search.chunks(rows.select("conv_key", "native_id", "role", "pos", "created_at", "text"), 3, 200)
-    return extraction.extract(chunks).select("conv_key", "chunk_idx", "valid", "attempts")
+    found = extraction.extract(chunks)
+    said = F.from_json("payload", "assertions array<struct<type:string,statement:string,speaker:string,evidence_ids:array<string>>>")["assertions"]
+    rows = found.select("conv_key", "chunk_idx", "valid", "attempts", F.explode(said).alias("a"))
+    return rows.select("conv_key", "chunk_idx", "valid", "attempts", "a.type", "a.speaker", F.array_join("a.evidence_ids", ",").alias("evidence"), F.md5("a.statement").alias("statement"))
 
 
 def gated(spark, sf):
@@ -273,9 +279,9 @@ substr(sha256(role || chr(0) || CASE pos % 5 WHEN 2 THEN '[tool_use:code:py]' WH
     "ingest_session_heads": f"""{_msg}, {_KEPT}, w AS (SELECT n, '/d' || (pos % 2) AS cwd, count(*) AS c, min(pos) AS p FROM o GROUP BY ALL)
 SELECT 'coding-session:s' || n AS key, 'repo' || (n % 3) || ' / Title ' || n AS title, max(CASE WHEN role = 'assistant' THEN 'mod' END) AS model, (SELECT cwd FROM w WHERE w.n = o.n ORDER BY c DESC, p LIMIT 1) AS cwd, max(CASE WHEN pos = 0 THEN 'main' END) AS git_branch,
 count(*)::INTEGER AS message_count, max(CASE WHEN r = 1 THEN created_at END) AS created_at, max(CASE WHEN back = 1 THEN created_at END) AS updated_at, max(CASE WHEN back = 1 AND pos % 4 <> 3 THEN native_id END) AS current_leaf_native_id FROM o GROUP BY n""",
-    "ingest_gemini": f"""{_msg}, a AS (SELECT {_N} AS n, max(CASE WHEN pos = 0 THEN text END) AS a, max(CASE WHEN pos = 1 THEN text END) AS b FROM v_messages WHERE pos <= 1 GROUP BY 1),
-b AS (SELECT n, a, b, length(a) > 40 AND NOT regexp_matches(a, '^(c_|r_|rc_|\\$|http)') AS x, length(b) > 40 AND NOT regexp_matches(b, '^(c_|r_|rc_|\\$|http)') AS y FROM a)
-SELECT 'hN' AS rpcid, 0 AS turn, 'c_' || lower(printf('%x', n)) || ',r_' || lower(printf('%x', n)) AS ids, md5(CASE WHEN x THEN a ELSE b END) AS user, md5(CASE WHEN x AND y THEN b ELSE '' END) AS model FROM b WHERE x OR y""",
+    "ingest_gemini": f"""{_msg}, a AS (SELECT {_N} AS n, pos // 2 AS k, max(CASE WHEN pos % 2 = 0 THEN text END) AS a, max(CASE WHEN pos % 2 = 1 THEN text END) AS b FROM v_messages GROUP BY ALL),
+b AS (SELECT n, k, a, b, length(a) > 40 AND NOT regexp_matches(a, '^(c_|r_|rc_|\\$|http)') AS x, length(b) > 40 AND NOT regexp_matches(b, '^(c_|r_|rc_|\\$|http)') AS y FROM a)
+SELECT 'h' || n AS rpcid, k::INTEGER AS turn, 'c_' || lower(printf('%x', n)) || ',r_' || lower(printf('%x', k::BIGINT)) || ',rc_' || lower(printf('%x', n)) AS ids, md5(CASE WHEN coalesce(x, false) THEN a ELSE b END) AS user, md5(CASE WHEN x AND y THEN b ELSE '' END) AS model FROM b WHERE x OR y""",
     "ingest_summary": f"""{_msg} SELECT 'role' AS what, role AS name, count(*) AS n FROM v_messages GROUP BY 2 UNION ALL SELECT 'block', 'text', count(*) FROM v_messages
 UNION ALL SELECT 'block', 'thinking', count(*) FROM v_messages WHERE pos % 4 = 1 HAVING count(*) > 0 UNION ALL SELECT 'block', 'tool_use', count(*) FROM v_messages WHERE pos % 4 = 2 HAVING count(*) > 0""",
     "ingest_gate": f"{_msg}, c AS (SELECT DISTINCT {_N} AS n FROM v_messages) SELECT 'accepted' AS what, count(*) AS n FROM c WHERE n % 5 <> 0 AND n % 7 <> 0 UNION ALL SELECT 'quarantined', count(*) FROM c WHERE n % 5 = 0 OR n % 7 = 0",
@@ -285,7 +291,9 @@ SELECT 'claude.ai:c' || n AS key, CASE WHEN n % 2 = 0 THEN 'later ' ELSE '' END
     "chunk_prompt_rows": f"""{_msg}, {ACTIVE}, a AS (SELECT *, {_N} AS n FROM v_marked), p AS (SELECT *, concat_ws({_NL}, nullif(text, ''), CASE WHEN pos % 4 = 1 THEN '(thinking: s1 ' || pos || ')' END) AS said FROM a WHERE (n % 3 = 0 OR on_active_path) AND trim({_FLAT}) <> ''),
 q AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pos) AS rn FROM p)
 SELECT 'claude.ai:c' || n AS conv_key, native_id, ((rn - 1) // 3)::INTEGER AS chunk_idx, 'm' || rn AS local_id, md5(CASE WHEN length(said) > 200 THEN substr(said, 1, 200) || ' [...truncated]' ELSE said END) AS digest FROM q""",
-    "extraction": f"{_msg}, {ACTIVE}, a AS (SELECT *, {_N} AS n FROM v_marked), p AS (SELECT n, count(*) AS k FROM a WHERE (n % 3 = 0 OR on_active_path) AND trim({_FLAT}) <> '' GROUP BY 1) SELECT 'claude.ai:c' || n AS conv_key, unnest(range(0, (k + 2) // 3))::INTEGER AS chunk_idx, true AS valid, 1 AS attempts FROM p",
+    "extraction": f"""{_msg}, {ACTIVE}, a AS (SELECT *, {_N} AS n FROM v_marked), q AS (SELECT n, pos, native_id, role, {_FLAT} AS t FROM a WHERE (n % 3 = 0 OR on_active_path) AND trim({_FLAT}) <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pos) AS rn, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || ' [...truncated]' ELSE t END AS c FROM q), f AS (SELECT *, trim(split_part(c, chr(10), 1)) AS s FROM r)
+SELECT 'claude.ai:c' || n AS conv_key, ((rn - 1) // 3)::INTEGER AS chunk_idx, true AS valid, 1 AS attempts, CASE WHEN s LIKE '%?' THEN 'question' ELSE 'fact' END AS type, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS speaker, native_id AS evidence, md5(s) AS statement FROM f WHERE s <> ''""",
     "sync_page": f"{v.with_views('messages', 'conversations')}, c AS (SELECT conv_key AS key, substr(updated_at, 1, 13) AS updated_at FROM v_conversations WHERE substr(updated_at, 1, 13) > '2024-01-02T00'), l AS (SELECT max(updated_at) AS last FROM (SELECT updated_at FROM c ORDER BY updated_at LIMIT 25)) SELECT key, updated_at, last AS cursor FROM c, l WHERE updated_at <= last",
     "delivery_pending": f"{v.with_views('messages', 'conversations')} SELECT conv_key AS key FROM v_conversations WHERE {_N} % 3 <> 0 ORDER BY substr(updated_at, 1, 13), conv_key LIMIT 20",
     "delivery_shipped": f"{v.with_views('messages', 'conversations')} SELECT conv_key AS key, CASE WHEN {_N} < 20 OR {_N} % 3 = 0 THEN 1 ELSE 0 END AS shipped FROM v_conversations",

@@ -76,3 +76,25 @@ def test_embeddings_first_writer_wins(spark):
     batch = spark.createDataFrame([(1, "c", "m1", [1.0, 0.0]), (2, "c", "m1", [0.0, 1.0]), (3, "c", "m2", [1.0]), (4, "c", "m3", [0.0, 1.0])], "seq int, conv_key string, native_id string, embedding array<double>")
     have = spark.createDataFrame([("c", "m3")], "conv_key string, native_id string")
     assert [(r.native_id, r.embedding) for r in ledger.accept_embeddings(batch, have, 2).collect()] == [("m1", [1.0, 0.0])]
+
+
+def test_long_threads_like_short_ones(spark):
+    """Doubled pointers give the same paths as the walk inside a row: repeated, null, missing and circular ids too."""
+    rng, rows, leaves = random.Random(5), [], []
+    for c in range(40):
+        for pos in range(rng.randint(1, 9)):
+            rows.append((f"c{c}", pos, rng.choice([None, *"abcdefg"]), rng.choice([None, "zz", *"abcdefg"])))
+        if c % 4:
+            leaves.append((f"c{c}", rng.choice([None, *"abcdefgz"])))
+    m = spark.createDataFrame(rows, "conv_key string, pos int, native_id string, parent_native_id string")
+    ends = spark.createDataFrame(leaves, "conv_key string, leaf string")
+    for fallback in (True, False):
+        walk, double, both = (sorted(map(repr, store.mark_active(m, ends, fallback, w).collect())) for w in (100, 0, 5))
+        assert walk == double == both
+
+
+def test_a_thread_of_many_messages(spark):
+    n = 50_000
+    m = spark.range(n).select(F.lit("c").alias("conv_key"), F.col("id").alias("pos"), F.concat(F.lit("m"), F.col("id")).alias("native_id"), F.when(F.col("id") > 1, F.concat(F.lit("m"), F.col("id") - 2)).alias("parent_native_id"))
+    got = store.mark_active(m, spark.createDataFrame([("c", f"m{n - 1}")], "conv_key string, leaf string"))
+    assert got.filter("on_active_path").agg(F.count("*"), F.min("pos"), F.sum(F.col("pos") % 2)).first()[:] == (n // 2, 1, n // 2)
