@@ -167,6 +167,12 @@ def louvain(spark, sf):
     return communities.louvain(light(spark, sf))
 
 
+def louvain_quality(spark, sf):
+    """What must hold of the communities of all edges: each node in one, all connected, none that a move would better."""
+    g = stored(light(spark, sf), "edges")
+    return communities.quality(g, communities.louvain(g)).select("nodes", "total", "unplaced", "disconnected", "gaining", (F.col("modularity") >= 0).alias("better_than_one"))
+
+
 def suppliers(spark, sf):
     """Suppliers that share an order, as edges: the large graph."""
     rows = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("conv_key"), F.lit(0).alias("chunk_idx"), F.col("l_suppkey").alias("entity_id"), F.lit("").alias("day"))
@@ -217,6 +223,7 @@ QUERIES = {
     "mapped_chunks": lambda s, d: v.mentions(s, d).filter("entity_id = 7").select("conv_key", "chunk_idx").distinct(),
     "supplier_cooccurrence": suppliers,
     "louvain_communities": louvain,
+    "louvain_quality": louvain_quality,
 }
 
 _e = v.with_views("mentions", "assertions", "threads", "entities", "aliases")
@@ -244,6 +251,8 @@ _L = """links AS (SELECT CASE WHEN direction = 'backward' THEN dst ELSE src END
 nodes AS (SELECT source_id AS entity_id FROM links UNION SELECT target_id FROM links)"""
 _S = "sz AS (SELECT type, count(*) AS size FROM v_entities GROUP BY 1 HAVING count(*) >= 3), rk AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY mentions DESC, entity_id) AS r FROM v_entities), lb AS (SELECT type, string_agg(canonical, ' / ' ORDER BY r) AS label FROM rk WHERE r <= 4 GROUP BY 1)"
 ORACLES = {
+    # modularity is the share of weight inside communities less what chance would give: all in one community has none
+    "louvain_quality": f"{_e}, {_G} SELECT (SELECT count(*) FROM (SELECT src FROM v_edges UNION SELECT dst FROM v_edges)) AS nodes, (SELECT sum(weight)::BIGINT FROM v_edges) AS total, 0::BIGINT AS unplaced, 0::BIGINT AS disconnected, 0::BIGINT AS gaining, true AS better_than_one",
     "edges_for_typing": f"{_e}, {_G}, {_T}, p AS (SELECT * FROM v_typed WHERE weight >= 2 AND NOT verified ORDER BY weight DESC, src, dst LIMIT 100 OFFSET 10) SELECT src, dst, a.canonical AS src_name, a.type AS src_type, b.canonical AS dst_name, b.type AS dst_type, weight, relation FROM p JOIN v_entities a ON a.entity_id = src JOIN v_entities b ON b.entity_id = dst",
     "typing_breakdown": f"{_e}, {_G}, {_T} SELECT 'relation' AS what, verified_relation AS name, count(*) AS n FROM v_typed WHERE verified GROUP BY 2 UNION ALL SELECT 'temporality', temporality, count(*) FROM v_typed WHERE verified GROUP BY 2",
     "find_entity": f"{_e} SELECT * FROM v_entities WHERE contains(lower(canonical), 'k1') ORDER BY mentions DESC, entity_id LIMIT 1",
