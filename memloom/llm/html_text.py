@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: A name and its value, in order: what stands in a value is no name. Most tags have none of the names that matter.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+MATTERS = re.compile(r"class|id|role|hidden|style", re.I)
 
 #: Fixed values of HTML: elements without content, with raw content, of block kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -139,9 +141,11 @@ def _closed(here: Node, tag: str) -> Node:
 def _hints(tag: str, attributes: str) -> tuple[bool, int, bool]:
     """Whether an element is no part of the text, what its names say, and whether it is named like main text."""
     bad, says, good = tag in DROPPED, HEADER if tag == "header" else PLAIN, tag in ("article", "main")
-    if attributes and attributes != "/" and tag not in ("html", "body"):
+    if tag not in ("html", "body") and MATTERS.search(attributes):
+        first: dict[str, str] = {}
         for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
+            first.setdefault(name.lower(), value.strip("\"'"))
+        for name, value in first.items():
             if name in ("class", "id"):
                 own, main = named(value)
                 good |= main

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from memloom.llm.html_text import main_text
@@ -41,6 +42,36 @@ def test_names_are_evidence():
     assert main_text(f'<body><article>{body}</article><div id="comments">{body * 9}</div></body>') == two
 
 
+def test_only_whole_attribute_names_count():
+    body = f"<p>{FILL}</p>"
+    text = " ".join(FILL.split())
+    inline = ['<a href="/hidden-gems">the hidden gems</a>', '<em title="a hidden thing">the hidden gems</em>', '<a href="/p?id=comments">the hidden gems</a>', '<a data-role="navigation">the hidden gems</a>', "<a href=/x?class=menu>the hidden gems</a>", '<b title="x" data-hidden>the hidden gems</b>', "<i title='style=\"display:none\"'>the hidden gems</i>"]
+    for x in inline:
+        assert main_text(f"<article>{body}<p>These are {x}, they say.</p>{body}</article>") == f"{text}\nThese are the hidden gems, they say.\n{text}", x
+    for x in ('<section data-state="was-hidden">', '<div data-hidden="false">', '<div aria-hidden="false">', '<section data-id="menu" lang=en>', '<div class="lead" class="sidebar">'):
+        assert main_text(f"<article>{body}{x}{body}</section></div></article>") == f"{text}\n{text}", x
+    assert main_text(f'<article>{body}<p data-id="menu">Kept, as it is.</p></article>') == f"{text}\nKept, as it is."
+    for x in ("<div hidden>", '<div  HIDDEN = "">', '<div data-x="y"hidden>', "<div style='color:red; display : none'>", '<div aria-hidden = "true">', "<div title='a' role=navigation>"):
+        assert main_text(f"<article>{body}{x}{body}</div></article>") == text, x
+
+
+def test_random_attributes_around_known_text():
+    rng = random.Random(6)
+    names = ["href", "title", "data-id", "data-class", "data-hidden", "xclass", "id2", "alt", "onclick", "my-style", "roles", "src"]
+    values = ["hidden", "menu", "id=comments", "class='nav'", "role=navigation", "style=display:none", "a hidden id", "/x?id=sidebar&class=ads", ""]
+
+    def attributes():
+        out = []
+        for name in rng.sample(names, rng.randint(0, 4)):
+            value = rng.choice(values)
+            out.append(rng.choice([f"{name}", f'{name}="{value}"', f"{name} = '{value.replace(chr(39), '')}'", f"{name}={value.split(' ')[0] or 'x'}"]))
+        return " ".join(out)
+
+    for _ in range(200):
+        page = "".join(f"<div {attributes()}><p {attributes()}>{i} {FILL} <a {attributes()}>link</a> end.</p></div>" for i in range(3))
+        assert main_text(f"<article>{page}</article>") == "\n".join(f"{i} {' '.join(FILL.split())} link end." for i in range(3)), page
+
+
 def test_references_end_with_their_text():
     assert main_text("<article><p>a &am<b></b>p; b &amp; c &lt;i&gt; &#233; &nbsp; d</p></article>") == "a &amp; b & c <i> é d"
 
