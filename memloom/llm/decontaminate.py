@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts and benchmark items are normalised (lower case, runs of other than letters and digits made one space) and cut
-into q-grams. An item within ``k`` edits of a part of a text shares at least ``len - q + 1 - k q`` q-grams with it, on
+Texts and benchmark items are normalised (lower case, composed, runs of other than letters, marks and digits made one space)
+and cut into q-grams of code points. An item within ``k`` edits of a part of a text shares at least ``len - q + 1 - k q`` q-grams with it, on
 diagonals that differ by at most ``k``. Shared q-grams are counted in overlapping bands of diagonals; regions that
 meet the bound are verified by an alignment within the band. Items too short for the bound at q = 8 have q = 4; those
 too short for an edit are looked for as whole words.
@@ -10,8 +10,9 @@ too short for an edit are looked for as whole words.
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
-import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,29 +31,56 @@ BLOCK_CHARS = 2_000_000
 FILTER_BITS = 22
 #: Shared q-grams that are looked at in one step; text and item can both repeat themselves, so there can be any number.
 STEP = 1_000_000
-WORD = re.compile(r"[^\W_]+")
-OTHER = re.compile(r"[\u0100-\U0010FFFF]+")
 #: Letters and digits of Latin-1 stay, all other bytes become spaces.
 LETTERS = bytes(b if chr(b).isalnum() else 32 for b in range(256))
 
 
-def normalise(text: str) -> bytes:
-    """Lower-case words joined by spaces, a byte for each Latin-1 character and a number for each other letter."""
-    text = text.lower()
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Whether a code point is a letter, a digit, or a mark, which belongs to the letter before it."""
+    return np.fromiter((chr(i).isalnum() or unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)), bool, 0x110000)
+
+
+def codes(text: str) -> np.ndarray:
+    """The code points of a text, a byte each where Latin-1 has them all."""
     try:
-        data = text.encode("latin-1")
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
     except UnicodeEncodeError:
-        text = OTHER.sub(lambda m: "".join(c if c.isalnum() else " " for c in m[0]), text)
-        data = text.encode("latin-1", "xmlcharrefreplace")
-    return b" ".join(data.translate(LETTERS).split())
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def composed(text: str) -> str:
+    """Lower case in composed form."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text.lower())
+
+
+def normalise(text: str) -> str:
+    """Lower-case composed words joined by spaces: a code point for each letter, mark and digit."""
+    text = composed(text)
+    points = codes(text)
+    if points.dtype == np.uint8:
+        return b" ".join(points.tobytes().translate(LETTERS).split()).decode("latin-1")
+    plain = np.where(letter_table()[points], points, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass")
+    return " ".join(w for w in plain.split(" ") if w)
+
 
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """A number for the q-gram at each position, the same for the same code points; q is 8 or 4.
 
-def grams(data: bytes, q: int) -> np.ndarray:
-    """The q-gram at each position, as an unsigned number; q is 8 or 4."""
-    n = len(data) - q + 1
-    out = np.empty(max(0, n), np.uint64)
-    for o in range(min(q, max(0, n))):
-        out[o::q] = np.frombuffer(data, f"u{q}", (n - o + q - 1) // q, o)
+    A q-gram of Latin-1 is its bytes. Other code points are mixed first, so two q-grams may share a number: that lets more
+    through to the alignment and nothing less.
+    """
+    n = max(0, len(data) - q + 1)
+    out = np.zeros(n, np.uint64)
+    if data.dtype == np.uint8:
+        raw = data.tobytes()
+        for o in range(min(q, n)):
+            out[o::q] = np.frombuffer(raw, f"u{q}", (n - o + q - 1) // q, o)
+        return out
+    wide = data.astype(np.uint64)
+    mixed = np.where(wide < 256, wide, wide * np.uint64(0x9E3779B97F4A7C15) ^ (wide >> np.uint64(3)))
+    for j in range(q):
+        out += mixed[j : j + n] << np.uint64(8 * j)
     return out
 
 
@@ -66,7 +94,8 @@ class Index:
 
     q: int
     ids: list
-    items: list[bytes]
+    items: list[str]
+    points: list[np.ndarray]  # code points of each item
     edits: np.ndarray  # allowed edits of each item
     bound: np.ndarray  # least number of shared q-grams
     known: np.ndarray  # distinct q-grams, sorted
@@ -81,7 +110,7 @@ class Words:
     """Items without an edit to spare, found as whole words only."""
 
     ids: list
-    items: list[bytes]
+    items: list[str]
 
 
 def build(rows: list[tuple], rate: float = ERROR_RATE) -> list[Index | Words]:
@@ -100,7 +129,8 @@ def build(rows: list[tuple], rate: float = ERROR_RATE) -> list[Index | Words]:
 def _index(kept: list[tuple], q: int, rate: float) -> Index:
     sizes = np.array([len(d) for _, d in kept], np.int64)
     edits = (rate * sizes).astype(np.int64)
-    all_grams = [grams(d, q) for _, d in kept]
+    points = [codes(d) for _, d in kept]
+    all_grams = [grams(p, q) for p in points]
     gram = np.concatenate(all_grams)
     item = np.repeat(np.arange(len(kept)), [len(g) for g in all_grams])
     offset = np.concatenate([np.arange(len(g)) for g in all_grams]).astype(np.int64)
@@ -108,10 +138,10 @@ def _index(kept: list[tuple], q: int, rate: float) -> Index:
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[slots(gram)] = True
     known, first = np.unique(gram[order], return_index=True)
-    return Index(q, [i for i, _ in kept], [d for _, d in kept], edits, sizes - q + 1 - edits * q, known, np.append(first, len(gram)), item[order], offset[order], bits)
+    return Index(q, [i for i, _ in kept], [d for _, d in kept], points, edits, sizes - q + 1 - edits * q, known, np.append(first, len(gram)), item[order], offset[order], bits)
 
 
-def banded_distance(item: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int, int, int]:
+def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int]:
     """Least edits of ``item`` against a part of ``text`` on diagonals low..high: (edits, start, end); k + 1 if none has k.
 
     Cells hold edits and the start of their part; a row is one array operation, with insertions along the row by a running minimum.
@@ -119,15 +149,14 @@ def banded_distance(item: bytes, text: bytes, low: int, high: int, k: int) -> tu
     width = high - low + 1
     big = 1 << 20
     diagonals = np.arange(low, high + 1)
-    chars = np.frombuffer(text, np.uint8)
     steps = np.arange(width)
     cost = np.where((diagonals >= 0) & (diagonals <= len(text)), 0, big).astype(np.int64)
     start = diagonals.copy()  # free start anywhere in the band
-    for i, c in enumerate(item, 1):
+    for i, c in enumerate(item.tolist(), 1):
         at = diagonals + i - 1  # character that a diagonal move reads
-        inside = (at >= 0) & (at < len(chars))
+        inside = (at >= 0) & (at < len(text))
         same = np.zeros(width, bool)
-        same[inside] = chars[at[inside]] == c
+        same[inside] = text[at[inside]] == c
         diagonal = np.where(inside, cost + ~same, big)
         up = np.append(cost[1:], big) + 1  # leaves an item character out, from one diagonal to the right
         from_up = up < diagonal
@@ -155,13 +184,13 @@ def steps(n: np.ndarray) -> list[slice]:
     return out
 
 
-def candidate_bands(data: bytes, index: Index) -> dict[tuple[int, int], int]:
+def candidate_bands(points: np.ndarray, index: Index) -> dict[tuple[int, int], int]:
     """(item, band) of diagonals that may hold an occurrence, with an upper bound of the q-grams they share.
 
     A q-gram of an item counts once in a band, or once in each step where the entries take several, which only lets more
     bands through to the alignment.
     """
-    found = grams(data, index.q)
+    found = grams(points, index.q)
     at = np.flatnonzero(index.filter[slots(found)])
     k = np.minimum(np.searchsorted(index.known, found[at]), len(index.known) - 1)
     same = index.known[k] == found[at]
@@ -205,22 +234,22 @@ def candidate_bands(data: bytes, index: Index) -> dict[tuple[int, int], int]:
     return {b: m for b, m in total.items() if m >= index.bound[b[0]]}
 
 
-def search_index(data: bytes, index: Index | Words) -> dict[tuple[int, int, int], int]:
-    """{(item number, start, end): edits} of occurrences in normalised bytes."""
+def search_index(data: str, points: np.ndarray, index: Index | Words) -> dict[tuple[int, int, int], int]:
+    """{(item number, start, end): edits} of occurrences in a normalised text and its code points."""
     results: dict[tuple[int, int, int], int] = {}
     if isinstance(index, Words):
-        framed = b" " + data + b" "
+        framed = f" {data} "
         for i, item in enumerate(index.items):
-            at = framed.find(b" " + item + b" ")
+            at = framed.find(f" {item} ")
             while at >= 0:
                 results[i, at, at + len(item)] = 0
-                at = framed.find(b" " + item + b" ", at + 1)
+                at = framed.find(f" {item} ", at + 1)
         return results
-    for i, band in sorted(candidate_bands(data, index)):
+    for i, band in sorted(candidate_bands(points, index)):
         k = int(index.edits[i])
         low = int(band) * (k + 1)
         exact = data.find(index.items[i], max(0, low), low + 2 * k + 2 + len(index.items[i]))
-        e, s, t = (0, exact, exact + len(index.items[i])) if exact >= 0 else banded_distance(index.items[i], data, low - k, low + 3 * k + 2, k)
+        e, s, t = (0, exact, exact + len(index.items[i])) if exact >= 0 else banded_distance(index.points[i], points, low - k, low + 3 * k + 2, k)
         if e <= k:
             results[i, s, t] = min(e, results.get((i, s, t), e))
     return results
@@ -231,8 +260,9 @@ def search(text: str | None, indexes: list[Index | Words]) -> list[tuple[object,
     if not text or not indexes:
         return []
     data, out = normalise(text), []
+    points = codes(data)
     for index in indexes:
-        if results := search_index(data, index):
+        if results := search_index(data, points, index):
             out += [(index.ids[i], s, t, e) for i, s, t, e in best_apart(results)]
     return _in_code_points(text, sorted(out, key=lambda x: (x[1], x[2], str(x[0])))) if out else []
 
@@ -250,19 +280,43 @@ def best_apart(results: dict[tuple[int, int, int], int]) -> list[tuple[int, int,
     return out
 
 
+def _origins(text: str, low: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code point of ``low``, the composed lower case of ``text``, begins and ends in the text."""
+    if len(low) == len(text) and low == text.lower():
+        return np.arange(len(low)), np.arange(len(low)) + 1
+    begins, ends, at = [], [], 0
+    while at < len(text):
+        stop = at + 1
+        # what may be composed with the letter before it: marks, and the parts of a Hangul syllable
+        while stop < len(text) and (unicodedata.category(text[stop])[0] == "M" or "\u1100" <= text[stop] <= "\u11ff"):
+            stop += 1
+        n = len(composed(text[at:stop]))
+        begins += [at] * n if n != stop - at else range(at, stop)
+        ends += [stop] * n if n != stop - at else range(at + 1, stop + 1)
+        at = stop
+    # lower case can depend on what stands around; then the places are the nearest
+    fit = lambda x: np.array(x + [len(text)] * max(0, len(low) - len(x)))[: len(low)]
+    return fit(begins), fit(ends)
+
+
 def _in_code_points(text: str, spans: list[tuple]) -> list[tuple]:
-    """Spans of normalised bytes as spans of the text; where lower case changes lengths, the nearest positions."""
-    at, starts, places = 0, [], []
-    for m in WORD.finditer(text.lower()):
-        starts.append(at)
-        places.append((m.start(), m.end()))
-        at += len(normalise(m[0])) + 1
+    """Spans of a normalised text as spans of the text, from the first letter to the last."""
+    low = composed(text)
+    begins, ends = _origins(text, low)
+    letters = np.flatnonzero(letter_table()[codes(low)])
+    # between two words stands one space
+    places = np.arange(len(letters)) + np.append(0, np.cumsum(np.diff(letters) > 1)) if len(letters) else letters
+    out = []
+    for i, s, t, e in spans:
+        first = min(int(np.searchsorted(places, s)), len(letters) - 1)
+        last = max(first, int(np.searchsorted(places, t)) - 1)
+        out.append((i, int(begins[letters[first]]), int(ends[letters[last]]), e))
+    return out
 
-    def place(b: int, end: bool) -> int:
-        w = max(0, bisect.bisect_right(starts, b - end) - 1)
-        return min(len(text), places[w][1], places[w][0] + b - starts[w])
 
-    return [(i, place(s, False), place(t, True), e) for i, s, t, e in spans]
+def _named(item) -> str:
+    """An item's id as it stands in spans: what separates their parts is written in hexadecimal."""
+    return str(item).replace("%", "%25").replace(":", "%3A").replace(",", "%2C")
 
 
 def blocks(benchmark: DataFrame, rate: float = ERROR_RATE):
@@ -280,7 +334,7 @@ def flagged(docs: DataFrame, indexes: list[Index | Words], keep: list[str], name
     def make():
         def step(part: pa.RecordBatch) -> dict:
             rows = [search(t, indexes) for t in part.column("text").to_pylist()]
-            return {name: [",".join(f"{i}:{s}:{t}:{e}" for i, s, t, e in r) for r in rows]}
+            return {name: [",".join(f"{_named(i)}:{s}:{t}:{e}" for i, s, t, e in r) for r in rows]}
 
         return step
 
@@ -290,11 +344,13 @@ def flagged(docs: DataFrame, indexes: list[Index | Words], keep: list[str], name
 def scan(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """doc_id, contaminated, n_items, n_spans, spans of every document; spans are item:start:end:edits in code points.
 
+    Edits are of letters, marks and digits in composed form, in any script. In an item's id %, : and , are written %25, %3A, %2C.
+
     Null or empty text: clean. Null items and items without letters or digits are never found. Equal items are found each.
     Repeated rows are searched each, whatever the number of passes. Very long texts are searched whole, in steps of bounded
     memory. No benchmark: all clean. No rows: no rows. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "text").withColumn("_tag", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text").withColumn("_tag", F.unhex(F.md5("text")))
     each_pass = blocks(benchmark, rate)
     first = next(each_pass)
     if (second := next(each_pass, None)) is None:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from memloom.llm import decontaminate as d
 
 
@@ -19,7 +21,7 @@ def want_of(items, text):
     for i, t in items:
         item = d.normalise(t)
         k = len(item) // 10
-        if item and (edits(item, data) <= k if k else b" " + item + b" " in b" " + data + b" "):
+        if item and (edits(item, data) <= k if k else f" {item} " in f" {data} "):
             out.add(i)
     return out
 
@@ -41,6 +43,58 @@ def test_against_alignment_of_all():
         assert {i for i, *_ in d.search(text, index)} == want_of(items, text)
 
 
+SCRIPTS = {"han": [chr(0x4E00 + 37 * i) for i in range(400)], "cyrillic": [chr(c) for c in range(0x430, 0x450)], "thai": [chr(c) for c in (*range(0xE01, 0xE2F), 0xE31, 0xE34, 0xE48, 0xE49)], "accents": [*"abcde", "e\u0301", "u\u0308", "\u00e9", "o\u0302"], "mixed": [*"abc", "\u0436", "\u4e00", "\u0915\u093f", "\u1112\u1161\u11ab"]}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_scripts_against_alignment_of_all(script):
+    """Edits are of code points in composed form, whatever the script, and a span begins and ends with the passage."""
+    rng = random.Random(script)
+    letters = SCRIPTS[script]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.choice((1, 3, 5, 9))))) for i in range(16)]
+    index = d.build(items)
+    for n in range(80):
+        text = " ".join(word() for _ in range(rng.randint(0, 15)))
+        whole = rng.choice(items)
+        if n % 4:
+            chars = list(whole[1])
+            for _ in range(rng.randint(0, max(1, len(chars) // 8)) if n % 4 > 1 else 0):
+                at = rng.randrange(len(chars))
+                chars[at] = rng.choice(["", "x", chars[at] + "y"])
+            text = f"{text} \u2014 {''.join(chars)}, {text}"
+        found = d.search(text, index)
+        assert {i for i, *_ in found} == want_of(items, text)
+        for i, s, t, e in found:
+            part, item = d.normalise(text[s:t]), d.normalise(dict(items)[i])
+            # a space at either end of an occurrence is not in its span
+            assert s < t and edits(item, part) <= e + 2
+            if not e:
+                assert part == item
+        if n % 4 == 1:
+            at = len(text) - len(text.split(" \u2014 ")[1]) if " \u2014 " in text else 0
+            assert any(i == whole[0] and (s, t) == (at, at + len(whole[1])) for i, s, t, _ in found) or not d.normalise(whole[1])
+
+
+def test_canonical_forms_and_budgets():
+    han = "".join(chr(0x4E00 + 91 * i) for i in range(25))
+    assert d.search("\u524d\u6587\uff1a\u300c" + han + "\u300d\u3002", d.build([(1, han)])) == [(1, 4, 29, 0)]
+    other = "".join(chr(ord(c) + (i % 2)) for i, c in enumerate(han))
+    assert d.search(other, d.build([(1, han)])) == []
+    word = "a caf\u00e9 na\u00efve r\u00e9sum\u00e9 \u00e0 la carte"
+    import unicodedata
+    apart = unicodedata.normalize("NFD", word)
+    for item, text in ((word, apart), (apart, word)):
+        assert d.search(f"x {text.upper()} y", d.build([(1, item)])) == [(1, 2, 2 + len(text), 0)]
+
+
+def test_ids_with_separators(spark):
+    bench = spark.createDataFrame([("a:b,c%", "a passage of several words that is looked for")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "xx a passage of several words that is looked for")], "doc_id long, text string")
+    row = d.scan(docs, bench).first()
+    assert (row.n_items, row.n_spans, row.spans) == (1, 1, "a%3Ab%2Cc%25:3:48:0")
+
+
 def test_repetitive_texts_in_steps(monkeypatch):
     items = [(1, "ab " * 120), (2, "xyxyxyxy " * 30 + "end"), (3, "one more thing that is not there at all in this")]
     texts = ["ab " * 700, "xyxyxyxy " * 300, "ab " * 300 + "xyxyxyxy " * 200 + "end"]
