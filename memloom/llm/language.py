@@ -9,6 +9,7 @@ probabilities; a word's label is the most probable language, and a text's langua
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +32,10 @@ PIECE = 500_000
 CHAIN = 1 << 16
 BLOCK = 64
 SEGMENT = 120
-NO_LETTER = re.compile(r"[\W\d_]")
+#: Places that are in no word.
+NO_LETTER = re.compile(r"[\s\d_]")
+#: Languages up to which their table is broadcast.
+MOST_LANGS = 10_000
 
 
 @dataclass
@@ -44,8 +48,19 @@ class Crf:
 
 
 def letter_table() -> np.ndarray:
-    """Whether a code point is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    """Whether a code point is a letter: 1, or a mark, which goes on with the word of a letter: 2."""
+    kind = lambda c: 1 if c.isalpha() else 2 * (unicodedata.category(c) in ("Mn", "Mc"))
+    return np.fromiter((kind(chr(i)) for i in range(0x110000)), np.uint8, 0x110000)
+
+
+def in_words(kinds: np.ndarray) -> np.ndarray:
+    """Which places of a text stand in words: letters, and marks behind a letter or behind such a mark."""
+    letter, mark = kinds == 1, kinds == 2
+    if not mark.any():
+        return letter
+    # the last place before each that is no mark decides
+    last = np.maximum.accumulate(np.where(mark, 0, np.arange(len(kinds))))
+    return letter | mark & letter[last]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +83,7 @@ def split_words(texts: list[str], table: np.ndarray) -> Words:
     """All words of ``texts`` in order, without a Python loop over them."""
     codes = np.frombuffer(" ".join(texts).join("  ").encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    letter = table[codes]
+    letter = in_words(table[codes])
     c = np.where(letter, codes, 0).astype(np.uint64)
     at = np.flatnonzero(letter)
     first = ~letter[at - 1]
@@ -282,8 +297,9 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Crf:
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # a share of each language by hash leaves max_docs on average; 1.2 times that many can come, not more
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n")).alias("share"))
-    rows = known.join(F.broadcast(share), "lang").filter(key < F.col("share") * (1 << 30)).select("lang", "text", "doc_id", key.alias("key"))
-    budget = TRAIN_CHARS // max(1, sizes.count())
+    n_langs = sizes.count()
+    rows = known.join(F.broadcast(share) if n_langs <= MOST_LANGS else share, "lang").filter(key < F.col("share") * (1 << 30)).select("lang", "text", "doc_id", key.alias("key"))
+    budget = TRAIN_CHARS // max(1, n_langs)
     order = Window.partitionBy("lang").orderBy("key", "doc_id", "text")
     rows = rows.filter(F.length("text") <= budget // 4).withColumn("at", F.row_number().over(order)).withColumn("chars", F.sum(F.length("text")).over(order))
     rows = rows.filter((F.col("at") <= int(1.2 * max_docs)) & (F.col("chars") <= budget)).orderBy("key", "doc_id", "text").collect()

@@ -90,3 +90,13 @@ def test_a_long_text_without_spaces(monkeypatch):
     monkeypatch.setattr(language, "PIECE", 1000)
     assert language.predict([text], model, table) == want
     assert language.predict(["x" * 5000], model, table)[0][0] in ("de", "en")
+
+
+def test_marks_go_on_with_words():
+    import unicodedata
+
+    table = language.letter_table()
+    for text, n in (("\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e", 2), ("\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e04\u0e23\u0e31\u0e1a", 1), ("cafe\u0301 au lait", 3), ("\u0301 \u0301\u0301 a1\u0301b", 2), ("\u0301", 0), ("plain words, d'accord", 4)):
+        assert len(language.split_words([text], table).starts) == n, unicodedata.normalize("NFD", text)
+    two = language.split_words(["a\u0301", "\u0301b"], table)
+    assert two.text.tolist() == [0, 1] and len(two.starts) == 2
