@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -17,7 +18,8 @@ from pyspark.sql.window import Window
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Session, path and driver thread of each table that is there: runs side by side know their own.
+_written: list[tuple[SparkSession, str, int]] = []
 #: Folders of local applications that name none.
 _own: dict[str, str] = {}
 
@@ -48,27 +50,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def new_path(spark: SparkSession, label: str) -> str:
     """A folder of this session's own in the shared folder, which ``forget`` deletes."""
     path = f"{shared_dir(spark)}/memloom-{uuid.uuid4().hex}-{label}"
-    _written.append((spark, path))
+    _written.append((spark, path, threading.get_ident()))
     return path
 
 
 def written(spark: SparkSession) -> set[str]:
-    """Tables that ``materialize`` wrote in this session and that are still there."""
-    return {path for owner, path in _written if owner is spark}
+    """Tables that this thread wrote with ``materialize`` in this session and that are still there."""
+    return {path for owner, path, thread in _written if owner is spark and thread == threading.get_ident()}
 
 
 def forget(spark: SparkSession, only: set[str] | None = None) -> None:
     """Delete what ``materialize`` wrote in this session, or some of it; results that still read it become invalid."""
     jvm = spark.sparkContext._jvm
-    for owner, path in [x for x in _written if x[0] is spark and (only is None or x[1] in only)]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
+    for entry in [x for x in _written if x[0] is spark and (only is None or x[1] in only)]:
+        at = jvm.org.apache.hadoop.fs.Path(entry[1])
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _written.remove((owner, path))
+        _written.remove(entry)
 
 
 @atexit.register
 def _forget_all() -> None:
-    for spark in {id(s): s for s, _ in _written}.values():
+    for spark in {id(x[0]): x[0] for x in _written}.values():
         try:
             forget(spark)
         except Exception:  # noqa: BLE001  the session is gone and so is its file system handle
