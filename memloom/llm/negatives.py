@@ -291,18 +291,19 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def mine(vectors: DataFrame, every: int = 50, positives: int = 5, k: int = 3, low: int = 50, high: int = 95) -> DataFrame:
+def mine(vectors: DataFrame, every: int = 50, positives: int = 5, k: int = 3, low: int = 50, high: int = 95, relabel: int = 7) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     Anchors are rows whose vec_id is divisible by ``every``; an anchor's positives are the ``positives`` best other rows of its label,
-    and for each of them the ``k`` best rows of other labels with a score from ``low`` to ``high`` hundredths of the positive's.
+    and for each of them the ``k`` best rows of other labels with a score from ``low`` to ``high`` hundredths of the positive's. Rows whose
+    vec_id is divisible by ``relabel`` have the label that follows theirs.
     Higher scores come first, ties by the smaller vec_id. Searches are exact: all cells in reach are visited.
 
     Rows with a null id, label or vector, or a null or non-finite component, take no part. Of rows with one vec_id the one with the
     least label and vector counts. Shorter vectors are filled with zeros. An anchor alone in its label has no positives and no rows; a
     positive score of zero or less has only negatives with a score of zero, or none. No rows: no rows. Other columns are ignored.
     """
-    index = Index(prepared(vectors))
+    index = Index(prepared(vectors, relabel))
     anchors = index.rows.filter(F.col("vec_id") % every == 0).select("vec_id", "label", "x")
     anyone = [F.array(F.lit(v)).alias(n) for v, n in ((float("-inf"), "low"), (float("inf"), "high"))]
     near = materialize(index.nearest(anchors.select("*", *anyone), True, positives).select("vec_id", "rank", F.col("other").alias("positive_id"), F.col("score").alias("positive_score")), "positives")

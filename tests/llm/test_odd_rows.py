@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import cotraining, decontaminate, html_text, language, lines, mixing, quality_rules, secrets, simhash, suffixes
+from memloom.llm import cotraining, decontaminate, digest_index, html_text, language, lines, mixing, negatives, quality_rules, resampling, secrets, simhash, suffixes
 
 LONG = "Ein langer Text mit vielen Wörtern. " * 3000
 ROWS = [(1, "the cat and the dog of the house", "en", "a", 30), (2, None, None, None, None), (3, "", "en", "a", 0), (4, LONG, "de", None, len(LONG)), (None, "le chat et la maison", "fr", "b", 20), (1, "the cat and the dog of the house", "en", "a", 30), (5, "12345 !!! \t\n 😀", None, "b", 5), (6, "der Hund und das Haus", "de", "c", 21)]
@@ -33,6 +33,7 @@ OPERATORS = {
     "secrets": lambda d, la, b: secrets.scan(d, secrets.train(d)),
     "cotraining": lambda d, la, b: cotraining.score(d, cotraining.train(d, la)),
     "decontaminate": lambda d, la, b: decontaminate.scan(d, b),
+    "resampling": lambda d, la, b: resampling.resample(d, b),
 }
 
 
@@ -52,6 +53,23 @@ def test_empty_tables(spark, tables, name):
     assert len(got) == len(ROWS)
 
 
+def test_exact_dedup(spark, tables):
+    got = digest_index.report(tables[0]).collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(r[0]) for r in ROWS)
+    assert {r.doc_id: r.keep_id for r in got if r.group_size > 1} == {1: 1, 2: 2, 3: 2} and sum(r.kept for r in got) == len(ROWS) - 2
+    assert digest_index.report(tables[0].limit(0)).collect() == []
+
+
+def test_vectors(spark):
+    rows = [(50, [1.0, 0.5], 1), (50, [1.0, 0.5], 1), (1, [1.0, 0.25], 1), (2, [0.5, 0.5], 2), (None, [1.0], 1), (3, None, 1), (4, [1.0, None], 2), (5, [], 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long")
+    for n in ("cell", "block", "x", "far", "rank", "window", "score", "low", "high", "kth"):
+        table = table.withColumn(n, F.lit(7))
+    got = [tuple(r) for r in negatives.mine(table).collect()]
+    assert got == [(50, 1, 1, 2, 256 * 256 + 128 * 64, 256 * 128 + 128 * 128)]
+    assert negatives.mine(table.limit(0)).collect() == []
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>just a short text", "x"), (2, None, "", "x")], "page_id long, url string, html string, text string")
     got = sorted((repr(r.page_id), r.text, r.n_chars) for r in html_text.extract(pages).collect())

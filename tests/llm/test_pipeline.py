@@ -5,6 +5,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from memloom.llm.common import materialize
 from memloom.llm import decontaminate, language, lines, mixing
 from tests.llm import test_decontaminate, test_jaccard, test_lines
 
@@ -95,3 +96,27 @@ def test_stages_against_brute_force(spark, tmp_path):
     docs.toPandas().to_parquet(tmp_path / "last.parquet")
     want = duckdb.sql(mixing.ORACLE.format(docs=f"'{tmp_path}/last.parquet'")).fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr(r) for r in want if r[-1])
+
+
+def test_two_runs_side_by_side(spark):
+    """Stages of two threads leave each other's tables alone."""
+    import threading
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.dedup_lines(spark, docs, ""), "").count()
+    got = {}
+
+    def run(name, pause):
+        out = materialize(corpus_pipeline.dedup_lines(spark, docs, ""), "lines")
+        barrier.wait(300)
+        pause and got.setdefault("between", corpus_pipeline.drop_near_copies(spark, docs.limit(5), "").count())
+        barrier.wait(300)
+        got[name] = corpus_pipeline.drop_near_copies(spark, out, "").count()
+
+    barrier = threading.Barrier(2)
+    threads = [threading.Thread(target=run, args=x) for x in (("a", False), ("b", True))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(600)
+    assert got.pop("between") >= 1 and got == {"a": want, "b": want}
