@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from memloom.functions import text as t
 from memloom.operators import delivery, extraction, search, store
-from memloom.operators.tables import new_path
+from memloom.operators.tables import new_path, stored
 from memloom.operators.upsert_log import UpsertLog
 from memloom.plans.store_queries import ACTIVE, VERSIONS, _masked, versions
 from memloom.sources import gemini, records
 from memloom.sources import views as v
 from memloom.streaming import tail_source
+from memloom.streaming.tail_files import TailJob
 
 
 def _turns(spark, sf):
@@ -225,6 +229,37 @@ def stream_sessions(spark, sf):
     return last.select("key", "r.title", "r.message_count", "emitted")
 
 
+def write_logs(rows, root):
+    """Append log lines (project, session, at, value) to the files of their sessions, each from its place on: written twice is written once."""
+
+    def write(frame):
+        frame = frame.sort_values("at")
+        path = f"{root.removeprefix('file:')}/{frame['project'].iloc[0]}/{frame['session'].iloc[0]}.jsonl"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "ab") as f:
+            f.truncate(int(frame["at"].iloc[0]))
+            f.write("".join(f"{v}\n" for v in frame["value"]).encode())
+        return frame[["session"]].head(1)
+
+    rows.groupBy("project", "session").applyInPandas(write, "session string").write.format("noop").mode("overwrite").save()
+
+
+def tail_real_files(spark, sf):
+    """Messages as lines of log files that grow in two turns, tailed in batches of some kilobytes: every line with its place."""
+    m = _turns(spark, sf).withColumn("value", F.concat("role", F.lit(" "), F.regexp_replace("text", "\\s+", " ")))
+    before = Window.partitionBy("n").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0))
+    rows = m.select(F.concat(F.lit("p"), F.col("n") % 3).alias("project"), F.concat(F.lit("s"), "n").alias("session"), at.alias("at"), "value", "pos")
+    rows = stored(rows, "log-lines")
+    root = new_path(spark, "logs")
+    size = rows.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    job = TailJob(spark, f"{root}/in", f"{root}/state", size // 3 + 1, 1 << 12)
+    for turn in (F.col("pos") < 2, F.col("pos") >= 2):
+        write_logs(rows.filter(turn), f"{root}/in")
+        job.catch_up()
+    return job.landed().select("project", "session", "at", F.md5("value").alias("digest"))
+
+
 def stream_embeddings(spark, sf):
     """Texts embedded as they arrive, some of which come again later in other words: the first one's vector stays."""
     rows = v.messages(spark, sf).select("conv_key", "native_id", "text", "pos").withColumn("turn", F.lit(0))
@@ -254,6 +289,7 @@ QUERIES = {
     "delivery_shipped": shipped,
     "scalar_functions": scalars,
     "redact_nested": deep_redaction,
+    "tail_files": tail_real_files,
     "stream_ingest_latest": stream_latest,
     "stream_sessions": stream_sessions,
     "stream_embeddings": stream_embeddings,
@@ -301,6 +337,8 @@ SELECT 'claude.ai:c' || n AS conv_key, ((rn - 1) // 3)::INTEGER AS chunk_idx, tr
 strftime(TIMESTAMP '1970-01-01' + to_seconds(event_id), '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 4 = 0 THEN '.250000' ELSE '' END || '+00:00' AS iso,
 CASE event_id % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'user' ELSE event_type END AS role, props AS rescued, 'a ' || event_type || ' x' AS squeezed FROM events""",
     "redact_nested": """SELECT event_id, '{"a":"[REDACTED:aws]","b":["http://x:","y@z","say \\"[REDACTED:aws]\\" now"],"c":{"n":1}}' AS masked FROM events""",
+    "tail_files": f"""{_msg}, l AS (SELECT {_N} AS n, pos, role || ' ' || regexp_replace(text, '\\s+', ' ', 'g') AS v FROM v_messages)
+SELECT 'p' || (n % 3) AS project, 's' || n AS session, coalesce(sum(octet_length(encode(v)) + 1) OVER (PARTITION BY n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at, md5(v) AS digest FROM l""",
     "stream_ingest_latest": f"""WITH {VERSIONS}, r AS (SELECT key, max(seq) FILTER (updated_at IS NULL OR forced) AS reset, min_by(created_at, seq) AS created FROM b GROUP BY key),
 x AS (SELECT b.*, created, row_number() OVER (PARTITION BY b.key ORDER BY updated_at DESC NULLS LAST, seq) AS rn FROM b JOIN r ON b.key = r.key WHERE reset IS NULL OR seq >= reset)
 SELECT key, seq, updated_at, created AS created_at, title FROM x WHERE rn = 1""",
