@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.operators import communities, edges, extraction, resolve
-from memloom.operators.tables import stored
+from memloom.operators.edge_view import EdgeView
+from memloom.operators.tables import new_path, stored
 from memloom.sources import views as v
 
 
@@ -173,6 +174,18 @@ def louvain_quality(spark, sf):
     return communities.quality(g, communities.louvain(g)).select("nodes", "total", "unplaced", "disconnected", "gaining", (F.col("modularity") >= 0).alias("better_than_one"))
 
 
+def kept_edges(spark, sf):
+    """Edges kept over four submits: half of the days, the other half, some chunks again with other content, some purged."""
+    m, said = v.mentions(spark, sf).select("conv_key", "chunk_idx", "entity_id", "day"), v.assertions(spark, sf).select("conv_key", "chunk_idx", "id", "type")
+    view = EdgeView(spark, new_path(spark, "edge-view"))
+    chunks = lambda test: m.filter(test).select("conv_key", "chunk_idx")
+    view.submit(0, chunks("chunk_idx <= 15"), m.withColumn("entity_id", F.col("entity_id") % 40), said)  # an early extraction that saw less
+    view.submit(1, chunks("chunk_idx > 15"), m, said)
+    view.submit(2, chunks("chunk_idx <= 15"), m, said.withColumn("type", F.when(F.col("id") % 2 == 0, F.col("type"))))
+    view.submit(3, chunks("chunk_idx % 5 = 0"), m.limit(0), said)
+    return view.table().select("src", "dst", "weight", "relation", "first_seen", "last_seen", F.array_join("evidence", ",").alias("evidence"))
+
+
 def suppliers(spark, sf):
     """Suppliers that share an order, as edges: the large graph."""
     rows = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("conv_key"), F.lit(0).alias("chunk_idx"), F.col("l_suppkey").alias("entity_id"), F.lit("").alias("day"))
@@ -182,6 +195,7 @@ def suppliers(spark, sf):
 QUERIES = {
     "edges_cooccurrence": lambda s, d: light(s, d),
     "edge_evidence": lambda s, d: graph(s, d).select("src", "dst", F.array_join("evidence", ",").alias("evidence")),
+    "edge_view": kept_edges,
     "edges_topk": lambda s, d: edges.top_edges(light(s, d), 50).select("src", "dst", "weight"),
     "edges_min_weight": lambda s, d: light(s, d).filter("weight >= 3").select("src", "dst", "weight"),
     "edge_dump": lambda s, d: light(s, d).select("src", "dst", "weight"),
@@ -263,6 +277,14 @@ ORACLES = {
     "edge_evidence": f"""{_e}, {_G}, ra AS (SELECT conv_key, chunk_idx, id, row_number() OVER (PARTITION BY conv_key, chunk_idx ORDER BY id) AS r FROM v_assertions),
 ev AS (SELECT src, dst, ra.conv_key AS ck, ra.chunk_idx AS ci, id, row_number() OVER (PARTITION BY src, dst ORDER BY ra.conv_key, ra.chunk_idx, id) AS k FROM pr JOIN ra USING (conv_key, chunk_idx) WHERE r <= 3)
 SELECT src, dst, string_agg(id::VARCHAR, ',' ORDER BY k) AS evidence FROM ev WHERE k <= 20 GROUP BY 1, 2""",
+    "edge_view": f"""{_e}, m AS (SELECT * FROM v_mentions WHERE chunk_idx % 5 <> 0), s AS (SELECT conv_key, chunk_idx, id, coalesce(CASE WHEN chunk_idx > 15 OR id % 2 = 0 THEN type END, 'related') AS type FROM v_assertions),
+ch AS (SELECT DISTINCT conv_key, chunk_idx, entity_id FROM m), cd AS (SELECT conv_key, chunk_idx, min(day) AS day FROM m GROUP BY 1, 2),
+pr AS (SELECT a.conv_key, a.chunk_idx, a.entity_id AS src, b.entity_id AS dst, cd.day FROM ch a JOIN ch b ON a.conv_key = b.conv_key AND a.chunk_idx = b.chunk_idx AND a.entity_id < b.entity_id JOIN cd ON cd.conv_key = a.conv_key AND cd.chunk_idx = a.chunk_idx),
+ty AS (SELECT src, dst, type, count(*) AS n FROM pr JOIN s USING (conv_key, chunk_idx) GROUP BY 1, 2, 3), re AS (SELECT src, dst, type AS relation FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, type) AS r FROM ty) WHERE r = 1),
+g AS (SELECT src, dst, count(*) AS weight, min(day) AS first_seen, max(day) AS last_seen FROM pr GROUP BY 1, 2),
+ra AS (SELECT conv_key, chunk_idx, id, row_number() OVER (PARTITION BY conv_key, chunk_idx ORDER BY id) AS r FROM s),
+ev AS (SELECT src, dst, id, row_number() OVER (PARTITION BY src, dst ORDER BY ra.conv_key, ra.chunk_idx, id) AS k FROM pr JOIN ra USING (conv_key, chunk_idx) WHERE r <= 3)
+SELECT g.*, relation, (SELECT string_agg(id::VARCHAR, ',' ORDER BY k) FROM ev WHERE ev.src = g.src AND ev.dst = g.dst AND k <= 20) AS evidence FROM g JOIN re USING (src, dst)""",
     "edges_topk": f"{_e}, {_G} SELECT src, dst, weight FROM v_edges ORDER BY weight DESC, src, dst LIMIT 50",
     "edges_min_weight": f"{_e}, {_G} SELECT src, dst, weight FROM v_edges WHERE weight >= 3",
     "edge_dump": f"{_e}, {_G} SELECT src, dst, weight FROM v_edges",
