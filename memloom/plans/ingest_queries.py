@@ -15,6 +15,7 @@ from memloom.plans.store_queries import ACTIVE, VERSIONS, _masked, versions
 from memloom.sources import gemini, records
 from memloom.sources import views as v
 from memloom.streaming import tail_source
+from memloom.streaming.runner import StreamRunner
 from memloom.streaming.tail_files import TailJob
 
 
@@ -260,6 +261,31 @@ def tail_real_files(spark, sf):
     return job.landed().select("project", "session", "at", F.md5("value").alias("digest"))
 
 
+def several_sources(spark, sf):
+    """One source for each provider, run four times; the last provider's fails twice first: the rows of all, and the events of each."""
+    m = v.messages(spark, sf).select("source", "conv_key", "native_id", "text")
+    root, clock, failures = new_path(spark, "sources"), iter(range(0, 1000, 5)), []
+
+    def source(name, broken):
+        def start(full):
+            if broken and len(failures) < 2:
+                failures.append(name)
+                raise ConnectionError(name)
+            stream = spark.readStream.schema(m.schema).parquet(f"{root}/in/{name}")
+            return tail_source.append_stream(stream, lambda x: x, f"{root}/out/{name}", f"{root}/checkpoint/{name}")
+
+        return start
+
+    runner = StreamRunner(spark, f"{root}/events", clock=lambda: next(clock), sleep=lambda _: None)
+    for i, name in enumerate(v.SOURCES):
+        m.filter(F.col("source") == name).write.parquet(f"{root}/in/{name}")
+        runner.add(name, source(name, i == 3), 5, None)
+    events = runner.run(8).events().filter("event in ('poll', 'failed')")
+    read = spark.read.schema(m.schema).parquet(*[f"{root}/out/{name}" for name in v.SOURCES]).groupBy("source").agg(F.count("*").alias("stored"))
+    told = events.groupBy("source").agg(F.count_if(F.col("event") == "failed").alias("failed"), F.sum("rows").alias("told"))
+    return told.join(read, "source")
+
+
 def stream_embeddings(spark, sf):
     """Texts embedded as they arrive, some of which come again later in other words: the first one's vector stays."""
     rows = v.messages(spark, sf).select("conv_key", "native_id", "text", "pos").withColumn("turn", F.lit(0))
@@ -290,6 +316,7 @@ QUERIES = {
     "scalar_functions": scalars,
     "redact_nested": deep_redaction,
     "tail_files": tail_real_files,
+    "several_sources": several_sources,
     "stream_ingest_latest": stream_latest,
     "stream_sessions": stream_sessions,
     "stream_embeddings": stream_embeddings,
@@ -339,6 +366,7 @@ CASE event_id % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'user' ELSE event_type END A
     "redact_nested": """SELECT event_id, '{"a":"[REDACTED:aws]","b":["http://x:","y@z","say \\"[REDACTED:aws]\\" now"],"c":{"n":1}}' AS masked FROM events""",
     "tail_files": f"""{_msg}, l AS (SELECT {_N} AS n, pos, role || ' ' || regexp_replace(text, '\\s+', ' ', 'g') AS v FROM v_messages)
 SELECT 'p' || (n % 3) AS project, 's' || n AS session, coalesce(sum(octet_length(encode(v)) + 1) OVER (PARTITION BY n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at, md5(v) AS digest FROM l""",
+    "several_sources": f"{_msg} SELECT source, CASE WHEN source = 'gemini.google.com' THEN 2 ELSE 0 END::BIGINT AS failed, count(*) AS told, count(*) AS stored FROM v_messages GROUP BY source",
     "stream_ingest_latest": f"""WITH {VERSIONS}, r AS (SELECT key, max(seq) FILTER (updated_at IS NULL OR forced) AS reset, min_by(created_at, seq) AS created FROM b GROUP BY key),
 x AS (SELECT b.*, created, row_number() OVER (PARTITION BY b.key ORDER BY updated_at DESC NULLS LAST, seq) AS rn FROM b JOIN r ON b.key = r.key WHERE reset IS NULL OR seq >= reset)
 SELECT key, seq, updated_at, created AS created_at, title FROM x WHERE rn = 1""",
