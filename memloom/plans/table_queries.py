@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.operators import ledger
+from memloom.operators.substring_index import SubstringIndex
+from memloom.operators.tables import new_path
 from memloom.sources import views as v
 
 AFTER, BEFORE = "2024-01-03", "2024-01-10"
@@ -104,6 +109,17 @@ def overrides(spark, sf):
     return rows.select(key.alias("conv_key"), F.col("turn").alias("seq"), F.concat(F.lit("owner"), F.col("turn")).alias("owner"))
 
 
+def substrings(spark, sf):
+    """Statements found by what they contain, in an index in which a third came again in other words and a tenth went."""
+    rows = v.assertions(spark, sf).select(F.col("id").cast("string").alias("key"), F.col("statement").alias("text"), "id")
+    index = SubstringIndex(spark, new_path(spark, "substrings"))
+    index.add(0, rows.drop("id"))
+    again = rows.filter("id % 3 = 0 or id % 10 = 3").withColumn("text", F.when(F.col("id") % 10 != 3, F.concat(F.lit("New: "), "text")))
+    index.add(1, again.drop("id"))
+    found = [index.search(p).withColumn("pattern", F.lit(p)) for p in ("%W: K42 %", "%k1_ %_ck%", "%4", "%none of these%")]
+    return reduce(DataFrame.unionByName, found)
+
+
 QUERIES = {
     "source_stats": lambda s, d: ledger.source_stats(v.conversations(s, d)),
     "monthly_density": lambda s, d: ledger.monthly_density(v.conversations(s, d)),
@@ -124,6 +140,7 @@ QUERIES = {
     "mention_worksheet": worksheet,
     "mentions_by_name": lambda s, d: ledger.by_name(v.mentions(s, d), "K7").select("id", "conv_key", "name", "kind"),
     "conversations_for_name": lambda s, d: ledger.conversations_for_name(v.mentions(s, d), v.assertions(s, d), "k7"),
+    "substring_search": substrings,
     "ledger_search": lambda s, d: ledger.search(v.mentions(s, d), v.assertions(s, d), "K42 "),
     "curate_delete": lambda s, d: ledger.delete_ids(v.mentions(s, d), v.mentions(s, d).filter("id % 3 = 0")).select("id", "name"),
     "curate_purge": lambda s, d: ledger.purge(v.mentions(s, d), "name", "k1", v.mentions(s, d).filter("id % 97 = 0")).select("id", "name"),
@@ -158,6 +175,8 @@ SELECT conv_key, CASE WHEN conv_key = head THEN 'claimed' WHEN stale THEN 'pendi
     "mention_worksheet": f"{_mt} SELECT name, count(*) AS n, count(DISTINCT conv_key) AS n_conversations, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM v_mentions JOIN (SELECT conv_key FROM v_threads WHERE owner NOT IN ('sealed')) USING (conv_key) GROUP BY name ORDER BY n DESC, name LIMIT 200",
     "mentions_by_name": f"{_m} SELECT id, conv_key, name, kind FROM v_mentions WHERE lower(name) = 'k7'",
     "conversations_for_name": f"{_ma} SELECT conv_key, sum(h)::BIGINT AS hits FROM (SELECT conv_key, count(*) AS h FROM v_mentions WHERE name = 'k7' GROUP BY 1 UNION ALL SELECT conv_key, count(*) FROM v_assertions WHERE statement ILIKE '%k7%' GROUP BY 1) GROUP BY 1",
+    "substring_search": f"""{_ma} SELECT x.id::VARCHAR AS key, x.text, p.pattern FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'New: ' || statement ELSE statement END AS text FROM v_assertions WHERE id % 10 <> 3) x,
+(SELECT unnest(['%W: K42 %', '%k1_ %_ck%', '%4', '%none of these%']) AS pattern) p WHERE x.text ILIKE p.pattern""",
     "ledger_search": f"{_ma} (SELECT 'mention' AS part, id, name AS text FROM v_mentions WHERE name ILIKE '%k42 %' OR context ILIKE '%k42 %' ORDER BY day, id LIMIT 100) UNION ALL (SELECT 'assertion', id, statement FROM v_assertions WHERE statement ILIKE '%k42 %' ORDER BY created_at, id LIMIT 100)",
     "curate_delete": f"{_m} SELECT id, name FROM v_mentions WHERE id % 3 <> 0",
     "curate_purge": f"{_m} SELECT id, name FROM v_mentions WHERE name NOT ILIKE '%k1%' AND conv_key NOT IN (SELECT conv_key FROM v_mentions WHERE id % 97 = 0)",
