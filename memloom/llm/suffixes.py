@@ -134,7 +134,11 @@ def text_key(doc: int, text: bytes) -> bytes:
 
 
 def anchor_hashes(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
-    """Distinct anchor hashes of each document of a group, by part of the hash range; exact copies of another document have none."""
+    """Anchor hashes of the documents of a group, by part of the hash range; exact copies of another document have none.
+
+    Of the documents that have the same hash only the least and the greatest id go on: they tell whether several documents have it,
+    so a hash that very many documents share comes twice from each group, and not once from each document.
+    """
     copies = copied_texts(right)
     ids, hashes, seen = [], [], set()
     for doc, turn, text in group_texts(left):
@@ -149,6 +153,10 @@ def anchor_hashes(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
         return _table([], HASHES)
     h = np.concatenate(hashes)
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in hashes])
+    order = np.lexsort((np.array(ids, np.int64)[owner], h))
+    change = np.flatnonzero(h[order][1:] != h[order][:-1])
+    ends = np.unique(order[np.concatenate([[0], change + 1, change, [len(h) - 1]])])
+    h, owner = h[ends], owner[ends]
     part = part_of(h, parts)
     order = np.argsort(part, kind="stable")
     h, owner, part, doc = h[order], owner[order], part[order], np.array(ids, np.int64)
@@ -163,7 +171,7 @@ def anchor_hashes(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
 
 
 def shared_hashes(table: pa.Table) -> pa.Table:
-    """Of one part, the hashes that two or more documents have, by group of documents."""
+    """Of one part, the hashes that two or more documents have, by group of documents and those of its documents that told of them."""
     counts = joined(table, "counts", np.int32)
     doc = np.repeat(joined(table, "docs", np.int64), counts)
     sizes = [len(x) // 6 for x in (a + b for a, b in zip(table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True))]
@@ -205,22 +213,19 @@ def contexts(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
     spans are passed along. So a passage that very many documents share is in the parts once for each group.
     """
     copies = copied_texts(right)
-    counts = joined(right, "counts", np.int32)
-    h = np.concatenate([unpacked(a or b"", b or b"") for a, b in zip(right.column("low").to_pylist(), right.column("high").to_pylist(), strict=True)] + [np.zeros(0, np.uint64)])
-    owner = np.repeat(joined(right, "docs", np.int64), counts)
-    order = np.argsort(owner, kind="stable")
-    owner, h = owner[order], h[order]
-    mine = {doc: cut for doc, cut in cuts(owner)}
+    shared = np.unique(np.concatenate([unpacked(a or b"", b or b"") for a, b in zip(right.column("low").to_pylist(), right.column("high").to_pylist(), strict=True)] + [np.zeros(0, np.uint64)]))
+    if not len(shared):
+        return _table([], CONTEXTS)
     got: list[list[np.ndarray]] = [[] for _ in range(7)]
     seen = set()
     offsets = np.arange(CONTEXT)
     for doc, turn, text in group_texts(left):
-        if doc not in mine or (doc, turn) in seen or text_key(doc, text) in copies:
+        if (doc, turn) in seen or text_key(doc, text) in copies:
             continue
         seen.add((doc, turn))
         data = np.frombuffer(text, np.uint8)
         hashes, place, first, last = anchors(data)
-        keep = np.isin(hashes, h[mine[doc]])
+        keep = shared[np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)] == hashes
         if not keep.any():
             continue
         hashes, place, first, last = hashes[keep], place[keep], first[keep], last[keep]

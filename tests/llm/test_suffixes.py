@@ -93,3 +93,22 @@ def test_buckets_do_not_matter(spark, monkeypatch):
         for o in range(31):
             first.setdefault(blocks[d, o : o + 50].tobytes(), d)
     assert all(whole[d, 30 - o] == first[blocks[d, o : o + 50].tobytes()] for d in ids for o in range(31))
+
+
+def test_a_passage_of_all_documents_comes_twice_from_a_group(spark):
+    """What a task gets of a hash that every document has follows the groups, not the documents; results stay those of brute force."""
+    import pyarrow as pa
+
+    header = "This licence header stands at the beginning of each of very many documents, word for word. "
+    rows = [(i, header + f"tail {i} " * 9) for i in range(300)]
+    left = pa.table({"doc_id": [d for d, _ in rows], "group": pa.array([0] * len(rows), pa.int32()), "text": [t for _, t in rows]})
+    right = pa.table({"copy": pa.array([], pa.binary())})
+    got = suffixes.anchor_hashes(left, right, 3)
+    found: dict[int, list[int]] = {}
+    for r in got.to_pylist():
+        owner = np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.int32))
+        for d, h in zip(owner.tolist(), suffixes.unpacked(r["low"], r["high"]).tolist(), strict=True):
+            found.setdefault(h, []).append(d)
+    assert max(map(len, found.values())) == 2 and [0, 299] in [sorted(x) for x in found.values()]
+    out = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == 0 and all(out[i] >= len(header) for i in range(1, 300))
