@@ -77,10 +77,11 @@ class Words:
     whole: np.ndarray  # 3 x words: prefix, suffix and word buckets
     hashes: np.ndarray
     text: np.ndarray  # index of each word's text
+    begins: np.ndarray  # hashes of the first letters of each word, a row for each number of letters; 0 for shorter words
 
 
-def split_words(texts: list[str], table: np.ndarray) -> Words:
-    """All words of ``texts`` in order, without a Python loop over them."""
+def split_words(texts: list[str], table: np.ndarray, begins: tuple[int, ...] = ()) -> Words:
+    """All words of ``texts`` in order, without a Python loop over them; ``begins`` are numbers of letters to hash by themselves."""
     codes = np.frombuffer(" ".join(texts).join("  ").encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
     letter = in_words(table[codes])
@@ -90,13 +91,14 @@ def split_words(texts: list[str], table: np.ndarray) -> Words:
     starts = np.flatnonzero(first)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return Words(none, np.zeros((2, 0), np.int64), np.zeros((3, 0), np.int64), np.zeros(0, np.uint64), none)
+        return Words(none, np.zeros((2, 0), np.int64), np.zeros((3, 0), np.int64), np.zeros(0, np.uint64), none, np.zeros((len(begins), 0), np.uint64))
     before, here, after = c[at - 1], c[at], c[at + 1]
     bigram = _mix(before * np.uint64(0x1F123BB5) + here * np.uint64(0x5851F42D) + np.uint64(1))
     trigram = _mix(bigram + after * np.uint64(0x2545F491) + np.uint64(2))
     word = np.cumsum(first) - 1
     place = (np.arange(len(at)) - starts[word]).astype(np.uint64)
-    hashes = np.add.reduceat(_mix(here + (place << np.uint64(24))), starts)
+    placed = _mix(here + (place << np.uint64(24)))
+    hashes = np.add.reduceat(placed, starts)
     s = at[starts]
     lengths = np.diff(np.append(starts, len(at)))
     e = s + lengths - 1
@@ -107,7 +109,8 @@ def split_words(texts: list[str], table: np.ndarray) -> Words:
     suffix = _mix(c[e] * np.uint64(0x27BB2EE6) + last2 * np.uint64(0x1B873593) + last3 * np.uint64(0x6C8E9CF5) + np.uint64(4))
     bucket = lambda x: (x % np.uint64(BUCKETS)).astype(np.int64)
     owner = np.searchsorted(ends, s - 1, side="right")
-    return Words(starts, np.stack([bucket(bigram), bucket(trigram)]), np.stack([bucket(prefix), bucket(suffix), bucket(_mix(hashes))]), hashes, owner)
+    first_letters = [np.where(lengths > k, np.add.reduceat(np.where(place < k, placed, np.uint64(0)), starts), np.uint64(0)) for k in begins]
+    return Words(starts, np.stack([bucket(bigram), bucket(trigram)]), np.stack([bucket(prefix), bucket(suffix), bucket(_mix(hashes))]), hashes, owner, np.array(first_letters, np.uint64).reshape(len(begins), len(starts)))
 
 
 def emissions(words: Words, model: Crf) -> np.ndarray:
