@@ -63,17 +63,18 @@ def _apart(moves: DataFrame) -> DataFrame:
 def _local_optimum(scratch: Scratch, links: DataFrame, parts: DataFrame, total: float, resolution: float, min_gain: float) -> tuple[DataFrame, float]:
     """Parts from which no move of one node gains ``min_gain``, and their modularity; every round gains.
 
-    A round moves half of the nodes (by hash) at once, each to its best community. If that loses, for nodes that moved together
-    spoil each other's gain, it moves those that cannot (``_apart``) instead.
+    A round moves half of the nodes (by hash) at once, each to its best community, and all of them once they are few. If that loses, for
+    nodes that moved together spoil each other's gain, it moves those that cannot (``_apart``) instead.
     """
-    best, turn = modularity(links, parts, resolution), 0
+    best, turn, few = modularity(links, parts, resolution), 0, parts.count() // 5
     while True:
         moves = scratch.stored(_best_moves(links, parts, total, resolution), "moves")
         going = moves.filter((F.col("best") != F.col("own")) & (F.col("gain") > min_gain))
-        if going.isEmpty():
+        n = going.count()
+        if not n:
             return parts, best
         half = going.filter(F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0)
-        moved = scratch.stored(_moved(moves, half), "moved")
+        moved = scratch.stored(_moved(moves, going if n <= few else half), "moved")
         now = modularity(links, moved, resolution)
         turn += 1
         if now <= best + min_gain:
