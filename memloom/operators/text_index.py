@@ -1,9 +1,10 @@
 """A stored keyword index: positional postings in segments, searched without reading texts.
 
-A segment has three tables. ``docs``: a number, a block and a length for each row, with its keys. ``postings``: term, block,
-number, length and places of the term, in shards by term, sorted by term and block, so that Parquet statistics leave out what a
-query does not ask for. ``blocks``: for each term and block the rows, the greatest count and the least length, which bound a
-row's score. Rows that come again, or go, are listed as ``gone`` with the segment that replaced them; ``merge`` makes one segment of
+A segment has two tables. ``docs``: a number, a block and a length for each row, with its keys. ``postings``: for each term and
+block the rows, the greatest count and the least length, which bound a row's score, and lists of the numbers, lengths and counts of
+these rows and of all the term's places in them; in shards by term, sorted by term and block, so that Parquet statistics leave out
+what a query does not ask for. A block that two tasks read has a row of each. Lists are made where a block's rows are, so no row of
+a single place or text is shuffled. Rows that come again, or go, are listed as ``gone`` with the segment that replaced them; ``merge`` makes one segment of
 all. What belongs to the index is named in a manifest, so readers see a segment whole or not at all.
 
 Numbers count up within a writing task, so documents are numbered without a shuffle, and a block is a run of numbers.
@@ -13,8 +14,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +63,56 @@ def _part(frequency: Column, length: Column, average: float) -> Column:
     return frequency * (K1 + 1) / (frequency + K1 * (1 - B + B * length / F.lit(average)))
 
 
-POSTINGS = "term string, block long, doc long, len int, at array<int>, seg string, shard int"
-BLOCKS = "term string, seg string, block long, n long, most int, shortest int, shard int"
+PACKED = "term string, block long, n int, most int, shortest int, docs array<long>, lens array<int>, places array<array<int>>"
+POSTINGS = f"{PACKED}, seg string, shard int"
+#: Texts that are packed at a time.
+PACK_ROWS = 1 << 10
+#: Blocks with rows that are gone up to which the list of them is broadcast, some 300 bytes each.
+BROADCAST_BLOCKS = 100_000
+
+
+def _pack(bits: int):
+    """Arrow batches of (doc, len, w) as packed rows, one for each term and block of a batch."""
+
+    def lists(values, starts: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
+
+    def new(*keys: np.ndarray) -> np.ndarray:
+        """Where any of the keys begins a new run."""
+        other = np.zeros(max(len(keys[0]) - 1, 0), bool)
+        for k in keys:
+            other |= k[1:] != k[:-1]
+        return np.flatnonzero(np.append(True, other)) if len(keys[0]) else np.zeros(0, np.int64)
+
+    def pack(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = part.column("w")
+        owner = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(words).dictionary_encode()
+        term = coded.indices.to_numpy(zero_copy_only=False)
+        doc, length = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "len"))
+        at = (np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(doc)))[owner] + 1).astype(np.int32)
+        order = np.argsort(term.astype(np.uint16) if len(coded.dictionary) < 1 << 16 else term, kind="stable")
+        term, owner, at = term[order], owner[order], at[order]
+        row = new(term, owner)  # a term in a text
+        block = doc[owner[row]] >> bits
+        run = new(term[row], block)  # a term in a block
+        counts, lens = np.diff(np.append(row, len(term))).astype(np.int32), length[owner[row]]
+        bounds = [np.maximum.reduceat(counts, run), np.minimum.reduceat(lens, run)] if len(run) else [counts, lens]
+        n = np.diff(np.append(run, len(row))).astype(np.int32)
+        columns = [coded.dictionary.take(pa.array(term[row[run]])), pa.array(block[run]), pa.array(n), *map(pa.array, bounds)]
+        return pa.RecordBatch.from_arrays([*columns, lists(pa.array(doc[owner[row]]), run), lists(pa.array(lens), run), lists(lists(pa.array(at), row), run)], [x.split()[0] for x in PACKED.split(", ")])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK_ROWS):
+                yield pack(batch.slice(at, PACK_ROWS))
+
+    return each
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(term, seg, block, doc, len, at) of packed rows: one for each text that has the term."""
+    return rows.select("term", "seg", "block", F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("lens").alias("len"), F.col("places").alias("at"))))
 
 
 def _shard(term: Column) -> Column:
@@ -108,18 +161,14 @@ class TextIndex:
         numbered.withColumn("block", F.shiftright("doc", BLOCK_BITS)).write.parquet(f"{base}/words")
         numbered = self.spark.read.schema(numbered.withColumn("block", F.lit(0).cast("long")).schema).parquet(f"{base}/words")
         numbered.drop("w").withColumn("seg", F.lit(name)).write.parquet(f"{base}/docs")
-        places = numbered.select("doc", "block", "len", F.posexplode("w").alias("i", "term"))
-        found = places.groupBy("term", "block", "doc", "len").agg(F.sort_array(F.collect_list((F.col("i") + 1).cast("int"))).alias("at"))
+        found = numbered.select("doc", "len", "w").mapInArrow(_pack(BLOCK_BITS), PACKED)
         self._write_postings(base, found.withColumn("seg", F.lit(name)))
         delete(self.spark, f"{base}/words")
 
-    def _write_postings(self, base: str, postings: DataFrame) -> None:
-        rows = postings.withColumn("shard", _shard(F.col("term")))
+    def _write_postings(self, base: str, packed: DataFrame) -> None:
+        rows = packed.withColumn("shard", _shard(F.col("term")))
         # a term of very many rows is dealt out by its blocks
-        rows.repartitionByRange("shard", "term", "seg", "block").sortWithinPartitions("shard", "term", "seg", "block", "doc").write.partitionBy("shard").parquet(f"{base}/postings")
-        rows = self.spark.read.schema(POSTINGS).parquet(f"{base}/postings")
-        blocks = rows.groupBy("shard", "term", "seg", "block").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("most"), F.min("len").alias("shortest"))
-        blocks.repartitionByRange("shard", "term", "seg", "block").sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(f"{base}/blocks")
+        rows.repartitionByRange("shard", "term", "seg", "block").sortWithinPartitions("shard", "term", "seg", "block").write.partitionBy("shard").parquet(f"{base}/postings")
 
     def merge(self) -> None:
         """One segment of all, without the rows that are gone; the old files go with ``vacuum``."""
@@ -131,9 +180,22 @@ class TextIndex:
         self._live(now).write.parquet(f"{base}/docs")
         gone = self._gone(now)
         postings = self._table(now, "postings").drop("shard")
-        self._write_postings(base, postings if gone is None else postings.join(gone.select("seg", "doc"), ["seg", "doc"], "left_anti"))
+        self._write_postings(base, postings if gone is None else self._left(postings, gone))
         self.manifest.write(version + 1, now | {"segments": [name], "gone": []})
 
+    def _left(self, postings: DataFrame, gone: DataFrame) -> DataFrame:
+        """Packed rows without the rows that are gone, of which a block has a bit each, by 64 numbers."""
+        word = gone.groupBy("seg", "block", F.shiftright("doc", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(doc & 63)))").alias("bits"))
+        bits = stored(word.groupBy("seg", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_gone")), "gone")
+        few = bits.count() <= BROADCAST_BLOCKS
+        rows = postings.join(F.broadcast(bits) if few else bits, ["seg", "block"], "left")
+        lists = F.arrays_zip("docs", "lens", "places")
+        live = F.expr("filter(_z, x -> coalesce((shiftright(try_element_at(_gone, shiftright(x.docs, 6)), int(x.docs & 63)) & 1) = 0, true))")
+        kept = F.when(F.col("_gone").isNull(), F.col("_z")).otherwise(live)
+        rows = rows.withColumn("_z", lists).withColumn("_k", kept).filter(F.size("_k") > 0)
+        most = F.array_max(F.transform("_k.places", F.size))
+        return rows.select("term", "block", F.size("_k").alias("n"), most.alias("most"), F.array_min("_k.lens").alias("shortest"), F.col("_k.docs").alias("docs"), F.col("_k.lens").alias("lens"), F.col("_k.places").alias("places"), "seg")
+
     def vacuum(self) -> None:
         """Delete the folders that the current version does not name; searches that began before may fail."""
         _, now = self.manifest.read()
@@ -152,8 +214,7 @@ class TextIndex:
         paths = [f"{self.path}/segments/{s}/{part}" for s in now["segments"]]
         if part == "docs":
             return self.spark.read.schema(now["docs"]).parquet(*paths)
-        kind = POSTINGS if part == "postings" else BLOCKS
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(kind).parquet(p) for p in paths])
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(POSTINGS).parquet(p) for p in paths])
 
     def _gone(self, now: dict) -> DataFrame | None:
         return self.spark.read.parquet(*[f"{self.path}/gone/{g}" for g in now["gone"]]) if now.get("gone") else None
@@ -167,9 +228,9 @@ class TextIndex:
         return rows.filter(F.col("shard").isin(*[_shard(F.lit(w)) for w in words]) & F.col("term").isin(*words))
 
     def _beginning(self, now: dict, begin: str) -> DataFrame:
-        """Postings of the terms with a beginning; the table of blocks tells which these are."""
+        """Postings of the terms with a beginning; their column tells which these are."""
         postings = self._table(now, "postings")
-        terms = self._table(now, "blocks").filter(F.startswith("term", F.lit(begin))).select("term", "shard").distinct()
+        terms = postings.filter(F.startswith("term", F.lit(begin))).select("term", "shard").distinct()
         few = [r.term for r in terms.limit(LISTED + 1).collect()]
         return self._of(postings, few) if len(few) <= LISTED else postings.join(terms, ["term", "shard"], "left_semi")
 
@@ -220,7 +281,7 @@ class TextIndex:
         whole, begins = query_words(tree)
         parts = [self._of(self._table(now, "postings"), whole)] if whole else []
         parts += [self._beginning(now, b) for b in begins]
-        rows = reduce(DataFrame.unionByName, parts or [self._table(now, "postings").limit(0)])
+        rows = unpacked(reduce(DataFrame.unionByName, [p.drop("shard") for p in parts] or [self._table(now, "postings").limit(0)]))
         if len(parts) > 1:  # a word may have several of the beginnings
             rows = rows.dropDuplicates(["seg", "doc", "term"])
         rows = self._without_gone(rows, now)
@@ -235,8 +296,9 @@ class TextIndex:
         """The best rows of a query of plain words, by blocks: the greatest bounds first, in growing rounds, while a block can still matter."""
         words = [p.words[0] for p, _ in phrases_of(tree)]
         distinct = list(dict.fromkeys(words))
-        blocks = stored(self._of(self._table(now, "blocks"), distinct).select("term", "seg", "block", "n", "most", "shortest"), "blocks")
-        postings = self._of(self._table(now, "postings"), distinct).select("term", "seg", "block", "doc", "len", F.size("at").alias("tf"))
+        packed = self._of(self._table(now, "postings"), distinct)
+        blocks = stored(packed.select("term", "seg", "block", "n", "most", "shortest"), "blocks")
+        postings = unpacked(packed).select("term", "seg", "block", "doc", "len", F.size("at").alias("tf"))
         df = {w: 0 for w in distinct} | {r.term: r.n for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         gone = self._gone(now)
         if gone is not None:
