@@ -165,10 +165,12 @@ class TextIndex:
         self._write_postings(base, found.withColumn("seg", F.lit(name)))
         delete(self.spark, f"{base}/words")
 
-    def _write_postings(self, base: str, packed: DataFrame) -> None:
+    def _write_postings(self, base: str, packed: DataFrame, dealt: bool = False) -> None:
+        """Write packed rows in their shards; what is ``dealt`` comes from such files and stays with its neighbours."""
         rows = packed.withColumn("shard", _shard(F.col("term")))
         # a term of very many rows is dealt out by its blocks
-        rows.repartitionByRange("shard", "term", "seg", "block").sortWithinPartitions("shard", "term", "seg", "block").write.partitionBy("shard").parquet(f"{base}/postings")
+        rows = rows if dealt else rows.repartitionByRange("shard", "term", "seg", "block")
+        rows.sortWithinPartitions("shard", "term", "seg", "block").write.partitionBy("shard").parquet(f"{base}/postings")
 
     def merge(self) -> None:
         """One segment of all, without the rows that are gone; the old files go with ``vacuum``."""
@@ -180,7 +182,7 @@ class TextIndex:
         self._live(now).write.parquet(f"{base}/docs")
         gone = self._gone(now)
         postings = self._table(now, "postings").drop("shard")
-        self._write_postings(base, postings if gone is None else self._left(postings, gone))
+        self._write_postings(base, postings if gone is None else self._left(postings, gone), dealt=True)
         self.manifest.write(version + 1, now | {"segments": [name], "gone": []})
 
     def _left(self, postings: DataFrame, gone: DataFrame) -> DataFrame:
