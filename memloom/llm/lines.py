@@ -32,8 +32,8 @@ CELLS = 4
 SAMPLE, COMMON = 64, 16
 #: Candidate lines up to which the list of them is broadcast (24 bytes a line); beyond, the texts are shuffled.
 BROADCAST_LINES = 200_000
-#: Letters whose counts make a line's signature, eight bits for each.
-LETTERS = "eaontirh"
+#: Characters whose counts make a line's signature, a long for each eight, eight bits for each.
+LETTERS = ("eaontirh", "sdlcuwy ")
 
 
 def text_tag(text: Column) -> Column:
@@ -58,15 +58,19 @@ def place() -> Column:
 
 
 def signature(line: Column, length: Column) -> Column:
-    """Counts of LETTERS modulo 256, packed into a long."""
-    counts = [(length - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)) for c in LETTERS]
-    return sum((F.shiftleft(c, 8 * i) for i, c in enumerate(counts[1:], 1)), counts[0])
+    """Counts of LETTERS modulo 256, packed into longs."""
+
+    def word(letters: str) -> Column:
+        counts = [(length - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)) for c in letters]
+        return sum((F.shiftleft(c, 8 * i) for i, c in enumerate(counts[1:], 1)), counts[0])
+
+    return F.struct(*[word(letters).alias(f"w{k}") for k, letters in enumerate(LETTERS)])
 
 
 def count_distance(a: Column, b: Column) -> Column:
     """A lower bound of how much the letter counts of two lines differ; an edit changes it by two at most."""
     count = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))
-    each = [(count(a, i) - count(b, i)).bitwiseAND(F.lit(255)) for i in range(len(LETTERS))]
+    each = [(count(a[f"w{k}"], i) - count(b[f"w{k}"], i)).bitwiseAND(F.lit(255)) for k, letters in enumerate(LETTERS) for i in range(len(letters))]
     return sum((F.least(d, F.lit(256) - d) for d in each[1:]), F.least(each[0], F.lit(256) - each[0]))
 
 

@@ -125,3 +125,17 @@ def test_different_texts_of_one_id(spark):
 
 def test_no_rows(spark):
     assert lines.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_letter_counts_bound_edits_and_tell_lines_of_other_words_apart(spark):
+    """Lines that share all but one word are no candidates if more letters differ than the edits can change, whichever letters."""
+    rng = random.Random(8)
+    letters = "eaontirhsdlcuwy xé"
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(16, 60)))
+        pairs.append((a, changed(a, rng, 4)))
+    sig = lambda c: lines.signature(F.col(c), F.length(c))
+    bound = lambda rows: spark.createDataFrame(rows, "a string, b string").select("a", "b", lines.count_distance(sig("a"), sig("b")).alias("d")).collect()
+    assert all(r.d <= 2 * levenshtein(r.a, r.b) for r in bound(pairs))
+    assert all(r.d > 4 for r in bound([("on the line stands", "on the line ducally"), ("one two three", "one two three u l d u w c"), ("ssssss in a row", "llllll in a row")]))
