@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -212,14 +213,29 @@ class Porter:
         return w[:-1] if cls.measure(w) > 1 and cls.double(w) and w[-1] == "l" else w
 
 
+#: Texts whose tokens are Python objects at a time, and stems that a worker remembers.
+STEM_ROWS, STEM_WORDS = 256, 100_000
+
+
+def stemmed_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stemmed tokens of texts, STEM_ROWS texts at a time; a word is stemmed once while it is remembered."""
+    stems: dict[str, str] = {}
+    for texts in batches:
+        for at in range(0, max(len(texts), 1), STEM_ROWS):
+            split = texts.iloc[at : at + STEM_ROWS].map(tokens)
+            if len(stems) > STEM_WORDS:
+                stems.clear()
+            for w in {w for ws in split for w in ws}.difference(stems):
+                stems[w] = Porter.stem(w)
+            yield split.map(lambda ws: [stems[w] for w in ws])
+
+
 def stemmed_tokens(text: Column) -> Column:
-    """Stemmed tokens of each text; a worker stems each word of a batch once."""
+    """Stemmed tokens of each text; a worker holds the tokens of a few texts at a time, however long Arrow's batches are."""
 
     @F.pandas_udf("array<string>")
-    def stemmed(texts: pd.Series) -> pd.Series:
-        split = texts.map(tokens)
-        stems = {w: Porter.stem(w) for w in {w for ws in split for w in ws}}
-        return split.map(lambda ws: [stems[w] for w in ws])
+    def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from stemmed_batches(batches)
 
     return stemmed(text)
 

@@ -1,6 +1,7 @@
 import random
 import sqlite3
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,12 @@ def test_embedder_is_deterministic_and_unit(spark):
     rows = spark.createDataFrame([("hello world",), (None,), ("hello world",)], "text string").select(embed("text").alias("v")).collect()
     assert rows[0].v == rows[2].v
     assert abs(sum(x * x for x in rows[0].v) - 1) < 1e-5
+
+
+def test_stems_are_made_of_few_texts_at_a_time(monkeypatch):
+    """One long batch comes out in pieces, with the stems of every text, also after words were forgotten."""
+    monkeypatch.setattr(t, "STEM_WORDS", 40)
+    texts = [None if i % 50 == 0 else "" if i % 50 == 1 else f"Running ponies {i} relational word{i % 97}" for i in range(3 * t.STEM_ROWS + 5)]
+    pieces = list(t.stemmed_batches(iter([pd.Series(texts, dtype=object), pd.Series([], dtype=object)])))
+    assert max(map(len, pieces)) <= t.STEM_ROWS
+    assert [ws for p in pieces for ws in p] == [[t.Porter.stem(w) for w in t.tokens(x)] for x in texts]
