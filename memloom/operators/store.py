@@ -13,16 +13,17 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
-def newest_wins(bronze: DataFrame, key: str = "key", seq: str = "seq", updated: str = "updated_at", created: str = "created_at", force: str | None = None) -> DataFrame:
+def newest_wins(bronze: DataFrame, key: str = "key", seq: str = "seq", updated: str = "updated_at", created: str = "created_at", force: str | None = None, join: str | None = None) -> DataFrame:
     """The surviving version of each key after its versions arrived in order of ``seq``; the first created_at stays.
 
     A version without a timestamp, or a forced one, replaces whatever is there, and anything replaces a version
     without a timestamp; otherwise only a later timestamp does, so the first arrival wins ties. In closed form: only
     versions from the last reset on compete. Both steps are aggregates, so a key with many versions needs no window.
+    ``join`` names a join hint for keys of few versions, so that none of it is broadcast.
     """
     reset = blank(F.col(updated)) | (F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False))
     last = bronze.groupBy(key).agg(F.max(F.when(reset, F.col(seq))).alias("_reset"), F.min_by(created, seq).alias("_created"))
-    live = bronze.join(last, key).filter(F.col("_reset").isNull() | (F.col(seq) >= F.col("_reset")))
+    live = bronze.join(last.hint(join) if join else last, key).filter(F.col("_reset").isNull() | (F.col(seq) >= F.col("_reset")))
     rank = F.struct(F.when(~blank(F.col(updated)), F.col(updated)).alias("u"), (-F.col(seq)).alias("s"))
     best = live.groupBy(key).agg(F.max_by(F.struct(*[c for c in bronze.columns if c != key]), rank).alias("v"), F.first("_created").alias("_created"))
     rest = [F.col("_created").alias(created) if c == created else F.col(f"v.`{c}`").alias(c) for c in bronze.columns if c != key]

@@ -93,13 +93,13 @@ class UpsertLog:
     def _versions(self, now: dict, runs: list[dict]) -> DataFrame:
         return self.spark.read.schema(StructType.fromJson(now["schema"])).parquet(*[f"{self.path}/runs/{r['name']}" for r in runs])
 
-    def table(self, keys: DataFrame | None = None) -> DataFrame | None:
-        """The newest version of each key, or of those in ``keys(key)``; None before the first batch with rows."""
+    def table(self, keys: DataFrame | None = None, join: str | None = None) -> DataFrame | None:
+        """The newest version of each key, or of those in ``keys(key)``; None before the first batch with rows. ``join`` as in ``newest_wins``."""
         _, now = self.manifest.read()
         if not now.get("runs"):
             return None
         rows = self._versions(now, now["runs"])
-        return newest_wins(rows if keys is None else rows.join(keys, "key", "left_semi"), force=self.force)
+        return newest_wins(rows if keys is None else rows.join(keys, "key", "left_semi"), force=self.force, join=join)
 
     def lookup(self, keys: list[str]) -> DataFrame | None:
         """The newest versions of some keys: only runs whose range has one of them are opened."""

@@ -96,10 +96,12 @@ class TailJob:
 
     def _plan(self) -> DataFrame:
         """The files of the next batch: from where to where, by whole lines."""
-        known = self.cursors.table()
+        # cursors are as many as files, and each poll reads them: joins by shuffles keep them away from the driver
+        by = "shuffle_hash"
+        known = self.cursors.table(join=by)
         kinds = "key string, offset long, seen long, head string"
         known = known.select("key", "offset", "seen", "head") if known is not None else self.spark.createDataFrame([], kinds)
-        rows = self.listing().join(known, F.col("path") == F.col("key"), "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
+        rows = self.listing().join(known.hint(by), F.col("path") == F.col("key"), "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
         # a file of the same length may be another one if it was touched
         changed = rows.filter((F.col("length") != F.col("offset")) | (F.col("mtime") > F.coalesce("seen", F.lit(-1))))
         new = F.when(F.col("length") > F.col("offset"), F.col("length") - F.col("offset")).otherwise(F.col("length"))

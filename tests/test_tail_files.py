@@ -105,3 +105,17 @@ def test_sessions_from_files(spark, tmp_path):
         job.catch_up()
         tail_source.session_stream(job.stream(), lambda r, _: seen.extend([m.native_id for m in x.messages] for x in r.collect()), str(tmp_path / "cp")).awaitTermination(120)
     assert seen == [["1", "2"], ["1", "2", "3"]]
+
+
+def test_cursors_are_not_sent_through_the_driver(spark, tmp_path):
+    """A plan after the first poll joins the listing and the cursors without a broadcast."""
+    for n in range(5):
+        (tmp_path / "in" / "p").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "p" / f"s{n}.jsonl").write_text("a\n")
+    job = tail_files.TailJob(spark, str(tmp_path / "in"), str(tmp_path / "state"))
+    assert job.poll() == 10
+    (tmp_path / "in" / "p" / "s3.jsonl").write_text("a\nbb\n")
+    plan = job._plan()
+    assert [(r.first, r.stop) for r in plan.collect()] == [(2, 5)]
+    ran = plan._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in ran and "Broadcast" not in ran
