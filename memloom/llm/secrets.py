@@ -2,14 +2,16 @@
 
 The network (numpy) reads windows of characters over a candidate and around it: one-hot character classes, a layer of
 convolutions, the maximum over the candidate and over its context, and a logistic output; a long candidate has several
-windows, of which the highest counts. It is trained on labelled findings: credentials planted into texts of a
-bounded sample of documents, by a generator of many forms, among planted harmless tokens, the documents' own tokens, and
-the base rules' findings. Rows that are held out calibrate the output (Platt); others set the threshold, the highest
-one that recalls ``recall`` of the findings that no base rule makes.
+windows, of which the highest counts. It is trained on labelled findings of all documents: credentials planted into the texts
+of each of them, by a generator of many forms, among planted harmless tokens, the documents' own tokens, and the base rules'
+findings. The rows are dealt into groups of bounded size; each group fits the same weights on its own rows, and their mean is
+what the next round begins with. Rows that are held out calibrate the output (Platt); others set the threshold, the highest
+one, in steps of a logit, that recalls ``recall`` of the findings that no base rule makes.
 """
 
 from __future__ import annotations
 
+import binascii
 import bisect
 import hashlib
 import itertools
@@ -19,11 +21,12 @@ import re
 import string
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, materialize
 
 #: The base rules. Keywords match in either case, ASCII letters only.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -40,11 +43,16 @@ MIN_TOKEN = 8
 BEFORE, INSIDE, AFTER = 32, 48, 16
 WIDTH, FILTERS, CLASSES = 5, 32, 48
 
-#: Documents that training samples, at most, and rows of each kind; every document is scanned.
-TRAIN_DOCS = 4000
-TRAIN_TOKENS = 3000
+#: Tokens that are planted, at least: as many into each document, and one into each of very many.
+PLANTED = 6000
 #: Labelled rows, of ten, that fit and that calibrate; the rest set the threshold.
 FIT, CALIBRATE = 6, 2
+#: Rows of a group, about; a single group makes all its passes at once, of several each makes one in every round.
+GROUP_ROWS, PASSES, ROUNDS = 8192, 6, 3
+#: Weights are averaged as whole multiples of 1/FIXED, so that the mean does not depend on the order of its terms.
+FIXED = 1 << 32
+#: Steps of a logit, and the largest one, in which held-out rows are counted.
+STEP, LARGEST = 256, 64
 
 
 def base_findings(text: str) -> list[tuple[int, str, int]]:
@@ -179,21 +187,32 @@ class CharConvNet:
                     v += 0.001 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling on rows apart from those that fit: the probability among such rows, not among all tokens of documents."""
-        z = self.logits(x)
-        for _ in range(300):
-            p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
-            self.scale -= 0.1 * float(((p - y) * z).mean())
-            self.shift -= 0.1 * float((p - y).mean())
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.kernel.ravel(), self.bias, self.out])
 
-    def constrain(self, found: np.ndarray, recall: float) -> None:
-        """The highest threshold that recalls ``recall`` of findings (their windows), on rows of their own."""
-        scores = np.sort(self.scores(found))[::-1]
-        self.threshold = float(scores[max(0, math.ceil(recall * len(scores)) - 1)]) if len(scores) else 1.0
+    def load(self, weights: np.ndarray) -> None:
+        kernel, self.bias, self.out = np.split(weights.astype(float), [self.kernel.size, self.kernel.size + FILTERS])
+        self.kernel = kernel.reshape(self.kernel.shape)
+
+    def calibrate(self, z: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        """Platt scaling on ``n`` rows of logit ``z`` each, apart from those that fit: the probability among such rows, not among all tokens."""
+        for _ in range(300 if n.sum() else 0):
+            miss = n * (self.probability(z) - y) / n.sum()
+            self.scale -= 0.1 * float((miss * z).sum())
+            self.shift -= 0.1 * float(miss.sum())
+
+    def constrain(self, z: np.ndarray, n: np.ndarray, recall: float) -> None:
+        """The highest threshold that recalls ``recall`` of findings, ``n`` of each logit from ``z`` up to a step more."""
+        least = np.minimum(self.probability(z), self.probability(z + 1 / STEP))
+        order = np.argsort(-least, kind="stable")
+        enough = np.cumsum(n[order]) >= math.ceil(recall * n.sum())
+        self.threshold = float(least[order][np.argmax(enough)]) if n.sum() else 1.0
+
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
+        return self.probability(self.logits(x))
 
 
 def _made_up(rng: random.Random) -> tuple[str, str, int]:
@@ -237,64 +256,97 @@ def _made_up(rng: random.Random) -> tuple[str, str, int]:
     return rng.choice(("", "", "", "the ", "see ", "id ", "://", "key ", "no. ", word() + ": ")), token, 0
 
 
-def planted(contexts: list[str], n: int, seed: int = 5) -> list[tuple[list[np.ndarray], int]]:
-    """Windows and labels of ``n`` made-up tokens that stand between words of the given texts."""
+def planted(text: str, n: int, seed: str) -> list[tuple[list[np.ndarray], int]]:
+    """Windows and labels of ``n`` made-up tokens that stand between words of a text."""
     rng = random.Random(seed)
     out = []
     for _ in range(n):
         lead, token, label = _made_up(rng)
-        context = rng.choice(contexts) if contexts else ""
-        at = rng.randrange(len(context) + 1)
-        before, after = context[max(0, at - BEFORE) : at], context[at : at + AFTER]
+        at = rng.randrange(len(text) + 1)
+        before, after = text[max(0, at - BEFORE) : at], text[at : at + AFTER]
         before = (before.rsplit(" ", 1)[0] + " " if " " in before else "") + lead
         after = rng.choice((" ", "\n", ". ", '"', "@", "'")) + after
         out.append((windows(before + token + after, len(before), len(before) + len(token)), label))
     return out
 
 
-def training_rows(docs: DataFrame, max_docs: int, max_tokens: int) -> tuple[list[bytes], list[bytes], list[str]]:
-    """From at most ``max_docs`` documents, chosen by hash: windows of base findings, windows of other tokens, and pieces of text."""
-    n = docs.count()
-    key = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20))
-    part = docs.filter(key < F.lit(max(1, min(1 << 20, (1 << 20) * max_docs // max(1, n))))).select("text")
+def training_rows(docs: DataFrame, each: int) -> DataFrame:
+    """Of every document the windows of its base findings (y 1) and of its other tokens (0), and of ``each`` tokens planted into it (own).
+
+    ``deal`` (0 to 9) follows from the window, so equal ones are together on one side of what is held out; ``h`` from the document.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            kinds, rows = [], []
-            for text in batch.column("text").to_pylist():
+            out: dict[str, list] = {"h": [], "deal": [], "own": [], "y": [], "x": []}
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 base = [(s, e) for s, _, e in base_findings(text)]
-                spans = [(s, e, 1) for s, e in base] + [(s, e, 0) for s, e in apart(candidates(text), base)]
-                for s, e, y in spans:
-                    for w in windows(text, s, e):
-                        kinds.append(y)
-                        rows.append(w.astype(np.uint8).tobytes())
-                middle = len(text) // 2
-                kinds.append(2)
-                rows.append(text[middle : middle + 400].encode("utf-8", "replace"))
-            return {"kind": kinds, "x": rows}
+                rows = [(False, 1, w) for s, e in base for w in windows(text, s, e)]
+                rows += [(False, 0, w) for s, e in apart(candidates(text), base) for w in windows(text, s, e)]
+                rows += [(True, y, ws[0]) for ws, y in planted(text, each, f"5:{key}")]
+                for i, (own, y, w) in enumerate(rows):
+                    x = w.astype(np.uint8).tobytes()
+                    values = (binascii.crc32(f"{key}:{i}".encode("utf-8", "replace")), binascii.crc32(x) % 10, own, y, x)
+                    for column, value in zip(out.values(), values, strict=True):
+                        column.append(value)
+            return out
 
         return step
 
-    rows = map_rows(part, "kind int, x binary", make)
-    got = [[r.x for r in rows.filter(F.col("kind") == k).orderBy(F.xxhash64("x"), "x").limit(max_tokens).collect()] for k in (1, 0, 2)]
-    return got[0], got[1], [x.decode("utf-8", "replace") for x in got[2]]
+    return map_rows(docs.select("doc_id", "text"), "h long, deal int, own boolean, y int, x binary", make)
+
+
+def _array(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, BEFORE + INSIDE + AFTER).astype(np.int64)
+
+
+def _mean_fit(net: CharConvNet, rows: DataFrame, epochs: int, seed: int) -> np.ndarray:
+    """The mean of the weights that each group ``g`` of ``rows(g, h, y, x)`` makes of those of ``net``."""
 
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["h", "x", "y"])
+        own = CharConvNet()
+        own.load(net.weights())
+        own.fit(_array(frame["x"].tolist()), frame["y"].to_numpy(float), epochs, seed=seed)
+        return pd.DataFrame({"w": [np.rint(own.weights() * FIXED).astype(np.int64)]})
 
-def train(docs: DataFrame, recall: float = 0.95, max_docs: int = TRAIN_DOCS, max_tokens: int = TRAIN_TOKENS) -> CharConvNet:
-    """Fit, calibrate and return the network; the threshold recalls ``recall`` of the planted credentials of rows kept for it."""
-    base, harmless, contexts = training_rows(docs, max_docs, max_tokens)
-    array = lambda xs: np.array([np.frombuffer(x, np.uint8) for x in xs], np.int64).reshape(-1, BEFORE + INSIDE + AFTER)
-    made = [(w, y) for ws, y in planted(contexts, 2 * max_tokens) for w in ws[:1]]
-    x = np.concatenate([array(base), array(harmless), np.array([w for w, _ in made])])
-    y = np.concatenate([np.ones(len(base)), np.zeros(len(harmless)), np.array([v for _, v in made], float)])
-    own = np.arange(len(x)) >= len(base) + len(harmless)  # planted
-    deal = np.arange(len(x)) % 10
+    fitted = rows.groupBy("g").applyInPandas(fit, "w array<long>").select(F.posexplode("w").alias("i", "w"))
+    # whole numbers: a sum of decimals cannot overflow, and is the same in any order
+    means = fitted.groupBy("i").agg((F.sum(F.col("w").cast("decimal(19,0)")).cast("double") / F.count("*") / F.lit(float(FIXED))).alias("w"))
+    return np.array([r.w for r in means.orderBy("i").collect()])
+
+
+def train(docs: DataFrame, recall: float = 0.95, planted_least: int = PLANTED, group_rows: int = GROUP_ROWS) -> CharConvNet:
+    """Fit, calibrate and return the network, from all documents; the threshold recalls ``recall`` of the planted credentials kept for it."""
     net = CharConvNet()
-    net.fit(x[deal < FIT], y[deal < FIT])
-    held = (deal >= FIT) & (deal < FIT + CALIBRATE)
-    net.calibrate(x[held], y[held])
-    net.constrain(x[(deal >= FIT + CALIBRATE) & own & (y == 1)], recall)
+    n = docs.count()
+    if not n:
+        return net
+    rows = materialize(training_rows(docs, -(-planted_least // n)), "secret-rows")
+    groups = max(1, -(-rows.filter(F.col("deal") < FIT).count() // group_rows))
+    # a group is small and dear, so as many parts as groups are asked for
+    dealt = rows.filter(F.col("deal") < FIT).select(F.pmod("h", F.lit(groups)).alias("g"), "h", "y", "x").repartition(groups, "g")
+    rounds, epochs = (1, PASSES) if groups == 1 else (ROUNDS, 1)
+    for i in range(rounds):
+        weights = _mean_fit(net, dealt, epochs, 11 + i)
+        if len(weights):
+            net.load(weights)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            z = np.clip(net.logits(_array(batch.column("x").to_pylist())), -LARGEST, LARGEST)
+            return {"at": np.floor(z * STEP).astype(np.int64)}
+
+        return step
+
+    held = map_rows(rows.filter(F.col("deal") >= FIT), "at long", make, keep=("deal", "own", "y"))
+    last = F.col("deal") >= FIT + CALIBRATE
+    # at most 2 x LARGEST x STEP counts of each kind
+    got = held.filter(~last | F.col("own") & (F.col("y") == 1)).groupBy(last.alias("last"), "y", "at").agg(F.count("*").alias("n")).orderBy("last", "y", "at").collect()
+    column = lambda name, part: np.array([r[name] for r in got if r["last"] == part], float)
+    net.calibrate((column("at", False) + 0.5) / STEP, column("y", False), column("n", False))
+    net.constrain(column("at", True) / STEP, column("n", True), recall)
     return net
 
 

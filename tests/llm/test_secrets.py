@@ -136,3 +136,38 @@ def test_one_long_text_with_many_findings(spark):
     net.threshold = 2.0
     row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).collect()[0]
     assert row.n_assign == 20_000 and row.n_model == 0
+
+
+def test_training_sees_every_document(spark):
+    """No finding, token or text is left out, however many there are (training once took 3000 of each from 4000 documents)."""
+    docs = spark.createDataFrame([(i, f"see token=abc{i:06d} and x{i:06d}Y_z here") for i in range(5000)], "doc_id long, text string")
+    rows = secrets.training_rows(docs, 1).groupBy("own", "y").count().collect()
+    got = {(r.own, r.y): r["count"] for r in rows}
+    assert got[False, 1] == got[False, 0] == 5000 and got[True, 0] + got[True, 1] == 5000
+    # equal windows are never on both sides of what is held out
+    assert secrets.training_rows(docs, 1).groupBy("x").agg({"deal": "approx_count_distinct"}).filter("`approx_count_distinct(deal)` > 1").count() == 0
+
+
+def test_groups_fit_a_network_that_holds(spark):
+    """Groups that fit apart and are averaged: the same however the documents are dealt out, and as good as one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = secrets.train(docs, group_rows=600)
+    again = secrets.train(docs.repartition(7), group_rows=600)
+    assert (net.weights() == again.weights()).all() and net.threshold == again.threshold
+    rng = random.Random(22)
+    body = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    hit = lambda token: max(net.scores(np.array(secrets.windows(f"it is {token} there", 6, 6 + len(token))))) >= net.threshold
+    found = [hit(re.sub(r"\{(\d+)\}", lambda m: body(int(m[1])), form)) for form in UNSEEN for _ in range(12)]
+    wrong = [hit(token) for token in PLAIN]
+    assert np.mean(found) >= 0.85 and np.mean(wrong) <= 0.1, (np.mean(found), np.mean(wrong))
+
+
+def test_threshold_recalls_what_it_must():
+    net, rng = secrets.CharConvNet(), np.random.default_rng(5)
+    at = np.floor(rng.normal(0, 3, 1000) * secrets.STEP)
+    values, counts = np.unique(at, return_counts=True)
+    for scale, recall in ((0.7, 0.95), (-0.7, 0.95), (0.7, 1.0)):
+        net.scale, net.shift = scale, 0.2
+        net.constrain(values / secrets.STEP, counts, recall)
+        reached = np.mean(net.probability((at + 0.5) / secrets.STEP) >= net.threshold)
+        assert recall <= reached <= recall + 0.01
