@@ -20,6 +20,11 @@ SESSION = "struct<type:string,uuid:string,parentUuid:string,isSidechain:boolean,
 _EMPTY = "cast(array() as array<string>)"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once, however often ``use`` reads it; within lambdas Spark would compute it each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def block(**fields: Column) -> Column:
     """A content block with the given fields, null elsewhere."""
     kinds = {name: kind for name, kind in (x.split(":", 1) for x in BLOCK[7:-1].replace("map<string,string>", "map<string;string>").split(","))}
@@ -38,7 +43,10 @@ def summary_texts(items: Column) -> Column:
 
 def web_block(text: Column) -> Column:
     """Normalise one block of a web export: text, thinking, tool use, tool result; others are kept raw."""
-    b = F.from_json(text, "struct<type:string,text:string,thinking:string,citations:string,summaries:array<string>,thinking_hidden:boolean,start_timestamp:string,stop_timestamp:string,name:string,input:string,content:string,is_error:boolean>")
+    return let(F.from_json(text, "struct<type:string,text:string,thinking:string,citations:string,summaries:array<string>,thinking_hidden:boolean,start_timestamp:string,stop_timestamp:string,name:string,input:string,content:string,is_error:boolean>"), lambda b: _web_block(text, b))
+
+
+def _web_block(text: Column, b: Column) -> Column:
     kind = F.coalesce(b["type"], F.lit("unknown"))
     summaries = summary_texts(b["summaries"])
     plain = block(type=F.lit("text"), text=F.coalesce(text, F.lit("")))
@@ -54,7 +62,10 @@ def web_block(text: Column) -> Column:
 
 def node_blocks(text: Column) -> Column:
     """Blocks of a node's content in the mapping format, by its content_type."""
-    c = F.from_json(text, "struct<content_type:string,parts:array<string>,thoughts:array<struct<summary:string,content:string>>,content:string,language:string,text:string,response_format_name:string>")
+    return let(F.from_json(text, "struct<content_type:string,parts:array<string>,thoughts:array<struct<summary:string,content:string>>,content:string,language:string,text:string,response_format_name:string>"), lambda c: _node_blocks(text, c))
+
+
+def _node_blocks(text: Column, c: Column) -> Column:
     kind = F.coalesce(c["content_type"], F.lit("unknown"))
     is_object = lambda p: F.startswith(p, F.lit("{")) & F.from_json(p, "map<string,string>").isNotNull()
     strings = F.filter(c["parts"], lambda p: p.isNotNull() & ~is_object(p))
@@ -147,7 +158,9 @@ def claude_records(raw: DataFrame) -> DataFrame:
     rows = _documents(raw, CLAUDE)
 
     def message(m: Column) -> Column:
-        blocks = F.transform(m["content"], web_block)
+        return let(F.transform(m["content"], web_block), lambda blocks: whole(m, blocks))
+
+    def whole(m: Column, blocks: Column) -> Column:
         role = normal_role(m["sender"])
         none = F.array().cast("array<struct<extracted_content:string>>")
         return F.struct(
@@ -166,8 +179,10 @@ def chatgpt_records(raw: DataFrame) -> DataFrame:
     rows = _documents(raw, CHATGPT).withColumn("nodes", F.map_entries("c.mapping"))
 
     def message(e: Column) -> Column:
+        return let(node_blocks(e["value"]["message"]["content"]), lambda blocks: whole(e, blocks))
+
+    def whole(e: Column, blocks: Column) -> Column:
         m = e["value"]["message"]
-        blocks = node_blocks(m["content"])
         role = F.coalesce(m["author"]["role"], F.lit("unknown"))
         return F.struct(
             e["key"].alias("native_id"), e["value"]["parent"].alias("parent_native_id"), role.alias("role"), iso_from_epoch(m["create_time"]).alias("created_at"), iso_from_epoch(m["update_time"]).alias("updated_at"),
@@ -256,9 +271,14 @@ def bronze(records: DataFrame) -> DataFrame:
     )
 
 
+def _each(name: str) -> Column:
+    """An array column to explode: of a plain column Spark infers a filter on its size, for which it would make the array a second time."""
+    return F.filter(name, lambda _: F.lit(True))
+
+
 def message_rows(records: DataFrame) -> DataFrame:
     """Messages of records: conv_key, pos, the message's fields, and the text that search sees."""
-    rows = records.select(F.concat("conversation.source", F.lit(":"), "conversation.native_id").alias("conv_key"), F.posexplode("messages").alias("pos", "m"))
+    rows = records.select(F.concat("conversation.source", F.lit(":"), "conversation.native_id").alias("conv_key"), F.posexplode(_each("messages")).alias("pos", "m"))
     return rows.select("conv_key", "pos", "m.*", search_text(F.col("m.content"), F.col("m.attachments")).alias("text"))
 
 
@@ -270,7 +290,9 @@ def gate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def summary(records: DataFrame) -> DataFrame:
     """Messages by role and blocks by type: what, name, n."""
-    m = records.select(F.explode("messages").alias("m"))
-    roles = m.groupBy(F.col("m.role").alias("name")).agg(F.count("*").alias("n")).select(F.lit("role").alias("what"), "name", "n")
-    types = m.select(F.explode("m.content").alias("b")).groupBy(F.col("b.type").alias("name")).agg(F.count("*").alias("n"))
-    return roles.unionByName(types.select(F.lit("block").alias("what"), "name", "n"))
+    # both kinds of rows leave a message at once: records are read, and their blocks made, one time
+    counted = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    m = records.select(F.explode(_each("messages")).alias("m"))
+    blocks = F.coalesce(F.transform("m.content", lambda b: counted("block", b["type"])), F.array().cast("array<struct<what:string,name:string>>"))
+    rows = m.select(F.inline(F.concat(F.array(counted("role", F.col("m.role"))), blocks)))
+    return rows.groupBy("what", "name").agg(F.count("*").alias("n"))

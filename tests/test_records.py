@@ -187,3 +187,17 @@ def test_attribution_rules(spark):
     owners = spark.createDataFrame([("p", "me"), ("q", "")], "project_native_id string, owner string")
     got = {r.conversation.native_id: tuple(r.attribution) for r in records.attribute(c, owners).collect()}
     assert got == {"a": ("me", "project-rule", 1.0), "b": ("unknown", None, 0.0), "c": ("unknown", None, 0.0)}
+
+
+def test_a_block_is_parsed_once(spark):
+    """A JSON text is read once for its fields and once for a block that is kept raw; it was once read for every field."""
+    for blocks in (records.web_block, records.node_blocks):
+        assert blocks(F.col("value"))._jc.toString().count("from_json") <= 6
+
+
+def test_summary_reads_records_once(spark):
+    rows = spark.createDataFrame([(json.dumps({"uuid": f"c{i}", "chat_messages": [{"uuid": "m", "sender": "human", "content": [{"type": "text", "text": "a"}, {"type": "odd"}]}] * i}),) for i in range(4)], "value string")
+    out = records.summary(records.claude_records(rows))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+    assert sorted(map(tuple, out.collect())) == [("block", "odd", 6), ("block", "text", 6), ("role", "user", 6)]
