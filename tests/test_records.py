@@ -201,3 +201,16 @@ def test_summary_reads_records_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 1
     assert sorted(map(tuple, out.collect())) == [("block", "odd", 6), ("block", "text", 6), ("role", "user", 6)]
+
+
+def test_extraction_of_conversations_that_batches_cut(spark):
+    rows = [(f"c{c}", f"n{k}", k // 2, k, f"m{k}", "user", f"Name{c} said {k}") for c in range(5) for k in range(9)]
+    chunks = spark.createDataFrame(rows[::-1], "conv_key string, native_id string, chunk_idx int, rn int, local_id string, role string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        out = extract(chunks, lambda part, state, _: json.dumps({"mentions": [], "assertions": [], "state": {"seen": (json.loads(state)["seen"] if state else []) + [r["local_id"] for r in part]}}))
+        got = {(r.conv_key, r.chunk_idx): json.loads(r.payload)["state"]["seen"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert got == {(f"c{c}", i): [f"m{k}" for k in range(min(9, 2 * i + 2))] for c in range(5) for i in range(5)}
