@@ -189,7 +189,7 @@ def kept_edges(spark, sf):
 def suppliers(spark, sf):
     """Suppliers that share an order, as edges: the large graph."""
     rows = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("conv_key"), F.lit(0).alias("chunk_idx"), F.col("l_suppkey").alias("entity_id"), F.lit("").alias("day"))
-    return edges.chunk_pairs(edges.chunk_entities(rows)).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return edges.chunk_pairs(edges.chunk_entities(edges.dealt(rows))).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 QUERIES = {
