@@ -3,8 +3,8 @@
 A segment has two tables. ``docs``: a number, a block and a length for each row, with its keys. ``postings``: for each term and
 block the rows, the greatest count and the least length, which bound a row's score, and lists of the numbers, lengths and counts of
 these rows and of all the term's places in them; in shards by term, sorted by term and block, so that Parquet statistics leave out
-what a query does not ask for. A block that two tasks read has a row of each. Lists are made where a block's rows are, so no row of
-a single place or text is shuffled. Rows that come again, or go, are listed as ``gone`` with the segment that replaced them; ``merge`` makes one segment of
+what a query does not ask for. Words are dealt out by blocks in parts of about ``PART_WORDS``, and lists are made, sorted and written
+where a block's words are: no packed row is shuffled. Rows that come again, or go, are listed as ``gone`` with the segment that replaced them; ``merge`` makes one segment of
 all. What belongs to the index is named in a manifest, so readers see a segment whole or not at all.
 
 Numbers count up within a writing task, so documents are numbered without a shuffle, and a block is a run of numbers.
@@ -67,6 +67,8 @@ PACKED = "term string, block long, n int, most int, shortest int, docs array<lon
 POSTINGS = f"{PACKED}, seg string, shard int"
 #: Texts that are packed at a time.
 PACK_ROWS = 1 << 10
+#: Words of the texts, about, whose packed rows a task sorts and writes.
+PART_WORDS = 1 << 22
 #: Blocks with rows that are gone up to which the list of them is broadcast, some 300 bytes each.
 BROADCAST_BLOCKS = 100_000
 
@@ -161,15 +163,16 @@ class TextIndex:
         numbered.withColumn("block", F.shiftright("doc", BLOCK_BITS)).write.parquet(f"{base}/words")
         numbered = self.spark.read.schema(numbered.withColumn("block", F.lit(0).cast("long")).schema).parquet(f"{base}/words")
         numbered.drop("w").withColumn("seg", F.lit(name)).write.parquet(f"{base}/docs")
-        found = numbered.select("doc", "len", "w").mapInArrow(_pack(BLOCK_BITS), PACKED)
+        parts = -(-(numbered.agg(F.sum("len")).first()[0] or 0) // PART_WORDS)
+        # words are a fraction of their packed rows: they are dealt into parts, and no packed row is shuffled
+        near = numbered.repartitionByRange(max(parts, 1), "block").sortWithinPartitions("doc")
+        found = near.select("doc", "len", "w").mapInArrow(_pack(BLOCK_BITS), PACKED)
         self._write_postings(base, found.withColumn("seg", F.lit(name)))
         delete(self.spark, f"{base}/words")
 
-    def _write_postings(self, base: str, packed: DataFrame, dealt: bool = False) -> None:
-        """Write packed rows in their shards; what is ``dealt`` comes from such files and stays with its neighbours."""
+    def _write_postings(self, base: str, packed: DataFrame) -> None:
+        """Write packed rows in their shards, where they are: a term of very many rows is dealt out by its blocks."""
         rows = packed.withColumn("shard", _shard(F.col("term")))
-        # a term of very many rows is dealt out by its blocks
-        rows = rows if dealt else rows.repartitionByRange("shard", "term", "seg", "block")
         rows.sortWithinPartitions("shard", "term", "seg", "block").write.partitionBy("shard").parquet(f"{base}/postings")
 
     def merge(self) -> None:
@@ -182,7 +185,7 @@ class TextIndex:
         self._live(now).write.parquet(f"{base}/docs")
         gone = self._gone(now)
         postings = self._table(now, "postings").drop("shard")
-        self._write_postings(base, postings if gone is None else self._left(postings, gone), dealt=True)
+        self._write_postings(base, postings if gone is None else self._left(postings, gone))
         self.manifest.write(version + 1, now | {"segments": [name], "gone": []})
 
     def _left(self, postings: DataFrame, gone: DataFrame) -> DataFrame:

@@ -38,3 +38,17 @@ def test_a_row_for_each_term_and_block(spark):
     index = text_index.TextIndex(spark, new_path(spark, "index"), ["id"], t.plain_tokens)
     index.add(rows)
     assert index._table(index.manifest.read()[1], "postings").count() == 10
+
+
+def test_parts_hold_a_bounded_number_of_words(spark, monkeypatch):
+    """Packed rows were shuffled by term, and a part of them was as large as the shuffle made it."""
+    monkeypatch.setattr(text_index, "BLOCK_BITS", 3)
+    monkeypatch.setattr(text_index, "PART_WORDS", 400, raising=False)
+    index = text_index.TextIndex(spark, new_path(spark, "index"), ["id"], t.plain_tokens)
+    index.add(spark.range(160).select("id", F.lit("one two three four five " * 4).alias("text")).repartition(2))
+    packed = index._table(index.manifest.read()[1], "postings")
+    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("part")
+    words = packed.select(part, "term", "block", F.explode("places").alias("at")).select("part", "term", "block", F.explode("at"))
+    sizes = [r["count"] for r in words.groupBy("part").count().collect()]
+    assert sum(sizes) == 3200 and len(sizes) > 4 and max(sizes) < 1000
+    assert packed.count() == 5 * 20 and packed.select("term", "block").distinct().count() == 5 * 20  # blocks stay whole
