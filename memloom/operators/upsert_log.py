@@ -21,6 +21,13 @@ from memloom.operators.versions import Manifest
 FANOUT = 4
 #: Parts that the versions of a key are sorted out in first, so that a key of very many versions is no single task.
 SALTS = 16
+#: Versions that a task sorts, about, where keys have few of them.
+PART_ROWS = 1 << 17
+
+
+def parts(rows: int, each: int | None = None) -> int:
+    """How many parts of about ``each`` rows there are: adaptive execution would put more into a task the more there are."""
+    return max(1, -(-rows // (each or PART_ROWS)))
 
 
 def deciding(versions: DataFrame, key: str = "key", seq: str = "seq", updated: str = "updated_at", force: str | None = None) -> DataFrame:
@@ -45,10 +52,13 @@ def deciding(versions: DataFrame, key: str = "key", seq: str = "seq", updated: s
 
 
 class UpsertLog:
-    """Versions of rows by key under ``path``; ``force`` names a column that makes a version replace whatever is there."""
+    """Versions of rows by key under ``path``; ``force`` names a column that makes a version replace whatever is there.
 
-    def __init__(self, spark: SparkSession, path: str, force: str | None = None) -> None:
-        self.spark, self.path, self.force = spark, path.rstrip("/"), force
+    With ``few`` versions of each key they are dealt out by key in parts of about ``PART_ROWS``, so that tasks do not grow.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, force: str | None = None, few: bool = False) -> None:
+        self.spark, self.path, self.force, self.few = spark, path.rstrip("/"), force, few
         self.manifest = Manifest(spark, f"{self.path}/manifest")
 
     def append(self, batch: DataFrame, stream: str = "", number: int | None = None) -> bool:
@@ -60,7 +70,7 @@ class UpsertLog:
         done = now.get("done", {})
         if number is not None and number <= done.get(stream, -1):
             return False
-        run = self._write(batch, 0)
+        run = self._write(batch, 0, batch.count() if self.few else None)
         kind = now.get("schema") or batch.schema.jsonValue()
         done = done | ({stream: number} if number is not None else {})
         self.manifest.write(version + 1, {"schema": kind, "done": done, "runs": [*now.get("runs", []), *([run] if run else [])]})
@@ -68,11 +78,12 @@ class UpsertLog:
         self.manifest.prune()
         return True
 
-    def _write(self, rows: DataFrame, tier: int) -> dict | None:
+    def _write(self, rows: DataFrame, tier: int, about: int | None) -> dict | None:
+        """Write a run of ``about`` so many rows, if that is known."""
         name = uuid.uuid4().hex[:12]
         # sorted by key, with a Bloom filter of the keys: a lookup leaves out most row groups
-        out = rows.repartitionByRange(F.col("key"), F.col("seq")).sortWithinPartitions("key", "seq")
-        out.write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/runs/{name}")
+        out = rows.repartitionByRange(*([] if about is None else [parts(about)]), F.col("key"), F.col("seq"))
+        out.sortWithinPartitions("key", "seq").write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/runs/{name}")
         n, low, high = self.spark.read.schema(rows.schema).parquet(f"{self.path}/runs/{name}").agg(F.count("*"), F.min("key"), F.max("key")).first()
         return {"name": name, "tier": tier, "rows": n, "low": low, "high": high} if n else None
 
@@ -86,19 +97,24 @@ class UpsertLog:
             if tier is None:
                 return merges
             old = [r for r in runs if r["tier"] == tier]
-            merged = self._write(deciding(self._versions(now, old), force=self.force), tier + 1)
+            about = sum(r["rows"] for r in old) if self.few else None
+            merged = self._write(deciding(self._dealt(now, old), force=self.force), tier + 1, about)
             self.manifest.write(version + 1, now | {"runs": [r for r in runs if r["tier"] != tier] + [merged]})
             merges += 1
 
     def _versions(self, now: dict, runs: list[dict]) -> DataFrame:
         return self.spark.read.schema(StructType.fromJson(now["schema"])).parquet(*[f"{self.path}/runs/{r['name']}" for r in runs])
 
+    def _dealt(self, now: dict, runs: list[dict]) -> DataFrame:
+        rows = self._versions(now, runs)
+        return rows.repartition(parts(sum(r["rows"] for r in runs)), "key") if self.few else rows
+
     def table(self, keys: DataFrame | None = None, join: str | None = None) -> DataFrame | None:
         """The newest version of each key, or of those in ``keys(key)``; None before the first batch with rows. ``join`` as in ``newest_wins``."""
         _, now = self.manifest.read()
         if not now.get("runs"):
             return None
-        rows = self._versions(now, now["runs"])
+        rows = self._dealt(now, now["runs"])
         return newest_wins(rows if keys is None else rows.join(keys, "key", "left_semi"), force=self.force, join=join)
 
     def lookup(self, keys: list[str]) -> DataFrame | None:

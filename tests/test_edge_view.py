@@ -69,3 +69,20 @@ def test_what_is_written_follows_the_submit(spark):
     rows = {log: [r["rows"] for r in getattr(view, log).manifest.read()[1]["runs"]] for log in ("chunks", "shares", "edges")}
     assert rows == {"chunks": [60, 1], "shares": [180, 3], "edges": [121, 3]}
     assert plain(view.table()) == plain(edges.edges(*frames(spark, many | one)))
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    """Logs and submits are dealt into parts of bounded rows, which adaptive execution would make larger the more there are."""
+    from memloom.operators import upsert_log
+
+    monkeypatch.setattr(upsert_log, "PART_ROWS", 200, raising=False)
+    chunks = [(f"c{i}", 0) for i in range(1000)]
+    mapped = spark.createDataFrame([(c, i, e, "2024-01-01") for c, i in chunks for e in (1, 2)], MAPPED)
+    said = spark.createDataFrame([(c, i, n, "a") for n, (c, i) in enumerate(chunks)], SAID)
+    view = edge_view.EdgeView(spark, new_path(spark, "view"))
+    view.submit(0, spark.createDataFrame(chunks, "conv_key string, chunk_idx int"), mapped, said)
+    view.submit(1, spark.createDataFrame(chunks[:1], "conv_key string, chunk_idx int"), mapped.limit(0), said)
+    rows = view.shares.table()
+    sizes = rows.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert len(sizes) == 6 and sum(sizes) == 1000 and max(sizes) < 300
+    assert [tuple(r)[:3] for r in view.table().collect()] == [(1, 2, 999)]
