@@ -12,13 +12,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.operators.upsert_log import UpsertLog
+from memloom.operators.upsert_log import UpsertLog, parts
 from memloom.operators.versions import Manifest
 
 SHARDS = 32
 GRAM = 3
 #: Candidates up to which their keys stand in the plan as literals, which the Parquet reader can use.
 LISTED = 2000
+#: Grams that a task sorts, about.
+PART_GRAMS = 1 << 20
 GRAMS = "gram string, key string, shard int"
 
 
@@ -54,7 +56,7 @@ class SubstringIndex:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.rows = UpsertLog(spark, f"{self.path}/rows")
+        self.rows = UpsertLog(spark, f"{self.path}/rows", few=True)
         self.manifest = Manifest(spark, f"{self.path}/grams-manifest")
         #: Rows that the last search tested its pattern on; None if it tested all.
         self.tested: int | None = None
@@ -69,8 +71,10 @@ class SubstringIndex:
         if str(number) not in now.get("batches", {}):
             name = uuid.uuid4().hex[:12]
             found = rows.select("key", F.explode(grams_of(F.col("text"))).alias("gram")).withColumn("shard", _shard(F.col("gram")))
+            # a text has no more grams than characters
+            about = parts(rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0, PART_GRAMS)
             # a gram of very many rows is dealt out by their keys
-            found.repartitionByRange("shard", "gram", "key").sortWithinPartitions("shard", "gram", "key").write.partitionBy("shard").parquet(f"{self.path}/grams/{name}")
+            found.repartitionByRange(about, "shard", "gram", "key").sortWithinPartitions("shard", "gram", "key").write.partitionBy("shard").parquet(f"{self.path}/grams/{name}")
             self.manifest.write(version + 1, {"batches": now.get("batches", {}) | {str(number): name}})
             self.manifest.prune()
         self.rows.append(rows.select("key", F.lit(number).cast("long").alias("seq"), stamp.alias("updated_at"), stamp.alias("created_at"), "text"), "rows", number)
@@ -91,7 +95,8 @@ class SubstringIndex:
             if table is None:
                 return None
             # each gram is counted once for a key, in however many batches it came
-            keys = table.select("gram", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("key")
+            dealt = table.select("gram", "key").repartition(parts(table.count()), "key")
+            keys = dealt.distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("key")
             few = [r.key for r in keys.limit(LISTED + 1).collect()]
             if len(few) <= LISTED:
                 self.tested = len(few)

@@ -52,3 +52,20 @@ def test_many_candidates_and_no_rows(spark, index, monkeypatch):
     none = substring_index.SubstringIndex(spark, new_path(spark, "substrings"))
     assert none.search("%abc%") is None and none.search("%") is None
     assert substring_index.pieces("a\\%b%c_d\\") == ["a%b", "c", "d\\"]
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    """Grams and rows are dealt into parts of bounded rows, which adaptive execution would make larger the more there are."""
+    from memloom.operators import upsert_log
+
+    monkeypatch.setattr(upsert_log, "PART_ROWS", 100, raising=False)
+    monkeypatch.setattr(substring_index, "PART_GRAMS", 1000, raising=False)
+    made = substring_index.SubstringIndex(spark, new_path(spark, "substrings"))
+    made.add(0, spark.range(600).selectExpr("cast(id as string) key", "concat('number ', 1000 + id) text"))
+    grams = spark.read.schema(substring_index.GRAMS).parquet(f"{made.path}/grams/*")
+    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)
+    sizes = [r["count"] for r in grams.groupBy(part).count().collect()]
+    assert sum(sizes) == 600 * 9 - 1 and len(sizes) > 4 and max(sizes) < 1500  # 1111 has a gram twice
+    parts = made.rows.table().rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert len(parts) == 6 and sum(parts) == 600
+    assert made.search("%ber 1%7").count() == 60
