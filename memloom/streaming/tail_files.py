@@ -1,15 +1,17 @@
 """Tailing many growing log files as Spark jobs: what was read of each is a table, and a batch has bounded bytes.
 
-``TailJob.poll`` lists the files (by Spark's file source, so on the executors where there are many folders, in any Hadoop file
-system), joins them with the cursors of earlier batches, takes those that grew up to ``max_bytes``, and lands their new whole
-lines as a Parquet table. Streams read that table. Neither the driver nor a checkpoint holds a list of files, and files that do
-not change cost a row of the listing.
+``TailJob.poll`` lists the files (in tasks, a folder in one, in file systems that Arrow knows), joins them with the cursors of
+earlier batches, takes those that grew up to ``max_bytes``, and lands their new whole lines as a Parquet table. Streams read that
+table. Neither the driver nor a checkpoint holds a list of files, and files that do not change cost a row of the listing. Spark's
+own file source keeps the status of every file in the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import itertools
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,22 +25,77 @@ from memloom.operators.upsert_log import UpsertLog
 from memloom.operators.versions import Manifest
 
 LINES = "path string, project string, session string, at long, value string"
+FILES = "path string, folder boolean, length long, mtime long"
 PLAN = "path string, first long, stop long, length long, mtime long, head string"
 #: Bytes that are looked at in one step, and bytes at a file's beginning that tell it from another.
 STEP, HEAD = 1 << 16, 64
 #: Files of a batch at most; the rest comes in the next one.
 MOST_FILES = 10_000
+#: Files of a listing that leave a task at once.
+LISTED_ROWS = 4096
+
+
+def local_name(path: str) -> str | None:
+    """The name of a path of the local file system; None if its scheme is another one."""
+    return None if "://" in path else "/" + path.removeprefix("file:").lstrip("/")
 
 
 def opened(path: str) -> io.BufferedIOBase:
     """A file for reading at any place: of the local file system, or of one that Arrow knows by its scheme."""
-    local = path[5:] if path.startswith("file:") else path
-    if "://" not in path:
-        return open("/" + local.lstrip("/"), "rb")
+    if local := local_name(path):
+        return open(local, "rb")
     system, name = arrow_fs.FileSystem.from_uri(path)
     return io.BufferedReader(system.open_input_file(name))
 
 
+def entries(path: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(path, whether it is a folder, length, mtime in whole milliseconds as microseconds) of all that is in a folder, as it is read.
+
+    What goes meanwhile is left out, also if it is the folder.
+    """
+    if local := local_name(path):
+        try:
+            found = os.scandir(local)
+        except FileNotFoundError:
+            return
+        with found:
+            for x in found:
+                try:
+                    status = x.stat()
+                except FileNotFoundError:
+                    continue
+                name = os.fsencode(x.name).decode("utf-8", "replace")
+                yield f"{path}/{name}", x.is_dir(), status.st_size, status.st_mtime_ns // 10**6 * 1000
+        return
+    system, name = arrow_fs.FileSystem.from_uri(path)
+    for x in system.get_file_info(arrow_fs.FileSelector(name, allow_not_found=True)):
+        yield f"{path}/{x.base_name}", x.type == arrow_fs.FileType.Directory, x.size or 0, (x.mtime_ns or 0) // 10**6 * 1000
+
+
+def is_log(path: str, folder: bool, length: int) -> bool:
+    """Whether Spark's readers would read it: no folder, not empty, not hidden."""
+    name = path.rsplit("/", 1)[-1]
+    return not folder and length > 0 and name.endswith(".jsonl") and not name.startswith((".", "_"))
+
+
+def listed(batches: Iterator[pa.RecordBatch], top: bool) -> Iterator[pa.RecordBatch]:
+    """The logs in the folders of ``batches``, at the ``top`` the folders in them too; logs stay as they are."""
+
+    def rows() -> Iterator[tuple[str, bool, int, int]]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if not r["folder"]:
+                    yield r["path"], False, r["length"], r["mtime"]
+                    continue
+                for path, folder, length, mtime in entries(r["path"]):
+                    if top and folder or is_log(path, folder, length):
+                        yield path, folder, length, mtime
+
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+    for some in itertools.batched(rows(), LISTED_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some, strict=True), kinds, strict=True)], ["path", "folder", "length", "mtime"])
+
+
 def head_of(f, n: int) -> str:
     """Digest of the first bytes of a file, of which ``n`` were read before."""
     f.seek(0)
@@ -90,9 +147,15 @@ class TailJob:
         self.lines = f"{self.state}/lines"
 
     def listing(self) -> DataFrame:
-        """path, length and mtime of every log file; no content is read."""
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{self.root}/*")
-        return files.select("path", "length", F.unix_micros("modificationTime").alias("mtime"))
+        """path, length and mtime of every log file; no content is read, and the driver gets no list of them."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        roots = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        if not roots:
+            raise FileNotFoundError(self.root)
+        begin = self.spark.createDataFrame([(r.getPath().toString(), True, 0, 0) for r in roots], FILES).coalesce(1)
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        folders = begin.mapInArrow(lambda batches: listed(batches, True), FILES)
+        return folders.repartition(tasks, "path").mapInArrow(lambda batches: listed(batches, False), FILES).select("path", "length", "mtime")
 
     def _plan(self) -> DataFrame:
         """The files of the next batch: from where to where, by whole lines."""

@@ -119,3 +119,30 @@ def test_cursors_are_not_sent_through_the_driver(spark, tmp_path):
     assert [(r.first, r.stop) for r in plan.collect()] == [(2, 5)]
     ran = plan._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in ran and "Broadcast" not in ran
+
+
+def test_listing_is_that_of_spark_without_its_file_index(spark, tmp_path, monkeypatch):
+    """The same files, lengths and times as Spark's file source lists, which keeps the status of every file in the driver."""
+    root = tmp_path / "logs"
+    names = ["p/s.jsonl", "p/t.jsonl", "p/empty.jsonl", "p/.hidden.jsonl", "p/_hidden.jsonl", "p/other.txt", "p/a b%20é[1].jsonl", "p/deep/x.jsonl", "-home-me/s.jsonl", ".dot/s.jsonl", "_low/s.jsonl", "odd.jsonl/s.jsonl", "top.jsonl", "top.txt"]
+    for i, name in enumerate(names):
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("" if "empty" in name else f"{i}\n" * (i + 1))
+        os.utime(path, ns=(0, 1_700_000_000_123_456_789 + i * 10**9))
+    (root / "none").mkdir()
+    (root / "p" / "broken.jsonl").symlink_to(root / "nowhere.jsonl")
+    (root / "linked").symlink_to(root / "p")
+    for k in range(50):
+        (root / "many").mkdir(exist_ok=True)
+        (root / "many" / f"s{k}.jsonl").write_text("a\n")
+    monkeypatch.setattr(tail_files, "LISTED_ROWS", 7)
+    job = tail_files.TailJob(spark, str(root), str(tmp_path / "state"))
+    listing = job.listing()
+    assert listing.inputFiles() == []
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root}/*")
+    want = files.selectExpr("path", "length", "unix_micros(modificationTime) as mtime")
+    assert sorted(listing.collect()) == sorted(want.collect())
+    assert job.catch_up() == 1
+    with pytest.raises(FileNotFoundError):
+        tail_files.TailJob(spark, str(tmp_path / "nothing"), str(tmp_path / "other")).poll()
