@@ -26,11 +26,10 @@ from memloom.operators.versions import Manifest
 
 LINES = "path string, project string, session string, at long, value string"
 FILES = "path string, folder boolean, length long, mtime long"
+GROWN = "path string, offset long, length long, mtime long, head string, new long, at long"
 PLAN = "path string, first long, stop long, length long, mtime long, head string"
 #: Bytes that are looked at in one step, and bytes at a file's beginning that tell it from another.
 STEP, HEAD = 1 << 16, 64
-#: Files of a batch at most; the rest comes in the next one.
-MOST_FILES = 10_000
 #: Files of a listing that leave a task at once.
 LISTED_ROWS = 4096
 
@@ -157,8 +156,8 @@ class TailJob:
         folders = begin.mapInArrow(lambda batches: listed(batches, True), FILES)
         return folders.repartition(tasks, "path").mapInArrow(lambda batches: listed(batches, False), FILES).select("path", "length", "mtime")
 
-    def _plan(self) -> DataFrame:
-        """The files of the next batch: from where to where, by whole lines."""
+    def _grown(self) -> DataFrame:
+        """The files that have grown or changed, with what is known of them and ``new``, the bytes to read."""
         # cursors are as many as files, and each poll reads them: joins by shuffles keep them away from the driver
         by = "shuffle_hash"
         known = self.cursors.table(join=by)
@@ -168,9 +167,19 @@ class TailJob:
         # a file of the same length may be another one if it was touched
         changed = rows.filter((F.col("length") != F.col("offset")) | (F.col("mtime") > F.coalesce("seen", F.lit(-1))))
         new = F.when(F.col("length") > F.col("offset"), F.col("length") - F.col("offset")).otherwise(F.col("length"))
-        first = changed.withColumn("new", new).orderBy("mtime", "path").limit(MOST_FILES)
-        before = F.coalesce(F.sum("new").over(Window.orderBy("mtime", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        taken = first.withColumn("left", F.lit(self.max_bytes) - before).filter("left > 0")
+        return changed.select("path", "offset", "length", "mtime", "head", new.alias("new"))
+
+    def _plan(self) -> DataFrame:
+        """The files of the next batch: from where to where, by whole lines."""
+        # sums of bytes by a distributed sort: one row for each of its parts meets in a task, so a batch may have any number of files
+        kept = f"{self.state}/grown"
+        self._grown().orderBy("mtime", "path").withColumn("at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(kept)
+        grown = self.spark.read.schema(GROWN).parquet(kept).withColumn("part", F.shiftright("at", 33))
+        sizes = grown.groupBy("part").agg(F.sum("new").alias("size"))
+        before = lambda of, window: F.coalesce(F.sum(of).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = sizes.select("part", (F.lit(self.max_bytes) - before("size", Window.orderBy("part"))).alias("room")).filter("room > 0")
+        within = before("new", Window.partitionBy("part").orderBy("at"))
+        taken = grown.join(parts.hint("shuffle_hash"), "part").withColumn("left", F.col("room") - within).filter("left > 0")
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

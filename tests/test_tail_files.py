@@ -146,3 +146,27 @@ def test_listing_is_that_of_spark_without_its_file_index(spark, tmp_path, monkey
     assert job.catch_up() == 1
     with pytest.raises(FileNotFoundError):
         tail_files.TailJob(spark, str(tmp_path / "nothing"), str(tmp_path / "other")).poll()
+
+
+def test_a_batch_takes_any_number_of_files(spark, tmp_path, monkeypatch):
+    """Files are dealt to batches by their bytes alone, in the order of their times, whatever parts the sort has."""
+    root = tmp_path / "logs" / "p"
+    root.mkdir(parents=True)
+    for k in range(300):
+        (root / f"s{k}.jsonl").write_text(f"{k:03d}\n")
+        os.utime(root / f"s{k}.jsonl", (1_700_000_000 + k, 1_700_000_000 + k))
+    monkeypatch.setattr(tail_files, "MOST_FILES", 20, raising=False)  # the bound that there was
+    job = tail_files.TailJob(spark, str(tmp_path / "logs"), str(tmp_path / "state"), 600)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [job.poll(), job.poll(), job.poll()] == [600, 600, 0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{job.state}/grown").count() == 0
+    first = {r.session for r in spark.read.parquet(f"{job.lines}/0").collect()}
+    assert first == {f"s{k}" for k in range(150)} and job.landed().count() == 300
+    (root / "s3.jsonl").write_text("003\nmore\n")
+    grown = job._grown()
+    assert [(r.path.rsplit("/", 1)[-1], r.offset, r.new) for r in grown.collect()] == [("s3.jsonl", 4, 5)]
+    ran = grown._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in ran and "Broadcast" not in ran
